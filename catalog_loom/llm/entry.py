@@ -6,16 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catalog_loom.llm import chatfmt, mixing, warc
+from catalog_loom.llm import ann, chatfmt, langid, mixing, quality, topk, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxic_spans": toxicity.op1,
+        "op2_exact_top_k": topk.op2,
+        "op3_passage_quality": quality.op3,
+        "op4_byte_language": langid.op4,
         "op5_warc_revisits": warc.op5,
         "op8_entropy_mix": mixing.op8,
+        "op9_learned_partitions": ann.op9,
         "op10_preference_chat": chatfmt.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc_revisits": warc.SQL, "op10_preference_chat": chatfmt.SQL}
+    return {"op2_exact_top_k": topk.SQL, "op5_warc_revisits": warc.SQL, "op10_preference_chat": chatfmt.SQL}
