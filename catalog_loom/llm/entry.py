@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catalog_loom.llm import ann, chatfmt, langid, mixing, quality, topk, toxicity, warc
+from catalog_loom.llm import ann, bpe, chatfmt, jaccard, langid, mixing, quality, topk, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_passage_quality": quality.op3,
         "op4_byte_language": langid.op4,
         "op5_warc_revisits": warc.op5,
+        "op6_shingle_jaccard": jaccard.op6,
+        "op7_bpe": bpe.op7,
         "op8_entropy_mix": mixing.op8,
         "op9_learned_partitions": ann.op9,
         "op10_preference_chat": chatfmt.op10,
@@ -23,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_top_k": topk.SQL, "op5_warc_revisits": warc.SQL, "op10_preference_chat": chatfmt.SQL}
+    return {"op2_exact_top_k": topk.SQL, "op6_shingle_jaccard": jaccard.SQL, "op5_warc_revisits": warc.SQL, "op10_preference_chat": chatfmt.SQL}
