@@ -214,12 +214,12 @@ def languages(docs: DataFrame, labeller: Labeller) -> DataFrame:
 
 def keep_identified(docs: DataFrame, labeller: Labeller, least: float = 0.4) -> DataFrame:
     """The documents that have a language, with a mean probability of at least least; with all their columns."""
-    mark = "__has_letters"
+    mark, columns = "__has_letters", docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rest, which, p in _labelled(batch, mark, labeller):
-                yield rest.select(docs.columns).filter(pa.array((which >= 0) & (p >= least)))
+                yield rest.select(columns).filter(pa.array((which >= 0) & (p >= least)))
 
     return docs.withColumn(mark, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, docs.schema)
 
