@@ -29,8 +29,8 @@ from catalog_loom.llm.samples import held_out, labelled
 from catalog_loom.llm.shared import table
 from catalog_loom.llm.textops import IS_LETTER, Rolling, fold_case, mix, slices, spans
 
-SAMPLE = (3000, 2500)
-CLIP = 12_000
+SAMPLE = (2500, 2000)
+CLIP = 6_000
 BITS = 18
 PREFIXES = (4, 5)
 SCORED = "doc_id long, held_out boolean, score double, predicted int, spans array<struct<start:int,end:int>>"
@@ -131,15 +131,15 @@ def token_labels(buckets: np.ndarray, owner: np.ndarray, words: np.ndarray, toxi
     context = mix(before, 21) ^ mix(after, 22)
     yes, no = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
     marked = np.zeros(buckets.shape[1], bool)
-    mine = toxic[owner]
+    mine, whose = toxic[owner], owner.astype(np.uint64)
     for row in buckets:
         def spread(which: np.ndarray, what: np.ndarray, row: np.ndarray = row) -> np.ndarray:
-            pair = np.unique(np.stack([row[which].astype(np.uint64), what[which].astype(np.uint64)]), axis=1)
-            return np.bincount(pair[0].astype(np.int64), minlength=size)
+            pair = np.unique((row[which].astype(np.uint64) << np.uint64(40)) | (mix(what[which], 23) >> np.uint64(24)))
+            return np.bincount((pair >> np.uint64(40)).astype(np.int64), minlength=size)
 
         often = np.bincount(row[mine], minlength=size) >= contexts
         use = often[row]
-        p, n, c = spread(use & mine, owner), spread(use & ~mine, owner), spread(use & mine, context)
+        p, n, c = spread(use & mine, whose), spread(use & ~mine, whose), spread(use & mine, context)
         log_odds = np.log((p + 0.5) / (yes + 1)) - np.log((n + 0.5) / (no + 1))
         typical = (log_odds > np.log(ratio)) & (log_odds > sure * np.sqrt(1 / (p + 0.5) + 1 / (n + 0.5))) & (c >= contexts)
         marked |= typical[row]
