@@ -5,7 +5,8 @@ parts by recursive spectral bisection and moves that keep the balance; a small n
 vector; and the number of parts to visit is the smallest that finds RECALL of the neighbours of held-out sample rows.
 
 Index and search: every row goes to its most probable part. A query goes to its several most probable parts, where all
-rows are scored in double precision. Parts are split into pieces of about PIECE_ROWS rows, so that a part that holds very
+rows are scored in double precision. They are visited in three steps, the most probable one first, then some, then the
+rest; the kth score found so far goes along, and parts only return what reaches it. Parts are split into pieces of about PIECE_ROWS rows, so that a part that holds very
 many rows (copies of one vector, say) is many tasks. Queries that found fewer than k rows visit all parts.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components, and null ids, take no part;
@@ -154,8 +155,8 @@ def fit(sample: np.ndarray, parts: int, k: int) -> tuple[Router, int]:
     return router, parts
 
 
-def scored(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best points of each query. Rows that may be among them are scored anew one by one, so that equal vectors
+def scored(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best points of each query among those that reach its floor. Rows that may be among them are scored anew one by one, so that equal vectors
     have equal scores."""
     out = []
     for at in range(0, len(queries), 256):
@@ -163,6 +164,7 @@ def scored(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids:
         rough = q @ points.T
         rough[ids[None, :] == query_ids[at : at + 256][:, None]] = -np.inf
         kth = np.partition(rough, -k, axis=1)[:, -k] if rough.shape[1] > k else np.full(len(q), -np.inf)
+        kth = np.maximum(kth, floor[at : at + 256])
         slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(kth), kth, 0)))
         who, row = np.nonzero((rough >= (kth - slack)[:, None]) & (rough > -np.inf))
         for piece in range(0, len(who), 1 << 16) if len(who) else ():
@@ -178,12 +180,12 @@ def scored(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids:
 
 
 def visit(index: DataFrame, routed: DataFrame, dim: int, k: int) -> DataFrame:
-    """routed(vec_id, v, part, piece, block) against index(vec_id, v, part, piece)."""
+    """routed(vec_id, v, floor, part, piece, block) against index(vec_id, v, part, piece)."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, asking = right["vec_id"].to_numpy(), left["vec_id"].to_numpy()
         if len(ids) and len(asking):
-            q, p, s = scored(matrix(right["v"], dim), ids, matrix(left["v"], dim), asking, k)
+            q, p, s = scored(matrix(right["v"], dim), ids, matrix(left["v"], dim), asking, left["floor"].to_numpy(), k)
         else:
             q, p, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         return pa.table({"query_id": asking[q], "vec_id": ids[p], "score": s})
@@ -222,18 +224,24 @@ def near_neighbours(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFra
     index = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     block = F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)).cast("int").alias("block")
 
-    def ask(queries: DataFrame, count: int) -> DataFrame:
-        to = queries.select("vec_id", "v", block, F.explode(F.slice("ranked", 1, count)).alias("part"))
+    def ask(queries: DataFrame, start: int, count: int) -> DataFrame:
+        to = queries.select("vec_id", "v", "floor", block, F.explode(F.slice("ranked", start, count)).alias("part"))
         return visit(index, to.withColumn("piece", F.explode(F.sequence(F.lit(0), pieces[F.col("part")] - 1))), dim, k)
 
-    first = stage(ask(asked, visits), "found")
+    lowest = F.lit(float("-inf"))
+    some = min(visits, 1 + max(1, visits // 6))
+    found = stage(best(ask(asked.withColumn("floor", lowest), 1, 1), k).drop("rank"), "found")
+    for start, end in ((2, some), (some + 1, visits)):  # each step starts from the kth score of those before
+        if start <= end:
+            kth = best(found, k).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
+            started = asked.join(kth, "vec_id", "left").withColumn("floor", F.coalesce("floor", lowest))
+            found = stage(best(found.unionByName(ask(started, start, end - start + 1)), k).drop("rank"), "found")
     if visits < parts:
-        have = first.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("have"))
+        have = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("have"))
         short = asked.join(have, "vec_id", "left").where(F.coalesce("have", F.lit(0)) < min(k, n - 1)).drop("have")
         if not short.isEmpty():
-            again = ask(short, parts)
-            first = first.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(again)
-    return best(first, k)
+            found = found.unionByName(ask(short.withColumn("floor", lowest), visits + 1, parts))
+    return best(found, k)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
