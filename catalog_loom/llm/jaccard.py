@@ -7,12 +7,12 @@ Any global order of shingles gives a filter that loses no link: the first n - ce
 share one. Three orders are used. The first puts common shingles last (by a sketch of document frequencies, of a fixed
 size, then by a hash); it makes candidates: prefix shingles are shuffled, and classes that share one may link. The second
 and third (the hash upwards and downwards) are tested on each candidate, and only those that pass all are verified on the
-whole sets.
+whole sets; the second is tested before any text is moved.
 
 Shingles of few classes give all their pairs. For a shingle of many classes (near copies, mostly), all are compared with
-one of them, the components of the links found so far are taken, and what is still apart is compared with others, at last
-each class with each class of another component; so a group of near copies costs a few comparisons a member, and no pair
-that could still join two components is left out.
+one of them and the components of the links found so far are taken. What is then still apart is compared in blocks: the
+classes that such shingles hold together are dealt to blocks, and a task counts the intersections of two blocks' sets at
+once, without making rows of pairs. No pair that could still join two components is left out.
 
 Defined cases: null texts and texts without words have no shingles, 0 as size, and link with nothing; fewer than five words
 are one shingle; rows are the nodes, so repeated rows and rows that share a doc_id are each their own; component_id is the
@@ -32,15 +32,16 @@ from pyspark.sql import functions as F
 
 from catalog_loom.llm.components import components
 from catalog_loom.llm.shared import stage, table
-from catalog_loom.llm.textops import ASCII_LOWER, NOT_SPACE, Rolling, mix, slices, spans
+from catalog_loom.llm.textops import ASCII_LOWER, NOT_SPACE, Rolling, buffers, mix, slices, spans
 
 WORDS = 5
 SKETCH_BITS = 22
 SKETCH_BLOCKS = 64
 MEMBER_BITS = 23
-SEEN_KEPT = 500_000
-FEW = 8
-ROUNDS = 3
+SEEN_KEPT = 100_000
+HELD = 1 << 19
+FEW = 64
+BLOCK = 512
 HOT_CLASS = 5000
 BROADCAST_ROWS = 100_000
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -99,14 +100,15 @@ def described(docs: DataFrame) -> DataFrame:
 
         def flush() -> None:
             if held:
-                np.add(cells, np.bincount((np.concatenate(held) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(cells)), out=cells, casting="unsafe")
+                at, n = np.unique((np.concatenate(held) >> np.uint64(64 - SKETCH_BITS)).astype(np.int32), return_counts=True)
+                cells[at] += n.astype(np.uint32)
                 held.clear()
 
         for batch in batches:
             for lo, hi, raw, at in slices(batch["text"]):
                 h, to = shingles(raw, at)
                 held.append(mix(h, 3))
-                if sum(map(len, held)) > len(cells):
+                if sum(map(len, held)) > HELD:
                     flush()
                 n = hi - lo
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(lo, n).cast(pa.int64()), pa.array(np.diff(to)), pa.array(classes(h, to), mask=np.diff(to) == 0), pa.nulls(n, types[3]), pa.nulls(n, types[4])], names)
@@ -134,7 +136,7 @@ def levels(parts: DataFrame) -> np.ndarray:
     cells = np.zeros((SKETCH_BLOCKS, width), np.uint64)
     for row in parts.select("block", "counts").repartition(SKETCH_BLOCKS, "block").mapInArrow(run, "block int, counts binary").toLocalIterator():
         cells[row["block"]] += np.frombuffer(zlib.decompress(row["counts"]), np.uint64)
-    limit = 4 * cells.mean() + 64
+    limit = cells.mean() + 5 * np.sqrt(cells.mean()) + 4
     return np.minimum(15, np.where(cells > limit, 1 + np.floor(np.log2(np.maximum(cells, 1) / limit)), 0)).astype(np.uint8).ravel()
 
 
@@ -188,7 +190,7 @@ def members(ids: DataFrame) -> np.ndarray:
 
 
 def texts_of(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """cls, text: a text of each class whose cell is in the bitmap."""
+    """cls, text, low (start of the second order) of each class whose cell is in the bitmap."""
     sent = docs.sparkSession.sparkContext.broadcast(zlib.compress(wanted.tobytes(), 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,9 +207,39 @@ def texts_of(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
                         rows.append(i)
                 if len(seen) > SEEN_KEPT:
                     seen.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(cls[rows]), batch["text"].slice(lo, hi - lo).take(pa.array(rows, pa.int64())).cast(pa.string())], ["cls", "text"])
+                low = pa.array([(h[to[i] : to[i] + sketch_length(int(to[i + 1] - to[i]))] >> np.uint64(32)).astype("<u4").tobytes() for i in rows], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(cls[rows]), batch["text"].slice(lo, hi - lo).take(pa.array(rows, pa.int64())).cast(pa.string()), low], ["cls", "text", "low"])
 
-    return docs.select("text").mapInArrow(run, "cls long, text string").dropDuplicates(["cls"])
+    return docs.select("text").mapInArrow(run, "cls long, text string, low binary").dropDuplicates(["cls"])
+
+
+def sketch_length(n: int) -> int:
+    return -(-n // 4)
+
+
+def may_link(a: np.ndarray, n: int, b: np.ndarray, m: int) -> bool:
+    """The filter of the second order, on the starts of two sets of n and m shingles: linked ones share at least
+    (4 / 9) (n + m), so of the first n - that + k and m - that + k they share k. Halves of hashes can only share more."""
+    least = -(-4 * (n + m) // 9)
+    k = min(len(a) - (n - least), len(b) - (m - least))
+    if k < 1:
+        return True
+    return len(np.intersect1d(a[: n - least + k], b[: m - least + k])) >= k - 2  # two are left for equal halves
+
+
+def passing(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b, n, m) that pass the second order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = batch["n"].to_pylist(), batch["m"].to_pylist()
+            good = [i for i, (x, y) in enumerate(zip(batch["left"], batch["right"], strict=True)) if may_link(np.frombuffer(x.as_py(), "<u4"), n[i], np.frombuffer(y.as_py(), "<u4"), m[i])]
+            rows = pa.array(good, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["a"].take(rows), batch["b"].take(rows)], ["a", "b"])
+
+    low = texts.select("cls", "low")
+    both = pairs.join(low.withColumnsRenamed({"cls": "a", "low": "left"}), "a").join(low.withColumnsRenamed({"cls": "b", "low": "right"}), "b")
+    return both.select("a", "b", "n", "m", "left", "right").mapInArrow(run, "a long, b long")
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -237,6 +269,71 @@ def links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
+def blockwise(apart: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between classes that share a shingle of apart(tok, cls, n, root) and have different roots. Classes that
+    shingles hold together, directly or through others, are dealt to blocks; a task has the members of two blocks."""
+    hub = F.min("cls").over(Window.partitionBy("tok"))
+    held = components(apart.select("cls", hub.alias("hub")).select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct())
+    sizes = held.groupBy("root").agg(F.count("*").alias("many"))
+    held = held.join(sizes, "root").select(F.col("node").alias("cls"), F.col("root").alias("held_by"), F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks"))
+    members = apart.groupBy("cls").agg(F.collect_set("tok").alias("toks"), F.first("root").alias("root"))  # a prefix at most
+    members = members.join(held, "cls").join(texts.select("cls", "text"), "cls").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+
+    def run(table: pa.Table) -> pa.Table:
+        cls, root, block = table["cls"].to_numpy(), table["root"].to_numpy(), table["block"].to_numpy()
+        raw, at = buffers(table["text"])
+        h, to = shingles(raw, at)
+        size = np.diff(to)
+        count = len(cls)
+        may = np.zeros((count, count), bool)
+        tok = table["toks"].combine_chunks()
+        owner = np.repeat(np.arange(count), tok.value_lengths().to_numpy())
+        tok = tok.flatten().to_numpy()
+        order = np.argsort(tok, kind="stable")
+        for same in np.split(owner[order], np.flatnonzero(np.diff(tok[order])) + 1):
+            if len(same) > 1:
+                may[np.ix_(same, same)] = True
+        cross = table["i"][0].as_py() != table["j"][0].as_py()
+        may &= (root[:, None] != root[None, :]) & (5 * np.minimum(size[:, None], size[None, :]) >= 4 * np.maximum(size[:, None], size[None, :]))
+        may &= (block[:, None] < block[None, :]) if cross else np.triu(np.ones((count, count), bool), 1)
+        known, dense = np.unique(h, return_inverse=True)
+        nth = np.arange(len(h)) - np.repeat(to[:-1], size)
+        length = np.repeat(size, size)
+        kinds = (np.ones(len(h), bool), nth < prefix_length(length), nth >= length - prefix_length(length))
+        flag = np.zeros(len(known), np.int32)
+
+        def shared(i: int, kind: np.ndarray) -> np.ndarray:
+            mine = dense[to[i] : to[i + 1]][kind[to[i] : to[i + 1]]]
+            flag[mine] = 1
+            got = np.add.reduceat(np.where(kind, flag[dense], 0), to[:-1])
+            flag[mine] = 0
+            return got
+
+        found = []
+        above = {r: r for r in root.tolist()}
+
+        def top(r: int) -> int:
+            while above[r] != r:
+                above[r] = r = above[above[r]]
+            return r
+
+        for i in np.flatnonzero(may.any(axis=1)):
+            good = may[i] & (shared(i, kinds[1]) > 0)
+            good = good & (shared(i, kinds[2]) > 0) if good.any() else good
+            if good.any():
+                both = shared(i, kinds[0])
+                for j in np.flatnonzero(good & (100 * both >= 80 * (size[i] + size - both))):
+                    x, y = top(int(root[i])), top(int(root[j]))
+                    if x != y:  # else the link joins nothing
+                        above[x] = y
+                        found.append((cls[i], cls[j]))
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.select("held_by", "i", "j", "cls", "root", "block", "toks", "text").groupBy("held_by", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def fits(n: str, m: str):
     return 5 * F.least(n, m) >= 4 * F.greatest(n, m)
 
@@ -253,29 +350,16 @@ def joined(docs: DataFrame) -> DataFrame:
 
     few = shared.where(F.col("many") <= FEW).select("tok", "cls", "n")
     other = few.select("tok", F.col("cls").alias("b"), F.col("n").alias("m"))
-    pairs = few.withColumnRenamed("cls", "a").join(other, "tok").where((F.col("a") < F.col("b")) & fits("n", "m")).select("a", "b")
+    pairs = few.withColumnRenamed("cls", "a").join(other, "tok").where((F.col("a") < F.col("b")) & fits("n", "m")).select("a", "b", "n", "m")
     crowd = shared.where(F.col("many") > FEW)
-    stars = crowd.where((F.col("cls") != F.col("hub")) & fits("n", "hub_n")).select(F.col("hub").alias("a"), F.col("cls").alias("b"))
-    tried = stage(pairs.unionByName(stars).distinct(), "pairs")
+    stars = crowd.where((F.col("cls") != F.col("hub")) & fits("n", "hub_n")).select(F.col("hub").alias("a"), F.col("cls").alias("b"), F.col("hub_n").alias("n"), F.col("n").alias("m"))
+    tried = stage(passing(pairs.unionByName(stars).distinct(), texts), "pairs")
     good = stage(links(tried, texts), "links")
-    roots = stage(components(good), "roots")
-    for turn in range(1, ROUNDS + 2):
-        crowd_roots = crowd.select("tok", "cls", "n").distinct().join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        apart = stage(crowd_roots.withColumn("low", F.min("root").over(by)).withColumn("high", F.max("root").over(by)).where("low <> high").drop("low", "high"), "apart")
-        if turn <= ROUNDS:
-            hub = F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), F.col("cls").alias("a"), F.col("n").alias("m"), F.col("root").alias("other"))).over(by)
-            new = apart.withColumn("hub", hub).select("cls", "n", "root", "hub.*")
-        else:
-            new = apart.join(apart.select("tok", F.col("cls").alias("a"), F.col("n").alias("m"), F.col("root").alias("other")), "tok").where("cls < a")
-        new = new.where((F.col("root") != F.col("other")) & fits("n", "m")).select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct()
-        new = stage(new.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if new.isEmpty():
-            continue
-        tried = tried.unionByName(new)
-        more = stage(links(new, texts), "links")
-        if not more.isEmpty():
-            good = good.unionByName(more)
-            roots = stage(components(good), "roots")
+    roots = components(good)
+    crowd = crowd.select("tok", "cls", "n").distinct().join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    apart = stage(crowd.withColumn("low", F.min("root").over(by)).withColumn("high", F.max("root").over(by)).where("low <> high").drop("low", "high"), "apart")
+    if not apart.isEmpty():
+        roots = components(good.unionByName(stage(blockwise(apart, texts), "links")))
 
     sets = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     rooted = sets.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))

@@ -29,8 +29,8 @@ from catalog_loom.llm.samples import held_out, labelled
 from catalog_loom.llm.shared import table
 from catalog_loom.llm.textops import IS_LETTER, Rolling, fold_case, mix, slices, spans
 
-SAMPLE = (2500, 2000)
-CLIP = 6_000
+SAMPLE = (2500, 1500)
+CLIP = 5_000
 BITS = 18
 PREFIXES = (4, 5)
 SCORED = "doc_id long, held_out boolean, score double, predicted int, spans array<struct<start:int,end:int>>"
@@ -111,10 +111,9 @@ class Field:
             for row in buckets:
                 grad += np.bincount(row, miss, len(grad))
             grad -= 0.02 * self.weight
-            left = np.stack([np.ones(len(before)), forward[before]])
-            right = np.stack([np.ones(len(after)), e[after] * backward[after]])
-            joint = left[:, None] * np.exp(self.log_step)[:, :, None] * right[None]
-            expected = (joint / joint.sum(axis=(0, 1))).sum(axis=2)
+            u, v, step = forward[before], e[after] * backward[after], np.exp(self.log_step)
+            total = step[0, 0] + step[0, 1] * v + step[1, 0] * u + step[1, 1] * u * v
+            expected = np.array([[(step[0, 0] / total).sum(), (step[0, 1] * v / total).sum()], [(step[1, 0] * u / total).sum(), (step[1, 1] * u * v / total).sum()]])
             rest = np.r_[miss.sum(), (pairs - expected).ravel()] / max(1, y.sum())
             seen += grad * grad
             seen_rest += rest * rest
@@ -178,7 +177,7 @@ class Scorer:
         heads = (np.cumsum(counts) - counts)[some]
         p = odds / (1 + odds)
         out[some, 1] = np.clip(np.log(np.maximum.reduceat(odds, heads)), -10, 10)
-        out[some, 2] = np.log1p(np.add.reduceat(np.where(p > 0.05, p, 0), heads))
+        out[some, 2] = np.log1p(np.add.reduceat(np.where(p > 0.5, p, 0), heads))
         return out, p, starts, ends, counts
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
