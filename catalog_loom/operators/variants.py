@@ -244,7 +244,8 @@ def review_export(found: DataFrame, classified: DataFrame, series: str) -> DataF
 def review_stats(found: DataFrame) -> DataFrame:
     """Candidates by category, relationship and class, all of them, and those unresolved, from one aggregate."""
     cells = found.groupBy("variant_category", "proposed_relationship", "confidence_class").agg(F.count("*").alias("n"))
-    parts = [F.struct(F.lit("category").alias("kind"), F.col("variant_category").alias("value")), F.struct(F.lit("relationship"), F.col("proposed_relationship")), F.struct(F.lit("confidence"), F.col("confidence_class")),
-             F.struct(F.lit("records"), F.lit("all")), F.when(F.col("proposed_relationship") == "unresolved", F.struct(F.lit("unresolved"), F.lit("all")))]
+    cell = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    parts = [cell("category", F.col("variant_category")), cell("relationship", F.col("proposed_relationship")), cell("confidence", F.col("confidence_class")), cell("records", F.lit("all")),
+             F.when(F.col("proposed_relationship") == "unresolved", cell("unresolved", F.lit("all")))]
     rows = cells.select(F.explode(F.array_compact(F.array(*parts))).alias("cell"), "n").groupBy("cell.kind", "cell.value").agg(F.sum("n").alias("records"))
     return rows

@@ -68,7 +68,7 @@ def publish_mart(rows: DataFrame, folder: str, name: str) -> DataFrame:
 def export_review(rows: DataFrame, stats: DataFrame, folder: str, at: datetime) -> str:
     """A new file for each time (an error if it exists) in a fixed order of columns, and the statistics as latest."""
     path = f"{folder}/review_{at:%Y%m%dT%H%M%SZ}"
-    rows.orderBy("place").select(EXPORTED).coalesce(1).write.mode("errorifexists").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+    rows.orderBy("place").select(EXPORTED).coalesce(1).write.mode("errorifexists").option("header", True).option("nullValue", "").option("emptyValue", "").option("escape", '"').csv(path)
     stats.withColumn("path", F.lit(path)).coalesce(1).write.mode("overwrite").json(f"{folder}/latest")
     return path
 
