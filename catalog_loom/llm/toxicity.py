@@ -99,7 +99,7 @@ class Field:
         seen = np.full(len(self.weight), 1e-3)
         seen_rest = np.full(5, 1e-3)
         inner = ~first
-        before = np.flatnonzero(inner) - 1
+        before = (np.flatnonzero(inner) - 1).astype(np.int32)
         after = before + 1
         pairs = np.bincount(2 * y[before] + y[after], minlength=4).reshape(2, 2)
         for _ in range(steps):
@@ -111,10 +111,13 @@ class Field:
             for row in buckets:
                 grad += np.bincount(row, miss, len(grad))
             grad -= 0.02 * self.weight
+            total_miss = miss.sum()
+            del p, miss
             u, v, step = forward[before], e[after] * backward[after], np.exp(self.log_step)
             total = step[0, 0] + step[0, 1] * v + step[1, 0] * u + step[1, 1] * u * v
             expected = np.array([[(step[0, 0] / total).sum(), (step[0, 1] * v / total).sum()], [(step[1, 0] * u / total).sum(), (step[1, 1] * u * v / total).sum()]])
-            rest = np.r_[miss.sum(), (pairs - expected).ravel()] / max(1, y.sum())
+            del u, v, total
+            rest = np.r_[total_miss, (pairs - expected).ravel()] / max(1, y.sum())
             seen += grad * grad
             seen_rest += rest * rest
             self.weight += (rate * grad / np.sqrt(seen)).astype(np.float32)
@@ -142,7 +145,7 @@ def token_labels(buckets: np.ndarray, owner: np.ndarray, words: np.ndarray, toxi
         log_odds = np.log((p + 0.5) / (yes + 1)) - np.log((n + 0.5) / (no + 1))
         typical = (log_odds > np.log(ratio)) & (log_odds > sure * np.sqrt(1 / (p + 0.5) + 1 / (n + 0.5))) & (c >= contexts)
         marked |= typical[row]
-    return (marked & mine).astype(np.int64)
+    return (marked & mine).astype(np.int8)
 
 
 def edges(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,11 +216,13 @@ def fit(texts: pa.ChunkedArray, y: np.ndarray, weight: np.ndarray) -> Scorer:
     kept = []
     for lo, hi, raw, at in slices(texts, 1 << 22):
         buckets, _, _, counts, words = tokens(raw, at)
-        kept.append((buckets, np.repeat(np.arange(lo, hi), counts), words, counts))
+        kept.append((buckets, np.repeat(np.arange(lo, hi, dtype=np.int32), counts), words, counts))
     buckets = np.concatenate([k[0] for k in kept], axis=1)
     owner, words, counts = (np.concatenate([k[i] for k in kept]) for i in (1, 2, 3))
+    del kept  # the driver is small
     first, last = edges(counts)
     labels = token_labels(buckets, owner, words, y == 1)
+    del owner, words
     scorer.field.fit(buckets, first, last, labels)
     rows = np.concatenate([scorer.evidence(raw, at)[0] for _, _, raw, at in slices(texts, 1 << 22)])
     scorer.line = logistic(rows, y, weight, scorer.line)
