@@ -359,7 +359,8 @@ def joined(docs: DataFrame) -> DataFrame:
     crowd = crowd.select("tok", "cls", "n").distinct().join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     apart = stage(crowd.withColumn("low", F.min("root").over(by)).withColumn("high", F.max("root").over(by)).where("low <> high").drop("low", "high"), "apart")
     if not apart.isEmpty():
-        roots = components(good.unionByName(stage(blockwise(apart, texts), "links")))
+        reached = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))  # these have the components of the links found so far
+        roots = components(reached.unionByName(stage(blockwise(apart, texts), "links")))
 
     sets = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     rooted = sets.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
