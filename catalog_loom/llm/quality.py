@@ -5,8 +5,8 @@ the word before, the variety of its words, their mean length and its length; a l
 w.(tanh(V h) * sigmoid(U h)) with a softmax over the document's passages, weighs the encodings, and a logistic function
 of the weighted encoding is the score. All weights are learned together from document labels.
 
-The fit uses a bounded sample (SAMPLE documents of each class, CLIP characters each); every document is scored over all
-its passages.
+The fit uses a bounded sample (SAMPLE documents of each class, with all their passages); every document is scored over
+all its passages.
 
 Defined cases: null and empty texts have one empty passage; repeated rows are scored alike; a null doc_id is not held out
 and not learned from; without labels of both classes every score is the share of good labels (0 without labels); an
@@ -26,7 +26,6 @@ from catalog_loom.llm.shared import table
 from catalog_loom.llm.textops import NOT_SPACE, Rolling, mix, slices, spans
 
 SAMPLE = (2000, 3000)
-CLIP = 12_000
 PASSAGE = 512
 EXTRA = 5
 ENCODED = 16
@@ -131,7 +130,7 @@ def fit(texts: pa.ChunkedArray, y: np.ndarray, weight: np.ndarray) -> Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
-    return fit(*labelled(docs, labels, "quality", 4, 2, SAMPLE, CLIP))
+    return fit(*labelled(docs, labels, "quality", 4, 2, SAMPLE))
 
 
 def quality(docs: DataFrame, model: Model) -> DataFrame:

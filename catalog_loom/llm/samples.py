@@ -17,10 +17,10 @@ def held_out(by: int, rest: int) -> Column:
     return F.coalesce(remainder(by) == rest, F.lit(False))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, by: int, rest: int, most: tuple[int, int], clip: int) -> tuple[pa.ChunkedArray, np.ndarray, np.ndarray]:
-    """Texts, labels and weights of labelled documents that are not held out: of each class at most the number given in
-    most, those of smallest hash, and of each text at most clip characters. The weights restore the shares of the
-    classes. A doc_id with several labels takes the largest."""
+def labelled(docs: DataFrame, labels: DataFrame, label: str, by: int, rest: int, most: tuple[int, int]) -> tuple[pa.ChunkedArray, np.ndarray, np.ndarray]:
+    """Whole texts, labels and weights of labelled documents that are not held out: of each class at most the number given
+    in most, those of smallest hash. The weights restore the shares of the classes. A doc_id with several labels takes
+    the largest."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (remainder(by) != rest)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     totals = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     chosen = None
@@ -28,7 +28,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, by: int, rest: int,
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[y])
         chosen = part if chosen is None else chosen.unionByName(part)
     found = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")  # at most sum(most) rows
-    got = found.select("doc_id", F.substring("text", 1, clip).alias("text"), "y").toArrow().sort_by("doc_id")
+    got = found.select("doc_id", "text", "y").toArrow().sort_by("doc_id")
     y = got["y"].to_numpy().astype(np.int64)
     have = np.bincount(y, minlength=2)
     weight = np.array([totals.get(c, 0) / have[c] if have[c] else 0.0 for c in (0, 1)])

@@ -9,8 +9,8 @@ forward-backward marginals.
 A text's marginals come from the whole text; their largest log odds and their sum give its score by a logistic function
 fitted on the same sample. The spans of tokens that are toxic with probability over 0.5 are returned as character offsets.
 
-The sample is bounded (SAMPLE documents of each class, CLIP characters each, for fitting only); every document is scored
-over its whole text.
+The sample is bounded (SAMPLE documents of each class, with their whole texts, for fitting only) and the fit goes over it
+in runs of FIT_BYTES, so that only a run's arrays are held at once; every document is scored over its whole text.
 
 Defined cases: null and empty texts, and texts without letters, have the score of a text with no toxic token; repeated
 rows are scored alike; a null doc_id is not held out and not learned from; without labels of both classes every score is
@@ -19,7 +19,7 @@ the share of toxic labels (0 without labels); an empty table gives no rows; furt
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from catalog_loom.llm.shared import table
 from catalog_loom.llm.textops import IS_LETTER, Rolling, fold_case, mix, slices, spans
 
 SAMPLE = (2500, 1500)
-CLIP = 5_000
+FIT_BYTES = 1 << 22
 BITS = 18
 PREFIXES = (4, 5)
 SCORED = "doc_id long, held_out boolean, score double, predicted int, spans array<struct<start:int,end:int>>"
@@ -94,30 +94,37 @@ class Field:
             w = np.where(live, e[j] * v, 1.0)
         return forward, backward
 
-    def fit(self, buckets: np.ndarray, first: np.ndarray, last: np.ndarray, y: np.ndarray, steps: int = 30, rate: float = 0.6) -> None:
-        """Adagrad on the likelihood of the labels y."""
-        seen = np.full(len(self.weight), 1e-3)
-        seen_rest = np.full(5, 1e-3)
-        inner = ~first
-        before = (np.flatnonzero(inner) - 1).astype(np.int32)
+    def gradient(self, buckets: np.ndarray, first: np.ndarray, last: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the likelihood of the labels y of whole documents: of the weights, and of the bias and the transitions."""
+        before = (np.flatnonzero(~first) - 1).astype(np.int32)
         after = before + 1
         pairs = np.bincount(2 * y[before] + y[after], minlength=4).reshape(2, 2)
+        e = self.odds(buckets)
+        forward, backward = self.messages(e, first, last)
+        p = forward * backward / (1 + forward * backward)
+        miss = y - p
+        grad = np.zeros(len(self.weight))
+        for row in buckets:
+            grad += np.bincount(row, miss, len(grad))
+        total_miss = miss.sum()
+        del p, miss
+        u, v, step = forward[before], e[after] * backward[after], np.exp(self.log_step)
+        total = step[0, 0] + step[0, 1] * v + step[1, 0] * u + step[1, 1] * u * v
+        expected = np.array([[(step[0, 0] / total).sum(), (step[0, 1] * v / total).sum()], [(step[1, 0] * u / total).sum(), (step[1, 1] * u * v / total).sum()]])
+        return grad, np.r_[total_miss, (pairs - expected).ravel()]
+
+    def fit(self, runs: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], steps: int = 30, rate: float = 0.6) -> None:
+        """Adagrad on the likelihood of the labels of all runs (buckets, first, last, y) of documents."""
+        seen = np.full(len(self.weight), 1e-3)
+        seen_rest = np.full(5, 1e-3)
+        toxic = max(1, sum(int(y.sum()) for *_, y in runs))
         for _ in range(steps):
-            e = self.odds(buckets)
-            forward, backward = self.messages(e, first, last)
-            p = forward * backward / (1 + forward * backward)
-            miss = y - p
-            grad = np.zeros(len(self.weight))
-            for row in buckets:
-                grad += np.bincount(row, miss, len(grad))
-            grad -= 0.02 * self.weight
-            total_miss = miss.sum()
-            del p, miss
-            u, v, step = forward[before], e[after] * backward[after], np.exp(self.log_step)
-            total = step[0, 0] + step[0, 1] * v + step[1, 0] * u + step[1, 1] * u * v
-            expected = np.array([[(step[0, 0] / total).sum(), (step[0, 1] * v / total).sum()], [(step[1, 0] * u / total).sum(), (step[1, 1] * u * v / total).sum()]])
-            del u, v, total
-            rest = np.r_[total_miss, (pairs - expected).ravel()] / max(1, y.sum())
+            grad, rest = -0.02 * self.weight.astype(np.float64), np.zeros(5)
+            for run in runs:
+                of_weight, of_rest = self.gradient(*run)
+                grad += of_weight
+                rest += of_rest
+            rest /= toxic
             seen += grad * grad
             seen_rest += rest * rest
             self.weight += (rate * grad / np.sqrt(seen)).astype(np.float32)
@@ -129,14 +136,20 @@ class Field:
 def token_labels(buckets: np.ndarray, owner: np.ndarray, words: np.ndarray, toxic: np.ndarray, ratio: float = 5.0, sure: float = 3.0, contexts: int = 5) -> np.ndarray:
     """1 for the tokens of toxic documents that hold a feature typical of these."""
     size = buckets.shape[0] << BITS
-    before, after = np.r_[words[:1], words[:-1]], np.r_[words[1:], words[-1:]]
-    context = mix(before, 21) ^ mix(after, 22)
     yes, no = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
     marked = np.zeros(buckets.shape[1], bool)
-    mine, whose = toxic[owner], owner.astype(np.uint64)
+    mine = toxic[owner]
+
+    def whose(at: np.ndarray) -> np.ndarray:
+        return owner[at].astype(np.uint64)
+
+    def context(at: np.ndarray) -> np.ndarray:
+        return mix(words[np.maximum(at - 1, 0)], 21) ^ mix(words[np.minimum(at + 1, len(words) - 1)], 22)
+
     for row in buckets:
-        def spread(which: np.ndarray, what: np.ndarray, row: np.ndarray = row) -> np.ndarray:
-            pair = np.unique((row[which].astype(np.uint64) << np.uint64(40)) | (mix(what[which], 23) >> np.uint64(24)))
+        def spread(which: np.ndarray, what: Callable[[np.ndarray], np.ndarray], row: np.ndarray = row) -> np.ndarray:
+            at = np.flatnonzero(which)
+            pair = np.unique((row[at].astype(np.uint64) << np.uint64(40)) | (mix(what(at), 23) >> np.uint64(24)))
             return np.bincount((pair >> np.uint64(40)).astype(np.int64), minlength=size)
 
         often = np.bincount(row[mine], minlength=size) >= contexts
@@ -214,23 +227,26 @@ def fit(texts: pa.ChunkedArray, y: np.ndarray, weight: np.ndarray) -> Scorer:
     if not len(y) or y.min() == y.max():
         return scorer
     kept = []
-    for lo, hi, raw, at in slices(texts, 1 << 22):
+    for lo, hi, raw, at in slices(texts, FIT_BYTES):
         buckets, _, _, counts, words = tokens(raw, at)
         kept.append((buckets, np.repeat(np.arange(lo, hi, dtype=np.int32), counts), words, counts))
     buckets = np.concatenate([k[0] for k in kept], axis=1)
     owner, words, counts = (np.concatenate([k[i] for k in kept]) for i in (1, 2, 3))
+    sizes = [len(k[1]) for k in kept]
     del kept  # the driver is small
     first, last = edges(counts)
     labels = token_labels(buckets, owner, words, y == 1)
     del owner, words
-    scorer.field.fit(buckets, first, last, labels)
-    rows = np.concatenate([scorer.evidence(raw, at)[0] for _, _, raw, at in slices(texts, 1 << 22)])
+    ends = np.cumsum(sizes)
+    runs = [(buckets[:, b - n : b], first[b - n : b], last[b - n : b], labels[b - n : b]) for b, n in zip(ends.tolist(), sizes, strict=True) if n]
+    scorer.field.fit(runs)
+    rows = np.concatenate([scorer.evidence(raw, at)[0] for _, _, raw, at in slices(texts, FIT_BYTES)])
     scorer.line = logistic(rows, y, weight, scorer.line)
     return scorer
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
-    return fit(*labelled(docs, labels, "toxic", 5, 0, SAMPLE, CLIP))
+    return fit(*labelled(docs, labels, "toxic", 5, 0, SAMPLE))
 
 
 def toxicity(docs: DataFrame, scorer: Scorer) -> DataFrame:

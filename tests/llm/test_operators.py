@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from catalog_loom.llm import ann, bpe, chatfmt, entry, jaccard, langid, mixing, quality, shared, topk, toxicity, warc
+from catalog_loom.llm import ann, bpe, chatfmt, entry, jaccard, langid, mixing, quality, samples, shared, topk, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, size int"
@@ -302,6 +302,26 @@ def test_classifiers_odd(odd, empty, labels):
     assert all(r["score"] < 0.01 for r in toxicity.toxicity(odd, toxicity.learn(odd, none)).collect())
 
 
+def test_late_spans_are_learned(spark, monkeypatch):
+    """Toxic words and good passages far behind the start of a text are seen by the fits, also in several runs."""
+    monkeypatch.setattr(toxicity, "FIT_BYTES", 1 << 18)
+    rng = random.Random(5)
+    make = lambda n: [rng.choice("bcdfgh") + rng.choice("aeiou") + rng.choice("lmnrst") + rng.choice("aeiou") for _ in range(n)]
+    rows = []
+    for i in range(1, 121):
+        words = make(3000)
+        if i % 3 == 0:
+            for at in rng.sample(range(2700, 3000), 8):
+                words[at] = "wretchedness"
+        rows.append((i, " ".join(words), int(i % 3 == 0)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    assert max(map(len, samples.labelled(docs, labels, "toxic", 5, 0, (9, 9))[0].to_pylist())) == max(len(t) for _, t, _ in rows)
+    got = {r["doc_id"]: r for r in toxicity.toxicity(docs, toxicity.learn(docs, labels)).collect()}
+    assert all(got[i]["predicted"] == y for i, _, y in rows)
+    assert all({t[s["start"] : s["end"]] for s in got[i]["spans"]} == ({"wretchedness"} if y else set()) for i, t, y in rows)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
