@@ -4,8 +4,12 @@ A text's bytes, in lower case, are cut into windows of WINDOW bytes; the network
 in both directions, and gives every byte a probability for each language. A document's probabilities are the means over
 all its bytes. Both directions and all windows of a batch run side by side, so a step is a few operations on arrays.
 
-The fit uses a bounded sample: FIT_DOCS documents of smallest hash, CLIP characters of each from a hashed place. Every
-document is labelled over its whole text.
+The fit uses a bounded sample, CLIP characters of each document from a hashed place: FIT_DOCS documents are shared among
+the languages alike, what a rare language leaves goes to the others, and no language is given fewer than LEAST_DOCS
+unless it has fewer (so with very many languages the bound is LEAST_DOCS of each). Within a language those of smallest
+hash are taken; repeated rows count once. The network is fitted to this sample, and the logarithm of what a sampled
+document stands for is then added to its language's bias, which restores the shares. Every document is labelled over its
+whole text.
 
 Defined cases: a null text or one without a letter is "und" with score 0; if nothing can be learned, all are "und" with
 score 0; repeated rows are labelled alike; a null doc_id is not held out and not learned from; an empty table gives no
@@ -26,6 +30,7 @@ from catalog_loom.llm.shared import table
 from catalog_loom.llm.textops import fold_case, slices
 
 FIT_DOCS = 6000
+LEAST_DOCS = 64
 CLIP = 256
 HIDDEN = 8
 WINDOW = 256
@@ -162,27 +167,55 @@ class Labeller:
         return sums / np.maximum(1, np.diff(at))[:, None]
 
 
-def fit(texts: pa.ChunkedArray, names: list[str]) -> Labeller:
+def fit(texts: pa.ChunkedArray, names: list[str], totals: dict[str, int]) -> Labeller:
+    """totals: the number of documents of each language that the sample stands for."""
     labeller = Labeller(sorted(set(names)))
     if len(labeller.languages) < 2:
         return labeller
-    y = np.searchsorted(labeller.languages, names)
+    y_of_docs = np.searchsorted(labeller.languages, names)
     found: list[tuple[np.ndarray, ...]] = []
     span = np.arange(FIT_WINDOW)
     for lo, _, raw, at in slices(texts):
         low = fold_case(raw)
         start, size, row = windows(low, at, FIT_WINDOW)
-        found.append((low[np.minimum(start + span[:, None], max(0, len(low) - 1))].astype(np.int32), (span[:, None] < size).astype(np.float32), y[lo + row]))
+        found.append((low[np.minimum(start + span[:, None], max(0, len(low) - 1))].astype(np.int32), (span[:, None] < size).astype(np.float32), y_of_docs[lo + row]))
     data, live, y = np.concatenate([f[0] for f in found], axis=1), np.concatenate([f[1] for f in found], axis=1), np.concatenate([f[2] for f in found])
     labeller.network.fit(data, live, y)
+    stands_for = np.array([totals[x] for x in labeller.languages]) / np.bincount(y_of_docs, minlength=len(labeller.languages))
+    labeller.network.w["bias"] += np.log(stands_for / stands_for.max()).astype(np.float32)
     return labeller
 
 
-def learn(docs: DataFrame) -> Labeller:
+def shares(counts: dict[str, int], most: int) -> dict[str, int]:
+    """How many documents of each language are taken: alike, as far as there are any, most in all."""
+    out, left = {}, most
+    for i, lang in enumerate(sorted(counts, key=lambda x: (counts[x], x))):
+        out[lang] = min(counts[lang], max(LEAST_DOCS, left // (len(counts) - i)))
+        left = max(0, left - out[lang])
+    return out
+
+
+def sample(docs: DataFrame) -> tuple[pa.Table, dict[str, int]]:
+    """lang and text of the documents to fit on, and the number of documents of each language that may be fitted on."""
     known = docs.select("doc_id", "text", "lang").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (remainder(4) != 2) & F.col("text").rlike(r"\p{L}"))
+    found = known.groupBy("lang").agg(F.count("*").alias("rows"), F.approx_count_distinct("doc_id", 0.02).alias("ids")).collect()  # a row for each language
+    take = shares({r["lang"]: r["ids"] for r in found}, FIT_DOCS)
+    if not take:
+        return known.select("lang", "text").limit(0).toArrow(), {}
+    # A row's rank is about its place among the hashes of its language, as a part of what is taken of it; 0 if all are.
+    part = {r["lang"]: r["ids"] / take[r["lang"]] if r["ids"] > take[r["lang"]] else 0.0 for r in found}
+    parts = docs.sparkSession.createDataFrame(list(part.items()), "lang string, part double")
     start = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.greatest(F.length("text") - CLIP, F.lit(0)) + 1).cast("int") + 1
-    got = known.select("doc_id", "lang", F.substring("text", start, F.lit(CLIP)).alias("text"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(FIT_DOCS).toArrow()
-    return fit(got["text"], got["lang"].to_pylist()) if got.num_rows else Labeller([])
+    h = F.xxhash64("doc_id")
+    ranked = known.join(F.broadcast(parts), "lang").withColumn("rank", (h / F.lit(2.0**64) + 0.5) * F.col("part"))
+    near = ranked.where(F.col("rank") < 2).select("rank", h.alias("h"), "doc_id", "lang", F.substring("text", start, F.lit(CLIP)).alias("text")).distinct()
+    got = near.orderBy("rank", "h", "doc_id", "lang", "text").limit(sum(take.values())).toArrow()
+    return got.select(["lang", "text"]), {r["lang"]: r["rows"] for r in found}
+
+
+def learn(docs: DataFrame) -> Labeller:
+    got, totals = sample(docs)
+    return fit(got["text"], got["lang"].to_pylist(), totals) if got.num_rows else Labeller([])
 
 
 def _labelled(batch: pa.RecordBatch, letters: str, labeller: Labeller) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:

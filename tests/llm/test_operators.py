@@ -322,6 +322,28 @@ def test_late_spans_are_learned(spark, monkeypatch):
     assert all({t[s["start"] : s["end"]] for s in got[i]["spans"]} == ({"wretchedness"} if y else set()) for i, t, y in rows)
 
 
+def test_rare_languages_are_learned(spark, monkeypatch):
+    """A language of one document in a hundred has its share of a small sample, repeated rows do not fill it, and the
+    rare language is found again."""
+    monkeypatch.setattr(langid, "FIT_DOCS", 120)
+    monkeypatch.setattr(langid, "LEAST_DOCS", 20)
+    rng = random.Random(6)
+    letters = {"aa": "abcdefgh", "bb": "ijklmnop", "cc": "qrstuvwx"}
+    make = lambda lang: " ".join("".join(rng.choice(letters[lang]) for _ in range(6)) for _ in range(30))
+    rows = [(i, make(lang), lang) for i in range(6000) for lang in ["cc" if i % 100 == 7 else "ab"[i % 2] * 2]]
+    rows += [rows[0]] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got, totals = langid.sample(docs)
+    taken = {x: got["lang"].to_pylist().count(x) for x in letters}
+    assert sum(taken.values()) == 120 and min(taken.values()) >= 25, taken
+    have = docs.where(samples.remainder(4) != 2).groupBy("lang").count().collect()
+    assert totals == {r["lang"]: r["count"] for r in have}
+    found = langid.languages(docs, langid.learn(docs)).join(docs.select("doc_id", "lang").distinct(), "doc_id").toPandas()
+    assert (found.loc[found["lang"] == "cc", "lang_pred"] == "cc").mean() > 0.9
+    assert (found["lang"] == found["lang_pred"]).mean() > 0.99
+    assert langid.shares({"a": 10, "b": 5000, "c": 9000}, 6000) == {"a": 10, "b": 2995, "c": 2995}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
