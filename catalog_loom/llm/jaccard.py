@@ -90,9 +90,9 @@ def prefix_length(n: np.ndarray | int) -> np.ndarray | int:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, n, cls of each document; and, as rows with a block, counts of shingles by cell, part by part."""
-    names = ["doc_id", "n", "cls", "block", "counts"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    """doc_id, row_key, n, cls of each document; and, as rows with a block, counts of shingles by cell, part by part."""
+    names = ["doc_id", "row_key", "n", "cls", "block", "counts"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << SKETCH_BITS, np.uint32)
@@ -111,14 +111,14 @@ def described(docs: DataFrame) -> DataFrame:
                 if sum(map(len, held)) > HELD:
                     flush()
                 n = hi - lo
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(lo, n).cast(pa.int64()), pa.array(np.diff(to)), pa.array(classes(h, to), mask=np.diff(to) == 0), pa.nulls(n, types[3]), pa.nulls(n, types[4])], names)
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(lo, n).cast(pa.int64()), batch["row_key"].slice(lo, n), pa.array(np.diff(to)), pa.array(classes(h, to), mask=np.diff(to) == 0), pa.nulls(n, types[4]), pa.nulls(n, types[5])], names)
         flush()
         parts = np.split(cells, SKETCH_BLOCKS)
         used = [i for i, p in enumerate(parts) if p.any()]
-        nothing = [pa.nulls(len(used), t) for t in types[:3]]
-        yield pa.RecordBatch.from_arrays([*nothing, pa.array(used, types[3]), pa.array([zlib.compress(parts[i].tobytes(), 1) for i in used], types[4])], names)
+        nothing = [pa.nulls(len(used), t) for t in types[:4]]
+        yield pa.RecordBatch.from_arrays([*nothing, pa.array(used, types[4]), pa.array([zlib.compress(parts[i].tobytes(), 1) for i in used], types[5])], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cls long, block int, counts binary")
+    return docs.select("doc_id", "row_key", "text").mapInArrow(run, "doc_id long, row_key long, n long, cls long, block int, counts binary")
 
 
 def levels(parts: DataFrame) -> np.ndarray:
@@ -338,10 +338,10 @@ def fits(n: str, m: str):
     return 5 * F.least(n, m) >= 4 * F.greatest(n, m)
 
 
-def joined(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of each document."""
+def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For documents with a row_key: doc_id, row_key, n, cls of each; and cls, root, component_id, copies of each class."""
     found = stage(described(docs), "described")
-    rows = found.where("block is null").select("doc_id", "n", "cls")
+    rows = found.where("block is null").select("doc_id", "row_key", "n", "cls")
     posts = postings(docs, levels(found.where("block is not null")))
     by = Window.partitionBy("tok")
     posts = posts.withColumn("first", F.min(F.struct("cls", "n")).over(by)).withColumn("last", F.max("cls").over(by)).withColumn("many", F.count("*").over(by))
@@ -365,7 +365,12 @@ def joined(docs: DataFrame) -> DataFrame:
     sets = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     rooted = sets.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stage(rooted.join(ids, "root").select("cls", "component_id", "copies"), "named")
+    return rows, stage(rooted.join(ids, "root").select("cls", "root", "component_id", "copies"), "named")
+
+
+def joined(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of each document."""
+    rows, named = grouped(docs.select("doc_id", "text", F.lit(0).cast("long").alias("row_key")))
     hot = named.where(F.col("copies") > HOT_CLASS).select("cls", "component_id")
     out = F.coalesce("component_id", "doc_id").alias("component_id")
     rest = rows
@@ -386,16 +391,30 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, that of smallest doc_id, with all its columns. Documents without words, and those
-    without a doc_id, stay. A doc_id that is repeated stays once."""
-    found = stage(joined(docs), "joined")
-    drop = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(drop, "doc_id", "left_anti").select(docs.columns)
-    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    """One row of each component with all its columns: that of smallest doc_id, and of smallest hash among rows that share
+    it. Of the rows without a doc_id in a component one more stays, of smallest hash. Documents without words all stay."""
+    mark, columns = "__row_key", docs.columns
+    keyed = docs.withColumn(mark, F.xxhash64(*columns, *[F.col(c).isNull() for c in columns]))  # nulls don't change xxhash64
+    rows, named = grouped(keyed.select("doc_id", "text", F.col(mark).alias("row_key")))
+    rows = rows.where("cls is not null")
+    least = rows.groupBy("cls", F.col("doc_id").isNull().alias("no_id")).agg(F.min(F.struct("doc_id", "row_key")).alias("least"))
+    best = least.join(named.select("cls", "root"), "cls").groupBy("root", "no_id").agg(F.min("least").alias("least")).select("least.doc_id", "least.row_key")
+    many = rows.groupBy("doc_id", "row_key").agg(F.count("*").alias("many"))
+    same = (F.col("m.row_key") == F.col("b.row_key")) & F.col("m.doc_id").eqNullSafe(F.col("b.doc_id"))
+    told = many.alias("m").join(best.alias("b"), same, "left").select("m.doc_id", "m.row_key", "m.many", F.col("b.row_key").isNotNull().alias("stays"))
+    told = stage(told.where("not stays or many > 1"), "told")
+
+    def among(frame: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        keys = keys.select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key"))
+        keys = F.broadcast(keys) if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else keys
+        return frame.join(keys, (F.col(mark) == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")), how)
+
+    kept = among(keyed, told.where("not stays"), "left_anti")
+    again = told.where("stays")
     if again.isEmpty():
-        return kept
-    twice = kept.join(again, "doc_id", "left_semi").select(docs.columns)
-    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(twice.dropDuplicates(["doc_id"]))
+        return kept.select(columns)
+    twice = among(kept, again, "left_semi").dropDuplicates(["doc_id", mark])
+    return among(kept, again, "left_anti").select(columns).unionByName(twice.select(columns))
 
 
 SQL = r"""

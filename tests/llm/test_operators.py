@@ -110,6 +110,45 @@ def test_jaccard_odd(odd, empty):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "2", "3", "4", "5", "6", "7", "8", "9", "None"])
 
 
+def brute_survivors(rows):
+    """Of each component the smallest doc_id that stays and whether a row without one stays; and rows without words."""
+    sets, above = [shingle_set(t) for _, t in rows], list(range(len(rows)))
+
+    def top(x):
+        while above[x] != x:
+            x = above[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if a and sets[j] and 100 * both >= 80 * (len(a) + len(sets[j]) - both):
+                above[top(i)] = top(j)
+    groups = {}
+    for i, (d, _) in enumerate(rows):
+        if sets[i]:
+            groups.setdefault(top(i), []).append(d)
+    bare = sorted(str(d) for i, (d, _) in enumerate(rows) if not sets[i])
+    want = [str(min(x for x in g if x is not None)) for g in groups.values() if any(x is not None for x in g)]
+    return sorted(want + ["None" for g in groups.values() if None in g] + bare), [{i for i in range(len(rows)) if sets[i] and top(i) == r} for r in groups]
+
+
+def test_one_row_of_each_group_stays(spark):
+    rng = random.Random(9)
+    make = lambda: [rng.choice("abcdefgh") + str(rng.randint(0, 999)) for _ in range(60)]
+    near = lambda words: " ".join([*words[:-1], f"x{rng.randint(0, 9999)}"])
+    a, b, c, d = make(), make(), make(), make()
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (1, near(b)), (7, near(a)), (None, near(c)), (None, near(c)), (None, near(c))]
+    rows += [(9, " ".join(d)), (9, near(d)), (9, " ".join(d)), (9, " ".join(make())), (9, ""), (9, ""), (3, None), (None, " ")]
+    docs = spark.createDataFrame([(i, t, n % 2) for n, (i, t) in enumerate(rows)], "doc_id long, text string, size int").repartition(3)
+    got = jaccard.keep_one(docs).collect()
+    want, groups = brute_survivors(rows)
+    assert sorted(str(r["doc_id"]) for r in got) == want
+    left = {(r["doc_id"], r["text"]) for r in got}
+    assert all(left & {rows[i] for i in g} for g in groups)
+    assert sorted(map(str, got)) == sorted(map(str, jaccard.keep_one(docs.repartition(2)).collect()))
+
+
 def test_bpe_against_library():
     tokenizers = pytest.importorskip("tokenizers")
     library, ours = tokenizers.Tokenizer.from_file(bpe.default_path()), bpe.loaded(bpe.packed())
