@@ -11,6 +11,8 @@ MOJIBAKE_TO = "\"\"'---"
 # Order numbers that only name a medium.
 MEDIUM_ONLY = ("CD.", "CD", "MC.", "MC")
 SHORTEST_ORDER_NUMBER = 5
+# Fixed value: names among the genres that aren't genres.
+UNWANTED_GENRES = ("Award-Verdächtig!",)
 # Two letters for an umlaut, in the order in which they are replaced.
 DIGRAPHS = (("Ae", "Ä"), ("Oe", "Ö"), ("Ue", "Ü"), ("ae", "ä"), ("oe", "ö"), ("ue", "ü"))
 # Windows-1252 for the bytes 80 to 9F that it defines, in order; five are undefined.
@@ -42,7 +44,7 @@ def clean_order_number(x: Column) -> Column:
     return F.when(~F.upper(cleaned).isin(*MEDIUM_ONLY) & (F.length(cleaned) >= SHORTEST_ORDER_NUMBER), cleaned)
 
 
-def clean_genres(x: Column, unwanted: tuple[str, ...] = ()) -> Column:
+def clean_genres(x: Column, unwanted: tuple[str, ...] = UNWANTED_GENRES) -> Column:
     """Cleaned names in the order of their first place, without nulls and unwanted ones."""
     cleaned = F.filter(F.transform(x, clean_text), lambda g: g.isNotNull() & (~g.isin(*unwanted) if unwanted else F.lit(True)))
     return F.array_distinct(cleaned)

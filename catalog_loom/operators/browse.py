@@ -69,10 +69,9 @@ def series_episodes(catalog: DataFrame, series_id: int, category: str | None = N
 
 def facet_totals(counts: DataFrame, series_id: int) -> DataFrame:
     """Totals by line, by category and in all, as grouping sets of one aggregate."""
-    counts.where(F.col("series_id") == series_id).createOrReplaceTempView("facet_cells")
-    return counts.sparkSession.sql("""
-        SELECT production_line_key, category_key, sum(episode_count) AS episode_count FROM facet_cells
-        GROUP BY GROUPING SETS ((production_line_key), (category_key), ())""")
+    sets = [["production_line_key"], ["category_key"], []]
+    mine = counts.where(F.col("series_id") == series_id).groupingSets(sets, "production_line_key", "category_key")
+    return mine.agg(F.sum("episode_count").alias("episode_count"))
 
 
 def default_facets(counts: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog_loom.functions.text import comparison_key, umlauts
@@ -60,11 +60,12 @@ def apply_spellings(rows: DataFrame, name: str, spelling_map: DataFrame) -> Data
 
 def canonical_credits(records: DataFrame, key: str, order: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
     """records with the roles and speakers of their credits (array of structs) in one spelling each."""
-    exploded = records.select(key, *order, F.posexplode("speakers").alias("pos", "credit")).select(key, *order, "pos", "credit.role", "credit.speaker")
-    place = [*order, "pos"]
+    nth = "credit_place"
+    exploded = records.select(key, *order, F.posexplode("speakers").alias(nth, "credit")).select(key, *order, nth, "credit.role", "credit.speaker")
+    place = [*order, nth]
     done = apply_spellings(exploded, "speaker", speaker_spellings(exploded, "speaker", place, keep))
     done = apply_spellings(done, "role", role_spellings(exploded, "role", place))
-    again = done.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "role", "speaker"))).alias("credits"))
+    again = done.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(nth, "role", "speaker"))).alias("credits"))
     again = again.withColumn("credits", F.transform("credits", lambda c: F.struct(c["role"].alias("role"), c["speaker"].alias("speaker"))))
     empty = F.array().cast("array<struct<role:string,speaker:string>>")
     return records.join(again, key, "left").withColumn("speakers", F.coalesce("credits", empty)).select(records.columns)
@@ -76,5 +77,4 @@ def distinct_links(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def first_in_page(rows: DataFrame, page: str, title: str, pos: str) -> DataFrame:
     """List rows whose title has not been on the page before."""
-    order = Window.partitionBy(page, title).orderBy(pos)
-    return rows.withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
+    return keep_first(rows, [page, title], [pos])

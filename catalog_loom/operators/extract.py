@@ -1,21 +1,24 @@
 """Records from list and detail pages.
 
-Only reading the markup is Python (one small tree for each page, inside mapInPandas); matching, cleaning and keys are
-DataFrame expressions.
+Only reading the markup is Python (one flat list of elements for each page, inside mapInArrow); matching, cleaning and keys
+are DataFrame expressions. A page that can't be read gives a parse_error and stops no other page; so does an address that
+can't be resolved, which is null then.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalog_loom.functions.text import episode_code, page_code, page_file_name, series_code, series_name
-from catalog_loom.operators.dedup import first_in_page
+from catalog_loom.functions.text import clean_credits, clean_genres, clean_order_number, clean_text, episode_code, page_code, page_file_name, series_code, series_name
+from catalog_loom.functions.unicode import source_key
+from catalog_loom.operators.dedup import canonical_credits, first_in_page, keep_first
+from catalog_loom.sources.files import written
 
 # How the pages mark what is read from them.
 SERIES_LINK, DETAIL_LINK, LABEL_LINK, COVER_PART = "hsp_serie.asp?serie=", "hsp_anzeige.asp?code=", "hsp_serienanzeige.asp?verlag=", "bilder/bilder/"
@@ -26,153 +29,212 @@ CREDIT_HEADERS = ("Rolle", "Sprecher/in")
 NO_PREVIOUS = "keine folge davor"
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
-LIST_ROWS = "page string, pos int, series_name string, number_text string, title string, href string"
-DETAIL = ("page string, parse_error string, title string, series_name string, number_text string, label string, description string, text string, cover_src string, "
-          "speakers array<struct<role:string,speaker:string>>, genres array<string>, links array<string>, path_text string")
+HIDDEN = ("script", "style")
 
+CREDITS = pa.list_(pa.struct([("role", pa.string()), ("speaker", pa.string())]))
+LIST_ROWS = pa.schema([("page", pa.string()), ("pos", pa.int32()), ("parse_error", pa.string()), ("series_name", pa.string()), ("number_text", pa.string()), ("title", pa.string()), ("url", pa.string())])
+LIST_DDL = "page string, pos int, parse_error string, series_name string, number_text string, title string, url string"
+DETAIL = pa.schema([
+    ("page", pa.string()), ("parse_error", pa.string()), ("title", pa.string()), ("series_name", pa.string()), ("number_text", pa.string()), ("label", pa.string()), ("description", pa.string()),
+    ("text", pa.string()), ("cover_url", pa.string()), ("speakers", CREDITS), ("genres", pa.list_(pa.string())), ("links", pa.list_(pa.string())), ("path_text", pa.string()),
+])
+DETAIL_DDL = (
+    "page string, parse_error string, title string, series_name string, number_text string, label string, description string, text string, cover_url string, "
+    "speakers array<struct<role:string,speaker:string>>, genres array<string>, links array<string>, path_text string"
+)
 
-class Node:
-    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
-        self.tag, self.attrs, self.parent, self.parts = tag, attrs, parent, []
 
-    def walk(self) -> Iterator[Node]:
-        for p in self.parts:
-            if isinstance(p, Node):
-                yield p
-                yield from p.walk()
+class Element:
+    """An element of a page: what lies in it are the elements from own place + 1 to last, and the strings from start to end."""
 
-    def all(self, tag: str, **having: str) -> list[Node]:
-        """Nodes below with the tag and, for each attribute, the given text in it."""
-        return [n for n in self.walk() if n.tag == tag and all(v in n.attrs.get(k, "") for k, v in having.items())]
+    __slots__ = ("tag", "attrs", "place", "last", "start", "end")
 
-    def first(self, tag: str, **having: str) -> Node | None:
-        return next(iter(self.all(tag, **having)), None)
+    def __init__(self, tag: str, attrs: dict[str, str], place: int, start: int):
+        self.tag, self.attrs, self.place, self.start = tag, attrs, place, start
+        self.last, self.end = place + 1, start
 
-    def strings(self) -> Iterator[str]:
-        for p in self.parts:
-            if isinstance(p, Node):
-                yield from p.strings() if p.tag not in ("script", "style") else ()
-            elif s := p.strip():
-                yield s
 
-    def text(self, between: str = "") -> str:
-        return between.join(self.strings())
-
-
-class Tree(HTMLParser):
-    """A tree of a page; cells, rows and list items that aren't closed end where the next one of their table begins."""
+class Page(HTMLParser):
+    """The elements of a page in document order. Cells and rows that aren't closed end where the next one of their table
+    begins."""
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("", {}, None)
+        self.root = Element("", {}, -1, 0)
+        self.elements: list[Element] = []
+        self.strings: list[str] = []
+        self.open = [self.root]
         self.feed(html)
         self.close()
+        self._leave(0)
+
+    def _leave(self, depth: int) -> None:
+        """Close the open elements from depth on."""
+        for element in self.open[depth:]:
+            element.last, element.end = len(self.elements), len(self.strings)
+        del self.open[depth:]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in ("td", "tr"):
-            node = self.at
-            while node.parent and node.tag != "table":
-                if node.tag == tag or (tag == "tr" and node.tag == "td"):
-                    self.at = node.parent
-                node = node.parent
-        new = Node(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.parts.append(new)
+            depth, leave = len(self.open) - 1, 0
+            while depth > 0 and self.open[depth].tag != "table":
+                if self.open[depth].tag == tag or (tag == "tr" and self.open[depth].tag == "td"):
+                    leave = depth
+                depth -= 1
+            if leave:
+                self._leave(leave)
+        new = Element(tag, {k: v or "" for k, v in attrs}, len(self.elements), len(self.strings))
+        self.elements.append(new)
         if tag not in VOID:
-            self.at = new
+            self.open.append(new)
 
     def handle_endtag(self, tag: str) -> None:
-        node = self.at
-        while node.parent and node.tag != tag:
-            node = node.parent
-        if node.parent:
-            self.at = node.parent
+        for depth in range(len(self.open) - 1, 0, -1):
+            if self.open[depth].tag == tag:
+                self._leave(depth)
+                return
 
     def handle_data(self, data: str) -> None:
-        self.at.parts.append(data)
+        if self.open[-1].tag not in HIDDEN and (text := data.strip()):
+            self.strings.append(text)
+
+    def inside(self, where: Element, tag: str, **having: str) -> Iterator[Element]:
+        """Elements below where with the tag and, for each attribute, the given text in it."""
+        for e in self.elements[where.place + 1 : where.last]:
+            if e.tag == tag and all(v in e.attrs.get(k, "") for k, v in having.items()):
+                yield e
+
+    def first(self, where: Element, tag: str, **having: str) -> Element | None:
+        return next(self.inside(where, tag, **having), None)
 
+    def text(self, where: Element | None, between: str = "") -> str | None:
+        return None if where is None else between.join(self.strings[where.start : where.end])
 
-def list_rows(html: str) -> list[tuple[str, str, str, str | None]]:
+    def words(self, where: Element) -> str:
+        return " ".join(self.text(where, " ").split())
+
+
+def list_rows(page: Page) -> Iterator[tuple[str, str, str, str | None]]:
     """Series, number text, title and address of each row of a list page."""
-    out = []
-    for row in Tree(html).root.all("tr"):
-        cells = row.all("td")
-        series = cells[0].first("a", href=SERIES_LINK) if len(cells) >= 3 else None
+    for row in page.inside(page.root, "tr"):
+        cells = list(page.inside(row, "td"))
+        series = page.first(cells[0], "a", href=SERIES_LINK) if len(cells) >= 3 else None
         if series is None:
             continue
-        link = cells[2].first("a", href=DETAIL_LINK)
-        title = (link or cells[2]).text()
+        link = page.first(cells[2], "a", href=DETAIL_LINK)
+        title = page.text(link or cells[2])
         if title and title not in HEADERS:
-            out.append((series.text(), cells[1].text().strip(), title, link.attrs["href"] if link else None))
-    return out
+            yield page.text(series), page.text(cells[1]).strip(), title, link.attrs["href"] if link else None
+
+
+def description(page: Page, cell: Element) -> str | None:
+    """The first text that follows the heading of the description."""
+    for heading in page.inside(cell, "span"):
+        if "t4_bold" in heading.attrs.get("class", "").split() and "Beschreibung:" in page.words(heading):
+            for body in page.elements[heading.place + 1 :]:
+                if body.tag == "span" and "t5" in body.attrs.get("class", "").split():
+                    return page.words(body) or None
+            return None
+    return None
+
 
+def credits(page: Page, cell: Element) -> Iterator[dict[str, str]]:
+    for row in page.inside(cell, "tr"):
+        cells = list(page.inside(row, "td"))
+        if len(cells) == 4:
+            role, speaker = page.text(cells[1], " "), page.text(cells[3], " ")
+            if role and speaker and role != CREDIT_HEADERS[0] and speaker != CREDIT_HEADERS[1]:
+                yield {"role": role, "speaker": speaker}
 
-def detail(html: str) -> dict:
-    root = Tree(html).root
-    cells: dict[str, Node] = {}
-    table = root.first("table", background=DETAIL_BACKGROUND)
-    for td in table.all("td") if table else ():
+
+def detail(page: Page) -> dict:
+    cells: dict[str, Element] = {}
+    table = page.first(page.root, "table", background=DETAIL_BACKGROUND)
+    for td in page.inside(table, "td") if table else ():
         if name := CELLS.get(tuple(td.attrs.get(k) for k in ("width", "align", "valign"))):
             cells[name] = td
-    out: dict = {"title": None, "series_name": None, "number_text": None, "label": None, "description": None, "text": None, "speakers": [], "links": [], "path_text": None}
+    out: dict = {}
     if path := cells.get("path"):
-        links = path.all("a", href=DETAIL_LINK)
-        series, label = path.first("a", href=SERIES_LINK), path.first("a", href=LABEL_LINK)
-        out |= {"series_name": series and series.text(), "label": label and label.text(), "links": [a.attrs["href"] for a in links], "path_text": " ".join(path.text(" ").split()).lower()}
+        links = list(page.inside(path, "a", href=DETAIL_LINK))
+        out |= {"series_name": page.text(page.first(path, "a", href=SERIES_LINK)), "label": page.text(page.first(path, "a", href=LABEL_LINK))}
+        out |= {"links": [a.attrs["href"] for a in links], "path_text": page.words(path).lower()}
         if len(links) >= 2:
-            out |= {"number_text": links[0].text(), "title": links[1].text()}
+            out |= {"number_text": page.text(links[0]), "title": page.text(links[1])}
     if text := cells.get("text"):
-        out["text"] = text.text(" ")
-        in_order = list(root.walk())
-        heading = next((n for n in text.all("span") if "t4_bold" in n.attrs.get("class", "").split() and "Beschreibung:" in " ".join(n.text(" ").split())), None)
-        if heading:
-            later = in_order[in_order.index(heading) + 1 :]
-            body = next((n for n in later if n.tag == "span" and "t5" in n.attrs.get("class", "").split()), None)
-            out["description"] = (" ".join(body.text(" ").split()) or None) if body else None
-    if credits := cells.get("credits"):
-        for row in credits.all("tr"):
-            tds = row.all("td")
-            if len(tds) == 4:
-                role, speaker = tds[1].text(" "), tds[3].text(" ")
-                if role and speaker and role != CREDIT_HEADERS[0] and speaker != CREDIT_HEADERS[1]:
-                    out["speakers"].append({"role": role, "speaker": speaker})
-    cover = root.first("img", src=COVER_PART)
-    named = (" ".join(td.text(" ").split()) for td in root.all("td"))
-    return out | {"cover_src": cover and cover.attrs["src"], "genres": [g for n in named if n.startswith("- ") and (g := n[2:].strip())]}
+        out |= {"text": page.text(text, " "), "description": description(page, text)}
+    if credit := cells.get("credits"):
+        out["speakers"] = list(credits(page, credit))
+    cover = page.first(page.root, "img", src=COVER_PART)
+    named = (page.words(td) for td in page.inside(page.root, "td"))
+    return out | {"cover_url": cover and cover.attrs["src"], "genres": [g for n in named if n.startswith("- ") and (g := n[2:].strip())]}
+
+
+def address(base_url: str, href: str | None) -> tuple[str | None, str | None]:
+    """The absolute address, or null and why there is none."""
+    try:
+        return (None, None) if href is None else (urljoin(base_url, href), None)
+    except ValueError as e:
+        return None, f"address {href}: {e}"
+
+
+def taken(html: str | None, read: Callable[[Page], object]) -> tuple[object, str | None]:
+    """What read makes of a page, or nothing and the error."""
+    try:
+        return read(Page(html or "")), None
+    except (ValueError, AssertionError) as e:
+        return None, f"{type(e).__name__}: {e}"
 
 
 def number(text: str):
     return F.when(F.col(text).rlike("^[0-9]+$"), F.col(text).try_cast("bigint"))
 
 
+def _listed(pages: DataFrame, base_url: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for page, html in zip(batch["page"].to_pylist(), batch["html"].to_pylist(), strict=True):
+                found, error = taken(html, lambda p: list(list_rows(p)))
+                if error:
+                    rows.append((page, -1, error, None, None, None, None))
+                for pos, (*names, href) in enumerate(found or ()):
+                    url, error = address(base_url, href)
+                    rows.append((page, pos, error, *names, url))
+            columns = list(zip(*rows, strict=True)) or [()] * len(LIST_ROWS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, LIST_ROWS, strict=True)], schema=LIST_ROWS)
+
+    return pages.select("page", "html").mapInArrow(run, LIST_DDL)
+
+
 def parse_list_pages(pages: DataFrame, base_url: str) -> DataFrame:
-    """pages(page, html) to one row for each new title of a page: page, pos, series_name, episode_number, title, url."""
+    """pages(page, html) to one row for each new title of a page: page, pos, series_name, episode_number, title, url,
+    has_detail_page, parse_error (why a link has no address)."""
+    rows = first_in_page(_listed(pages, base_url).where("title is not null"), "page", "title", "pos")
+    return rows.select(
+        "page", "pos", series_name(F.col("series_name")).alias("series_name"), number("number_text").alias("episode_number"), "title", "url",
+        F.col("url").isNotNull().alias("has_detail_page"), "parse_error",
+    )
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(page, pos, *row[:3], None if row[3] is None else urljoin(base_url, row[3])) for page, html in zip(frame["page"], frame["html"], strict=True) for pos, row in enumerate(list_rows(html or ""))]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in LIST_ROWS.split(", ")])
 
-    rows = first_in_page(pages.select("page", "html").mapInPandas(run, LIST_ROWS), "page", "title", "pos")
-    return rows.select("page", "pos", series_name(F.col("series_name")).alias("series_name"), number("number_text").alias("episode_number"), "title", F.col("href").alias("url"), F.col("href").isNotNull().alias("has_detail_page"))
+def unread_list_pages(pages: DataFrame, base_url: str) -> DataFrame:
+    """page, parse_error of the list pages that can't be read."""
+    return _listed(pages, base_url).where("pos < 0").select("page", "parse_error")
 
 
 def parse_detail_pages(pages: DataFrame, base_url: str) -> DataFrame:
     """pages(page, html) to nested records with a parse_error; the page's texts are taken apart by expressions."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in DETAIL.split(", ")]
-        for frame in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows = []
-            for page, html in zip(frame["page"], frame["html"], strict=True):
-                try:
-                    found, error = detail(html or ""), None
-                except (ValueError, AssertionError, RecursionError) as e:
-                    found, error = {"speakers": [], "genres": [], "links": []}, str(e)
-                found["links"] = [urljoin(base_url, x) for x in found["links"]]
-                if found.get("cover_src"):
-                    found["cover_src"] = urljoin(base_url, found["cover_src"])
-                rows.append({"page": page, "parse_error": error} | found)
-            yield pd.DataFrame(rows, columns=names)
+            for page, html in zip(batch["page"].to_pylist(), batch["html"].to_pylist(), strict=True):
+                found, error = taken(html, detail)
+                row = {"speakers": [], "genres": [], "links": []} | (found or {})
+                addresses = [address(base_url, x) for x in row["links"]]
+                cover, cover_error = address(base_url, row.get("cover_url"))
+                error = error or next(filter(None, [*(e for _, e in addresses), cover_error]), None)
+                rows.append(row | {"page": page, "links": [url for url, _ in addresses], "cover_url": cover, "parse_error": error})
+            yield pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in DETAIL], schema=DETAIL)
 
     text = F.col("text")
     found = lambda pattern: F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
@@ -180,11 +242,12 @@ def parse_detail_pages(pages: DataFrame, base_url: str) -> DataFrame:
     duration = F.replace(minutes, F.lit(","), F.lit(".")).try_cast("double")
     error = F.coalesce("parse_error", F.when(minutes.isNotNull() & duration.isNull(), F.concat(F.lit("bad duration "), minutes)))
     many = F.size("links") >= 3
-    return pages.select("page", "html").mapInPandas(run, DETAIL).select(
+    return pages.select("page", "html").mapInArrow(run, DETAIL_DDL).select(
         "page", error.alias("parse_error"), "title", "series_name", number("number_text").alias("episode_number"), "description", duration.alias("duration_minutes"),
-        found(r"(\d{2}\.\d{2}\.\d{4})").alias("release_date"), "label", F.col("cover_src").alias("cover_url"), "speakers", found(r"Bestellnummer:\s*(?:CD:\s*)?([^\s]+)").alias("order_number"), "genres",
+        found(r"(\d{2}\.\d{2}\.\d{4})").alias("release_date"), "label", "cover_url", "speakers", found(r"Bestellnummer:\s*(?:CD:\s*)?([^\s]+)").alias("order_number"), "genres",
         F.when(many & ~F.contains("path_text", F.lit(NO_PREVIOUS)), F.get("links", F.lit(2))).alias("previous_episode_url"), F.when(many, F.get("links", F.size("links") - 1)).alias("next_episode_url"),
-        F.get("links", F.lit(0)).alias("source_url"))
+        F.get("links", F.lit(0)).alias("source_url"),
+    )
 
 
 def detail_targets(rows: DataFrame) -> DataFrame:
@@ -197,14 +260,33 @@ def match_details(rows: DataFrame, details: DataFrame) -> DataFrame:
     """List rows with their detail record by file name, and the outcome. What is joined are records, not pages."""
     usable = details.withColumn("ok", F.col("parse_error").isNull() & F.col("title").isNotNull() & F.col("series_name").isNotNull())
     columns = ["description", "duration_minutes", "release_date", "label", "cover_url", "speakers", "order_number", "genres", "previous_episode_url", "next_episode_url", "source_url"]
-    d = usable.select(F.col("page").alias("file_name"), "ok", "parse_error", *[F.col(c).alias(f"d_{c}") for c in ["title", "series_name", "episode_number", *columns]])
+    d = usable.select(F.col("page").alias("file_name"), "ok", F.col("parse_error").alias("d_parse_error"), *[F.col(c).alias(f"d_{c}") for c in ["title", "series_name", "episode_number", *columns]])
     joined = rows.withColumn("file_name", page_file_name(F.col("url"))).join(d, "file_name", "left")
     outcome = F.when(F.col("url").isNull(), "stub_without_link").when(F.col("ok").isNull(), "stub_missing_html").when(~F.col("ok"), "stub_parse_error").otherwise("with_detail")
     good = outcome == "with_detail"
     own = [F.when(good, F.col(f"d_{c}")).otherwise(F.col(c)).alias(c) for c in ("title", "series_name", "episode_number")]
     kinds = {"speakers": F.array().cast("array<struct<role:string,speaker:string>>"), "genres": F.array().cast("array<string>")}
-    rest = [F.when(good, F.col(f"d_{c}")).otherwise(kinds.get(c, F.col("url") if c == "source_url" else F.lit(None))).alias(c) for c in columns]
-    return joined.select("page", "pos", outcome.alias("outcome"), "parse_error", *own, *rest)
+    rest = [F.col("url").alias(c) if c == "source_url" else F.when(good, F.col(f"d_{c}")).otherwise(kinds.get(c, F.lit(None))).alias(c) for c in columns]
+    return joined.select("page", "pos", outcome.alias("outcome"), F.coalesce("d_parse_error", "parse_error").alias("parse_error"), *own, *rest)
+
+
+def cleaned(records: DataFrame) -> DataFrame:
+    """Records with cleaned texts, credits and genres; numbers stay as they are."""
+    texts = ("title", "series_name", "description", "release_date", "label", "cover_url", "previous_episode_url", "next_episode_url", "source_url")
+    special: dict[str, Callable[[Column], Column]] = {"order_number": clean_order_number, "speakers": clean_credits, "genres": clean_genres}
+    kinds = special | dict.fromkeys(texts, clean_text)
+    return records.select(*[kinds[c](F.col(c)).alias(c) if c in kinds else F.col(c) for c in records.columns])
+
+
+def build_records(list_pages: DataFrame, detail_pages: DataFrame, base_url: str) -> tuple[DataFrame, DataFrame]:
+    """From pages(page, html) to the records to be published and, before duplicates go, every list row with its outcome.
+    Details are parsed before they are matched, so that records are moved and not pages; of records with one key the first
+    in the order of pages and rows stays; spellings of speakers and roles are unified over all that stay."""
+    matched = written(match_details(parse_list_pages(list_pages, base_url), cleaned(parse_detail_pages(detail_pages, base_url))), "matched")
+    keyed = matched.withColumn("source_key", source_key(F.col("source_url"), F.col("series_name"), F.col("episode_number"), F.col("title")))
+    kept = written(keep_first(keyed, ["source_key"], ["page", "pos"]), "kept")
+    records = canonical_credits(kept, "source_key", ["page", "pos"])
+    return records, matched
 
 
 def outcome_stats(matched: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog_loom.functions.text import release_date
+from catalog_loom.operators.order import numbered
 
 
 def series_dimension(records: DataFrame, order: list[str], prefer_known: bool = True) -> DataFrame:
@@ -19,18 +20,13 @@ def names_of(values: DataFrame, column: str) -> DataFrame:
 
 
 def with_ids(names: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """Ids from 1 in the order of names; names of known(id, name) keep theirs and new ones follow the largest. The order
-    is found within buckets of names (by their first letters) and from the sizes of the buckets before."""
+    """Ids from 1 in the order of names; names of known(id, name) keep theirs and new ones follow the largest."""
     last = 0
-    new = names
+    new = names.select("name")
     if known is not None:
         last = known.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        new = names.join(known, "name", "left_anti")
-    sized = new.withColumn("bucket", F.substring("name", 1, 2))
-    sizes = sized.groupBy("bucket").agg(F.count("*").alias("size"))
-    before = F.coalesce(F.sum("size").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    nth = F.row_number().over(Window.partitionBy("bucket").orderBy("name"))
-    found = sized.join(sizes.select("bucket", before.alias("before")), "bucket").select((F.lit(last) + F.col("before") + nth).cast("bigint").alias("id"), "name")
+        new = new.join(known, "name", "left_anti")
+    found = numbered(new, "name", name="id", start=last + 1).select("id", "name")
     return found if known is None else known.select("id", "name").unionByName(found)
 
 
@@ -75,7 +71,11 @@ def assert_empty(tables: dict[str, DataFrame]) -> None:
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """incoming, and what existing has besides its keys."""
+    """incoming, and what existing has besides its keys. Of incoming rows that repeat a key one stays, the greatest."""
+    rest = [c for c in incoming.columns if c not in keys]
+    if not rest:
+        return incoming.unionByName(existing.select(incoming.columns)).distinct()
+    incoming = incoming.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("row")).select(*keys, "row.*").select(incoming.columns)
     return incoming.unionByName(existing.join(incoming.select(*keys), keys, "left_anti").select(incoming.columns))
 
 

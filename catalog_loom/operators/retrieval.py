@@ -63,9 +63,12 @@ def nearest(vectors: DataFrame, query: list[float], k: int = 10, allowed: DataFr
     return rows.select("id", cosine(F.col("embedding"), wanted).alias("similarity")).orderBy(F.desc_nulls_last("similarity"), "id").limit(k)
 
 
+SIDE_BY_SIDE = 128
+
+
 def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 2048) -> DataFrame:
     """query_id, id, similarity: the k nearest of each of many queries(query_id, embedding). Queries are dealt to blocks;
-    each block is scored against each part of the vectors as one matrix product, which keeps k rows a query."""
+    each block is scored against each part of the vectors, SIDE_BY_SIDE queries at a time, and keeps k rows a query."""
     n_blocks = max(1, -(-queries.count() // block))
     parts = max(1, -(-vectors.count() // (8 * block)))
     asked = queries.where("embedding is not null").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
@@ -76,13 +79,21 @@ def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int = 10, block:
         return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "similarity": []})
-        s = unit(left["embedding"]) @ unit(right["embedding"]).T
+        found = []
+        right = right.sort_values("id", kind="stable")
         ids = right["id"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        top = order[np.argsort(-np.round(s[:, order], 12), axis=1, kind="stable")[:, :k]]
-        return pd.DataFrame({"query_id": np.repeat(left["query_id"].to_numpy(), top.shape[1]), "id": ids[top].ravel(), "similarity": np.take_along_axis(s, top, 1).ravel()})
+        points = unit(right["embedding"]) if len(right) else None
+        for at in range(0, len(left) if len(right) else 0, SIDE_BY_SIDE):
+            some = left.iloc[at : at + SIDE_BY_SIDE]
+            s = np.round(unit(some["embedding"]) @ points.T, 12)
+            kth = np.partition(s, -k, axis=1)[:, -k, None] if s.shape[1] > k else np.full((len(s), 1), -np.inf)
+            row, col = np.nonzero(s >= kth)
+            order = np.lexsort((col, -s[row, col], row))
+            row, col = row[order], col[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            row, col = row[place < k], col[place < k]
+            found.append(pd.DataFrame({"query_id": some["query_id"].to_numpy()[row], "id": ids[col], "similarity": s[row, col]}))
+        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "id": [], "similarity": []})
 
     keys = ["block", "part"]
     found = asked.groupBy(keys).cogroup(rows.groupBy(keys)).applyInPandas(run, "query_id long, id long, similarity double")
@@ -91,14 +102,14 @@ def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int = 10, block:
 
 
 def hit_context(hits: DataFrame) -> DataFrame:
-    """id, place, text of each hit: a line with title, series, number and year, then the description."""
+    """query_id, episode_id, place, text of each hit: a line with title, series, number and year, then the description."""
     year = F.when(F.col("release_year").isNotNull(), F.concat(F.lit("("), F.col("release_year").cast("string"), F.lit(")")))
     number = F.when(F.col("episode_number").isNotNull(), F.concat(F.lit("Folge "), F.col("episode_number").cast("string")))
     head = F.concat_ws(" | ", F.concat(F.lit("**"), "episode_title", F.lit("**")), labelled_text("Serie: ", F.col("series_name")), number, year)
-    return hits.select("episode_id", "place", F.concat_ws("\n", head, "description").alias("text"))
+    return hits.select("query_id", "episode_id", "place", F.concat_ws("\n", head, "description").alias("text"))
 
 
-def context(texts: DataFrame) -> DataFrame:
-    """All hits of a query as one text, divided by blank lines. A query has k hits at most."""
-    rows = F.array_sort(F.collect_list(F.struct("place", "text")))
-    return texts.agg(F.array_join(F.transform(rows, lambda r: r["text"]), "\n\n").alias("context"))
+def context(texts: DataFrame, query: str = "query_id") -> DataFrame:
+    """query, context: all hits of each query as one text, divided by blank lines. A query has k hits at most."""
+    rows = F.array_sort(F.collect_list(F.struct("place", "episode_id", "text")))
+    return texts.groupBy(query).agg(F.array_join(F.transform(rows, lambda r: r["text"]), "\n\n").alias("context"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalog_loom.functions.text import text_key
+from catalog_loom.operators.order import numbered
 
 # What marks a lower-case title.
 MARKERS = {
@@ -208,10 +209,9 @@ def unresolved(found: DataFrame, classified: DataFrame) -> DataFrame:
         F.lit(0).alias("confidence_score"), F.lit("low").alias("confidence_class"), F.array(F.lit("no_deterministic_target")).alias("match_reasons"), "edition_markers", "range_start", "range_end").select(CANDIDATE)
 
 
-def candidates(classified: DataFrame, refs: DataFrame) -> DataFrame:
-    links = best_links(range_links(classified, refs), format_links(classified, refs), story_links(classified, refs), component_links(classified, refs))
-    found = resolved(links, classified, refs)
-    return found.unionByName(unresolved(links, classified))
+def candidates(links: DataFrame, classified: DataFrame, refs: DataFrame) -> DataFrame:
+    """Resolved and open candidates; links are those of best_links."""
+    return resolved(links, classified, refs).unionByName(unresolved(links, classified))
 
 
 def catalog(facts: DataFrame, classified: DataFrame) -> DataFrame:
@@ -238,7 +238,7 @@ def review_export(found: DataFrame, classified: DataFrame, series: str) -> DataF
     rank = first_of((F.col("confidence_class") == "high", 1), (F.col("confidence_class") == "medium", 2), otherwise=3)
     order = [rank, F.col("variant_category"), F.col("source_key"), F.col("target_episode_number").asc_nulls_last(), F.col("candidate_id")]
     rows = found.join(mine, "source_episode_id", "left_semi").withColumn("match_reasons", F.to_json("match_reasons"))
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(series)).orderBy(*order))).withColumn("review_decision", F.lit("")).withColumn("review_note", F.lit(""))
+    return numbered(rows, *order).withColumn("review_decision", F.lit("")).withColumn("review_note", F.lit(""))
 
 
 def review_stats(found: DataFrame) -> DataFrame:

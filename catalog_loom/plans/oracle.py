@@ -99,5 +99,15 @@ def full(sql: str) -> str:
     return ("WITH " + ", ".join(f"{n} AS ({ALL[n].strip()})" for n in order) + " " + sql) if order else sql
 
 
+def unified(credits: str, order: str) -> str:
+    """l_orderkey and its credits (role=speaker;...) in one spelling each, from rows like fx_credits_raw in the given order."""
+    return f"""
+WITH n AS (SELECT *, row_number() OVER (ORDER BY {order}) AS ord, lower({umlauts('speaker')}) AS sk, lower({umlauts('role')}) AS rk FROM ({credits})),
+us AS (SELECT speaker, sk, count(*) AS c, min(ord) AS o FROM n GROUP BY ALL), ur AS (SELECT role, rk, count(*) AS c, min(ord) AS o FROM n GROUP BY ALL),
+bs AS (SELECT sk, arg_min(speaker, (-c, o)) AS best FROM us WHERE speaker = {umlauts('speaker')} GROUP BY 1), br AS (SELECT rk, arg_min(role, (-c, o)) AS best FROM ur GROUP BY 1)
+SELECT l_orderkey, string_agg(br.best || '=' || CASE WHEN speaker = {umlauts('speaker')} THEN speaker ELSE coalesce(bs.best, speaker) END, ';' ORDER BY l_linenumber, l_partkey, l_suppkey) AS c
+FROM n JOIN br USING (rk) LEFT JOIN bs USING (sk) GROUP BY 1"""
+
+
 BUCKETS = f"{bucket(list(DURATION_LABELS))} AS duration_bucket, {bucket(list(range(1, len(DURATION_LABELS) + 1)))} AS bucket_order"
 MEDIUM = ", ".join(map(quoted, MEDIUM_ONLY))

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import tempfile
+import time
+import uuid
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from catalog_loom.functions.text import blank_to_null, decode_page, undecodable
 
+WRITERS = 64
 RECORD = (
     "title string, series_name string, episode_number bigint, description string, duration_minutes double, release_date string, label string, cover_url string, order_number string, "
     "previous_episode_url string, next_episode_url string, speakers array<struct<role:string,speaker:string>>, genres array<string>, source_url string, source_key string")
@@ -17,10 +23,37 @@ EXPORTED = ["candidate_id", "source_key", "source_title", "variant_category", "t
             "match_reasons", "edition_markers", "range_start", "range_end", "review_decision", "review_note"]
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the one named in spark.checkpoint.dir. A local one is taken only where that is unset and Spark
+    runs in one process, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root}/catalog-{uuid.uuid4().hex}"
+
+
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """rows, written as a table and read again, for frames that several later ones are made of."""
+    path = f"{shared_folder(rows.sparkSession)}/{name}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def read_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """page (file name), html of all pages of a folder, decoded, and whether a byte has no character."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.html").load(folder)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("page"), decode_page(F.col("content")).alias("html"), undecodable(F.col("content")).alias("undecodable"))
+    """page, html of all pages of a folder, decoded, and whether a byte has no character. A page is a file name.html, or a
+    file in a folder of that name; the order of pages is that of their names."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    files = files.withColumn("page", F.regexp_extract("path", r"([^/=]+\.html)(?:/[^/]*)?$", 1)).where("page <> ''")
+    return files.select("page", decode_page(F.col("content")).alias("html"), undecodable(F.col("content")).alias("undecodable"))
+
+
+def write_pages(pages: DataFrame, folder: str) -> None:
+    """pages(page, html), each in a folder of its name, written by WRITERS tasks."""
+    pages.select("page", F.col("html").alias("value")).repartition(WRITERS, "page").write.partitionBy("page").option("lineSep", "\n").text(folder)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -38,22 +71,34 @@ def read_seed(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """probe_key (file stem), pos and the fields of each result of an external catalog."""
-    rows = spark.read.schema(RESULTS).json(path, multiLine=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1).alias("probe_key"), F.posexplode("results").alias("pos", "r"))
+    """probe_key, pos and the fields of each result of an external catalog. A payload is a file probe_key.json, or a file in
+    a folder payload=probe_key."""
+    name = F.regexp_extract(F.input_file_name(), r"(?:payload=([^/]+)/[^/]*|([^/]+)\.json)$", 0)
+    stem = F.coalesce(F.nullif(F.regexp_extract(name, "payload=([^/]+)/", 1), F.lit("")), F.regexp_extract(name, r"([^/]+)\.json$", 1))
+    payloads = spark.read.schema(RESULTS).option("recursiveFileLookup", True).json(path, multiLine=True)
+    rows = payloads.select(stem.alias("probe_key"), F.posexplode("results").alias("pos", "r"))
     return rows.select("probe_key", "pos", F.col("r.collectionId").cast("string").alias("collection_id"), F.col("r.artistName").alias("artist_name"), F.col("r.collectionName").alias("collection_name"), F.col("r.releaseDate").alias("release_date"))
 
 
-def publish_if_valid(rows: DataFrame, checks, staging: str, final: str) -> DataFrame:
-    """Write to staging, run checks(frame) on what was written, and only then replace final. What final held stays if a
-    check fails."""
+def publish_if_valid(rows: DataFrame, checks: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
+    """Write a new version below folder, run checks(frame) on what was written, and only then name it as the published
+    one. Versions are never overwritten: what was published before stays until a row that names the new version has been
+    added, whatever fails before that."""
     spark = rows.sparkSession
-    rows.write.mode("overwrite").parquet(staging)
-    written = spark.read.schema(rows.schema).parquet(staging)
-    failed = [r["check_name"] for r in checks(written).where("violations > 0").collect()]  # one row for each check
+    version = f"{time.time_ns()}-{uuid.uuid4().hex}"
+    path = f"{folder}/versions/{version}"
+    rows.write.parquet(path)
+    failed = [r["check_name"] for r in checks(spark.read.schema(rows.schema).parquet(path)).where("violations > 0").collect()]  # one row for each check
     if failed:
         raise ValueError(f"not published: {', '.join(sorted(failed))}")
-    written.write.mode("overwrite").parquet(final)
-    return spark.read.schema(rows.schema).parquet(final)
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").parquet(f"{folder}/published")
+    return read_published(spark, folder, rows.schema)
+
+
+def read_published(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+    """The version that was named last."""
+    version = spark.read.schema("version string").parquet(f"{folder}/published").agg(F.max("version")).first()[0]
+    return spark.read.schema(schema).parquet(f"{folder}/versions/{version}")
 
 
 def write_by_series(records: DataFrame, folder: str) -> None:
@@ -66,9 +111,11 @@ def publish_mart(rows: DataFrame, folder: str, name: str) -> DataFrame:
 
 
 def export_review(rows: DataFrame, stats: DataFrame, folder: str, at: datetime) -> str:
-    """A new file for each time (an error if it exists) in a fixed order of columns, and the statistics as latest."""
+    """A new export for each time (an error if it exists) in a fixed order of columns, its files in the order of place, and
+    the statistics as latest."""
     path = f"{folder}/review_{at:%Y%m%dT%H%M%SZ}"
-    rows.orderBy("place").select(EXPORTED).coalesce(1).write.mode("errorifexists").option("header", True).option("nullValue", "").option("emptyValue", "").option("escape", '"').csv(path)
+    ordered = rows.repartitionByRange("place").sortWithinPartitions("place").select(EXPORTED)
+    ordered.write.mode("errorifexists").options(header=True, nullValue="", emptyValue="", escape='"').csv(path)
     stats.withColumn("path", F.lit(path)).coalesce(1).write.mode("overwrite").json(f"{folder}/latest")
     return path
 
