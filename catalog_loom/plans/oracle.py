@@ -80,6 +80,17 @@ OWN = {
     "api1": r"SELECT a.*, trim(regexp_replace(lower(collection_name), '[^a-z0-9]+', ' ', 'g')) AS title FROM fx_api a JOIN probes p ON p.probe_key = a.probe_key WHERE trim(regexp_replace(lower(artist_name), '[^a-z0-9]+', ' ', 'g')) = lower(p.series_name) OR contains(trim(regexp_replace(lower(collection_name), '[^a-z0-9]+', ' ', 'g')), lower(p.series_name))",
     "api2": "SELECT * FROM api1 WHERE collection_id <> '' QUALIFY row_number() OVER (PARTITION BY probe_key, collection_id ORDER BY pos DESC) = 1",
     "report": f"SELECT r.probe_key, r.returned, coalesce(c.candidates, 0) AS candidates, coalesce(c.numbered, 0) AS numbered, coalesce(c.distinct_numbers, 0) AS distinct_numbers, c.earliest_year, c.latest_year, coalesce(d.duplicate_titles, 0) AS duplicate_titles, r.returned >= 200 AS limit_reached FROM (SELECT probe_key, count(*) AS returned FROM fx_api GROUP BY 1) r LEFT JOIN (SELECT probe_key, count(*) AS candidates, count(x) AS numbered, count(DISTINCT x) AS distinct_numbers, CAST(min(y) AS INTEGER) AS earliest_year, CAST(max(y) AS INTEGER) AS latest_year FROM (SELECT probe_key, CAST(nullif(regexp_extract(collection_name, {quoted(EPISODE_NUMBER)}, 1), '') AS INTEGER) AS x, CAST(left(release_date, 4) AS INTEGER) AS y FROM api2) GROUP BY 1) c ON c.probe_key = r.probe_key LEFT JOIN (SELECT probe_key, count(*) AS duplicate_titles FROM (SELECT probe_key, title FROM api2 GROUP BY ALL HAVING count(*) > 1) GROUP BY 1) d ON d.probe_key = r.probe_key",
+    "listed": """SELECT e.id, 'page_' || lpad(CAST(s.id AS VARCHAR), 9, '0') AS page, trim(s.name) AS series_name, e.episode_number, trim(e.title) AS title,
+      CASE WHEN e.id % 10 <> 0 THEN 'https://x.test/hsp_anzeige.asp?code=' || e.id END AS url FROM fx_episodes e JOIN fx_series s ON s.id = e.series_id
+      WHERE trim(e.title) <> '' QUALIFY row_number() OVER (PARTITION BY s.id, trim(e.title) ORDER BY e.id) = 1""",
+    "keyed": r"""SELECT *, CASE WHEN url IS NOT NULL THEN 'cat:episode:' || id
+      ELSE 'cat:stub:' || sha256(lower(regexp_replace(series_name, '\s+', ' ', 'g')) || chr(31) || coalesce(CAST(episode_number AS VARCHAR), '') || chr(31) || lower(title)) END AS source_key FROM listed""",
+    "kept": "SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY source_key ORDER BY page, id) = 1",
+    # Credits of kept records in one spelling each.
+    "kcr": f"SELECT c.*, row_number() OVER (ORDER BY page, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS ord, lower({umlauts('speaker')}) AS sk, lower({umlauts('role')}) AS rk FROM fx_credits_raw c JOIN kept k ON k.id = l_orderkey AND k.url IS NOT NULL",
+    "ksp": f"SELECT sk, speaker AS best FROM (SELECT sk, speaker, count(*) AS n, min(ord) AS seen FROM kcr WHERE speaker = {umlauts('speaker')} GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY sk ORDER BY n DESC, seen) = 1",
+    "krp": "SELECT rk, role AS best FROM (SELECT rk, role, count(*) AS n, min(ord) AS seen FROM kcr GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY rk ORDER BY n DESC, seen) = 1",
+    "kcredits": f"SELECT l_orderkey, string_agg(krp.best || '=' || CASE WHEN speaker = {umlauts('speaker')} THEN speaker ELSE coalesce(ksp.best, speaker) END, ';' ORDER BY l_linenumber, l_partkey, l_suppkey) AS credits FROM kcr JOIN krp ON krp.rk = kcr.rk LEFT JOIN ksp ON ksp.sk = kcr.sk GROUP BY 1",
 }
 ALL = PROJECTIONS | OWN
 
@@ -99,15 +110,5 @@ def full(sql: str) -> str:
     return ("WITH " + ", ".join(f"{n} AS ({ALL[n].strip()})" for n in order) + " " + sql) if order else sql
 
 
-def unified(credits: str, order: str) -> str:
-    """l_orderkey and its credits (role=speaker;...) in one spelling each, from rows like fx_credits_raw in the given order."""
-    return f"""
-WITH n AS (SELECT *, row_number() OVER (ORDER BY {order}) AS ord, lower({umlauts('speaker')}) AS sk, lower({umlauts('role')}) AS rk FROM ({credits})),
-us AS (SELECT speaker, sk, count(*) AS c, min(ord) AS o FROM n GROUP BY ALL), ur AS (SELECT role, rk, count(*) AS c, min(ord) AS o FROM n GROUP BY ALL),
-bs AS (SELECT sk, arg_min(speaker, (-c, o)) AS best FROM us WHERE speaker = {umlauts('speaker')} GROUP BY 1), br AS (SELECT rk, arg_min(role, (-c, o)) AS best FROM ur GROUP BY 1)
-SELECT l_orderkey, string_agg(br.best || '=' || CASE WHEN speaker = {umlauts('speaker')} THEN speaker ELSE coalesce(bs.best, speaker) END, ';' ORDER BY l_linenumber, l_partkey, l_suppkey) AS c
-FROM n JOIN br USING (rk) LEFT JOIN bs USING (sk) GROUP BY 1"""
-
-
 BUCKETS = f"{bucket(list(DURATION_LABELS))} AS duration_bucket, {bucket(list(range(1, len(DURATION_LABELS) + 1)))} AS bucket_order"
 MEDIUM = ", ".join(map(quoted, MEDIUM_ONLY))

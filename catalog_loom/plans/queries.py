@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from catalog_loom.functions import text as tx
 from catalog_loom.functions import unicode as un
 from catalog_loom.operators import browse, coverage, dedup, extract, load, marts, profile, quality, retrieval, variants
-from catalog_loom.plans.oracle import BUCKETS, MEDIUM, full, umlauts, unified
+from catalog_loom.plans.oracle import BUCKETS, MEDIUM, full, umlauts
 from catalog_loom.sources import files
 from catalog_loom.sources.projections import base, projection
 
@@ -392,8 +392,7 @@ def _detail_pages(f: Frames) -> DataFrame:
     return e.select("id", name.alias("page"), html.alias("html"))
 
 
-LISTED_ID = "SELECT e.id, 'page_' || lpad(CAST(s.id AS VARCHAR), 9, '0') AS page, trim(s.name) AS series_name, e.episode_number, trim(e.title) AS title, CASE WHEN e.id % 10 <> 0 THEN 'https://x.test/hsp_anzeige.asp?code=' || e.id END AS url FROM fx_episodes e JOIN fx_series s ON s.id = e.series_id WHERE trim(e.title) <> '' QUALIFY row_number() OVER (PARTITION BY s.id, trim(e.title) ORDER BY e.id) = 1"
-LISTED = f"SELECT page, series_name, episode_number, title, url FROM ({LISTED_ID})"
+LISTED = "SELECT page, series_name, episode_number, title, url FROM listed"
 register("ext1_list_pages", LISTED, lambda f: extract.parse_list_pages(_list_pages(f), BASE_URL).select("page", "series_name", "episode_number", "title", "url"))
 FROM_PAGE = """nullif(trim(s.label), '') AS label, CASE WHEN e.id % 2 = 0 THEN 'https://x.test/bilder/bilder/' || e.id || '.jpg' END AS cover_url,
   CASE WHEN e.id % 12 <> 0 THEN 'https://x.test/hsp_anzeige.asp?code=' || (e.id - 1) END AS previous_episode_url, 'https://x.test/hsp_anzeige.asp?code=' || (e.id + 1) AS next_episode_url"""
@@ -460,14 +459,12 @@ def _from_page_files(f: Frames) -> DataFrame:
     return joined_names(published).drop("speakers", "page", "pos", "parse_error")
 
 
-KEPT = f"""SELECT *, CASE WHEN url IS NOT NULL THEN 'cat:episode:' || id ELSE 'cat:stub:' || sha256(lower(regexp_replace(series_name, '\\s+', ' ', 'g')) || chr(31) || coalesce(CAST(episode_number AS VARCHAR), '') || chr(31) || lower(title)) END AS source_key
-  FROM ({LISTED_ID}) QUALIFY row_number() OVER (PARTITION BY source_key ORDER BY page, id) = 1"""
 register(
     "src1_pages_to_records",
     f"""SELECT source_key, CASE WHEN k.url IS NULL THEN 'stub_without_link' ELSE 'with_detail' END AS outcome, k.title, CASE WHEN k.url IS NULL THEN k.series_name ELSE regexp_replace(k.series_name, '\\s+', ' ', 'g') END AS series_name, k.episode_number, d.description, d.duration_minutes, d.release_date, d.label, d.cover_url,
-      CASE WHEN d.order_number <> 'CD.' THEN d.order_number END AS order_number, d.previous_episode_url, d.next_episode_url, k.url AS source_url, coalesce(c.c, '') AS credits, coalesce(d.genres, '') AS genres
-      FROM ({KEPT}) k LEFT JOIN ({DETAILED}) d ON d.id = k.id AND k.url IS NOT NULL
-      LEFT JOIN ({unified(f"SELECT r.*, k.page FROM fx_credits_raw r JOIN ({KEPT}) k ON k.id = l_orderkey AND k.url IS NOT NULL", "page, l_orderkey, l_linenumber, l_partkey, l_suppkey")}) c ON c.l_orderkey = k.id""",
+      CASE WHEN d.order_number <> 'CD.' THEN d.order_number END AS order_number, d.previous_episode_url, d.next_episode_url, k.url AS source_url, coalesce(u.credits, '') AS credits, coalesce(d.genres, '') AS genres
+      FROM kept k LEFT JOIN ({DETAILED}) d ON d.id = k.id AND k.url IS NOT NULL
+      LEFT JOIN kcredits u ON u.l_orderkey = k.id""",
     _from_page_files,
 )
 
