@@ -1,12 +1,14 @@
 """WARC archives with revisit resolution.
 
 Writing: only (payload digest, page id) pairs are shuffled to find, for each payload of at least 1000 bytes, the page
-that keeps it; the other pages get a revisit record that refers to it and holds no payload. Records are written by Spark
-as text files whose line separator is the blank line that ends a record, so each file is a sequence of WARC/1.1 records,
-compressed as one gzip stream.
+that keeps it; the other pages get a revisit record that refers to it and holds no payload. Payloads with very many pages
+reach these by broadcast (join_by_size), so that none of them is one task. Records are written by Spark as text files whose
+line separator is the blank line that ends a record, so each file is a sequence of WARC/1.1 records, compressed as one gzip
+stream. A file holds what one task has written, and FILE_BYTES of mean records at most.
 
-Reading: files are read whole (the writer bounds the records of a file) and parsed by their Content-Length; revisit
-records are then joined to the responses they refer to.
+Reading: a file is unpacked piece by piece and parsed by Content-Length, so that a task holds the packed file and one
+record; revisit records are then joined to the responses they refer to. A record's id is made of page id, URL and payload
+digest, so pages that repeat an id with another payload have records of their own.
 
 Defined cases: a null html has an empty payload; a null url gives no target URI; rows that repeat both page_id and
 payload are the same record and all are responses; a null page_id never keeps a payload that some page_id could keep; if
@@ -16,41 +18,51 @@ all ids of a payload are null, all those records are responses; an empty table g
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog_loom.llm.shared import fresh_path, stage, table
+from catalog_loom.llm.shared import any_cold, fresh_path, join_by_size, mapped, stage, table
 
 END = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-BROADCAST_ROWS = 20_000
+FILE_BYTES = 256 << 20
+PIECE = 1 << 20
+ROWS = 2000
 RECORD = "page_id long, record_type string, record_id string, refers_to_id string, target_uri string, payload_digest string, payload_bytes long, intact boolean"
 
 
 def record_id(page_id: Column, url: Column, digest: Column) -> Column:
-    seed = F.when(page_id.isNotNull(), F.concat(F.lit("page "), page_id.cast("string"))).otherwise(F.concat_ws(" ", F.lit("url"), url, digest))
+    """Of the page and its payload; the URL counts only where there is no page id, as a revisit doesn't know its original's."""
+    seed = F.when(page_id.isNotNull(), F.concat_ws(" ", F.lit("page"), page_id.cast("string"), digest)).otherwise(F.concat_ws(" ", F.lit("url"), url, digest))
     h = F.sha1(seed)
     return F.concat(F.lit("<urn:uuid:"), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-8"), F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12), F.lit(">"))
 
 
 def keepers(pages: DataFrame, least: int) -> DataFrame:
-    """digest, keep_id: for each payload of at least least bytes held by several pages, the page that keeps it."""
-    heads = pages.select("page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("n_bytes")).where(F.col("n_bytes") >= least)
-    return heads.groupBy("digest").agg(F.max("page_id").alias("keep_id"), F.count("*").alias("n")).where("n > 1 and keep_id is not null").select(F.col("digest").alias("keep_digest"), "keep_id")
+    """digest, keep_id, n: for each payload of at least least bytes held by several pages, the page that keeps it, if any has
+    an id."""
+    heads = pages.where(F.octet_length("payload") >= least).select("page_id", F.sha1("payload").alias("digest"))
+    return heads.groupBy("digest").agg(F.max("page_id").alias("keep_id"), F.count("*").alias("n")).where("n > 1")
 
 
-def write_archive(pages: DataFrame, path: str, least: int = 1000, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 20_000) -> None:
+def write_archive(pages: DataFrame, path: str, least: int = 1000, date: str = "2024-01-01T00:00:00Z") -> None:
     """Write pages (page_id, url, html) as a deduplicated archive under path."""
     rows = pages.select("page_id", F.regexp_replace("url", r"[\x00-\x20\x7f]", "").alias("url"), F.coalesce("html", F.lit("")).alias("payload"))
+    total, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("payload")), F.lit(0))).first()
     keep = stage(keepers(rows, least), "keepers")
-    small = keep.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    cold = any_cold(keep, "n", total)
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("n_bytes", F.octet_length("payload"))
-    rows = rows.join(F.broadcast(keep) if small else keep, (F.col("digest") == F.col("keep_digest")) & (F.col("n_bytes") >= least), "left")
+    if cold:  # short payloads have no keeper, and very many pages may share one of them
+        short = rows.where(F.col("n_bytes") < least).withColumn("keep_id", F.lit(None).cast("long"))
+        rows = join_by_size(rows.where(F.col("n_bytes") >= least), keep, "digest", "n", total, "left", cold).unionByName(short)
+    else:
+        rows = join_by_size(rows, keep, "digest", "n", total, "left", cold=False)
+    records_per_file = int(max(1, min(1_000_000, FILE_BYTES * total / (size + 1))))
     revisit = F.col("keep_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keep_id"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(END))  # noqa: E731  null where the value is null
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), F.col("n_bytes").cast("string"), F.lit(END + END))
@@ -63,7 +75,7 @@ def write_archive(pages: DataFrame, path: str, least: int = 1000, date: str = "2
         line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", F.col("url")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")),
-        F.when(revisit, line("WARC-Refers-To", record_id(F.col("keep_id"), F.lit(None), F.lit(None)))),
+        F.when(revisit, line("WARC-Refers-To", record_id(F.col("keep_id"), F.lit(None), F.col("digest")))),
         F.when(revisit, line("WARC-Profile", F.lit(PROFILE))),
         line("X-Page-Id", F.col("page_id").cast("string")),
         line("Content-Type", F.lit("application/http; msgtype=response")),
@@ -74,23 +86,68 @@ def write_archive(pages: DataFrame, path: str, least: int = 1000, date: str = "2
     rows.select(record.alias("value")).write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
-def _records(data: bytes) -> Iterator[tuple]:
-    at = 0
-    while at < len(data):
-        head_end = data.index(b"\r\n\r\n", at)
-        lines = data[at:head_end].decode().split("\r\n")
+def unpacked(packed: bytes) -> Iterator[bytes]:
+    """A gzip file's content, about PIECE bytes at a time."""
+    stream = zlib.decompressobj(31)
+    data = packed
+    while data or not stream.eof:
+        piece = stream.decompress(data, PIECE)
+        data = stream.unconsumed_tail
+        if not piece and not data:
+            break
+        yield piece
+        if stream.eof and (data := stream.unused_data):
+            stream = zlib.decompressobj(31)
+
+
+class Reader:
+    """Takes an archive apart, record by record."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.held = pieces, bytearray()
+
+    def more(self) -> bool:
+        piece = next(self.pieces, None)
+        self.held += piece or b""
+        return piece is not None
+
+    def until(self, end: bytes) -> bytes | None:
+        """What comes before end, which is passed over; None at the end of the archive."""
+        seen = 0
+        while (at := self.held.find(end, seen)) < 0:
+            seen = max(0, len(self.held) - len(end))
+            if not self.more():
+                if self.held:
+                    raise ValueError("not a WARC record")
+                return None
+        found = bytes(self.held[:at])
+        del self.held[: at + len(end)]
+        return found
+
+    def take(self, n: int) -> bytes:
+        while len(self.held) < n and self.more():
+            pass
+        found = bytes(self.held[:n])
+        del self.held[:n]
+        return found
+
+
+def _records(packed: bytes) -> Iterator[tuple]:
+    reader = Reader(unpacked(packed))
+    while (head := reader.until(b"\r\n\r\n")) is not None:
+        lines = head.decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError("not a WARC record")
-        head = {k.lower(): v for k, v in (x.split(": ", 1) for x in lines[1:])}
-        start = head_end + 4
-        end = start + int(head["content-length"])
-        body = data.index(b"\r\n\r\n", start, end) + 4
-        digest = head["warc-payload-digest"].removeprefix("sha1:")
-        response = head["warc-type"] == "response"
-        page = head.get("x-page-id")
-        intact = data[end : end + 4] == b"\r\n\r\n" and (not response or hashlib.sha1(data[body:end]).hexdigest() == digest)
-        yield (int(page) if page else None, head["warc-type"], head["warc-record-id"], head.get("warc-refers-to"), head.get("warc-target-uri"), digest, end - body if response else None, intact)
-        at = end + 4
+        fields = {k.lower(): v for k, v in (x.split(": ", 1) for x in lines[1:])}
+        block = reader.take(int(fields["content-length"]))
+        whole = reader.take(4) == b"\r\n\r\n"
+        body = block.index(b"\r\n\r\n") + 4
+        digest = fields["warc-payload-digest"].removeprefix("sha1:")
+        response = fields["warc-type"] == "response"
+        page = fields.get("x-page-id")
+        intact = whole and (not response or hashlib.sha1(memoryview(block)[body:]).hexdigest() == digest)
+        size = len(block) - body if response else None
+        yield (int(page) if page else None, fields["warc-type"], fields["warc-record-id"], fields.get("warc-refers-to"), fields.get("warc-target-uri"), digest, size, intact)
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
@@ -99,22 +156,25 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                found = list(_records(zlib.decompress(content.as_py(), 31)))
-                columns = list(zip(*found, strict=True)) or [[]] * 8
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+                found = _records(content.as_py())
+                while rows := list(islice(found, ROWS)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     names = [x.split()[0] for x in RECORD.split(", ")]
     types = [{"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[x.split()[1]] for x in RECORD.split(", ")]
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(parse, RECORD)
+    return mapped(files, parse, RECORD)
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """Give each revisit record the page and payload size of the response that it refers to."""
     responses = records.where("record_type = 'response'")
     revisits = records.where("record_type = 'revisit'")
-    first = responses.groupBy(F.col("record_id").alias("refers_to_id")).agg(F.min("page_id").alias("refers_to"), F.min("payload_bytes").alias("original_bytes"))
-    found = revisits.drop("payload_bytes").join(first, "refers_to_id", "left")
+    asked = revisits.groupBy("refers_to_id").agg(F.count("*").alias("n"))
+    originals = responses.groupBy(F.col("record_id").alias("refers_to_id")).agg(F.min("page_id").alias("refers_to"), F.min("payload_bytes").alias("original_bytes"))
+    first = stage(originals.join(asked, "refers_to_id"), "originals")
+    total = revisits.count()
+    found = join_by_size(revisits.drop("payload_bytes"), first, "refers_to_id", "n", total, "left", any_cold(first, "n", total))
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact"]
     return responses.withColumn("refers_to", F.lit(None).cast("long")).select(columns).unionByName(found.withColumnRenamed("original_bytes", "payload_bytes").select(columns))
 
