@@ -8,7 +8,8 @@ relative entropy to taking every document once. The dual has one multiplier per
 mean size)). Newton steps (kept inside a bracket) run on a histogram of sizes by source, as one grouped aggregation each.
 
 Copies: the fractions of the rates are rounded by systematic sampling along the order (size class, salt, size, hash), so
-neighbours of like size stand in for each other; the words still missing from, or above, a source's target are then added
+neighbours of like size stand in for each other (a source has a salt for every SALT_ROWS documents, so that a source with
+very many is dealt to many tasks); the words still missing from, or above, a source's target are then added
 to or cut from the first documents of that order, so at most a few documents hold a partial copy.
 
 Sums are taken over integers, so a rerun gives the same rows whatever the order in which partitions arrive.
@@ -23,11 +24,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from catalog_loom.llm.shared import stage, table
+from catalog_loom.llm.shared import any_cold, join_by_size, named, stage, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 UNIT = 1_000_000_000
-SALTS = 32
+SALT_ROWS = 4096
 
 
 def size_of(text: str) -> Column:
@@ -113,15 +114,21 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     """One row for each document: doc_id, skey, size, source_size, target, rate, copies (whole ones), taken (words)."""
     rows = stage(sized(docs), "sized")
     histogram = stage(rows.groupBy("skey", "size").agg(F.count("*").alias("n")), "histogram")
-    sources = histogram.groupBy("skey").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0)).alias("n_docs"))
-    solved = balanced(histogram, with_targets(sources)).select("skey", "source_size", "target", "mean_size", "theta")
+    sources = histogram.groupBy("skey").agg(
+        F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0)).alias("n_docs"), F.sum("n").alias("many"))
+    solved = balanced(histogram, with_targets(sources)).select("skey", "source_size", "target", "mean_size", "theta", "many")
+    total = solved.agg(F.coalesce(F.sum("many"), F.lit(0))).first()[0]
+    cold = any_cold(solved, "many", total)
 
     free = F.when(F.col("theta").isNotNull(), F.exp(F.col("theta") * F.col("size") / F.col("mean_size"))).when(F.col("target") > 0, F.lit(2.0)).otherwise(0.0)
     nano = F.when(F.col("size") > 0, F.round(F.least(free, F.lit(2.0)) * UNIT)).otherwise(0).cast("long")
     hashed = F.xxhash64("doc_id", "size")
-    bucket = F.floor(F.log2(F.col("size") + 1)) * SALTS + F.pmod(hashed, F.lit(SALTS))
+    # A source is dealt to as many salts as it has runs of SALT_ROWS documents, within each class of sizes.
+    salts = F.ceil(F.col("salt_of") / SALT_ROWS).cast("long")
+    bucket = F.floor(F.log2(F.col("size") + 1)) * salts + F.pmod(hashed, salts)
     rated = (
-        rows.join(solved, "skey").withColumn("nano", nano).withColumn("h", hashed).withColumn("bucket", bucket.cast("int"))
+        join_by_size(rows, solved.withColumn("salt_of", F.col("many")), "skey", "many", total, cold=cold)
+        .withColumn("nano", nano).withColumn("h", hashed).withColumn("bucket", bucket.cast("long"))
         .withColumn("whole", F.floor(F.col("nano") / UNIT)).withColumn("part", F.col("nano") % UNIT)
         .select("doc_id", "skey", "size", "source_size", "target", "nano", "h", "bucket", "whole", "part")
     )
@@ -137,9 +144,9 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     dealt = along(rated, "part", "run")
     copies = F.col("whole") + F.floor(F.col("run") / UNIT) - F.floor((F.col("run") - F.col("part")) / UNIT)
     dealt = stage(dealt.withColumn("copies", copies.cast("int")).withColumn("taken", F.col("copies") * F.col("size")), "dealt")
-    short = dealt.groupBy("skey").agg((F.round(F.first("target")) - F.sum("taken")).cast("long").alias("short"))
+    short = dealt.groupBy("skey").agg((F.round(F.max("target")) - F.sum("taken")).cast("long").alias("short"), F.count("*").alias("many"))
     room = F.when(F.col("short") > 0, 2 * F.col("size") - F.col("taken")).otherwise(F.col("taken"))
-    spare = along(dealt.join(short, "skey").withColumn("room", room), "room", "room_run")
+    spare = along(join_by_size(dealt, short, "skey", "many", total, cold=cold).withColumn("room", room), "room", "room_run")
     give = F.greatest(F.lit(0), F.least(F.col("room"), F.abs("short") - (F.col("room_run") - F.col("room"))))
     return spare.withColumn("taken", F.col("taken") + F.when(F.col("short") > 0, give).otherwise(-give)).select(
         "doc_id", "skey", "size", "source_size", "target", (F.col("nano") / UNIT).alias("rate"),
@@ -158,7 +165,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     number = Window.partitionBy("ident").orderBy("size", "skey")
     keys = [F.xxhash64("ident"), F.row_number().over(number), F.col("size"), F.col("skey")]
     plan = mix_sources(docs).withColumn("ident", ident).select(*[k.alias(f"k{i}") for i, k in enumerate(keys)], "copies", "taken")
-    have = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", size_of("text").alias("size"), source_key("source").alias("skey"))
+    have = docs.select(F.struct(*map(named, docs.columns)).alias("row"), "doc_id", size_of("text").alias("size"), source_key("source").alias("skey"))
     have = have.withColumn("ident", ident).select("row", *[k.alias(f"h{i}") for i, k in enumerate(keys)])
     both = have.join(plan, [F.col(f"h{i}") == F.col(f"k{i}") for i in range(4)]).where("taken > 0")
     rest = (F.col("taken") - F.col("copies") * F.col("h2")).cast("int")
