@@ -1,13 +1,16 @@
 """N-gram Jaccard join by filtering under several global orders, and the components of its links.
 
 A document's set holds hashes of its 5-word shingles (64 bits; equal hashes count as equal shingles). Documents with equal
-sets are one class, so copies are never paired. Two sets link when 100 * intersection >= 80 * union.
+sets are one class, so copies are never paired; sets are told apart by 128 bits, and where two share the 64 that name a class
+they take the other 64. Two sets link when 100 * intersection >= 80 * union.
 
 Any global order of shingles gives a filter that loses no link: the first n - ceil(0.8 n) + 1 shingles of two linked sets
 share one. Three orders are used. The first puts common shingles last (by a sketch of document frequencies, of a fixed
 size, then by a hash); it makes candidates: prefix shingles are shuffled, and classes that share one may link. The second
 and third (the hash upwards and downwards) are tested on each candidate, and only those that pass all are verified on the
-whole sets; the second is tested before any text is moved.
+whole sets; the second is tested before any text is moved. Shingles that the sketch calls common are salted when their
+postings are gathered, and joins with what is found for a shingle, a class or a component send the hot ones by broadcast, so
+that none of them is one task.
 
 Shingles of few classes give all their pairs. For a shingle of many classes (near copies, mostly), all are compared with
 one of them and the components of the links found so far are taken. What is then still apart is compared in blocks: the
@@ -27,11 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from catalog_loom.llm.components import components
-from catalog_loom.llm.shared import stage, table
+from catalog_loom.llm.shared import free_name, join_by_size, mapped, named, stage, table
 from catalog_loom.llm.textops import ASCII_LOWER, NOT_SPACE, Rolling, buffers, mix, slices, spans
 
 WORDS = 5
@@ -42,8 +46,9 @@ SEEN_KEPT = 100_000
 HELD = 1 << 19
 FEW = 64
 BLOCK = 512
-HOT_CLASS = 5000
 BROADCAST_ROWS = 100_000
+LEVEL_SHIFT = 59
+MOST_CLASHES = 100_000
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -75,24 +80,25 @@ def shingles(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[fresh], np.r_[0, np.cumsum(fresh)][heads]
 
 
-def classes(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """An id for each row's set."""
-    out = np.zeros(len(at) - 1, np.uint64)
+def classes(h: np.ndarray, at: np.ndarray, shared_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An id for each row's set and 64 further bits of its hash, which are the id where that is one of shared_ids."""
+    out = np.zeros((2, len(at) - 1), np.uint64)
     some = np.flatnonzero(np.diff(at))
     if len(some):
-        a, b = np.add.reduceat(mix(h, 1), at[some]), np.add.reduceat(mix(h, 2), at[some])
-        out[some] = mix(a + mix(b + np.diff(at)[some].astype(np.uint64)))
-    return out.view(np.int64)
+        a, b, n = np.add.reduceat(mix(h, 1), at[some]), np.add.reduceat(mix(h, 2), at[some]), np.diff(at)[some].astype(np.uint64)
+        out[0, some], out[1, some] = mix(a + mix(b + n)), mix(b + mix(a + n, 6), 7)
+    ids, more = out.view(np.int64)
+    return np.where(np.isin(ids, shared_ids), more, ids) if len(shared_ids) else ids, more
 
 
 def prefix_length(n: np.ndarray | int) -> np.ndarray | int:
     return n - (4 * n + 4) // 5 + 1
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """doc_id, row_key, n, cls of each document; and, as rows with a block, counts of shingles by cell, part by part."""
-    names = ["doc_id", "row_key", "n", "cls", "block", "counts"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+def described(docs: DataFrame, shared_ids: np.ndarray) -> DataFrame:
+    """doc_id, row_key, n, cls, more of each document; and, as rows with a block, counts of shingles by cell, part by part."""
+    names = ["doc_id", "row_key", "n", "cls", "more", "block", "counts"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << SKETCH_BITS, np.uint32)
@@ -110,15 +116,17 @@ def described(docs: DataFrame) -> DataFrame:
                 held.append(mix(h, 3))
                 if sum(map(len, held)) > HELD:
                     flush()
-                n = hi - lo
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(lo, n).cast(pa.int64()), batch["row_key"].slice(lo, n), pa.array(np.diff(to)), pa.array(classes(h, to), mask=np.diff(to) == 0), pa.nulls(n, types[4]), pa.nulls(n, types[5])], names)
+                n, none = hi - lo, np.diff(to) == 0
+                cls, more = classes(h, to, shared_ids)
+                own = [batch["doc_id"].slice(lo, n).cast(pa.int64()), batch["row_key"].slice(lo, n), pa.array(np.diff(to)), pa.array(cls, mask=none), pa.array(more, mask=none)]
+                yield pa.RecordBatch.from_arrays([*own, pa.nulls(n, types[5]), pa.nulls(n, types[6])], names)
         flush()
         parts = np.split(cells, SKETCH_BLOCKS)
         used = [i for i, p in enumerate(parts) if p.any()]
-        nothing = [pa.nulls(len(used), t) for t in types[:4]]
-        yield pa.RecordBatch.from_arrays([*nothing, pa.array(used, types[4]), pa.array([zlib.compress(parts[i].tobytes(), 1) for i in used], types[5])], names)
+        nothing = [pa.nulls(len(used), t) for t in types[:5]]
+        yield pa.RecordBatch.from_arrays([*nothing, pa.array(used, types[5]), pa.array([zlib.compress(parts[i].tobytes(), 1) for i in used], types[6])], names)
 
-    return docs.select("doc_id", "row_key", "text").mapInArrow(run, "doc_id long, row_key long, n long, cls long, block int, counts binary")
+    return mapped(docs.select("doc_id", "row_key", "text"), run, "doc_id long, row_key long, n long, cls long, more long, block int, counts binary")
 
 
 def levels(parts: DataFrame) -> np.ndarray:
@@ -134,15 +142,20 @@ def levels(parts: DataFrame) -> np.ndarray:
 
     width = (1 << SKETCH_BITS) // SKETCH_BLOCKS
     cells = np.zeros((SKETCH_BLOCKS, width), np.uint64)
-    for row in parts.select("block", "counts").repartition(SKETCH_BLOCKS, "block").mapInArrow(run, "block int, counts binary").toLocalIterator():
+    for row in mapped(parts.select("block", "counts").repartition(SKETCH_BLOCKS, "block"), run, "block int, counts binary").toLocalIterator():
         cells[row["block"]] += np.frombuffer(zlib.decompress(row["counts"]), np.uint64)
     limit = cells.mean() + 5 * np.sqrt(cells.mean()) + 4
     return np.minimum(15, np.where(cells > limit, 1 + np.floor(np.log2(np.maximum(cells, 1) / limit)), 0)).astype(np.uint8).ravel()
 
 
-def postings(docs: DataFrame, level: np.ndarray) -> DataFrame:
-    """tok, cls, n: the prefix of each class under the first order. Copies in one task are mostly left out."""
-    sent = docs.sparkSession.sparkContext.broadcast(zlib.compress(level.tobytes(), 1))  # 2 ** SKETCH_BITS bytes at most
+def level_of(tok: str) -> Column:
+    """How common the sketch calls a shingle: the highest bits of its place in the first order."""
+    return F.shiftrightunsigned(tok, LEVEL_SHIFT)
+
+
+def postings(docs: DataFrame, sent: Broadcast, shared_ids: np.ndarray) -> DataFrame:
+    """tok, cls, n: the prefix of each class under the first order. Copies in one task are mostly left out. sent: the
+    levels, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = np.frombuffer(zlib.decompress(sent.value), np.uint8)
@@ -150,9 +163,9 @@ def postings(docs: DataFrame, level: np.ndarray) -> DataFrame:
         for batch in batches:
             for _, _, raw, at in slices(batch["text"]):
                 h, to = shingles(raw, at)
-                size, cls = np.diff(to), classes(h, to)
+                size, cls = np.diff(to), classes(h, to, shared_ids)[0]
                 spread = mix(h, 3)
-                key = (common[(spread >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(59)) | (mix(h, 4) >> np.uint64(5))
+                key = (common[(spread >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(LEVEL_SHIFT)) | (mix(h, 4) >> np.uint64(64 - LEVEL_SHIFT))
                 rows = []
                 for i, c in enumerate(cls.tolist()):
                     if size[i] and c not in seen:
@@ -167,7 +180,7 @@ def postings(docs: DataFrame, level: np.ndarray) -> DataFrame:
                 chosen = np.repeat(to[rows] - (ends - take), take) + np.arange(ends[-1] if len(ends) else 0)
                 yield pa.RecordBatch.from_arrays([pa.array(key[chosen].view(np.int64)), pa.array(np.repeat(cls[rows], take)), pa.array(np.repeat(size[rows], take).astype(np.int32))], ["tok", "cls", "n"])
 
-    return docs.select("text").mapInArrow(run, "tok long, cls long, n int")
+    return mapped(docs.select("text"), run, "tok long, cls long, n int")
 
 
 def cell_of(cls: np.ndarray) -> np.ndarray:
@@ -184,14 +197,13 @@ def members(ids: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], ["bits"])
 
     out = np.zeros(1 << (MEMBER_BITS - 3), np.uint8)
-    for row in ids.select("cls").coalesce(16).mapInArrow(run, "bits binary").toLocalIterator():
+    for row in mapped(ids.select("cls").coalesce(16), run, "bits binary").toLocalIterator():
         out |= np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
     return out
 
 
-def texts_of(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """cls, text, low (start of the second order) of each class whose cell is in the bitmap."""
-    sent = docs.sparkSession.sparkContext.broadcast(zlib.compress(wanted.tobytes(), 1))
+def texts_of(docs: DataFrame, sent: Broadcast, shared_ids: np.ndarray) -> DataFrame:
+    """cls, text, low (start of the second order) of each class whose cell is in the bitmap (sent, packed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(np.frombuffer(zlib.decompress(sent.value), np.uint8)).astype(bool)
@@ -199,7 +211,7 @@ def texts_of(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
         for batch in batches:
             for lo, hi, raw, at in slices(batch["text"]):
                 h, to = shingles(raw, at)
-                cls = classes(h, to)
+                cls = classes(h, to, shared_ids)[0]
                 rows = []
                 for i in np.flatnonzero(bits[cell_of(cls)] & (np.diff(to) > 0)).tolist():
                     if int(cls[i]) not in seen:
@@ -210,7 +222,7 @@ def texts_of(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
                 low = pa.array([(h[to[i] : to[i] + sketch_length(int(to[i + 1] - to[i]))] >> np.uint64(32)).astype("<u4").tobytes() for i in rows], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(cls[rows]), batch["text"].slice(lo, hi - lo).take(pa.array(rows, pa.int64())).cast(pa.string()), low], ["cls", "text", "low"])
 
-    return docs.select("text").mapInArrow(run, "cls long, text string, low binary").dropDuplicates(["cls"])
+    return mapped(docs.select("text"), run, "cls long, text string, low binary").dropDuplicates(["cls"])
 
 
 def sketch_length(n: int) -> int:
@@ -239,7 +251,7 @@ def passing(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     low = texts.select("cls", "low")
     both = pairs.join(low.withColumnsRenamed({"cls": "a", "low": "left"}), "a").join(low.withColumnsRenamed({"cls": "b", "low": "right"}), "b")
-    return both.select("a", "b", "n", "m", "left", "right").mapInArrow(run, "a long, b long")
+    return mapped(both.select("a", "b", "n", "m", "left", "right"), run, "a long, b long")
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -266,17 +278,18 @@ def links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([batch["a"].take(rows), batch["b"].take(rows)], ["a", "b"])
 
     both = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("left")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("right")), "b")
-    return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
-
-
-def blockwise(apart: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) between classes that share a shingle of apart(tok, cls, n, root) and have different roots. Classes that
-    shingles hold together, directly or through others, are dealt to blocks; a task has the members of two blocks."""
-    hub = F.min("cls").over(Window.partitionBy("tok"))
-    held = components(apart.select("cls", hub.alias("hub")).select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct())
-    sizes = held.groupBy("root").agg(F.count("*").alias("many"))
-    held = held.join(sizes, "root").select(F.col("node").alias("cls"), F.col("root").alias("held_by"), F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks"))
-    members = apart.groupBy("cls").agg(F.collect_set("tok").alias("toks"), F.first("root").alias("root"))  # a prefix at most
+    return mapped(both.select("a", "b", "left", "right"), run, "a long, b long")
+
+
+def blockwise(apart: DataFrame, texts: DataFrame, total: int) -> DataFrame:
+    """Links (a, b) between classes that share a shingle of apart(tok, cls, n, root), total rows, and have different roots.
+    Classes that shingles hold together, directly or through others, are dealt to blocks; a task has the members of two
+    blocks."""
+    hubs = apart.groupBy("tok").agg(F.min("cls").alias("hub"), F.count("*").alias("many"))
+    held = stage(components(join_by_size(apart, hubs, "tok", "many", total).select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct()), "held")
+    sizes = held.groupBy("root").agg(F.count("*").alias("many")).withColumn("blocks", F.ceil(F.col("many") / BLOCK).cast("int"))
+    held = join_by_size(held, sizes, "root", "many", total).select(F.col("node").alias("cls"), F.col("root").alias("held_by"), "blocks")
+    members = apart.groupBy("cls").agg(F.collect_set("tok").alias("toks"), F.max("root").alias("root"))  # a prefix at most
     members = members.join(held, "cls").join(texts.select("cls", "text"), "cls").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
 
@@ -338,15 +351,50 @@ def fits(n: str, m: str):
     return 5 * F.least(n, m) >= 4 * F.greatest(n, m)
 
 
-def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """For documents with a row_key: doc_id, row_key, n, cls of each; and cls, root, component_id, copies of each class."""
-    found = stage(described(docs), "described")
-    rows = found.where("block is null").select("doc_id", "row_key", "n", "cls")
-    posts = postings(docs, levels(found.where("block is not null")))
-    by = Window.partitionBy("tok")
+def gathered(posts: DataFrame) -> DataFrame:
+    """tok, cls, n, many, hub, hub_n of the postings whose shingle several classes hold: how many, and the least of them.
+    Shingles that the sketch calls common are gathered by salt first."""
+    level = level_of("tok")
+    salts = (64 * F.pow(F.lit(2), level)).cast("long")
+    posts = posts.withColumn("salt", F.when(level == 0, F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("cls"), salts)))
+    by = Window.partitionBy("tok", "salt")
     posts = posts.withColumn("first", F.min(F.struct("cls", "n")).over(by)).withColumn("last", F.max("cls").over(by)).withColumn("many", F.count("*").over(by))
-    shared = stage(posts.where("first.cls <> last").select("tok", "cls", "n", "many", F.col("first.cls").alias("hub"), F.col("first.n").alias("hub_n")), "shared")
-    texts = stage(texts_of(docs, members(shared.select("cls").distinct())), "texts")
+    found = stage(posts.where((level > 0) | (F.col("first.cls") != F.col("last"))).drop("salt"), "postings")
+    hub = [F.col("first.cls").alias("hub"), F.col("first.n").alias("hub_n")]
+    rare, common = found.where(level == 0).select("tok", "cls", "n", "many", *hub), found.where(level > 0)
+    total = common.count()
+    if not total:
+        return rare
+    whole = common.groupBy("tok").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.count("*").alias("rows")).where(F.col("first.cls") != F.col("last"))
+    whole = whole.select("tok", "rows", F.col("rows").alias("many"), *hub)
+    joined_rows = join_by_size(common.select("tok", "cls", "n"), whole, "tok", "rows", total)
+    return rare.unionByName(stage(joined_rows, "common"))
+
+
+def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """For documents with a row_key: doc_id, row_key, n, cls of each; cls, root, component_id, copies of each class; and the
+    number of documents."""
+    context = docs.sparkSession.sparkContext
+    shared_ids = np.zeros(0, np.int64)
+    while True:
+        found = stage(described(docs, shared_ids), "described")
+        rows = found.where("block is null").select("doc_id", "row_key", "n", "cls", "more")
+        known = rows.where("cls is not null").groupBy("cls")
+        sets = stage(known.agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min("more").alias("low"), F.max("more").alias("high")), "sets")
+        clashing = [r["cls"] for r in sets.where("low <> high").select("cls").limit(MOST_CLASHES + 1).collect()]
+        if not clashing:
+            break
+        if len(clashing) > MOST_CLASHES:
+            raise ValueError("far more sets share 64 bits of their hash than chance allows")
+        shared_ids = np.unique(np.concatenate([shared_ids, np.array(clashing, np.int64)]))
+    rows, sets = rows.drop("more"), sets.drop("low", "high")
+
+    sent = context.broadcast(zlib.compress(levels(found.where("block is not null")).tobytes(), 1))  # 2 ** SKETCH_BITS bytes at most
+    shared = gathered(postings(docs, sent, shared_ids))
+    wanted = context.broadcast(zlib.compress(members(shared.select("cls").distinct()).tobytes(), 1))  # 2 ** (MEMBER_BITS - 3) at most
+    texts = stage(texts_of(docs, wanted, shared_ids), "texts")
+    sent.destroy()
+    wanted.destroy()
 
     few = shared.where(F.col("many") <= FEW).select("tok", "cls", "n")
     other = few.select("tok", F.col("cls").alias("b"), F.col("n").alias("m"))
@@ -357,33 +405,27 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     good = stage(links(tried, texts), "links")
     roots = components(good)
     crowd = crowd.select("tok", "cls", "n").distinct().join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    apart = stage(crowd.withColumn("low", F.min("root").over(by)).withColumn("high", F.max("root").over(by)).where("low <> high").drop("low", "high"), "apart")
+    crowd = stage(crowd, "crowd")
+    total = crowd.count()
+    ends = crowd.groupBy("tok").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("many")).where("low <> high").select("tok", "many")
+    apart = stage(join_by_size(crowd, ends, "tok", "many", total), "apart") if total else crowd
     if not apart.isEmpty():
         reached = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))  # these have the components of the links found so far
-        roots = components(reached.unionByName(stage(blockwise(apart, texts), "links")))
+        roots = components(reached.unionByName(stage(blockwise(apart, texts, total), "links")))
 
-    sets = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
-    rooted = sets.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows, stage(rooted.join(ids, "root").select("cls", "root", "component_id", "copies"), "named")
+    n_docs = rows.count()
+    rooted = stage(sets.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")), "rooted")
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("many"))
+    named_sets = join_by_size(rooted, ids, "root", "many", n_docs).select("cls", "root", "component_id", "copies")
+    return rows, stage(named_sets, "named"), n_docs
 
 
 def joined(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of each document."""
-    rows, named = grouped(docs.select("doc_id", "text", F.lit(0).cast("long").alias("row_key")))
-    hot = named.where(F.col("copies") > HOT_CLASS).select("cls", "component_id")
-    out = F.coalesce("component_id", "doc_id").alias("component_id")
-    rest = rows
-    parts = []
-    if 0 < hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # classes of very many copies don't meet in one task
-        parts.append(rows.join(F.broadcast(hot), "cls"))
-        rest = rows.join(F.broadcast(hot.select("cls")), "cls", "left_anti")
-    parts.append(rest.join(named.select("cls", "component_id"), "cls", "left"))
-    result = None
-    for part in parts:
-        part = part.select("doc_id", F.col("n").alias("n_shingles"), out)
-        result = part if result is None else result.unionByName(part)
-    return result
+    rows, named_sets, n_docs = grouped(docs.select("doc_id", "text", F.lit(0).cast("long").alias("row_key")))
+    found = join_by_size(rows.where("cls is not null"), named_sets.drop("root"), "cls", "copies", n_docs)
+    found = found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return found.unionByName(rows.where("cls is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -391,30 +433,32 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each component with all its columns: that of smallest doc_id, and of smallest hash among rows that share
-    it. Of the rows without a doc_id in a component one more stays, of smallest hash. Documents without words all stay."""
-    mark, columns = "__row_key", docs.columns
-    keyed = docs.withColumn(mark, F.xxhash64(*columns, *[F.col(c).isNull() for c in columns]))  # nulls don't change xxhash64
-    rows, named = grouped(keyed.select("doc_id", "text", F.col(mark).alias("row_key")))
+    """One row of each component with all its columns: that of smallest doc_id (null last), and of smallest hash among rows
+    that share it. Documents without words all stay."""
+    columns = docs.columns
+    mark, key, ident = (free_name(columns, x) for x in ("row_mark", "key_mark", "id_mark"))
+    keyed = docs.withColumn(mark, F.xxhash64(*map(named, columns), *[named(c).isNull() for c in columns]))  # nulls don't change xxhash64
+    rows, named_sets, _ = grouped(keyed.select("doc_id", "text", F.col(mark).alias("row_key")))
     rows = rows.where("cls is not null")
-    least = rows.groupBy("cls", F.col("doc_id").isNull().alias("no_id")).agg(F.min(F.struct("doc_id", "row_key")).alias("least"))
-    best = least.join(named.select("cls", "root"), "cls").groupBy("root", "no_id").agg(F.min("least").alias("least")).select("least.doc_id", "least.row_key")
+    least = rows.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("least"))
+    best = least.join(named_sets.select("cls", "root"), "cls").groupBy("root").agg(F.min("least").alias("least")).select("least.doc_id", "least.row_key")
     many = rows.groupBy("doc_id", "row_key").agg(F.count("*").alias("many"))
     same = (F.col("m.row_key") == F.col("b.row_key")) & F.col("m.doc_id").eqNullSafe(F.col("b.doc_id"))
     told = many.alias("m").join(best.alias("b"), same, "left").select("m.doc_id", "m.row_key", "m.many", F.col("b.row_key").isNotNull().alias("stays"))
     told = stage(told.where("not stays or many > 1"), "told")
 
     def among(frame: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-        keys = keys.select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key"))
+        keys = keys.select(F.col("doc_id").alias(ident), F.col("row_key").alias(key))
         keys = F.broadcast(keys) if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else keys
-        return frame.join(keys, (F.col(mark) == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")), how)
+        return frame.join(keys, (F.col(mark) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(ident)), how)
 
     kept = among(keyed, told.where("not stays"), "left_anti")
     again = told.where("stays")
+    own = [named(c) for c in columns]
     if again.isEmpty():
-        return kept.select(columns)
+        return kept.select(own)
     twice = among(kept, again, "left_semi").dropDuplicates(["doc_id", mark])
-    return among(kept, again, "left_anti").select(columns).unionByName(twice.select(columns))
+    return among(kept, again, "left_anti").select(own).unionByName(twice.select(own))
 
 
 SQL = r"""
