@@ -1,29 +1,35 @@
 """Exact top-k by inner product: a ball tree for each shard, searched by branch and bound.
 
-Vectors are dealt by hash to shards of about SHARD_ROWS rows and queries to blocks of about BLOCK_ROWS. Each task holds
-one shard and one block; it builds the shard's ball tree, bounds every node for every query by
-q.center + |q| * radius, drops nodes whose bound is below the query's current kth score, and visits the leaves left in
-the order of their bounds. The current kth score is shared: one shard is searched first, and the kth score that each
-query finds there goes with the query to all shards. Partial lists of k are merged by a window.
+Vectors go to the nearest of some centers (vectors of smallest hash, one for every CLUSTER_ROWS rows and MOST_CLUSTERS at
+most); a shard is a cluster, or a piece of about SHARD_ROWS rows of a large one. The current kth score is shared: each query
+first searches a piece of the clusters whose centers score highest, and the kth score that it finds there goes with it. A
+query is then sent only to clusters whose bound, q.center + |q| * radius, reaches its kth score. Each task holds one shard
+and one block of queries; it builds the shard's ball tree, bounds its nodes in the same way, drops those whose bound is below
+the query's current kth score, and visits the leaves left in the order of their bounds. Partial lists of k are merged by a
+window.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components, and null ids, take no part; vectors
 are only compared with those of their own length; rows that repeat a vec_id are candidates each, and none is one for the
-query with that id; a repeated query is answered once; ties go to the smaller vec_id; an empty table gives no rows;
-further columns are ignored.
+query with that id; a repeated query is answered once, for the least of its vectors; ties go to the smaller vec_id; an empty
+table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from catalog_loom.llm.shared import stage, table
-from catalog_loom.llm.vectors import best, matrix, merge, usable
+from catalog_loom.llm.shared import mapped, stage, table
+from catalog_loom.llm.vectors import asking, best, matrix, merge, usable
 
+CLUSTER_ROWS = 4096
+MOST_CLUSTERS = 1024
+FIRST_CLUSTERS = 2
 SHARD_ROWS = 8192
 BLOCK_ROWS = 4096
 LEAF_ROWS = 128
@@ -105,41 +111,106 @@ def search(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids:
     return found[0], found[1], found[2]
 
 
-def grid(rows: DataFrame, queries: DataFrame, shards: int, blocks: int, only: int | None, k: int) -> DataFrame:
-    """The k best rows of each query in each shard (or in one only)."""
-    base = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    if only is not None:
-        base = base.where(F.col("shard") == only)
-        asked = asked.withColumn("shard", F.lit(only))
-    else:
-        asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    base = base.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+def centers(rows: DataFrame, sizes: dict[int, int]) -> dict[int, np.ndarray]:
+    """Of each length of vectors the centers of the clusters, different ones."""
+    want = {dim: max(1, min(MOST_CLUSTERS, n // CLUSTER_ROWS)) for dim, n in sizes.items()}
+    part = rows.sparkSession.createDataFrame([(dim, sizes[dim] / want[dim], want[dim]) for dim in sizes], "dim int, part double, want int")
+    rank = (F.xxhash64("vec_id", F.lit(3)) / F.lit(2.0**64) + 0.5) * F.col("part")  # about the place among the hashes, in parts
+    near = rows.join(F.broadcast(part), "dim").withColumn("rank", rank).where((F.col("rank") < 8) | (F.col("part") * F.col("want") < 64))
+    nth = F.row_number().over(Window.partitionBy("dim").orderBy("rank", "vec_id", "v"))
+    chosen = near.withColumn("nth", nth).where(F.col("nth") <= F.col("want")).select("dim", "v").toArrow()
+    of = chosen["dim"].to_numpy()
+    return {int(dim): np.unique(matrix(chosen.filter(pa.array(of == dim))["v"], int(dim)), axis=0) for dim in np.unique(of)}
+
+
+def clustered(rows: DataFrame, found: dict[int, np.ndarray]) -> DataFrame:
+    """vec_id, dim, v, cluster and the distance from its center of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = batch["dim"].to_numpy()
+            for dim in np.unique(of).tolist():
+                some = batch.filter(pa.array(of == dim))
+                points, own = matrix(some["v"], dim), found[dim]
+                squares = np.einsum("ij,ij->i", own, own)
+                cluster = np.concatenate([(squares - 2 * points[at : at + 1024] @ own.T).argmin(axis=1) for at in range(0, len(points), 1024)])
+                away = points - own[cluster]
+                yield pa.RecordBatch.from_arrays([some["vec_id"], some["dim"], some["v"], pa.array(cluster.astype(np.int32)), pa.array(np.sqrt(np.einsum("ij,ij->i", away, away)))], ["vec_id", "dim", "v", "cluster", "far"])
+
+    return mapped(rows.select("vec_id", "dim", "v"), run, "vec_id long, dim int, v array<double>, cluster int, far double")
+
+
+def aimed(queries: DataFrame, found: dict[int, np.ndarray], radii: dict[int, np.ndarray], first: bool) -> DataFrame:
+    """queries(vec_id, dim, v, floor), each with its clusters: those of the FIRST_CLUSTERS centers that score highest, or
+    all whose bound reaches floor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = batch["dim"].to_numpy()
+            for dim in np.unique(of).tolist():
+                some = batch.filter(pa.array(of == dim))
+                v = matrix(some["v"], dim)
+                scores = v @ found[dim].T
+                if first:
+                    to = np.zeros(scores.shape, bool)
+                    np.put_along_axis(to, np.argsort(-scores, axis=1, kind="stable")[:, :FIRST_CLUSTERS], True, axis=1)
+                else:
+                    bound = scores + np.sqrt(np.einsum("ij,ij->i", v, v))[:, None] * radii[dim][None, :]
+                    to = bound + 1e-6 + 1e-9 * np.abs(bound) >= some["floor"].to_numpy()[:, None]
+                row, cluster = np.nonzero(to)
+                offsets = pa.array(np.searchsorted(row, np.arange(len(v) + 1)).astype(np.int32))
+                lists = pa.ListArray.from_arrays(offsets, pa.array(cluster.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*(some[c] for c in ("vec_id", "dim", "v", "floor")), lists], ["vec_id", "dim", "v", "floor", "clusters"])
+
+    sent = mapped(queries.select("vec_id", "dim", "v", "floor"), run, "vec_id long, dim int, v array<double>, floor double, clusters array<int>")
+    return sent.select("vec_id", "dim", "v", "floor", F.explode("clusters").alias("cluster"))
+
+
+def grid(rows: DataFrame, asked: DataFrame, blocks: int, k: int) -> DataFrame:
+    """The k best rows of each query in each shard (dim, cluster, piece) that it is sent to."""
+    keys = ["dim", "cluster", "piece", "block"]
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    base = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
         dim = right["dim"][0].as_py()
-        ids, asking = right["vec_id"].to_numpy(), left["vec_id"].to_numpy()
-        q, p, scores = search(matrix(right["v"], dim), ids, matrix(left["v"], dim), asking, left["floor"].to_numpy(), k)
-        return pa.table({"query_id": asking[q], "vec_id": ids[p], "score": scores})
+        ids, asking_ids = right["vec_id"].to_numpy(), left["vec_id"].to_numpy()
+        q, p, scores = search(matrix(right["v"], dim), ids, matrix(left["v"], dim), asking_ids, left["floor"].to_numpy(), k)
+        return pa.table({"query_id": asking_ids[q], "vec_id": ids[p], "score": scores})
 
-    keys = ["dim", "shard", "block"]
     return asked.groupBy(keys).cogroup(base.groupBy(keys)).applyInArrow(run, FOUND)
 
 
 def top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: int = 64) -> DataFrame:
     """query_id, rank, vec_id, score: rows whose vec_id is divisible by every ask for their k best."""
+    spark = vectors.sparkSession
     rows = usable(vectors, zero=True).withColumn("v", F.transform("v", lambda x: F.floor(x * scale).cast("double")))
-    rows = stage(rows, "vectors")
-    asked = stage(rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]), "asked")
-    shards = max(1, math.ceil(rows.count() / SHARD_ROWS))
+    rows = stage(rows.select("vec_id", "dim", "v"), "vectors")
+    sizes = {r["dim"]: r["count"] for r in rows.groupBy("dim").count().collect()}  # a row for each length
+    if not sizes:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    found = centers(rows, sizes)
+    base = stage(clustered(rows, found), "clustered")
+    radii = {dim: np.full(len(c), -np.inf) for dim, c in found.items()}
+    pieces = []
+    for r in base.groupBy("dim", "cluster").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect():  # a row for each center
+        radii[r["dim"]][r["cluster"]] = r["far"]
+        pieces.append((r["dim"], r["cluster"], math.ceil(r["n"] / SHARD_ROWS)))
+    pieces = F.broadcast(spark.createDataFrame(pieces, "dim int, cluster int, pieces int"))
+    base = base.join(pieces, ["dim", "cluster"]).withColumn("piece", F.pmod(F.xxhash64("vec_id"), F.col("pieces")).cast("int")).drop("pieces", "far")
+
+    asked = stage(asking(rows, every), "asked")
     blocks = max(1, math.ceil(asked.count() / BLOCK_ROWS))
     lowest = F.lit(-(2.0**62))
-    seed = grid(rows, asked.withColumn("floor", lowest), shards, blocks, 0, k)
-    kth = best(seed, k).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("kth"))
-    started = asked.join(kth, "vec_id", "left").withColumn("floor", F.coalesce("kth", lowest)).drop("kth")
-    return best(grid(rows, started, shards, blocks, None, k), k)
+    first = aimed(asked.withColumn("floor", lowest), found, radii, True).withColumn("piece", F.lit(0))
+    seed = best(grid(base.where("piece = 0"), first, blocks, k), k)
+    kth = stage(seed.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("kth")), "kth")
+    started = asked.join(kth, "vec_id", "left").withColumn("floor", F.coalesce("kth", lowest))
+    sent = aimed(started, found, radii, False).join(pieces, ["dim", "cluster"])
+    sent = sent.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
+    return best(grid(base, sent, blocks, k), k)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

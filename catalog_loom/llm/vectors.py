@@ -26,6 +26,13 @@ def usable(vectors: DataFrame, zero: bool) -> DataFrame:
     return rows.withColumn("dim", F.size("v"))
 
 
+def asking(rows: DataFrame, every: int) -> DataFrame:
+    """vec_id, dim, v of the queries, the rows whose vec_id is divisible by every: one for each vec_id, the least if its
+    rows differ."""
+    least = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("least"))
+    return least.select("vec_id", "least.dim", "least.v")
+
+
 def best(found: DataFrame, k: int) -> DataFrame:
     """The k best rows of each query: query_id, rank, vec_id, score."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
