@@ -1,18 +1,22 @@
 """Approximate nearest neighbours by learned partitions.
 
-Fit, on a bounded sample (FIT_ROWS rows, those of smallest hash): the neighbour graph of the sample is cut into balanced
-parts by recursive spectral bisection and moves that keep the balance; a small network learns to predict the part of a
-vector; and the number of parts to visit is the smallest that finds RECALL of the neighbours of held-out sample rows.
+Fit, on a bounded sample (FIT_ROWS rows, or FIT_ROWS_PER_PART for each part if that is more; those of smallest hash): the
+neighbour graph of the sample is cut into balanced parts by recursive spectral bisection and moves that keep the balance; a
+small network learns to predict the part of a vector; and the number of parts to visit is the smallest that finds RECALL of
+the neighbours of held-out sample rows.
 
 Index and search: every row goes to its most probable part. A query goes to its several most probable parts, where all
 rows are scored in double precision. They are visited in three steps, the most probable one first, then some, then the
-rest; the kth score found so far goes along, and parts only return what reaches it. Parts are split into pieces of about PIECE_ROWS rows, so that a part that holds very
-many rows (copies of one vector, say) is many tasks. Queries that found fewer than k rows visit all parts.
+rest; the kth score found so far goes along, and parts only return what reaches it. Parts are split into pieces of about
+PIECE_ROWS rows, so that a part that holds very many rows (copies of one vector, say) is many tasks. Queries that found fewer
+than k rows visit all parts.
 
-Defined cases: vectors that are null, empty, zero, or hold null or non-finite components, and null ids, take no part;
-vectors are only compared with those of their own length, and only the commonest length is indexed; rows that repeat a
-vec_id are candidates each, and none is one for the query with that id; a repeated query is answered once; ties go to the
-smaller vec_id; an empty table gives no rows; further columns are ignored.
+Vectors are only compared with those of their own length. Each length of at least LEAST_INDEXED rows has an index of its own;
+the others have one part each, so that they are searched whole.
+
+Defined cases: vectors that are null, empty, zero, or hold null or non-finite components, and null ids, take no part; rows
+that repeat a vec_id are candidates each, and none is one for the query with that id; a repeated query is answered once, for
+the least of its vectors; ties go to the smaller vec_id; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,18 +26,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog_loom.llm.shared import stage, table
-from catalog_loom.llm.vectors import best, matrix, merge, usable
+from catalog_loom.llm.shared import mapped, release, stage, table
+from catalog_loom.llm.vectors import asking, best, matrix, merge, usable
 
 FIT_ROWS = 6144
 HELD_OUT = 384
 PIECE_ROWS = 8192
 BLOCK_ROWS = 4096
 ROWS_PER_PART = 512
-MOST_PARTS = 64
+MOST_PARTS = 256
+FIT_ROWS_PER_PART = 96
+LEAST_INDEXED = 1024
 HIDDEN = 64
 RECALL = 0.95
 FOUND = "query_id long, vec_id long, score double"
@@ -179,54 +185,63 @@ def scored(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids:
     return who[keep], row[keep], score[keep]
 
 
-def visit(index: DataFrame, routed: DataFrame, dim: int, k: int) -> DataFrame:
-    """routed(vec_id, v, floor, part, piece, block) against index(vec_id, v, part, piece)."""
+def visit(index: DataFrame, routed: DataFrame, k: int) -> DataFrame:
+    """routed(dim, vec_id, v, floor, part, piece, block) against index(dim, vec_id, v, part, piece, block)."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, asking = right["vec_id"].to_numpy(), left["vec_id"].to_numpy()
-        if len(ids) and len(asking):
-            q, p, s = scored(matrix(right["v"], dim), ids, matrix(left["v"], dim), asking, left["floor"].to_numpy(), k)
+        ids, asked = right["vec_id"].to_numpy(), left["vec_id"].to_numpy()
+        if len(ids) and len(asked):
+            dim = right["dim"][0].as_py()
+            q, p, s = scored(matrix(right["v"], dim), ids, matrix(left["v"], dim), asked, left["floor"].to_numpy(), k)
         else:
             q, p, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        return pa.table({"query_id": asking[q], "vec_id": ids[p], "score": s})
+        return pa.table({"query_id": asked[q], "vec_id": ids[p], "score": s})
 
-    keys = ["part", "piece", "block"]
+    keys = ["dim", "part", "piece", "block"]
     return routed.groupBy(keys).cogroup(index.groupBy(keys)).applyInArrow(run, FOUND)
 
 
-def near_neighbours(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
-    """query_id, rank, vec_id, score: rows whose vec_id is divisible by every ask for their k nearest."""
-    spark = vectors.sparkSession
-    rows = usable(vectors, zero=False)
-    lengths = rows.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    if not lengths:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, n = lengths[0]["dim"], lengths[0]["count"]
-    rows = rows.where(F.col("dim") == dim).drop("dim")
+def spread(rows: DataFrame, count: Column) -> DataFrame:
+    """rows(vec_id, ...) in pieces of their part, count of them."""
+    return rows.withColumn("piece", F.pmod(F.xxhash64("vec_id", F.lit(1)), count).cast("int"))
+
+
+def searched_whole(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """The nearest of each query among all rows of its length, for lengths of few rows."""
+    asked = asked.withColumns({"part": F.lit(0), "piece": F.lit(0), "block": F.lit(0), "floor": F.lit(float("-inf"))})
+    return best(visit(rows.withColumns({"part": F.lit(0), "piece": F.lit(0), "block": F.lit(0)}), asked, k), k)
+
+
+def searched(rows: DataFrame, asked: DataFrame, dim: int, n: int, k: int) -> DataFrame:
+    """The nearest found of each query among n rows of one length."""
     parts = 2 ** max(1, min(int(math.log2(MOST_PARTS)), round(math.log2(max(2, n / ROWS_PER_PART)))))
-    fitted_on = rows.select("v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).toArrow()
+    most = max(FIT_ROWS, FIT_ROWS_PER_PART * parts)
+    h = F.xxhash64("vec_id")
+    near = rows.where((h / F.lit(2.0**64) + 0.5) * n < 2 * most) if n > 2 * most else rows  # about twice as many as wanted are sorted
+    fitted_on = near.select("v").orderBy(h, "vec_id", "v").limit(most).toArrow()
     router, visits = fit(matrix(fitted_on["v"], dim), parts, k)
+    del fitted_on
+    release()
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = router(matrix(batch["v"], dim)) if batch.num_rows else np.zeros((0, parts))
-            ranked = pa.array(list(np.argsort(-p, axis=1, kind="stable").astype(np.int32)), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["v"], ranked], ["vec_id", "v", "ranked"])
+            order = np.argsort(-p, axis=1, kind="stable").astype(np.int32)
+            ranked = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * parts), pa.array(order.ravel()))
+            yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["dim"], batch["v"], pa.array(order[:, 0]), ranked], ["vec_id", "dim", "v", "part", "ranked"])
 
-    routed = stage(rows.mapInArrow(route, "vec_id long, v array<double>, ranked array<int>"), "routed")
-    asked = stage(routed.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]), "asked")
+    located = lambda df: mapped(df.select("vec_id", "dim", "v"), route, "vec_id long, dim int, v array<double>, part int, ranked array<int>")
+    index = stage(located(rows).drop("ranked"), "index")
+    asked = stage(located(asked), "asked")
     blocks = max(1, math.ceil(asked.count() / BLOCK_ROWS))
-    home = F.element_at("ranked", 1)
-    sizes = {r["part"]: r["count"] for r in routed.groupBy(home.alias("part")).count().collect()}  # at most MOST_PARTS rows
+    sizes = {r["part"]: r["count"] for r in index.groupBy("part").count().collect()}  # at most MOST_PARTS rows
     pieces = F.create_map(*[F.lit(x) for p in range(parts) for x in (p, math.ceil(sizes.get(p, 1) / PIECE_ROWS))])
-    spread = F.pmod(F.xxhash64("vec_id", F.lit(1)), pieces[home]).cast("int")
-    index = routed.select("vec_id", "v", home.alias("part"), spread.alias("piece"))
-    index = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    index = spread(index, pieces[F.col("part")]).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     block = F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)).cast("int").alias("block")
 
     def ask(queries: DataFrame, start: int, count: int) -> DataFrame:
-        to = queries.select("vec_id", "v", "floor", block, F.explode(F.slice("ranked", start, count)).alias("part"))
-        return visit(index, to.withColumn("piece", F.explode(F.sequence(F.lit(0), pieces[F.col("part")] - 1))), dim, k)
+        to = queries.select("vec_id", "dim", "v", "floor", block, F.explode(F.slice("ranked", start, count)).alias("part"))
+        return visit(index, to.withColumn("piece", F.explode(F.sequence(F.lit(0), pieces[F.col("part")] - 1))), k)
 
     lowest = F.lit(float("-inf"))
     some = min(visits, 1 + max(1, visits // 6))
@@ -244,5 +259,23 @@ def near_neighbours(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFra
     return best(found, k)
 
 
+def near_neighbours(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
+    """query_id, rank, vec_id, score: rows whose vec_id is divisible by every ask for their k nearest."""
+    rows = usable(vectors, zero=False).select("vec_id", "dim", "v")
+    sizes = {r["dim"]: r["count"] for r in rows.groupBy("dim").count().collect()}  # a row for each length
+    if not sizes:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    asked = asking(rows, every)
+    large = {dim: n for dim, n in sizes.items() if n >= LEAST_INDEXED}
+    found = [searched(rows.where(F.col("dim") == dim), asked.where(F.col("dim") == dim), dim, n, k) for dim, n in sorted(large.items())]
+    if len(large) < len(sizes):
+        small = ~F.col("dim").isin(*large) if large else F.lit(True)
+        found.append(searched_whole(rows.where(small), asked.where(small), k))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return best(out.drop("rank"), k) if len(found) > 1 else out
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_neighbours(table(spark, sf_dir, "embeddings"))
