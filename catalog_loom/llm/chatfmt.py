@@ -53,7 +53,7 @@ def format_preferences(turns: DataFrame) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations 2k and 2k + 1 make pair k; the even one is the chosen one."""
     turns = table(spark, sf_dir, "conversations").where("conv_id is not null")
-    return format_preferences(turns.select(F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id"), (F.pmod("conv_id", F.lit(2)) == 0).alias("chosen"), "turn", "role", "text"))
+    return format_preferences(turns.select(F.shiftright("conv_id", 1).cast("long").alias("pair_id"), (F.pmod("conv_id", F.lit(2)) == 0).alias("chosen"), "turn", "role", "text"))
 
 
 SQL = """
