@@ -1,6 +1,7 @@
 """BPE encoding and decoding by speculation: propose, verify, repair.
 
-A batch's texts are normalised and split into words as the vocabulary file says; only distinct words are encoded.
+Texts are normalised and split into words as the vocabulary file says (other rules than these are refused); only words that
+are not among the WORDS_KEPT ones seen last by this process are encoded.
 Propose: the longest vocabulary entry at each place, for all words at once. Verify: a sequence of entries is what merging
 would give if every entry is what merging makes of its own bytes and no adjacent two are joined across their border on
 the way; both are tested for arrays of entries (pairs seen before are looked up). Repair: only words that fail the test,
@@ -24,7 +25,7 @@ import json
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import ahocorasick
 import numpy as np
@@ -32,7 +33,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from catalog_loom.llm.shared import table
+from catalog_loom.llm.shared import mapped, table
 from catalog_loom.llm.textops import slices
 
 FILE = "word_bpe_49k.json"
@@ -40,8 +41,12 @@ END = "Ā"
 SUFFIX = "</w>"
 SPACES = r"\t-\r\x20\x85\xa0  -     　"
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACES}\p{{L}}\p{{N}}]+"
-SLICE = 1 << 22
-PAIRS_KEPT = 2_000_000
+SLICE = 1 << 20
+PAIRS_KEPT = 500_000
+WORDS_KEPT = 200_000
+# The rules of the vocabulary file that normalised and WORDS follow.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 NEVER = 1 << 30
 
 
@@ -64,6 +69,9 @@ class Vocabulary:
 
     def __init__(self, text: str):
         spec = json.loads(text)
+        split = [p for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if p["type"] == "Split"]
+        if (spec["normalizer"] or {}).get("normalizers") != NORMALIZERS or [p["pattern"] for p in split] != [{"Regex": SPLIT}] or spec["model"].get("end_of_word_suffix") != SUFFIX:
+            raise ValueError("the vocabulary file has other rules for words than those built in")
         letters = byte_letters()
 
         def key(entry: str) -> str:
@@ -108,6 +116,12 @@ class Vocabulary:
         self.known = np.zeros(0, np.int64)
         self.known_apart = np.zeros(0, bool)
         self.words = regex.compile(WORDS)
+        self._forget()
+
+    def _forget(self) -> None:
+        """numbers: of the words (and special ids) seen; kept_ids from kept_at[i] on: what word i is encoded to."""
+        self.numbers: dict[str | int, int] = {}
+        self.kept_ids, self.kept_at = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def merge_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         wanted = a << 32 | b
@@ -211,20 +225,24 @@ class Vocabulary:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and offsets."""
+        if len(self.numbers) > WORDS_KEPT:
+            self._forget()
         split = [self.pieces(t) if t else [] for t in texts]
-        index: dict = {}
+        index, known = self.numbers, len(self.numbers)
         number = np.fromiter((index.setdefault(w, len(index)) for w in chain.from_iterable(split)), np.int64)
         if not len(number):
-            return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
-        distinct = list(index)
-        special = [i for i, w in enumerate(distinct) if isinstance(w, int)]
-        ids, offsets, _ = self.encode_words(["a" if isinstance(w, int) else w for w in distinct] if special else distinct)
-        sizes = np.diff(offsets)
-        for i in special:
-            ids[offsets[i]] = distinct[i]
-        lengths = sizes[number]
+            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+        fresh = list(islice(index, known, None))
+        if fresh:
+            special = [i for i, w in enumerate(fresh) if isinstance(w, int)]
+            ids, offsets, _ = self.encode_words(["a" if isinstance(w, int) else w for w in fresh] if special else fresh)
+            for i in special:
+                ids[offsets[i]] = fresh[i]
+            self.kept_ids = np.concatenate([self.kept_ids, ids.astype(np.int32)])
+            self.kept_at = np.concatenate([self.kept_at, self.kept_at[-1] + offsets[1:]])
+        lengths = np.diff(self.kept_at)[number]
         ends = np.cumsum(lengths)
-        flat = ids[np.repeat(offsets[number] - (ends - lengths), lengths) + np.arange(ends[-1])]
+        flat = self.kept_ids[np.repeat(self.kept_at[number] - (ends - lengths), lengths) + np.arange(ends[-1])]
         word_ends = np.r_[0, np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))]
         return flat, np.r_[0, ends][word_ends]
 
@@ -246,9 +264,10 @@ _LOADED: dict[bytes, Vocabulary] = {}
 
 
 def loaded(packed: bytes) -> Vocabulary:
-    """The vocabulary of a packed file, kept for the life of the Python process."""
+    """The vocabulary of a packed file. A Python process keeps the last one."""
     key = hashlib.sha1(packed).digest()
     if key not in _LOADED:
+        _LOADED.clear()
         _LOADED[key] = Vocabulary(zlib.decompress(packed).decode())
     return _LOADED[key]
 
@@ -273,7 +292,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
         for part, ids, offsets in _encoded(batches, loaded(file)):
             yield pa.RecordBatch.from_arrays([part["doc_id"], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return mapped(docs.select("doc_id", "text"), run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -286,7 +305,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
             texts = loaded(file).decode(batch["ids"].flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(sizes)].astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return mapped(encoded.select("doc_id", "ids"), run, "doc_id long, text string")
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -301,7 +320,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
             of_text = [hashlib.sha256(t).hexdigest() for t in vocabulary.decode(ids, offsets)]
             yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(np.diff(offsets)), pa.array(of_ids), pa.array(of_text)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return mapped(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
