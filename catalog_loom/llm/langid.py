@@ -4,12 +4,13 @@ A text's bytes, in lower case, are cut into windows of WINDOW bytes; the network
 in both directions, and gives every byte a probability for each language. A document's probabilities are the means over
 all its bytes. Both directions and all windows of a batch run side by side, so a step is a few operations on arrays.
 
-The fit uses a bounded sample, CLIP characters of each document from a hashed place: FIT_DOCS documents are shared among
-the languages alike, what a rare language leaves goes to the others, and no language is given fewer than LEAST_DOCS
-unless it has fewer (so with very many languages the bound is LEAST_DOCS of each). Within a language those of smallest
-hash are taken; repeated rows count once. The network is fitted to this sample, and the logarithm of what a sampled
-document stands for is then added to its language's bias, which restores the shares. Every document is labelled over its
-whole text.
+The fit uses a bounded sample of whole documents: FIT_DOCS documents are shared among the languages alike, what a rare
+language leaves goes to the others, and no language is given fewer than LEAST_DOCS unless it has fewer (so with very many
+languages the bound is LEAST_DOCS of each); their texts share FIT_BYTES, alike among the languages, and a text that doesn't
+fit any more is left out of the fit. Within a language those of smallest hash are taken; a doc_id counts once. A step of the
+fit draws documents and then a window of each, anywhere in its text. The network is fitted to this sample, and the logarithm
+of what a sampled document stands for is then added to its language's bias, which restores the shares. Every document is
+labelled over its whole text.
 
 Defined cases: a null text or one without a letter is "und" with score 0; if nothing can be learned, all are "und" with
 score 0; repeated rows are labelled alike; a null doc_id is not held out and not learned from; an empty table gives no
@@ -18,7 +19,7 @@ rows; further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog_loom.llm.samples import held_out, remainder
-from catalog_loom.llm.shared import table
-from catalog_loom.llm.textops import fold_case, slices
+from catalog_loom.llm.shared import free_name, mapped, release, table
+from catalog_loom.llm.textops import buffers, fold_case, slices
 
 FIT_DOCS = 6000
 LEAST_DOCS = 64
-CLIP = 256
+FIT_BYTES = 48 << 20
 HIDDEN = 8
 WINDOW = 256
 FIT_WINDOW = 64
@@ -130,14 +131,13 @@ class Network:
         grad["table"][code[first]] = np.add.reduceat(np.concatenate(to_bytes)[order], first)
         return grad
 
-    def fit(self, data: np.ndarray, live: np.ndarray, y: np.ndarray, steps: int = 500, batch: int = 128, rate: float = 0.02) -> None:
-        """Adam over random batches of windows (columns of data)."""
+    def fit(self, draw: Callable[[np.random.Generator, int], tuple[np.ndarray, np.ndarray, np.ndarray]], steps: int = 500, batch: int = 128, rate: float = 0.02) -> None:
+        """Adam over batches of windows: draw gives data, live and languages of as many as it is asked for."""
         rng = np.random.default_rng(4)
         m = {k: np.zeros_like(v) for k, v in self.w.items()}
         v = {k: np.zeros_like(x) for k, x in self.w.items()}
         for step in range(1, steps + 1):
-            rows = rng.integers(0, len(y), batch)
-            grad = self.gradient(data[:, rows], live[:, rows], y[rows])
+            grad = self.gradient(*draw(rng, batch))
             norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
             now = rate * (1 - step / (steps + 1)) * min(1.0, 1.0 / (norm + 1e-9))
             for k, g in grad.items():
@@ -172,16 +172,21 @@ def fit(texts: pa.ChunkedArray, names: list[str], totals: dict[str, int]) -> Lab
     labeller = Labeller(sorted(set(names)))
     if len(labeller.languages) < 2:
         return labeller
-    y_of_docs = np.searchsorted(labeller.languages, names)
-    found: list[tuple[np.ndarray, ...]] = []
-    span = np.arange(FIT_WINDOW)
-    for lo, _, raw, at in slices(texts):
-        low = fold_case(raw)
-        start, size, row = windows(low, at, FIT_WINDOW)
-        found.append((low[np.minimum(start + span[:, None], max(0, len(low) - 1))].astype(np.int32), (span[:, None] < size).astype(np.float32), y_of_docs[lo + row]))
-    data, live, y = np.concatenate([f[0] for f in found], axis=1), np.concatenate([f[1] for f in found], axis=1), np.concatenate([f[2] for f in found])
-    labeller.network.fit(data, live, y)
-    stands_for = np.array([totals[x] for x in labeller.languages]) / np.bincount(y_of_docs, minlength=len(labeller.languages))
+    y = np.searchsorted(labeller.languages, names)
+    raw, at = buffers(texts)
+    low = fold_case(raw)
+    number = -(-np.diff(at) // FIT_WINDOW)
+    span = np.arange(FIT_WINDOW)[:, None]
+
+    def draw(rng: np.random.Generator, many: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        docs = rng.integers(0, len(y), many)
+        nth = (rng.random(many) * number[docs]).astype(np.int64)
+        place = at[docs] + nth * FIT_WINDOW + span
+        live = place < at[docs + 1]
+        return low[np.minimum(place, len(low) - 1)].astype(np.int32), live.astype(np.float32), y[docs]
+
+    labeller.network.fit(draw)
+    stands_for = np.array([totals[x] for x in labeller.languages]) / np.bincount(y, minlength=len(labeller.languages))
     labeller.network.w["bias"] += np.log(stands_for / stands_for.max()).astype(np.float32)
     return labeller
 
@@ -204,18 +209,31 @@ def sample(docs: DataFrame) -> tuple[pa.Table, dict[str, int]]:
         return known.select("lang", "text").limit(0).toArrow(), {}
     # A row's rank is about its place among the hashes of its language, as a part of what is taken of it; 0 if all are.
     part = {r["lang"]: r["ids"] / take[r["lang"]] if r["ids"] > take[r["lang"]] else 0.0 for r in found}
-    parts = docs.sparkSession.createDataFrame(list(part.items()), "lang string, part double")
-    start = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.greatest(F.length("text") - CLIP, F.lit(0)) + 1).cast("int") + 1
+    spark = docs.sparkSession
+    parts = spark.createDataFrame(list(part.items()), "lang string, part double")
     h = F.xxhash64("doc_id")
-    ranked = known.join(F.broadcast(parts), "lang").withColumn("rank", (h / F.lit(2.0**64) + 0.5) * F.col("part"))
-    near = ranked.where(F.col("rank") < 2).select("rank", h.alias("h"), "doc_id", "lang", F.substring("text", start, F.lit(CLIP)).alias("text")).distinct()
-    got = near.orderBy("rank", "h", "doc_id", "lang", "text").limit(sum(take.values())).toArrow()
+    ranked = known.join(F.broadcast(parts), "lang").withColumn("rank", (h / F.lit(2.0**64) + 0.5) * F.col("part")).where(F.col("rank") < 2)
+    each = ranked.groupBy("lang", "doc_id").agg(F.min("rank").alias("rank"), F.min(F.octet_length("text")).alias("bytes"))
+    near = each.orderBy("rank", "doc_id", "lang").limit(sum(take.values())).collect()
+    left = dict.fromkeys(take, FIT_BYTES // len(take))
+    chosen = []
+    for row in near:
+        if row["bytes"] <= left[row["lang"]]:
+            left[row["lang"]] -= row["bytes"]
+            chosen.append((row["lang"], row["doc_id"], row["bytes"]))
+    if not chosen:
+        return known.select("lang", "text").limit(0).toArrow(), {}
+    fits = spark.createDataFrame(chosen, f"lang string, doc_id {docs.schema['doc_id'].dataType.simpleString()}, bytes int")
+    texts = known.join(F.broadcast(fits), ["lang", "doc_id"]).where(F.octet_length("text") == F.col("bytes")).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    got = texts.toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
     return got.select(["lang", "text"]), {r["lang"]: r["rows"] for r in found}
 
 
 def learn(docs: DataFrame) -> Labeller:
     got, totals = sample(docs)
-    return fit(got["text"], got["lang"].to_pylist(), totals) if got.num_rows else Labeller([])
+    labeller = fit(got["text"], got["lang"].to_pylist(), totals) if got.num_rows else Labeller([])
+    release()
+    return labeller
 
 
 def _labelled(batch: pa.RecordBatch, letters: str, labeller: Labeller) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -242,19 +260,19 @@ def languages(docs: DataFrame, labeller: Labeller) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([rest["doc_id"], rest["held_out"], lang, pa.array(p)], ["doc_id", "held_out", "lang_pred", "score"])
 
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters")
-    return docs.select("doc_id", held_out(4, 2).alias("held_out"), "text", letters).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return mapped(docs.select("doc_id", held_out(4, 2).alias("held_out"), "text", letters), run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, labeller: Labeller, least: float = 0.4) -> DataFrame:
     """The documents that have a language, with a mean probability of at least least; with all their columns."""
-    mark, columns = "__has_letters", docs.columns
+    mark, columns = free_name(docs.columns, "has_letters"), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rest, which, p in _labelled(batch, mark, labeller):
                 yield rest.select(columns).filter(pa.array((which >= 0) & (p >= least)))
 
-    return docs.withColumn(mark, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, docs.schema)
+    return mapped(docs.withColumn(mark, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))), run, docs.schema)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

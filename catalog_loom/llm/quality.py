@@ -5,7 +5,7 @@ the word before, the variety of its words, their mean length and its length; a l
 w.(tanh(V h) * sigmoid(U h)) with a softmax over the document's passages, weighs the encodings, and a logistic function
 of the weighted encoding is the score. All weights are learned together from document labels.
 
-The fit uses a bounded sample (SAMPLE documents of each class, with all their passages); every document is scored over
+The fit uses a bounded sample (SAMPLE documents of each class and samples.MOST_BYTES, with all their passages); every document is scored over
 all its passages.
 
 Defined cases: null and empty texts have one empty passage; repeated rows are scored alike; a null doc_id is not held out
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from catalog_loom.llm.samples import held_out, labelled
-from catalog_loom.llm.shared import table
+from catalog_loom.llm.shared import mapped, release, table
 from catalog_loom.llm.textops import NOT_SPACE, Rolling, mix, slices, spans
 
 SAMPLE = (2000, 3000)
@@ -89,6 +89,18 @@ class Model:
             return np.full(len(at) - 1, self.constant)
         return self.forward(*passages(raw, at))[-1].astype(np.float64)
 
+    def gradient(self, x: np.ndarray, row: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the weighted mean cross entropy of whole documents."""
+        w = self.w
+        h, t, g, p, heads, z, score = self.forward(x, row)
+        d = (weight * (score - y) / weight.sum()).astype(x.dtype)
+        dz = d[:, None] * w["c"]
+        dp = (dz[row] * h).sum(axis=1)
+        ds = p * (dp - np.add.reduceat(p * dp, heads)[row])
+        dt, dg = ds[:, None] * w["a"] * g * (1 - t * t), ds[:, None] * w["a"] * t * g * (1 - g)
+        dh = (p[:, None] * dz[row] + dt @ w["v"].T + dg @ w["u"].T) * (1 - h * h)
+        return {"c": z.T @ d, "cb": d.sum(keepdims=True), "a": (t * g).T @ ds, "v": h.T @ dt, "u": h.T @ dg, "e": x.T @ dh, "eb": dh.sum(axis=0)}
+
     def fit(self, x: np.ndarray, row: np.ndarray, y: np.ndarray, weight: np.ndarray, least_steps: int = 1200, batch: int = 96, rate: float = 0.01) -> None:
         self.constant = None
         rng = np.random.default_rng(9)
@@ -102,15 +114,7 @@ class Model:
                 many = first[docs + 1] - first[docs]
                 rows = np.repeat(first[docs] - (np.cumsum(many) - many), many) + np.arange(many.sum())
                 bag = np.repeat(np.arange(len(docs)), many)
-                own = x[rows]
-                h, t, g, p, heads, z, score = self.forward(own, bag)
-                d = (weight[docs] * (score - y[docs]) / weight[docs].sum()).astype(np.float32)
-                dz = d[:, None] * w["c"]
-                dp = (dz[bag] * h).sum(axis=1)
-                ds = p * (dp - np.add.reduceat(p * dp, heads)[bag])
-                dt, dg = ds[:, None] * w["a"] * g * (1 - t * t), ds[:, None] * w["a"] * t * g * (1 - g)
-                dh = (p[:, None] * dz[bag] + dt @ w["v"].T + dg @ w["u"].T) * (1 - h * h)
-                grad = {"c": z.T @ d, "cb": d.sum(keepdims=True), "a": (t * g).T @ ds, "v": h.T @ dt, "u": h.T @ dg, "e": own.T @ dh, "eb": dh.sum(axis=0)}
+                grad = self.gradient(x[rows], bag, y[docs], weight[docs])
                 step += 1
                 now = rate * (1 - epoch / epochs)
                 for k, gr in grad.items():
@@ -130,7 +134,9 @@ def fit(texts: pa.ChunkedArray, y: np.ndarray, weight: np.ndarray) -> Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
-    return fit(*labelled(docs, labels, "quality", 4, 2, SAMPLE))
+    model = fit(*labelled(docs, labels, "quality", 4, 2, SAMPLE))
+    release()
+    return model
 
 
 def quality(docs: DataFrame, model: Model) -> DataFrame:
@@ -143,7 +149,7 @@ def quality(docs: DataFrame, model: Model) -> DataFrame:
                 rest = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([rest["doc_id"], rest["held_out"], pa.array(score), pa.array((score >= 0.7).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select("doc_id", held_out(4, 2).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return mapped(docs.select("doc_id", held_out(4, 2).alias("held_out"), "text"), run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
