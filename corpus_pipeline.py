@@ -2,8 +2,9 @@
 
 Each stage takes all rows that its predecessor kept, in a table that is written and read again. Documents with a toxicity
 score of 0.5 or more go; so do those without a language or with one of low probability; of each group of near duplicates
-the row of smallest doc_id stays (and one of its rows without a doc_id); the mix repeats, cuts or drops documents until its sources meet their targets; the last
-stage gives each remaining text's number of tokens and digests. Empty tables pass through all stages.
+the row of smallest doc_id stays (one without a doc_id only where none has any); the mix repeats, cuts or drops documents
+until its sources meet their targets; the last stage gives each remaining text's number of tokens and digests. Empty tables
+pass through all stages.
 """
 
 from __future__ import annotations
