@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from catalog_loom.functions import text as tx
 from catalog_loom.functions import unicode as un
-from catalog_loom.operators import coverage, dedup, extract, load, quality, variants
+from catalog_loom.operators import coverage, dedup, extract, load, quality, retrieval, variants
+from catalog_loom.operators.order import numbered
 from catalog_loom.plans.queries import QUERIES, SQL
 from catalog_loom.sources import files
 
@@ -231,3 +232,34 @@ def test_against_sql(spark, name):
     want = sorted(tuple(_shown(r[have.index(c)]) for c in columns) for r in cursor.fetchall())
     assert sorted(have) == columns
     assert sorted(tuple(_shown(v) for v in r) for r in df.select(columns).collect()) == want
+
+
+def test_embedding_batches_that_fail(spark):
+    """A batch whose call fails gives no rows and stops no other; written back, other vectors stay."""
+
+    def call(texts):
+        if "bad" in texts:
+            raise OSError("refused")
+        return [[float(len(t))] for t in texts]
+
+    texts = spark.createDataFrame([(1, "a"), (2, "bad"), (3, "ccc")], "episode_id long, text string").coalesce(1)
+    vectors = retrieval.embed(texts, call, batch=1)
+    assert sorted((r["episode_id"], list(r["embedding"])) for r in vectors.collect()) == [(1, [1.0]), (3, [3.0])]
+    episodes = spark.createDataFrame([(1, None), (2, [9.0]), (3, [8.0])], "id long, embedding array<float>")
+    assert {r["id"]: list(r["embedding"]) for r in retrieval.write_back(episodes, vectors).collect()} == {1: [1.0], 2: [9.0], 3: [3.0]}
+
+
+def test_first_bad_dates(spark):
+    df = spark.createDataFrame([(f"{d}.02.2020",) for d in range(25, 35)] + [(None,)], "release_date string")
+    assert [r["release_date"] for r in quality.bad_dates(df, tx.release_date(F.col("release_date"))).collect()] == ["30.02.2020", "31.02.2020", "32.02.2020", "33.02.2020", "34.02.2020"]
+
+
+def test_places_and_upserts(spark):
+    """Places follow the order over all ranges; of incoming rows that repeat a key one stays."""
+    df = spark.createDataFrame([(i * 37 % 101, i % 3) for i in range(101)], "x int, y int").repartition(5)
+    got = {r["x"]: r["place"] for r in numbered(df, F.col("y").desc(), "x").collect()}
+    want = sorted(((-(i % 3), i * 37 % 101) for i in range(101)))
+    assert got == {x: n + 1 for n, (_, x) in enumerate(want)} and numbered(df.limit(0), "x").count() == 0
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    new = spark.createDataFrame([(2, "c"), (2, "d"), (3, "e")], "k int, v string")
+    assert sorted(tuple(r) for r in load.upsert(old, new, ["k"]).collect()) == [(1, "a"), (2, "d"), (3, "e")]
