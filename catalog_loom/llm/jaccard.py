@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from catalog_loom.llm.components import components
-from catalog_loom.llm.shared import free_name, join_by_size, mapped, named, stage, table
+from catalog_loom.llm.shared import free_name, join_by_size, mapped, named, observed, stage, table
 from catalog_loom.llm.textops import ASCII_LOWER, NOT_SPACE, Rolling, buffers, mix, slices, spans
 
 WORDS = 5
@@ -359,10 +359,11 @@ def gathered(posts: DataFrame) -> DataFrame:
     posts = posts.withColumn("salt", F.when(level == 0, F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("cls"), salts)))
     by = Window.partitionBy("tok", "salt")
     posts = posts.withColumn("first", F.min(F.struct("cls", "n")).over(by)).withColumn("last", F.max("cls").over(by)).withColumn("many", F.count("*").over(by))
-    found = stage(posts.where((level > 0) | (F.col("first.cls") != F.col("last"))).drop("salt"), "postings")
+    kept = posts.where((level > 0) | (F.col("first.cls") != F.col("last"))).drop("salt")
+    found, of = observed(kept, "postings", common=F.count_if(level > 0))
     hub = [F.col("first.cls").alias("hub"), F.col("first.n").alias("hub_n")]
     rare, common = found.where(level == 0).select("tok", "cls", "n", "many", *hub), found.where(level > 0)
-    total = common.count()
+    total = of["common"]
     if not total:
         return rare
     whole = common.groupBy("tok").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.count("*").alias("rows")).where(F.col("first.cls") != F.col("last"))
@@ -373,21 +374,22 @@ def gathered(posts: DataFrame) -> DataFrame:
 
 def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """For documents with a row_key: doc_id, row_key, n, cls of each; cls, root, component_id, copies of each class; and the
-    number of documents."""
+    number of documents with words."""
     context = docs.sparkSession.sparkContext
     shared_ids = np.zeros(0, np.int64)
     while True:
         found = stage(described(docs, shared_ids), "described")
         rows = found.where("block is null").select("doc_id", "row_key", "n", "cls", "more")
         known = rows.where("cls is not null").groupBy("cls")
-        sets = stage(known.agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min("more").alias("low"), F.max("more").alias("high")), "sets")
-        clashing = [r["cls"] for r in sets.where("low <> high").select("cls").limit(MOST_CLASHES + 1).collect()]
-        if not clashing:
+        sets = known.agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min("more").alias("low"), F.max("more").alias("high"))
+        sets, of = observed(sets, "sets", clashes=F.count_if(F.col("low") != F.col("high")), documents=F.coalesce(F.sum("copies"), F.lit(0)))
+        if not of["clashes"]:
             break
-        if len(clashing) > MOST_CLASHES:
+        if of["clashes"] > MOST_CLASHES:
             raise ValueError("far more sets share 64 bits of their hash than chance allows")
+        clashing = [r["cls"] for r in sets.where("low <> high").select("cls").collect()]
         shared_ids = np.unique(np.concatenate([shared_ids, np.array(clashing, np.int64)]))
-    rows, sets = rows.drop("more"), sets.drop("low", "high")
+    rows, sets, n_docs = rows.drop("more"), sets.drop("low", "high"), of["documents"]
 
     sent = context.broadcast(zlib.compress(levels(found.where("block is not null")).tobytes(), 1))  # 2 ** SKETCH_BITS bytes at most
     shared = gathered(postings(docs, sent, shared_ids))
@@ -405,15 +407,14 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     good = stage(links(tried, texts), "links")
     roots = components(good)
     crowd = crowd.select("tok", "cls", "n").distinct().join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    crowd = stage(crowd, "crowd")
-    total = crowd.count()
+    crowd, of = observed(crowd, "crowd", n=F.count("*"))
+    total = of["n"]
     ends = crowd.groupBy("tok").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("many")).where("low <> high").select("tok", "many")
-    apart = stage(join_by_size(crowd, ends, "tok", "many", total), "apart") if total else crowd
-    if not apart.isEmpty():
+    apart, of = observed(join_by_size(crowd, ends, "tok", "many", total), "apart", n=F.count("*")) if total else (crowd, {"n": 0})
+    if of["n"]:
         reached = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))  # these have the components of the links found so far
         roots = components(reached.unionByName(stage(blockwise(apart, texts, total), "links")))
 
-    n_docs = rows.count()
     rooted = stage(sets.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")), "rooted")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("many"))
     named_sets = join_by_size(rooted, ids, "root", "many", n_docs).select("cls", "root", "component_id", "copies")

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from catalog_loom.llm.shared import any_cold, join_by_size, named, stage, table
+from catalog_loom.llm.shared import any_cold, join_by_size, named, observed, stage, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 UNIT = 1_000_000_000
@@ -76,15 +76,14 @@ def with_targets(sources: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     return s.withColumn("target", F.least(cap.cast("double"), F.col("weight") * F.lit(float(level))))
 
 
-def balanced(histogram: DataFrame, sources: DataFrame, steps: int = 40, tolerance: float = 1e-7) -> DataFrame:
-    """sources with theta, the dual multiplier. Sources whose target is 0 or twice their size need none."""
+def balanced(histogram: DataFrame, sources: DataFrame, steps: int = 60, tolerance: float = 1e-7) -> DataFrame:
+    """sources with theta, the dual multiplier. Sources whose target is 0 or twice their size need none. Newton's steps are
+    taken on the logarithm of the words that the rates give, which is nearly a line."""
     inner = (F.col("target") > 0) & (F.col("target") < 2 * F.col("source_size"))
-    start = F.when(inner, F.log(F.col("target") / F.col("source_size")))
-    state = stage(
-        sources.withColumn("mean_size", F.col("source_size") / F.greatest("n_docs", F.lit(1)))
-        .withColumn("theta", start).withColumn("low", F.when(inner, F.lit(-60.0))).withColumn("high", F.when(inner, F.lit(60.0))),
-        "dual",
-    )
+    start = F.log(F.col("target") / F.col("source_size")) * F.col("mean_size") * F.col("source_size") / F.col("second")
+    state = sources.withColumn("mean_size", F.col("source_size") / F.greatest("n_docs", F.lit(1)))
+    state = state.withColumn("theta", F.when(inner, F.least(F.greatest(start, F.lit(-50.0)), F.lit(50.0))))
+    state = stage(state.withColumn("low", F.when(inner, F.lit(-60.0))).withColumn("high", F.when(inner, F.lit(60.0))), "dual")
     rate = F.exp(F.col("theta") * F.col("size") / F.col("mean_size"))
     for _ in range(steps):
         words = F.col("n") * F.col("size")
@@ -93,20 +92,20 @@ def balanced(histogram: DataFrame, sources: DataFrame, steps: int = 40, toleranc
             F.sum(words.cast("decimal(38,0)") * F.round(F.least(rate, F.lit(2.0)) * UNIT).cast("decimal(12,0)")).alias("got"),
             F.sum(words.cast("decimal(38,0)") * F.round(F.least(slope, F.lit(1e6)) * 1e6).cast("decimal(14,0)")).alias("slope"),
         )
-        miss = F.col("got").cast("double") / UNIT - F.col("target")
-        newton = F.col("theta") - miss / (F.col("slope").cast("double") / 1e6)
+        got = F.col("got").cast("double") / UNIT
+        miss = got - F.col("target")
+        newton = F.col("theta") - F.try_divide(F.log(got / F.col("target")) * got, F.col("slope").cast("double") / 1e6)
         low, high = F.when(miss < 0, F.col("theta")).otherwise(F.col("low")), F.when(miss > 0, F.col("theta")).otherwise(F.col("high"))
         near = F.abs(miss) <= tolerance * F.col("target")
-        state = stage(
-            state.join(sums, "skey", "left").withColumn("done", F.col("theta").isNull() | near)
+        moved = (
+            state.drop("done").join(sums, "skey", "left").withColumn("done", F.col("theta").isNull() | near)
             .withColumn("low_", low).withColumn("high_", high)
             .withColumn("theta", F.when(F.col("done"), F.col("theta")).when((newton > F.col("low_")) & (newton < F.col("high_")), newton).otherwise((F.col("low_") + F.col("high_")) / 2))
-            .withColumn("low", F.col("low_")).withColumn("high", F.col("high_")).drop("low_", "high_", "got", "slope"),
-            "dual",
+            .withColumn("low", F.col("low_")).withColumn("high", F.col("high_")).drop("low_", "high_", "got", "slope")
         )
-        if state.where("not done").isEmpty():
+        state, of = observed(moved, "dual", open=F.count_if(~F.col("done")))
+        if not of["open"]:
             break
-        state = state.drop("done")
     return state
 
 
@@ -115,7 +114,8 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     rows = stage(sized(docs), "sized")
     histogram = stage(rows.groupBy("skey", "size").agg(F.count("*").alias("n")), "histogram")
     sources = histogram.groupBy("skey").agg(
-        F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0)).alias("n_docs"), F.sum("n").alias("many"))
+        F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0)).alias("n_docs"), F.sum("n").alias("many"),
+        F.sum((F.col("size") * F.col("n")).cast("decimal(20,0)") * F.col("size").cast("decimal(12,0)")).cast("double").alias("second"))
     solved = balanced(histogram, with_targets(sources)).select("skey", "source_size", "target", "mean_size", "theta", "many")
     total = solved.agg(F.coalesce(F.sum("many"), F.lit(0))).first()[0]
     cold = any_cold(solved, "many", total)

@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -58,6 +58,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def observed(df: DataFrame, name: str, **values: Column) -> tuple[DataFrame, dict]:
+    """stage(df, name), and aggregates over its rows that were taken while they were written."""
+    seen = Observation()
+    return stage(df.observe(seen, *[v.alias(k) for k, v in values.items()]), name), seen.get
+
+
 def release() -> None:
     """Give freed memory back to the system: Python workers are reused, and what one stage has freed they'd keep."""
     pa.default_memory_pool().release_unused()

@@ -80,13 +80,17 @@ def spans(inside: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS["up"]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        for key, base in (("up", _MULTIPLIER), ("down", _INVERSE)):
-            factors = np.full(size, base, np.uint64)
-            factors[0] = 1
-            _POWERS[key] = np.multiply.accumulate(factors)
-    return _POWERS["up"], _POWERS["down"]
+    """Powers of the multiplier and of its inverse, n at least; kept for slices of usual size only."""
+    if len(_POWERS["up"]) >= n:
+        return _POWERS["up"], _POWERS["down"]
+    size, out = max(n, SLICE_BYTES + 1), {}
+    for key, base in (("up", _MULTIPLIER), ("down", _INVERSE)):
+        factors = np.full(size, base, np.uint64)
+        factors[0] = 1
+        out[key] = np.multiply.accumulate(factors, out=factors)
+    if n <= SLICE_BYTES + 1:
+        _POWERS.update(out)
+    return out["up"], out["down"]
 
 
 class Rolling:
@@ -95,7 +99,9 @@ class Rolling:
     def __init__(self, raw: np.ndarray):
         up, self._down = _powers(len(raw) + 1)
         self._sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_BYTE_CODES[raw] * up[: len(raw)], out=self._sums[1:])
+        codes = _BYTE_CODES[raw]
+        codes *= up[: len(raw)]
+        np.cumsum(codes, out=self._sums[1:])
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return (self._sums[ends] - self._sums[starts]) * self._down[starts]

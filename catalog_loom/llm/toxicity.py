@@ -9,8 +9,8 @@ forward-backward marginals.
 A text's marginals come from the whole text; their largest log odds and their sum give its score by a logistic function
 fitted on the same sample. The spans of tokens that are toxic with probability over 0.5 are returned as character offsets.
 
-The sample is bounded (SAMPLE documents of each class, with their whole texts, for fitting only) and the fit goes over it
-in runs of FIT_BYTES, so that only a run's arrays are held at once; every document is scored over its whole text.
+The sample is bounded (SAMPLE documents of each class, with their whole texts, and samples.MOST_BYTES) and the fit goes over it
+in runs of about RUN_TOKENS, so that only a run's arrays are held at once; every document is scored over its whole text.
 
 Defined cases: null and empty texts, and texts without letters, have the score of a text with no toxic token; repeated
 rows are scored alike; a null doc_id is not held out and not learned from; without labels of both classes every score is
@@ -26,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from catalog_loom.llm.samples import held_out, labelled
-from catalog_loom.llm.shared import table
+from catalog_loom.llm.shared import mapped, release, table
 from catalog_loom.llm.textops import IS_LETTER, Rolling, fold_case, mix, slices, spans
 
 SAMPLE = (2500, 1500)
-FIT_BYTES = 1 << 22
+RUN_TOKENS = 400_000
+SHARES = 8
 BITS = 18
 PREFIXES = (4, 5)
 SCORED = "doc_id long, held_out boolean, score double, predicted int, spans array<struct<start:int,end:int>>"
@@ -148,9 +149,12 @@ def token_labels(buckets: np.ndarray, owner: np.ndarray, words: np.ndarray, toxi
 
     for row in buckets:
         def spread(which: np.ndarray, what: Callable[[np.ndarray], np.ndarray], row: np.ndarray = row) -> np.ndarray:
-            at = np.flatnonzero(which)
-            pair = np.unique((row[at].astype(np.uint64) << np.uint64(40)) | (mix(what(at), 23) >> np.uint64(24)))
-            return np.bincount((pair >> np.uint64(40)).astype(np.int64), minlength=size)
+            out = np.zeros(size, np.int64)
+            for part in range(SHARES):
+                at = np.flatnonzero(which & (row % SHARES == part))
+                pair = np.unique((row[at].astype(np.uint64) << np.uint64(40)) | (mix(what(at), 23) >> np.uint64(24)))
+                out += np.bincount((pair >> np.uint64(40)).astype(np.int64), minlength=size)
+            return out
 
         often = np.bincount(row[mine], minlength=size) >= contexts
         use = often[row]
@@ -226,27 +230,33 @@ def fit(texts: pa.ChunkedArray, y: np.ndarray, weight: np.ndarray) -> Scorer:
     scorer = Scorer(share)
     if not len(y) or y.min() == y.max():
         return scorer
-    kept = []
-    for lo, hi, raw, at in slices(texts, FIT_BYTES):
+    kept: list[list[np.ndarray]] = [[], [], [], []]
+    for lo, hi, raw, at in slices(texts):
         buckets, _, _, counts, words = tokens(raw, at)
-        kept.append((buckets, np.repeat(np.arange(lo, hi, dtype=np.int32), counts), words, counts))
-    buckets = np.concatenate([k[0] for k in kept], axis=1)
-    owner, words, counts = (np.concatenate([k[i] for k in kept]) for i in (1, 2, 3))
-    sizes = [len(k[1]) for k in kept]
-    del kept  # the driver is small
+        for part, new in zip(kept, (buckets, np.repeat(np.arange(lo, hi, dtype=np.int32), counts), words, counts), strict=True):
+            part.append(new)
+    joined = []
+    while kept:  # one after another: the driver is small
+        joined.append(np.concatenate(kept.pop(0), axis=-1))
+    buckets, owner, words, counts = joined
+    del joined
     first, last = edges(counts)
     labels = token_labels(buckets, owner, words, y == 1)
     del owner, words
-    ends = np.cumsum(sizes)
-    runs = [(buckets[:, b - n : b], first[b - n : b], last[b - n : b], labels[b - n : b]) for b, n in zip(ends.tolist(), sizes, strict=True) if n]
-    scorer.field.fit(runs)
-    rows = np.concatenate([scorer.evidence(raw, at)[0] for _, _, raw, at in slices(texts, FIT_BYTES)])
+    stops = np.r_[0, np.flatnonzero(last) + 1]  # of documents with tokens
+    cuts = np.unique(np.r_[stops[np.searchsorted(stops, np.arange(0, stops[-1], RUN_TOKENS))], stops[-1]]).tolist()
+    scorer.field.fit([(buckets[:, a:b], first[a:b], last[a:b], labels[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+    del buckets, first, last, labels
+    release()
+    rows = np.concatenate([scorer.evidence(raw, at)[0] for _, _, raw, at in slices(texts)])
     scorer.line = logistic(rows, y, weight, scorer.line)
     return scorer
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
-    return fit(*labelled(docs, labels, "toxic", 5, 0, SAMPLE))
+    scorer = fit(*labelled(docs, labels, "toxic", 5, 0, SAMPLE))
+    release()
+    return scorer
 
 
 def toxicity(docs: DataFrame, scorer: Scorer) -> DataFrame:
@@ -266,7 +276,7 @@ def toxicity(docs: DataFrame, scorer: Scorer) -> DataFrame:
                 rest = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([rest["doc_id"], rest["held_out"], pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.ListArray.from_arrays(offsets, ranges)], ["doc_id", "held_out", "score", "predicted", "spans"])
 
-    return docs.select("doc_id", held_out(5, 0).alias("held_out"), "text").mapInArrow(run, SCORED)
+    return mapped(docs.select("doc_id", held_out(5, 0).alias("held_out"), "text"), run, SCORED)
 
 
 def keep_clean(docs: DataFrame, scorer: Scorer, threshold: float = 0.5) -> DataFrame:
@@ -278,7 +288,7 @@ def keep_clean(docs: DataFrame, scorer: Scorer, threshold: float = 0.5) -> DataF
                 score = scorer.score(scorer.evidence(raw, at)[0])
                 yield batch.slice(lo, hi - lo).filter(pa.array(score < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,11 +107,11 @@ def test_jaccard_odd(odd, empty):
     assert jaccard.joined(empty).count() == 0
     kept = jaccard.keep_one(odd)
     assert kept.columns == odd.columns
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "2", "3", "4", "5", "6", "7", "8", "9", "None"])
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "2", "3", "4", "5", "6", "7", "8", "9"])
 
 
 def brute_survivors(rows):
-    """Of each component the smallest doc_id that stays and whether a row without one stays; and rows without words."""
+    """Of each component the smallest doc_id, which stays (None if there is none); and rows without words."""
     sets, above = [shingle_set(t) for _, t in rows], list(range(len(rows)))
 
     def top(x):
@@ -129,8 +129,8 @@ def brute_survivors(rows):
         if sets[i]:
             groups.setdefault(top(i), []).append(d)
     bare = sorted(str(d) for i, (d, _) in enumerate(rows) if not sets[i])
-    want = [str(min(x for x in g if x is not None)) for g in groups.values() if any(x is not None for x in g)]
-    return sorted(want + ["None" for g in groups.values() if None in g] + bare), [{i for i in range(len(rows)) if sets[i] and top(i) == r} for r in groups]
+    want = [str(min((x for x in g if x is not None), default=None)) for g in groups.values()]
+    return sorted(want + bare), [{i for i in range(len(rows)) if sets[i] and top(i) == r} for r in groups]
 
 
 def test_one_row_of_each_group_stays(spark):
@@ -138,14 +138,14 @@ def test_one_row_of_each_group_stays(spark):
     make = lambda: [rng.choice("abcdefgh") + str(rng.randint(0, 999)) for _ in range(60)]
     near = lambda words: " ".join([*words[:-1], f"x{rng.randint(0, 9999)}"])
     a, b, c, d = make(), make(), make(), make()
-    rows = [(5, " ".join(a)), (5, " ".join(b)), (1, near(b)), (7, near(a)), (None, near(c)), (None, near(c)), (None, near(c))]
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (1, near(b)), (7, near(a)), (None, near(c)), (None, near(c)), (None, near(c)), (None, near(a))]
     rows += [(9, " ".join(d)), (9, near(d)), (9, " ".join(d)), (9, " ".join(make())), (9, ""), (9, ""), (3, None), (None, " ")]
     docs = spark.createDataFrame([(i, t, n % 2) for n, (i, t) in enumerate(rows)], "doc_id long, text string, size int").repartition(3)
     got = jaccard.keep_one(docs).collect()
     want, groups = brute_survivors(rows)
     assert sorted(str(r["doc_id"]) for r in got) == want
     left = {(r["doc_id"], r["text"]) for r in got}
-    assert all(left & {rows[i] for i in g} for g in groups)
+    assert all(len(left & {rows[i] for i in g}) == 1 for g in groups)
     assert sorted(map(str, got)) == sorted(map(str, jaccard.keep_one(docs.repartition(2)).collect()))
 
 
@@ -163,6 +163,46 @@ def test_bpe_against_library():
         assert shown_texts[i].decode() == library.decode(e.ids, skip_special_tokens=False)
 
 
+def test_classes_that_share_an_id():
+    """Sets whose ids were found to clash take the other half of their hash; all else stays."""
+    rng = np.random.default_rng(0)
+    h, at = np.sort(rng.integers(0, 1 << 63, 30, dtype=np.uint64)), np.array([0, 4, 4, 9, 20, 30])
+    ids, more = jaccard.classes(h, at, np.zeros(0, np.int64))
+    moved, _ = jaccard.classes(h, at, np.sort(ids[[2, 4]]))
+    assert moved.tolist() == [ids[0], 0, more[2], ids[3], more[4]] and len(set(ids.tolist()) | set(more.tolist())) == 9
+
+
+def test_jaccard_with_hot_keys(spark, monkeypatch):
+    """With a bound of a few hot keys, both ways of joining are taken."""
+    monkeypatch.setattr(shared, "HOT_KEYS", 40)
+    monkeypatch.setattr(jaccard, "FEW", 3)
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 3)
+    rows = near_copies(5) + [(1000 + i, "the same text in very many rows of the table") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = jaccard.joined(docs).collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == brute_components(rows)
+    assert sorted(str(r["doc_id"]) for r in jaccard.keep_one(docs).collect()) == brute_survivors(rows)[0]
+
+
+def test_bpe_refuses_other_rules():
+    import json
+    import zlib
+
+    spec = json.loads(zlib.decompress(bpe.packed()))
+    spec["normalizer"]["normalizers"].pop()
+    with pytest.raises(ValueError, match="other rules"):
+        bpe.Vocabulary(json.dumps(spec))
+
+
+def test_bpe_forgets(monkeypatch):
+    monkeypatch.setattr(bpe, "WORDS_KEPT", 3)
+    vocabulary = bpe.Vocabulary(__import__("zlib").decompress(bpe.packed()).decode())
+    texts = ["one two three four <|endoftext|>", "five one <|endoftext|> six", "two", "seven eight one"]
+    apart = [vocabulary.encode([t])[0].tolist() for t in texts]
+    ids, offsets = vocabulary.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == apart
+
+
 def test_bpe_odd(odd, empty):
     assert bpe.digests(odd).count() == len(ODD) and bpe.digests(empty).count() == 0
     encoded = bpe.encode(odd)
@@ -182,6 +222,36 @@ def test_mixing(spark):
     assert sorted(map(tuple, rows[key].to_numpy().tolist())) == sorted(map(tuple, again[key].to_numpy().tolist()))
 
 
+def naive_rates(sizes, target):
+    """The rates of least relative entropy to one copy each, between 0 and 2, whose words are target: by bisection."""
+    mean = sum(sizes) / max(1, sum(s > 0 for s in sizes))
+    low, high = -60.0, 60.0
+    for _ in range(200):
+        theta = (low + high) / 2
+        got = sum(s * min(2.0, np.exp(min(700, theta * s / mean))) for s in sizes)
+        low, high = (theta, high) if got < target else (low, theta)
+    return [min(2.0, float(np.exp(theta * s / mean))) for s in sizes]
+
+
+@pytest.mark.parametrize("hot", [50_000, 2])
+def test_mixing_against_naive(spark, monkeypatch, hot):
+    """Rates are the entropy optimum, and rounding gives or takes less than a copy, but for the words that the source still misses."""
+    monkeypatch.setattr(shared, "HOT_KEYS", hot)
+    monkeypatch.setattr(mixing, "SALT_ROWS", 16)
+    rng = random.Random(3)
+    rows = [(i, " ".join(["w"] * int(rng.lognormvariate(3, 1))), rng.choice(["a", "a", "a", "b", "b", "c", None, "d"])) for i in range(400)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).toPandas()
+    assert len(got) == 400
+    for _, own in got.groupby("skey"):
+        target, sizes = own["target"].iloc[0], own["size"].tolist()
+        if 0 < target < 2 * sum(sizes):
+            assert np.allclose(own["rate"], [r if s else 0 for r, s in zip(naive_rates(sizes, target), sizes, strict=True)], atol=1e-5)
+        assert abs(own["taken"].sum() - target) <= 1
+        whole = own["rate"].clip(0, 2)
+        least, most = np.floor(whole) * own["size"], np.ceil(whole) * own["size"]
+        assert (np.maximum(0, least - own["taken"]) + np.maximum(0, own["taken"] - most)).sum() <= 2 * own["size"].max()
+
+
 def test_mixing_targets(spark):
     """The excess of full sources is shared again by weight."""
     sources = spark.createDataFrame([("0a", 10, 1), ("0b", 1000, 1), ("0c", 1000, 1)], "skey string, source_size long, n_docs long")
@@ -220,6 +290,55 @@ def test_warc_odd(spark):
     assert warc.resolve_revisits(warc.read_archive(spark, path)).count() == 0
 
 
+def test_warc_repeated_ids_and_hot_payloads(spark, monkeypatch):
+    """A page id with two payloads is two records; the payload's size comes from its own original. With few keys allowed to
+    be hot, payloads also go by shuffle."""
+    a, b = "<p>é" * 400 + "a" * 0, "b" * 1500
+    a = a + "x" * (2000 - len(a.encode()))
+    rows = [(5, "u", a), (5, "u", b), (3, "u", a)] + [(100 + i, "v", "c" * 1200) for i in range(50)] + [(200 + i, "w", "") for i in range(40)] + [(None, "n", "d" * 1100)] * 3
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    seen = []
+    for hot in (50_000, 3):
+        monkeypatch.setattr(shared, "HOT_KEYS", hot)
+        path = shared.fresh_path(spark, "warc")
+        warc.write_archive(df, path)
+        got = warc.read_archive(spark, path)
+        assert got.where("page_id = 5").select("record_id").distinct().count() == 2
+        seen.append(sorted(map(str, warc.resolve_revisits(got).collect())))
+        rows_of_3 = [r for r in warc.resolve_revisits(got).where("page_id = 3").collect()]
+        assert [(r["payload_bytes"], r["record_type"], r["refers_to"]) for r in rows_of_3] == [(2000, "revisit", 5)]
+        assert warc.resolve_revisits(got).where("record_type = 'revisit' and refers_to = 149").count() == 49
+    assert seen[0] == seen[1] and len(seen[0]) == len(rows)
+
+
+def test_warc_pieces(monkeypatch):
+    """Records longer than a piece, several gzip members, and a torn file."""
+    import gzip
+
+    monkeypatch.setattr(warc, "PIECE", 7)
+    make = lambda i, body: f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <{i}>\r\nWARC-Payload-Digest: sha1:x\r\nContent-Length: {len(body) + 4}\r\n\r\n\r\n\r\n{body}\r\n\r\n".encode()
+    data = gzip.compress(make(1, "a" * 100) + make(2, "\r\n\r\nWARC/1.1")) + gzip.compress(make(3, ""))
+    assert [(r[2], r[6]) for r in warc._records(data)] == [("<1>", 100), ("<2>", 12), ("<3>", 0)]
+    with pytest.raises(ValueError, match="not a WARC"):
+        list(warc._records(gzip.compress(make(1, "a") + b"WARC/1.1\r\nWARC-")))
+
+
+def test_chat_long_and_large_ids(spark):
+    """A long conversation, and ids above 2 ** 53."""
+    turn = lambda i: ("user" if i % 2 == 0 else "assistant", f"t{i}")
+    rows = [(2**53 + 4 + side, i, *(turn(i) if i < 1500 or side == 0 else ("user", "other"))) for side in (0, 1) for i in range(2000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    path = shared.fresh_path(spark, "chat")
+    df.write.parquet(f"{path}/conversations.parquet")
+    got = chatfmt.op10(spark, path).collect()
+    assert len(got) == 1 and got[0]["pair_id"] == 2**52 + 2 and got[0]["prompt_turns"] == 1500
+    line = lambda role, text: f"<|{role}|>\n{text}<|end|>\n"
+    assert got[0]["prompt"] == "".join(line(*turn(i)) for i in range(1500))
+    assert got[0]["chosen"] == "".join(line(*turn(i)) for i in range(1500, 2000)) and got[0]["rejected"] == line("user", "other") * 500
+    spans = [tuple(map(int, x.split("-"))) for x in got[0]["chosen_loss"].split(",")]
+    assert [got[0]["chosen"][a:b] for a, b in spans] == [f"t{i}" for i in range(1501, 2000, 2)]
+
+
 def test_chat(spark):
     rows = [(0, True, 0, "user", "hi"), (0, True, 1, "assistant", "good"), (0, False, 0, "user", "hi"), (0, False, 1, "assistant", "bad"), (1, True, 0, None, None), (2, True, 0, "user", "a"), (2, False, 0, "user", "a"), (2, False, 1, "assistant", "b")]
     df = spark.createDataFrame(rows, "pair_id long, chosen boolean, turn long, role string, text string").withColumn("prompt", F.lit("clash"))
@@ -249,7 +368,68 @@ def brute_neighbours(rows, scale, zero):
     return out
 
 
+def mixed_vectors(spark):
+    """Three lengths, queries of each, a repeated id in two lengths, and large components."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=3).tolist()) for i in range(1200)] + [(2000 + i, rng.normal(size=2).tolist()) for i in range(45)] + [(3000 + i, [float(i)]) for i in range(3)]
+    return spark.createDataFrame([(a, b, 1) for a, b in rows], "vec_id long, embedding array<double>, score int"), rows
+
+
+def brute_of_lengths(rows, scale):
+    out = {}
+    for n in {len(v) for _, v in rows}:
+        out |= brute_neighbours([r for r in rows if len(r[1]) == n], scale, scale is not None)
+    return {q: found for q, found in out.items() if found}
+
+
+def test_searches_of_several_lengths(spark):
+    df, rows = mixed_vectors(spark)
+    for got, want in ((topk.top_k(df), brute_of_lengths(rows, 64)), (ann.near_neighbours(df), brute_of_lengths([r for r in rows if any(r[1])], None))):
+        have = {}
+        for r in got.orderBy("query_id", "rank").collect():
+            have.setdefault(r["query_id"], []).append((-float(r["score"]), r["vec_id"]))
+        assert set(have) == set(want) and all(len(have[q]) == len(want[q]) for q in want)
+        pairs = {(q, i) for q in want for _, i in want[q]}
+        assert len(pairs & {(q, i) for q in have for _, i in have[q]}) >= (1 if got.schema["score"].dataType.simpleString() == "bigint" else 0.9) * len(pairs)
+        assert [i for _, i in have[2000]] == [i for _, i in want[2000]] and np.allclose([s for s, _ in have[2000]], [s for s, _ in want[2000]])
+
+
+def test_top_k_of_large_products(spark):
+    """Products beyond 2 ** 52 are still whole numbers."""
+    rng = random.Random(2)
+    rows = [(i, [rng.randint(-(10**6), 10**6) + 0.5 for _ in range(40)]) for i in range(60)]
+    whole = {i: [int(np.floor(64 * x)) for x in v] for i, v in rows}
+    want = {q: sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)[:20] for q in whole if q % 20 == 0}
+    assert max(abs(s) for x in want.values() for s, _ in x) > 2**52
+    got = {}
+    for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((-r["score"], r["vec_id"]))
+    assert got == want
+
+
+def test_top_k_prunes(spark):
+    """Far clusters are not searched: a query is sent to fewer clusters than there are."""
+    rng = np.random.default_rng(1)
+    heads = rng.normal(size=(12, 6)) * 40
+    rows = [(i, (heads[i % 12] + rng.normal(size=6)).tolist()) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select("vec_id", F.lit(6).alias("dim"), F.col("embedding").alias("v"))
+    found = {6: heads}
+    base = topk.clustered(df, found).toPandas()
+    radii = {6: np.array([base.loc[base["cluster"] == c, "far"].max() for c in range(12)])}
+    points = np.stack(base["v"])
+    floor = {int(i): float(np.sort(points @ v)[-20]) for i, v in zip(base["vec_id"], points, strict=True)}
+    asked = spark.createDataFrame([(i, 6, v, floor[i]) for i, v in rows if i % 20 == 0], "vec_id long, dim int, v array<double>, floor double")
+    sent = topk.aimed(asked, found, radii, False).toPandas()
+    assert len(sent) < 0.5 * 12 * 30
+    cluster = dict(zip(base["vec_id"], base["cluster"], strict=True))
+    for i, v in rows:
+        if i % 20 == 0:
+            near = base["vec_id"][(points @ np.array(v)) >= floor[i]]
+            assert {cluster[x] for x in near} <= set(sent.loc[sent["vec_id"] == i, "cluster"])
+
+
 def test_top_k_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CLUSTER_ROWS", 20)
     monkeypatch.setattr(topk, "SHARD_ROWS", 50)
     monkeypatch.setattr(topk, "LEAF_ROWS", 8)
     df, rows = vectors(spark)
@@ -292,6 +472,140 @@ def test_classifiers_held_out(spark):
     assert (lang["lang"] == lang["lang_pred"]).mean() > 0.95
 
 
+def test_field_against_enumeration():
+    """Marginals and gradient of short chains, from all their labelings."""
+    rng = np.random.default_rng(3)
+    field = toxicity.Field(2)
+    field.weight = rng.normal(size=len(field.weight)).astype(np.float32)
+    field.bias, field.log_step = -0.3, rng.normal(size=(2, 2))
+    lengths = [1, 2, 5, 7]
+    n = sum(lengths)
+    buckets = np.stack([rng.integers(0, 1 << toxicity.BITS, n), rng.integers(1 << toxicity.BITS, 2 << toxicity.BITS, n)]).astype(np.int32)
+    y = rng.integers(0, 2, n).astype(np.int8)
+    first, last = toxicity.edges(np.array(lengths))
+
+    def scored(at, size, labels):
+        own = sum(float(field.weight[buckets[:, at + i]].sum(dtype=np.float64) + field.bias) for i in range(size) if labels[i])
+        return own + sum(field.log_step[labels[i], labels[i + 1]] for i in range(size - 1))
+
+    def chains():
+        for at, size in zip(np.cumsum(lengths) - lengths, lengths, strict=True):
+            every = [[k >> i & 1 for i in range(size)] for k in range(1 << size)]
+            yield at, size, every, np.array([scored(at, size, x) for x in every])
+
+    def likelihood():
+        return sum(scored(at, size, y[at : at + size]) - np.log(np.exp(s).sum()) for at, size, _, s in chains())
+
+    want = np.concatenate([(np.exp(s) / np.exp(s).sum()) @ np.array(every) for _, _, every, s in chains()])
+    forward, backward = field.messages(field.odds(buckets), first, last)
+    assert np.allclose(forward * backward / (1 + forward * backward), want, atol=1e-9)
+    of_weight, rest = field.gradient(buckets, first, last, y)
+    step = 1e-5
+    for i, change in enumerate([("bias", None), *(("step", (a, b)) for a in (0, 1) for b in (0, 1))]):
+        values = []
+        for sign in (1, -1):
+            if change[0] == "bias":
+                field.bias += sign * step
+            else:
+                field.log_step[change[1]] += sign * step
+            values.append(likelihood())
+            if change[0] == "bias":
+                field.bias -= sign * step
+            else:
+                field.log_step[change[1]] -= sign * step
+        assert abs((values[0] - values[1]) / (2 * step) - rest[i]) < 1e-5
+    assert np.isclose(of_weight[buckets[0, 0]], (y - want)[buckets[0] == buckets[0, 0]].sum())
+
+
+def test_spans_are_characters(spark):
+    """Offsets count characters, also behind letters of several bytes and over a slice of texts."""
+    scorer = toxicity.Scorer(0.1)
+    word = np.frombuffer("schurkengeruch".encode(), np.uint8)
+    buckets = toxicity.tokens(word, np.array([0, len(word)]))[0][:, 0]
+    scorer.field.weight[buckets[0]] = 20.0
+    long = "größe 日本 é ünïcode " * 60_000
+    texts = ["Ärger: Schurkengeruch, größer SCHURKENGERUCH!", "nichts", long + "schurkengeruch", "💥 schurkengeruch", None]
+    got = toxicity.toxicity(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), scorer).orderBy("doc_id").collect()
+    want = [["Schurkengeruch", "SCHURKENGERUCH"], [], ["schurkengeruch"], ["schurkengeruch"], []]
+    assert [[(t or "")[s["start"] : s["end"]] for s in r["spans"]] for t, r in zip(texts, got, strict=True)] == want
+
+
+def test_quality_against_naive():
+    """The score of a bag by loops over its passages, and the gradient that the fit follows against differences."""
+    rng = np.random.default_rng(2)
+    model = quality.Model(0.5)
+    model.constant = None
+    w = {k: v.astype(np.float64) for k, v in model.w.items()}
+    text = " ".join("".join(rng.choice(list("abcdefghij ")) for _ in range(9)) for _ in range(300)).encode()
+    texts = [text, b"", text[:700], b"word " * 10]
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    at = np.r_[0, np.cumsum([len(t) for t in texts])]
+    x, row = quality.passages(raw, at)
+    assert np.bincount(row).tolist() == [max(1, -(-len(t) // quality.PASSAGE)) for t in texts]
+    for i, t in enumerate(texts):
+        for j, own in enumerate(x[row == i]):
+            part = t[j * quality.PASSAGE : (j + 1) * quality.PASSAGE]
+            for b in range(256):
+                assert abs(own[b] - np.sqrt(part.count(bytes([b])) / max(1, len(part)))) < 1e-6
+    sigma = lambda z: 1 / (1 + np.exp(-z))
+    for i, score in enumerate(model.score(raw, at)):
+        encoded, weights = [], []
+        for own in x[row == i].astype(np.float64):
+            h = np.tanh(own @ w["e"] + w["eb"])
+            encoded.append(h)
+            weights.append(np.exp((np.tanh(h @ w["v"]) * sigma(h @ w["u"])) @ w["a"]))
+        z = sum(a * h for a, h in zip(weights, encoded, strict=True)) / sum(weights)
+        assert abs(score - sigma(z @ w["c"] + w["cb"][0])) < 1e-5
+    y, weight = np.array([1.0, 0.0, 1.0, 0.0]), np.array([1.0, 2.0, 3.0, 1.0])
+    model.w = w
+
+    def loss():
+        s = model.forward(x, row)[-1]
+        return -(weight * (y * np.log(s) + (1 - y) * np.log(1 - s))).sum() / weight.sum()
+
+    grad = model.gradient(x, row, y, weight)
+    for name, place in (("e", (97, 3)), ("eb", (2,)), ("v", (1, 2)), ("u", (3, 4)), ("a", (5,)), ("c", (6,)), ("cb", (0,))):
+        step = 1e-5
+        w[name][place] += step
+        up = loss()
+        w[name][place] -= 2 * step
+        slope = (up - loss()) / (2 * step)
+        w[name][place] += step
+        assert abs(slope - grad[name][place]) < 1e-5, name
+
+
+def test_languages_against_naive():
+    """Pooled probabilities by a loop over bytes, over several windows and texts of several sizes."""
+    labeller = langid.Labeller(["aa", "bb", "cc"])
+    net = labeller.network
+    texts = ["Größe ABC " * 70, "x", "", "kurz und gut", "日本語" * 100]
+    data = [t.encode() for t in texts]
+    at = np.r_[0, np.cumsum([len(d) for d in data])]
+    got = labeller.pooled(np.frombuffer(b"".join(data), np.uint8), at)
+    w, h = {k: v.astype(np.float64) for k, v in net.w.items()}, net.hidden
+    gate = lambda z: (1 + np.tanh(z)) / 2
+
+    def states(codes, way):
+        out, state = [], np.zeros(h)
+        for c in codes:
+            byte, inner = w["table"][c + 256 * way], state @ w["inner"][way]
+            update, reset = gate(byte[:h] + inner[:h]), gate(byte[h : 2 * h] + inner[h : 2 * h])
+            candidate = np.tanh(byte[2 * h :] + reset * inner[2 * h :])
+            state = candidate + update * (state - candidate)
+            out.append(state)
+        return out
+
+    for i, t in enumerate(texts):
+        low = t.lower().encode()
+        total = np.zeros(3)
+        for start in range(0, len(low), langid.WINDOW):
+            part = low[start : start + langid.WINDOW]
+            for a, b in zip(states(part, 0), states(part[::-1], 1)[::-1], strict=True):
+                z = np.exp(a @ w["outer"][0] + b @ w["outer"][1] + w["bias"])
+                total += z / z.sum()
+        assert np.allclose(got[i], total / max(1, len(low)), atol=1e-4)
+
+
 def test_messages_are_exact():
     """Strips that start early give the same messages as one run over the whole chain."""
     rng = np.random.default_rng(1)
@@ -343,7 +657,7 @@ def test_classifiers_odd(odd, empty, labels):
 
 def test_late_spans_are_learned(spark, monkeypatch):
     """Toxic words and good passages far behind the start of a text are seen by the fits, also in several runs."""
-    monkeypatch.setattr(toxicity, "FIT_BYTES", 1 << 18)
+    monkeypatch.setattr(toxicity, "RUN_TOKENS", 50_000)
     rng = random.Random(5)
     make = lambda n: [rng.choice("bcdfgh") + rng.choice("aeiou") + rng.choice("lmnrst") + rng.choice("aeiou") for _ in range(n)]
     rows = []
@@ -383,6 +697,23 @@ def test_rare_languages_are_learned(spark, monkeypatch):
     assert langid.shares({"a": 10, "b": 5000, "c": 9000}, 6000) == {"a": 10, "b": 2995, "c": 2995}
 
 
+def test_pipeline_on_odd_tables(spark, odd, empty, labels):
+    """All stages, one after another, on odd rows, without rows, and with further columns of clashing and dotted names."""
+    import corpus_pipeline
+
+    more = {"row_mark": F.lit(1), "has_letters": F.lit("x"), "a.b": F.lit(2), "skey": F.lit("k"), "copies": F.lit(3), "cls": F.lit(4), "id_mark": F.lit(5)}
+    for docs, least in ((odd.withColumns(more), 1), (empty, 0)):
+        path = shared.fresh_path(spark, "odd")
+        labels.limit(0).write.parquet(f"{path}/labels.parquet")
+        now = docs
+        for name, apply in corpus_pipeline.STAGES[:-1]:
+            new = shared.stage(apply(spark, now, path), name)
+            assert new.columns == docs.columns
+            now = new
+        last = corpus_pipeline.STAGES[-1][1](spark, now, path)
+        assert last.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and last.count() == now.count() >= least
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
