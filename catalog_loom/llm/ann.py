@@ -8,8 +8,8 @@ the neighbours of held-out sample rows.
 Index and search: every row goes to its most probable part. A query goes to its several most probable parts, where all
 rows are scored in double precision. They are visited in three steps, the most probable one first, then some, then the
 rest; the kth score found so far goes along, and parts only return what reaches it. Parts are split into pieces of about
-PIECE_ROWS rows, so that a part that holds very many rows (copies of one vector, say) is many tasks. Queries that found fewer
-than k rows visit all parts.
+block_rows(length) rows, so that a part that holds very many rows (copies of one vector, say) is many tasks, and a piece is
+copied once for every block_rows(length) queries that visit its part. Queries that found fewer than k rows visit all parts.
 
 Vectors are only compared with those of their own length. Each length of at least LEAST_INDEXED rows has an index of its own;
 the others have one part each, so that they are searched whole.
@@ -30,12 +30,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog_loom.llm.shared import mapped, release, stage, table
-from catalog_loom.llm.vectors import asking, best, matrix, merge, usable
+from catalog_loom.llm.vectors import asking, best, block_rows, matrix, merge, usable
 
 FIT_ROWS = 6144
 HELD_OUT = 384
-PIECE_ROWS = 8192
-BLOCK_ROWS = 4096
 ROWS_PER_PART = 512
 MOST_PARTS = 256
 FIT_ROWS_PER_PART = 96
@@ -233,15 +231,17 @@ def searched(rows: DataFrame, asked: DataFrame, dim: int, n: int, k: int) -> Dat
     located = lambda df: mapped(df.select("vec_id", "dim", "v"), route, "vec_id long, dim int, v array<double>, part int, ranked array<int>")
     index = stage(located(rows).drop("ranked"), "index")
     asked = stage(located(asked), "asked")
-    blocks = max(1, math.ceil(asked.count() / BLOCK_ROWS))
-    sizes = {r["part"]: r["count"] for r in index.groupBy("part").count().collect()}  # at most MOST_PARTS rows
-    pieces = F.create_map(*[F.lit(x) for p in range(parts) for x in (p, math.ceil(sizes.get(p, 1) / PIECE_ROWS))])
-    index = spread(index, pieces[F.col("part")]).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    block = F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)).cast("int").alias("block")
+    size = block_rows(dim)
+    mapping = lambda counts: F.create_map(*[F.lit(x) for p in range(parts) for x in (p, max(1, math.ceil(counts.get(p, 0) / size)))])
+    pieces = mapping({r["part"]: r["count"] for r in index.groupBy("part").count().collect()})  # at most MOST_PARTS rows
+    index = spread(index, pieces[F.col("part")])
 
     def ask(queries: DataFrame, start: int, count: int) -> DataFrame:
-        to = queries.select("vec_id", "dim", "v", "floor", block, F.explode(F.slice("ranked", start, count)).alias("part"))
-        return visit(index, to.withColumn("piece", F.explode(F.sequence(F.lit(0), pieces[F.col("part")] - 1))), k)
+        to = queries.select("vec_id", "dim", "v", "floor", F.explode(F.slice("ranked", start, count)).alias("part"))
+        blocks = mapping({r["part"]: r["count"] for r in to.groupBy("part").count().collect()})[F.col("part")]  # at most MOST_PARTS rows
+        to = to.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(2)), blocks).cast("int"))
+        copied = index.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        return visit(copied, to.withColumn("piece", F.explode(F.sequence(F.lit(0), pieces[F.col("part")] - 1))), k)
 
     lowest = F.lit(float("-inf"))
     some = min(visits, 1 + max(1, visits // 6))

@@ -1,12 +1,12 @@
 """Exact top-k by inner product: a ball tree for each shard, searched by branch and bound.
 
 Vectors go to the nearest of some centers (vectors of smallest hash, one for every CLUSTER_ROWS rows and MOST_CLUSTERS at
-most); a shard is a cluster, or a piece of about SHARD_ROWS rows of a large one. The current kth score is shared: each query
+most); a shard is a cluster, or a piece of about block_rows(length) rows of a large one. The current kth score is shared: each query
 first searches a piece of the clusters whose centers score highest, and the kth score that it finds there goes with it. A
 query is then sent only to clusters whose bound, q.center + |q| * radius, reaches its kth score. Each task holds one shard
 and one block of queries; it builds the shard's ball tree, bounds its nodes in the same way, drops those whose bound is below
-the query's current kth score, and visits the leaves left in the order of their bounds. Partial lists of k are merged by a
-window.
+the query's current kth score, and visits the leaves left in the order of their bounds. A shard is copied once for
+every block_rows(length) queries that are sent to its cluster. Partial lists of k are merged by a window.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components, and null ids, take no part; vectors
 are only compared with those of their own length; rows that repeat a vec_id are candidates each, and none is one for the
@@ -25,13 +25,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from catalog_loom.llm.shared import mapped, stage, table
-from catalog_loom.llm.vectors import asking, best, matrix, merge, usable
+from catalog_loom.llm.vectors import asking, best, block_rows, matrix, merge, usable
 
 CLUSTER_ROWS = 4096
 MOST_CLUSTERS = 1024
 FIRST_CLUSTERS = 2
-SHARD_ROWS = 8192
-BLOCK_ROWS = 4096
 LEAF_ROWS = 128
 FOUND = "query_id long, vec_id long, score long"
 
@@ -166,11 +164,14 @@ def aimed(queries: DataFrame, found: dict[int, np.ndarray], radii: dict[int, np.
     return sent.select("vec_id", "dim", "v", "floor", F.explode("clusters").alias("cluster"))
 
 
-def grid(rows: DataFrame, asked: DataFrame, blocks: int, k: int) -> DataFrame:
-    """The k best rows of each query in each shard (dim, cluster, piece) that it is sent to."""
+def grid(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each query in each cluster (dim, cluster) that it is sent to; rows and queries have a piece."""
+    counts = asked.groupBy("dim", "cluster").agg((F.count("*") / F.count_distinct("piece")).alias("n")).collect()  # a row for each center
+    blocks = [(r["dim"], r["cluster"], max(1, math.ceil(r["n"] / block_rows(r["dim"])))) for r in counts]
+    blocks = F.broadcast(rows.sparkSession.createDataFrame(blocks, "dim int, cluster int, blocks int"))
     keys = ["dim", "cluster", "piece", "block"]
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    base = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = asked.join(blocks, ["dim", "cluster"]).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.col("blocks")).cast("int")).drop("blocks")
+    base = rows.join(blocks, ["dim", "cluster"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -197,20 +198,19 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: int = 64) ->
     pieces = []
     for r in base.groupBy("dim", "cluster").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect():  # a row for each center
         radii[r["dim"]][r["cluster"]] = r["far"]
-        pieces.append((r["dim"], r["cluster"], math.ceil(r["n"] / SHARD_ROWS)))
+        pieces.append((r["dim"], r["cluster"], math.ceil(r["n"] / block_rows(r["dim"]))))
     pieces = F.broadcast(spark.createDataFrame(pieces, "dim int, cluster int, pieces int"))
     base = base.join(pieces, ["dim", "cluster"]).withColumn("piece", F.pmod(F.xxhash64("vec_id"), F.col("pieces")).cast("int")).drop("pieces", "far")
 
     asked = stage(asking(rows, every), "asked")
-    blocks = max(1, math.ceil(asked.count() / BLOCK_ROWS))
     lowest = F.lit(-(2.0**62))
     first = aimed(asked.withColumn("floor", lowest), found, radii, True).withColumn("piece", F.lit(0))
-    seed = best(grid(base.where("piece = 0"), first, blocks, k), k)
+    seed = best(grid(base.where("piece = 0"), first, k), k)
     kth = stage(seed.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("kth")), "kth")
     started = asked.join(kth, "vec_id", "left").withColumn("floor", F.coalesce("kth", lowest))
     sent = aimed(started, found, radii, False).join(pieces, ["dim", "cluster"])
     sent = sent.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
-    return best(grid(base, sent, blocks, k), k)
+    return best(grid(base, sent, k), k)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

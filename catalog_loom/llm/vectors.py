@@ -8,6 +8,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+BLOCK_BYTES = 32 << 20
+BLOCK_ROWS = 16384
+
+
+def block_rows(dim: int) -> int:
+    """How many vectors of a length a task takes at once."""
+    return max(256, min(BLOCK_ROWS, BLOCK_BYTES // (8 * dim)))
+
+
 def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     """A column of lists of one length as a two-dimensional array."""
     if isinstance(column, pa.ChunkedArray):

@@ -430,7 +430,7 @@ def test_top_k_prunes(spark):
 
 def test_top_k_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "CLUSTER_ROWS", 20)
-    monkeypatch.setattr(topk, "SHARD_ROWS", 50)
+    monkeypatch.setattr(topk, "block_rows", lambda dim: 50)
     monkeypatch.setattr(topk, "LEAF_ROWS", 8)
     df, rows = vectors(spark)
     got = {}
@@ -440,7 +440,10 @@ def test_top_k_against_brute_force(spark, monkeypatch):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
-def test_neighbours(spark):
+@pytest.mark.parametrize("size", [16384, 40])
+def test_neighbours(spark, monkeypatch, size):
+    monkeypatch.setattr(ann, "block_rows", lambda dim: size)
+    monkeypatch.setattr(ann, "LEAST_INDEXED", 100)
     df, rows = vectors(spark)
     want = brute_neighbours(rows, None, False)
     hit = total = 0
