@@ -8,7 +8,7 @@ relative entropy to taking every document once. The dual has one multiplier per
 mean size)). Newton steps (kept inside a bracket) run on a histogram of sizes by source, as one grouped aggregation each.
 
 Copies: the fractions of the rates are rounded by systematic sampling along the order (size class, salt, size, hash), so
-neighbours of like size stand in for each other (a source has a salt for every SALT_ROWS documents, so that a source with
+neighbours of like size stand in for each other (a source has a salt for every SALT_ROWS documents, MOST_SALTS at most, so that a source with
 very many is dealt to many tasks); the words still missing from, or above, a source's target are then added
 to or cut from the first documents of that order, so at most a few documents hold a partial copy.
 
@@ -28,7 +28,8 @@ from catalog_loom.llm.shared import any_cold, join_by_size, named, observed, sta
 
 WORD = r"[^\x20\x09-\x0D]+"
 UNIT = 1_000_000_000
-SALT_ROWS = 4096
+SALT_ROWS = 256
+MOST_SALTS = 1 << 16
 
 
 def size_of(text: str) -> Column:
@@ -124,7 +125,7 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     nano = F.when(F.col("size") > 0, F.round(F.least(free, F.lit(2.0)) * UNIT)).otherwise(0).cast("long")
     hashed = F.xxhash64("doc_id", "size")
     # A source is dealt to as many salts as it has runs of SALT_ROWS documents, within each class of sizes.
-    salts = F.ceil(F.col("salt_of") / SALT_ROWS).cast("long")
+    salts = F.least(F.ceil(F.col("salt_of") / SALT_ROWS).cast("long"), F.lit(MOST_SALTS).cast("long"))
     bucket = F.floor(F.log2(F.col("size") + 1)) * salts + F.pmod(hashed, salts)
     rated = (
         join_by_size(rows, solved.withColumn("salt_of", F.col("many")), "skey", "many", total, cold=cold)
