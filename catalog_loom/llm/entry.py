@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catalog_loom.llm import ann, bpe, chatfmt, jaccard, langid, mixing, quality, topk, toxicity, warc
+from catalog_loom.llm import ann, bpe, centroids, chatfmt, disclosure, jaccard, langid, mixing, periodic, quality, topk, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_entropy_mix": mixing.op8,
         "op9_learned_partitions": ann.op9,
         "op10_preference_chat": chatfmt.op10,
+        "op11_centroid_clusters": centroids.op11,
+        "op12_periodic_runs": periodic.op12,
+        "op13_disclosing_terms": disclosure.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_top_k": topk.SQL, "op6_shingle_jaccard": jaccard.SQL, "op5_warc_revisits": warc.SQL, "op10_preference_chat": chatfmt.SQL}
+    return {
+        "op2_exact_top_k": topk.SQL, "op6_shingle_jaccard": jaccard.SQL, "op5_warc_revisits": warc.SQL, "op10_preference_chat": chatfmt.SQL, "op11_centroid_clusters": centroids.SQL,
+        "op12_periodic_runs": periodic.SQL,
+    }
