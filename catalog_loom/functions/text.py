@@ -106,6 +106,11 @@ def decode_page(content: Column) -> Column:
     return F.translate(F.replace(F.replace(raw, F.lit("ü\u0081"), F.lit("ü")), F.lit("\u0081"), F.lit("ü")), CP1252_BYTES, CP1252_CHARS)
 
 
+def encode_page(html: Column) -> Column:
+    """Bytes of a page in Windows-1252, of characters that it has."""
+    return F.encode(F.translate(html, CP1252_CHARS, CP1252_BYTES), "ISO-8859-1")
+
+
 def undecodable(content: Column) -> Column:
     return F.decode(content, "ISO-8859-1").rlike(CP1252_UNDEFINED)
 
@@ -129,4 +134,7 @@ def page_code(file_name: Column) -> Column:
 
 
 def series_code(html: Column) -> Column:
-    return number_after(html, r"hsp_serie\.asp\?serie=(\d+)")
+    """The number in the first link to a series: what follows its first serie= up to an ampersand; null if that is no number."""
+    href = F.regexp_extract(html, r"""(?is)<a\s[^>]*?\bhref\s*=\s*["']?([^"'>]*hsp_serie\.asp\?serie=[^"'>]*)""", 1)
+    value = F.regexp_extract(href, "serie=([^&]*)", 1)
+    return F.when(value.rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim(value).try_cast("bigint"))

@@ -1,14 +1,17 @@
 """Records from list and detail pages.
 
-Only reading the markup is Python (one flat list of elements for each page, inside mapInArrow); matching, cleaning and keys
-are DataFrame expressions. A page that can't be read gives a parse_error and stops no other page; so does an address that
-can't be resolved, which is null then.
+Only reading the markup is Python (one pass over each page, linear in its length, inside mapInArrow); matching, cleaning and
+keys are DataFrame expressions. A page that can't be read gives a parse_error and stops no other page; so does an address
+that can't be resolved, which is null then.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
+from itertools import accumulate
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -17,6 +20,7 @@ from pyspark.sql import functions as F
 
 from catalog_loom.functions.text import clean_credits, clean_genres, clean_order_number, clean_text, episode_code, page_code, page_file_name, series_code, series_name
 from catalog_loom.functions.unicode import source_key
+from catalog_loom.operators.order import numbered
 from catalog_loom.operators.dedup import canonical_credits, first_in_page, keep_first
 from catalog_loom.sources.files import written
 
@@ -29,7 +33,12 @@ CREDIT_HEADERS = ("Rolle", "Sprecher/in")
 NO_PREVIOUS = "keine folge davor"
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
+KEPT = {"a", "img", "span", "table", "td", "tr"}
 HIDDEN = ("script", "style")
+DESCRIPTION = "Beschreibung:"
+MOST_CELLS = 5  # one more than a row of credits has
+#: A page's texts taken together may be so many times as long as the page; only cells nested in one another reach that.
+TIMES_OF_TEXT = 100
 
 CREDITS = pa.list_(pa.struct([("role", pa.string()), ("speaker", pa.string())]))
 LIST_ROWS = pa.schema([("page", pa.string()), ("pos", pa.int32()), ("parse_error", pa.string()), ("series_name", pa.string()), ("number_text", pa.string()), ("title", pa.string()), ("url", pa.string())])
@@ -44,103 +53,155 @@ DETAIL_DDL = (
 )
 
 
-class Element:
-    """An element of a page: what lies in it are the elements from own place + 1 to last, and the strings from start to end."""
-
-    __slots__ = ("tag", "attrs", "place", "last", "start", "end")
-
-    def __init__(self, tag: str, attrs: dict[str, str], place: int, start: int):
-        self.tag, self.attrs, self.place, self.start = tag, attrs, place, start
-        self.last, self.end = place + 1, start
-
-
 class Page(HTMLParser):
-    """The elements of a page in document order. Cells and rows that aren't closed end where the next one of their table
-    begins."""
+    """The parts of a page that records are made of, gathered in one pass: an element of a KEPT tag is a number, its place among
+    them in document order; what lies in it are the elements from the next one to last, and the strings from start to end.
+    Cells and rows that aren't closed end where the next one of their table begins. A row gets its first MOST_CELLS cells, at
+    any depth, while the page is read: outer rows hold all that inner ones do, so those not yet full are the innermost, and
+    no cell is looked at by a full one."""
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.root = Element("", {}, -1, 0)
-        self.elements: list[Element] = []
+        self.tags: list[str] = []
+        self.attrs: list[dict[str, str]] = []
+        self.last: list[int] = []
+        self.start: list[int] = []
+        self.end: list[int] = []
         self.strings: list[str] = []
-        self.open = [self.root]
+        self.cells: dict[int, list[int]] = {}
+        self.links: dict[str, list[int]] = {SERIES_LINK: [], DETAIL_LINK: [], LABEL_LINK: []}
+        self._open: list[tuple[str, int]] = [("", -1)]
+        self._count: Counter[str] = Counter()
+        self._rows: list[int] = []
+        self._scopes = [[0, 0, 0]]  # of each open table: its depth, and those of its open cell and row (0: none)
         self.feed(html)
         self.close()
-        self._leave(0)
+        self._leave(1)
+        self.upto = list(accumulate(map(len, self.strings), initial=0))
+        self._left = TIMES_OF_TEXT * (self.upto[-1] + 1000)
 
     def _leave(self, depth: int) -> None:
         """Close the open elements from depth on."""
-        for element in self.open[depth:]:
-            element.last, element.end = len(self.elements), len(self.strings)
-        del self.open[depth:]
+        for tag, place in self._open[depth:]:
+            self._count[tag] -= 1
+            if place >= 0:
+                self.last[place], self.end[place] = len(self.tags), len(self.strings)
+                if tag == "tr":
+                    self._rows.pop()
+        del self._open[depth:]
+        while len(self._scopes) > 1 and self._scopes[-1][0] >= depth:
+            self._scopes.pop()
+        scope = self._scopes[-1]
+        scope[1:] = (d if d < depth else 0 for d in scope[1:])
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in ("td", "tr"):
-            depth, leave = len(self.open) - 1, 0
-            while depth > 0 and self.open[depth].tag != "table":
-                if self.open[depth].tag == tag or (tag == "tr" and self.open[depth].tag == "td"):
-                    leave = depth
-                depth -= 1
-            if leave:
-                self._leave(leave)
-        new = Element(tag, {k: v or "" for k, v in attrs}, len(self.elements), len(self.strings))
-        self.elements.append(new)
-        if tag not in VOID:
-            self.open.append(new)
+            _, cell, row = self._scopes[-1]
+            inside = [d for d in ((cell,) if tag == "td" else (cell, row)) if d]
+            if inside:
+                self._leave(min(inside))
+        place = -1
+        if tag in KEPT:
+            place = len(self.tags)
+            self.tags.append(tag)
+            self.attrs.append({k: v or "" for k, v in attrs})
+            self.last.append(place + 1)
+            self.start.append(len(self.strings))
+            self.end.append(len(self.strings))
+        if tag == "td":
+            for row in reversed(self._rows):
+                if len(self.cells[row]) == MOST_CELLS:
+                    break
+                self.cells[row].append(place)
+        elif tag == "a":
+            href = self.attrs[place].get("href", "")
+            for part, places in self.links.items():
+                if part in href:
+                    places.append(place)
+        if tag in VOID:
+            return
+        depth = len(self._open)
+        self._open.append((tag, place))
+        self._count[tag] += 1
+        if tag == "table":
+            self._scopes.append([depth, 0, 0])
+        elif tag == "td":
+            self._scopes[-1][1] = depth
+        elif tag == "tr":
+            self._scopes[-1][2] = depth
+            self._rows.append(place)
+            self.cells[place] = []
 
     def handle_endtag(self, tag: str) -> None:
-        for depth in range(len(self.open) - 1, 0, -1):
-            if self.open[depth].tag == tag:
-                self._leave(depth)
-                return
+        if self._count[tag]:
+            depth = len(self._open) - 1
+            while self._open[depth][0] != tag:
+                depth -= 1
+            self._leave(depth)
 
     def handle_data(self, data: str) -> None:
-        if self.open[-1].tag not in HIDDEN and (text := data.strip()):
+        if self._open[-1][0] not in HIDDEN and (text := data.strip()):
             self.strings.append(text)
 
-    def inside(self, where: Element, tag: str, **having: str) -> Iterator[Element]:
-        """Elements below where with the tag and, for each attribute, the given text in it."""
-        for e in self.elements[where.place + 1 : where.last]:
-            if e.tag == tag and all(v in e.attrs.get(k, "") for k, v in having.items()):
+    def inside(self, where: int | None, tag: str, **having: str) -> Iterator[int]:
+        """Elements below where (None: of the page) with the tag and, for each attribute, the given text in it."""
+        for e in range(*((0, len(self.tags)) if where is None else (where + 1, self.last[where]))):
+            if self.tags[e] == tag and all(v in self.attrs[e].get(k, "") for k, v in having.items()):
                 yield e
 
-    def first(self, where: Element, tag: str, **having: str) -> Element | None:
+    def first(self, where: int | None, tag: str, **having: str) -> int | None:
         return next(self.inside(where, tag, **having), None)
 
-    def text(self, where: Element | None, between: str = "") -> str | None:
-        return None if where is None else between.join(self.strings[where.start : where.end])
+    def link(self, where: int, part: str) -> int | None:
+        """The first link of a kind below where."""
+        places = self.links[part]
+        at = bisect_right(places, where)
+        return places[at] if at < len(places) and places[at] < self.last[where] else None
 
-    def words(self, where: Element) -> str:
+    def text(self, where: int | None, between: str = "") -> str | None:
+        if where is None:
+            return None
+        self._left -= self.upto[self.end[where]] - self.upto[self.start[where]]
+        if self._left < 0:
+            raise ValueError(f"nested cells repeat the text of the page more than {TIMES_OF_TEXT} times")
+        return between.join(self.strings[self.start[where] : self.end[where]])
+
+    def words(self, where: int) -> str:
         return " ".join(self.text(where, " ").split())
 
+    def begins(self, where: int, word: str) -> bool:
+        """Whether word is the first one of the text of an element."""
+        return self.start[where] < self.end[where] and self.strings[self.start[where]].split(maxsplit=1)[0] == word
+
 
 def list_rows(page: Page) -> Iterator[tuple[str, str, str, str | None]]:
     """Series, number text, title and address of each row of a list page."""
-    for row in page.inside(page.root, "tr"):
-        cells = list(page.inside(row, "td"))
-        series = page.first(cells[0], "a", href=SERIES_LINK) if len(cells) >= 3 else None
+    for cells in page.cells.values():
+        series = page.link(cells[0], SERIES_LINK) if len(cells) >= 3 else None
         if series is None:
             continue
-        link = page.first(cells[2], "a", href=DETAIL_LINK)
-        title = page.text(link or cells[2])
+        link = page.link(cells[2], DETAIL_LINK)
+        title = page.text(cells[2] if link is None else link)
         if title and title not in HEADERS:
-            yield page.text(series), page.text(cells[1]).strip(), title, link.attrs["href"] if link else None
+            yield page.text(series), page.text(cells[1]).strip(), title, None if link is None else page.attrs[link]["href"]
 
 
-def description(page: Page, cell: Element) -> str | None:
+def description(page: Page, cell: int) -> str | None:
     """The first text that follows the heading of the description."""
+    named = [i for i in range(page.start[cell], page.end[cell]) if DESCRIPTION in page.strings[i]]
     for heading in page.inside(cell, "span"):
-        if "t4_bold" in heading.attrs.get("class", "").split() and "Beschreibung:" in page.words(heading):
-            for body in page.elements[heading.place + 1 :]:
-                if body.tag == "span" and "t5" in body.attrs.get("class", "").split():
+        at = bisect_left(named, page.start[heading])
+        if at < len(named) and named[at] < page.end[heading] and "t4_bold" in page.attrs[heading].get("class", "").split():
+            for body in range(heading + 1, len(page.tags)):
+                if page.tags[body] == "span" and "t5" in page.attrs[body].get("class", "").split():
                     return page.words(body) or None
             return None
     return None
 
 
-def credits(page: Page, cell: Element) -> Iterator[dict[str, str]]:
+def credits(page: Page, cell: int) -> Iterator[dict[str, str]]:
     for row in page.inside(cell, "tr"):
-        cells = list(page.inside(row, "td"))
+        cells = page.cells[row]
         if len(cells) == 4:
             role, speaker = page.text(cells[1], " "), page.text(cells[3], " ")
             if role and speaker and role != CREDIT_HEADERS[0] and speaker != CREDIT_HEADERS[1]:
@@ -148,25 +209,25 @@ def credits(page: Page, cell: Element) -> Iterator[dict[str, str]]:
 
 
 def detail(page: Page) -> dict:
-    cells: dict[str, Element] = {}
-    table = page.first(page.root, "table", background=DETAIL_BACKGROUND)
-    for td in page.inside(table, "td") if table else ():
-        if name := CELLS.get(tuple(td.attrs.get(k) for k in ("width", "align", "valign"))):
+    cells: dict[str, int] = {}
+    table = page.first(None, "table", background=DETAIL_BACKGROUND)
+    for td in page.inside(table, "td") if table is not None else ():
+        if name := CELLS.get(tuple(page.attrs[td].get(k) for k in ("width", "align", "valign"))):
             cells[name] = td
     out: dict = {}
-    if path := cells.get("path"):
+    if (path := cells.get("path")) is not None:
         links = list(page.inside(path, "a", href=DETAIL_LINK))
-        out |= {"series_name": page.text(page.first(path, "a", href=SERIES_LINK)), "label": page.text(page.first(path, "a", href=LABEL_LINK))}
-        out |= {"links": [a.attrs["href"] for a in links], "path_text": page.words(path).lower()}
+        out |= {"series_name": page.text(page.link(path, SERIES_LINK)), "label": page.text(page.link(path, LABEL_LINK))}
+        out |= {"links": [page.attrs[a]["href"] for a in links], "path_text": page.words(path).lower()}
         if len(links) >= 2:
             out |= {"number_text": page.text(links[0]), "title": page.text(links[1])}
-    if text := cells.get("text"):
+    if (text := cells.get("text")) is not None:
         out |= {"text": page.text(text, " "), "description": description(page, text)}
-    if credit := cells.get("credits"):
+    if (credit := cells.get("credits")) is not None:
         out["speakers"] = list(credits(page, credit))
-    cover = page.first(page.root, "img", src=COVER_PART)
-    named = (page.words(td) for td in page.inside(page.root, "td"))
-    return out | {"cover_url": cover and cover.attrs["src"], "genres": [g for n in named if n.startswith("- ") and (g := n[2:].strip())]}
+    cover = page.first(None, "img", src=COVER_PART)
+    named = (page.words(td) for td in page.inside(None, "td") if page.begins(td, "-"))
+    return out | {"cover_url": None if cover is None else page.attrs[cover]["src"], "genres": [g for n in named if n.startswith("- ") and (g := n[2:].strip())]}
 
 
 def address(base_url: str, href: str | None) -> tuple[str | None, str | None]:
@@ -250,6 +311,12 @@ def parse_detail_pages(pages: DataFrame, base_url: str) -> DataFrame:
     )
 
 
+def records_of_folder(pages: DataFrame, base_url: str) -> DataFrame:
+    """The records of pages(page, html), each with source_file, the name of its page, and place, its number in the order of
+    names from 1 on."""
+    return numbered(parse_detail_pages(pages, base_url).withColumnRenamed("page", "source_file"), "source_file")
+
+
 def detail_targets(rows: DataFrame) -> DataFrame:
     """The pending detail page of each code; a later series page wins."""
     codes = rows.where("url is not null").withColumn("episode_code", episode_code(F.col("url"))).where("episode_code is not null")

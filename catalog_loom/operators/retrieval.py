@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from catalog_loom.operators import nearby
+from catalog_loom.sources.files import written
+from catalog_loom.sources.keyed import KeyedTable
+
 
 def to_embed(episodes: DataFrame) -> DataFrame:
     return episodes.where("embedding is null and description is not null")
@@ -27,20 +30,57 @@ def embedding_text(docs: DataFrame) -> DataFrame:
     return docs.select("episode_id", F.concat_ws(" | ", *parts).alias("text"))
 
 
-def embed(texts: DataFrame, batch_function: Callable[[list[str]], list[list[float]]], batch: int = 100) -> DataFrame:
-    """Vectors of texts(episode_id, text). A batch whose call fails gives no rows and doesn't stop the others."""
+ATTEMPTS = "episode_id bigint, embedding array<float>, error string, attempt int"
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for at in range(0, len(frame), batch):
-                part = frame.iloc[at : at + batch]
-                try:
-                    vectors = batch_function(part["text"].tolist())
-                except Exception:  # noqa: BLE001  the caller's function may fail in any way
-                    continue
-                yield pd.DataFrame({"episode_id": part["episode_id"].to_numpy(), "embedding": vectors})
 
-    return texts.select("episode_id", "text").mapInPandas(run, "episode_id long, embedding array<float>")
+def embed(texts: DataFrame, batch_function: Callable[[list[str]], list[list[float]]], batch: int = 100) -> DataFrame:
+    """episode_id, embedding, error and attempt of texts(episode_id, text, and attempt if there were any before). A batch whose
+    call fails is halved until the texts that fail by themselves are found; these have the error and no vector, and stop no
+    others. The rows are written, so that no call is made twice."""
+
+    def called(texts: list[str]) -> list[tuple[list[float] | None, str | None]]:
+        try:
+            vectors = batch_function(texts)
+            if len(vectors) != len(texts):
+                raise ValueError(f"{len(vectors)} vectors of {len(texts)} texts")
+            return [(v, None) for v in vectors]
+        except Exception as e:  # noqa: BLE001  the caller's function may fail in any way
+            if len(texts) == 1:
+                return [(None, f"{type(e).__name__}: {e}")]
+            half = len(texts) // 2
+            return called(texts[:half]) + called(texts[half:])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, batch):
+                part = whole.slice(at, batch)
+                vectors, errors = zip(*called(part["text"].to_pylist()), strict=True)
+                columns = [part["episode_id"], pa.array(vectors, pa.list_(pa.float32())), pa.array(errors, pa.string()), part["attempt"]]
+                yield pa.RecordBatch.from_arrays(columns, ["episode_id", "embedding", "error", "attempt"])
+
+    attempt = (F.coalesce("attempt", F.lit(0)) + 1 if "attempt" in texts.columns else F.lit(1)).cast("int").alias("attempt")
+    return written(texts.select(F.col("episode_id").cast("long").alias("episode_id"), "text", attempt).mapInArrow(run, ATTEMPTS), "attempts")
+
+
+def failures(attempts: DataFrame) -> DataFrame:
+    """episode_id, error, attempt of the texts that have no vector yet."""
+    return attempts.where("error is not null").select("episode_id", "error", "attempt")
+
+
+def to_resume(texts: DataFrame, ledger: DataFrame) -> DataFrame:
+    """episode_id, text and attempt of what has no vector in ledger(episode_id, embedding, error, attempt): texts that failed, and
+    new ones."""
+    last = ledger.select("episode_id", "attempt", F.col("error").isNull().alias("done"))
+    rows = texts.select("episode_id", "text").join(last, "episode_id", "left").where("done is null or not done")
+    return rows.select("episode_id", "text", F.coalesce("attempt", F.lit(0)).alias("attempt"))
+
+
+def embed_into(ledger: KeyedTable, texts: DataFrame, batch_function: Callable[[list[str]], list[list[float]]], batch: int = 100) -> DataFrame:
+    """Embed what has no vector in the ledger, a table of ATTEMPTS by episode_id, and put the outcome there; only buckets with such
+    texts are written. Returns what failed."""
+    attempts = embed(to_resume(texts, ledger.read()), batch_function, batch)
+    ledger.upsert(attempts)
+    return failures(attempts)
 
 
 def write_back(episodes: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -63,42 +103,9 @@ def nearest(vectors: DataFrame, query: list[float], k: int = 10, allowed: DataFr
     return rows.select("id", cosine(F.col("embedding"), wanted).alias("similarity")).orderBy(F.desc_nulls_last("similarity"), "id").limit(k)
 
 
-SIDE_BY_SIDE = 128
-
-
-def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 2048) -> DataFrame:
-    """query_id, id, similarity: the k nearest of each of many queries(query_id, embedding). Queries are dealt to blocks;
-    each block is scored against each part of the vectors, SIDE_BY_SIDE queries at a time, and keeps k rows a query."""
-    n_blocks = max(1, -(-queries.count() // block))
-    parts = max(1, -(-vectors.count() // (8 * block)))
-    asked = queries.where("embedding is not null").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    rows = vectors.where("embedding is not null").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-
-    def unit(column: pd.Series) -> np.ndarray:
-        m = np.stack(column.to_numpy()).astype(np.float64)
-        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        right = right.sort_values("id", kind="stable")
-        ids = right["id"].to_numpy()
-        points = unit(right["embedding"]) if len(right) else None
-        for at in range(0, len(left) if len(right) else 0, SIDE_BY_SIDE):
-            some = left.iloc[at : at + SIDE_BY_SIDE]
-            s = np.round(unit(some["embedding"]) @ points.T, 12)
-            kth = np.partition(s, -k, axis=1)[:, -k, None] if s.shape[1] > k else np.full((len(s), 1), -np.inf)
-            row, col = np.nonzero(s >= kth)
-            order = np.lexsort((col, -s[row, col], row))
-            row, col = row[order], col[order]
-            place = np.arange(len(row)) - np.searchsorted(row, row)
-            row, col = row[place < k], col[place < k]
-            found.append(pd.DataFrame({"query_id": some["query_id"].to_numpy()[row], "id": ids[col], "similarity": s[row, col]}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "id": [], "similarity": []})
-
-    keys = ["block", "part"]
-    found = asked.groupBy(keys).cogroup(rows.groupBy(keys)).applyInPandas(run, "query_id long, id long, similarity double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 12)), "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """query_id, id, similarity, rank: the k nearest of each of many queries(query_id, embedding); see nearby."""
+    return nearby.search(vectors, queries, k)[0]
 
 
 def hit_context(hits: DataFrame) -> DataFrame:

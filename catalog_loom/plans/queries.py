@@ -8,12 +8,14 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from catalog_loom.functions import text as tx
 from catalog_loom.functions import unicode as un
-from catalog_loom.operators import browse, coverage, dedup, extract, load, marts, profile, quality, retrieval, variants
+from catalog_loom.operators import browse, coverage, dedup, extract, load, marts, profile, quality, retrieval, search, variants
 from catalog_loom.plans.oracle import BUCKETS, MEDIUM, full, umlauts
-from catalog_loom.sources import files
+from catalog_loom.sources import files, store
+from catalog_loom.sources.keyed import KeyedTable
 from catalog_loom.sources.projections import base, projection
 
 BASE_URL = "https://x.test/"
@@ -110,7 +112,10 @@ class Frames:
         return self._once("found", lambda: coverage.last_of_each(coverage.candidates(self.fx("api"), self.probes)))
 
     def folder(self) -> str:
-        return files.shared_folder(self.spark)
+        """A new folder for what a query writes and reads again; it goes with the scratch block that the query runs in."""
+        found = files.shared_folder(self.spark)
+        store.staged(self.spark, found)
+        return found
 
 
 def register(name: str, sql: str | None, build: Callable[[Frames], DataFrame]) -> None:
@@ -119,6 +124,12 @@ def register(name: str, sql: str | None, build: Callable[[Frames], DataFrame]) -
         SQL[name] = full(sql)
 
 
+def run(spark: SparkSession, sf_dir: str, name: str, sink: Callable[[DataFrame], None]) -> None:
+    """Run a query and give its rows to sink; what it wrote in between is deleted then."""
+    with store.scratch():
+        sink(QUERIES[name](spark, sf_dir))
+
+
 # Marts.
 FACTS = "SELECT * FROM facts"
 register("qry3_genre_trends", "SELECT year, genre_name, episode_count FROM yg WHERE year BETWEEN 1994 AND 1999 AND genre_name IN (SELECT genre_name FROM yg WHERE year BETWEEN 1994 AND 1999 GROUP BY 1 ORDER BY sum(episode_count) DESC, 1 LIMIT 5)", lambda f: marts.top_genre_trends(f.genres, 1994, 1999, 5))
@@ -179,7 +190,16 @@ register("qry16_series_episodes", f"SELECT {EPISODE} FROM cat WHERE series_id =
 register("qry16_line_episodes", f"SELECT {EPISODE} FROM cat WHERE series_id = 3 AND category_key = 'regular' AND production_line_key = 'line_b'", lambda f: browse.series_episodes(f.catalog, 3, "regular", "line_b", by_line=True))
 register("qry17_facet_totals", "SELECT production_line_key, category_key, CAST(sum(episode_count) AS BIGINT) AS episode_count FROM ccnt WHERE series_id = 3 GROUP BY GROUPING SETS ((production_line_key), (category_key), ())", lambda f: browse.facet_totals(f.counts, 3))
 register("qry17_defaults", "SELECT series_id, arg_min(production_line_key, production_line_order) AS production_line_key, CASE WHEN bool_or(category_key = 'regular') THEN 'regular' ELSE 'all' END AS category_key FROM ccnt GROUP BY 1", lambda f: browse.default_facets(f.counts))
-register("qry18_search", f"SELECT * FROM ({OVERVIEW}) WHERE contains(lower(name), 'e  1')", lambda f: cells(browse.search_series(browse.series_overview(f.counts), "E  1")))
+
+
+def _searched(f: Frames) -> DataFrame:
+    """Series whose name contains a text, by an index of trigrams."""
+    overview, folder = files.written(browse.series_overview(f.counts), "overview"), f.folder()
+    search.build(overview.select("id", "name"), folder)
+    return cells(search.containing(overview, folder, "E  1"))
+
+
+register("qry18_search", f"SELECT * FROM ({OVERVIEW}) WHERE contains(lower(name), 'e  1')", _searched)
 DOCS = "SELECT f.episode_id, f.episode_title, f.series_name, f.label_name, coalesce(c.c, '') AS credits, coalesce(g.g, '') AS genres FROM facts f LEFT JOIN (SELECT episode_id, string_agg(speaker_name || '=' || role_name, ';' ORDER BY speaker_name, role_name) AS c FROM cred GROUP BY 1) c ON c.episode_id = f.episode_id LEFT JOIN (SELECT episode_id, string_agg(genre_name, ';' ORDER BY genre_name) AS g FROM egen GROUP BY 1) g ON g.episode_id = f.episode_id"
 register("qry19_documents", DOCS, lambda f: browse.episode_documents(f.facts, f.credits, f.genres).withColumn("credits", F.array_join(F.transform("credits", lambda c: F.concat(c["speaker_name"], F.lit("="), c["role_name"])), ";")).withColumn("genres", F.array_join("genres", ";")))
 
@@ -219,7 +239,17 @@ register("dim9_pending", "SELECT * FROM fx_targets ORDER BY external_id LIMIT 20
 LEDGER = "SELECT t.external_id, CASE WHEN o.external_id IS NULL THEN t.status WHEN o.error_message IS NOT NULL THEN 'error' ELSE o.status END AS status, t.attempts + CASE WHEN o.external_id IS NULL THEN 0 ELSE 1 END AS attempts, o.error_message FROM fx_targets t LEFT JOIN (SELECT external_id, status, error_message FROM fx_outcomes QUALIFY row_number() OVER (PARTITION BY external_id ORDER BY event_id DESC) = 1) o ON o.external_id = t.external_id"
 register("dim10_outcomes", LEDGER, lambda f: load.apply_outcomes(f.fx("targets"), f.fx("outcomes"), "event_id"))
 register("dim11_outcome_counts", "SELECT status, count(*) AS n FROM fx_outcomes GROUP BY 1", lambda f: load.outcome_counts(f.fx("outcomes")))
-register("snk3_upsert", "SELECT id, name FROM fx_roles WHERE id % 3 <> 0 UNION ALL SELECT id, upper(name) FROM fx_roles WHERE id % 3 = 0", lambda f: load.upsert(f.fx("roles"), f.fx("roles").where("id % 3 = 0").select("id", F.upper("name").alias("name")), ["id"]))
+
+
+def _upserted(f: Frames) -> DataFrame:
+    """Roles in a keyed table, of which a change writes the buckets that it touches."""
+    table = KeyedTable(f.spark, f.folder(), StructType.fromDDL("id bigint, name string"), ["id"], 16)
+    table.upsert(f.fx("roles").select("id", "name"))
+    table.upsert(f.fx("roles").where("id % 3 = 0").select("id", F.upper("name").alias("name")))
+    return table.read()
+
+
+register("snk3_upsert", "SELECT id, name FROM fx_roles WHERE id % 3 <> 0 UNION ALL SELECT id, upper(name) FROM fx_roles WHERE id % 3 = 0", _upserted)
 
 # Checks over own outputs, and over broken copies.
 OK = lambda *names: " UNION ALL ".join(f"SELECT '{n}' AS check_name, 0 AS violations" for n in names)
@@ -313,6 +343,29 @@ register("vec2_3_texts", TEXTS, lambda f: retrieval.embedding_text(browse.episod
 register("vec4_write_back", "SELECT vec_id AS id, CASE WHEN vec_id % 2 = 0 THEN label ELSE 1 END AS first_value FROM embeddings", lambda f: retrieval.write_back(f.base("embeddings").select(F.col("vec_id").alias("id"), F.array(F.lit(1.0).cast("float")).alias("embedding")), f.base("embeddings").where("vec_id % 2 = 0").select(F.col("vec_id").alias("episode_id"), F.array(F.col("label").cast("float")).alias("embedding"))).select("id", F.element_at("embedding", 1).cast("int").alias("first_value")))
 
 
+
+def _refusing(*endings: str) -> Callable[[list[str]], list[list[float]]]:
+    """A stand-in for the model: a call with a text of such an ending fails."""
+
+    def call(texts: list[str]) -> list[list[float]]:
+        if any(t.endswith(endings) for t in texts):
+            raise OSError("refused")
+        return [[float(len(t))] for t in texts]
+
+    return call
+
+
+def _ledger(f: Frames) -> DataFrame:
+    """Texts are embedded twice; what failed at first is tried again, and only that."""
+    texts = f.fx("episodes").select(F.col("id").alias("episode_id"), F.concat(F.lit("Text "), F.col("id").cast("string")).alias("text"))
+    ledger = KeyedTable(f.spark, f.folder(), StructType.fromDDL(retrieval.ATTEMPTS), ["episode_id"], 16)
+    retrieval.embed_into(ledger, texts, _refusing("7"))
+    retrieval.embed_into(ledger, texts, _refusing("77"))
+    return ledger.read().select("episode_id", F.element_at("embedding", 1).cast("int").alias("first_value"), "error", "attempt")
+
+
+register("vec4_ledger", "SELECT id AS episode_id, CASE WHEN id % 100 <> 77 THEN length('Text ' || id) END AS first_value, CASE WHEN id % 100 = 77 THEN 'OSError: refused' END AS error, CASE WHEN id % 10 = 7 THEN 2 ELSE 1 END AS attempt FROM fx_episodes", _ledger)
+
 def _query_vector(f: Frames) -> list[float]:
     return list(f.base("embeddings").where("vec_id = 0").select("embedding").first()[0])
 
@@ -399,7 +452,8 @@ FROM_PAGE = """nullif(trim(s.label), '') AS label, CASE WHEN e.id % 2 = 0 THEN '
 DETAILED = f"SELECT e.id, trim(e.title) AS title, trim(s.name) AS series_name, e.episode_number, trim(e.description) AS description, e.duration_minutes, strftime(e.release_date, '%d.%m.%Y') AS release_date, e.order_number, {FROM_PAGE}, coalesce(c.c, '') AS credits, coalesce(g.g, '') AS genres, 'https://x.test/hsp_anzeige.asp?code=' || e.id AS source_url FROM fx_episodes e JOIN fx_series s ON s.id = e.series_id LEFT JOIN (SELECT l_orderkey, string_agg(role || '=' || speaker, ';' ORDER BY l_linenumber, l_partkey, l_suppkey) AS c FROM fx_credits_raw GROUP BY 1) c ON c.l_orderkey = e.id LEFT JOIN (SELECT episode_id, string_agg(name, ';' ORDER BY name) AS g FROM fx_episode_genres JOIN fx_genres ON id = genre_id GROUP BY 1) g ON g.episode_id = e.id WHERE trim(e.title) <> ''"
 joined_names = lambda df: df.withColumn("credits", F.array_join(F.transform("speakers", lambda c: F.concat(c["role"], F.lit("="), c["speaker"])), ";")).withColumn("genres", F.array_join("genres", ";"))
 register("ext2_detail_pages", DETAILED, lambda f: joined_names(extract.parse_detail_pages(_detail_pages(f), BASE_URL)).withColumn("id", tx.episode_code(F.col("source_url"))).select("id", "title", "series_name", "episode_number", "description", "duration_minutes", "release_date", "order_number", "label", "cover_url", "previous_episode_url", "next_episode_url", "credits", "genres", "source_url"))
-register("ext3_file_names", r"SELECT url, left(lower(trim(regexp_replace(url, '[^a-zA-Z0-9]+', '_', 'g'), '_')), 80) || '_' || left(sha1(url), 10) || '.html' AS file_name FROM pages", lambda f: f.base("pages").select("url", tx.page_file_name(F.col("url")).alias("file_name")))
+FILE_NAME = "left(lower(trim(regexp_replace(url, '[^a-zA-Z0-9]+', '_', 'g'), '_')), 80) || '_' || left(sha1(url), 10) || '.html'"
+register("ext3_file_names", f"SELECT url, {FILE_NAME} AS file_name FROM pages", lambda f: f.base("pages").select("url", tx.page_file_name(F.col("url")).alias("file_name")))
 register("ext4_codes", "SELECT id, id AS from_url, id AS from_name FROM fx_episodes", lambda f: f.fx("episodes").select("id", tx.episode_code(F.col("source_url")).alias("from_url"), tx.page_code(F.concat(F.lit("hsp_code_"), F.col("id").cast("string"), F.lit("_ab.html"))).alias("from_name")))
 register("ext5_targets", f"SELECT CAST(regexp_extract(url, 'code=(.*)', 1) AS BIGINT) AS episode_code, page, 'pending' AS status FROM ({LISTED}) WHERE url IS NOT NULL", lambda f: extract.detail_targets(extract.parse_list_pages(_list_pages(f), BASE_URL)))
 OUTCOME = "CASE WHEN url IS NULL THEN 'stub_without_link' WHEN CAST(regexp_extract(url, 'code=(.*)', 1) AS BIGINT) % 9 = 0 THEN 'stub_missing_html' WHEN CAST(regexp_extract(url, 'code=(.*)', 1) AS BIGINT) % 7 = 0 THEN 'stub_parse_error' ELSE 'with_detail' END"
@@ -449,16 +503,39 @@ register("snk5_report", "SELECT probe_key, returned, candidates FROM report", _r
 # From page files to published records, and the other sources: written as files and read by them.
 
 
+def _packed(pages: DataFrame, folder: str) -> str:
+    files.pack_pages(pages.select("page", tx.encode_page(F.col("html")).alias("content")), folder)
+    return folder
+
+
 def _from_page_files(f: Frames) -> DataFrame:
-    """List pages are a file each, in ASCII with references for other letters; detail pages are a table."""
+    """List and detail pages as bytes in packs."""
     folder = f.folder()
-    plain = functools.reduce(lambda x, c: F.replace(x, F.lit(c), F.lit(f"&#{ord(c)};")), "äöüÄÖÜ", F.col("html"))
-    files.write_pages(_list_pages(f).select(F.concat("page", F.lit(".html")).alias("page"), plain.alias("html")), f"{folder}/series")
-    records, _ = extract.build_records(files.read_pages(f.spark, f"{folder}/series"), _detail_pages(f), BASE_URL)
+    lists = _packed(_list_pages(f).withColumn("page", F.concat("page", F.lit(".html"))), f"{folder}/series")
+    details = _packed(_detail_pages(f), f"{folder}/details")
+    records, _ = extract.build_records(files.read_packed(f.spark, lists), files.read_packed(f.spark, details), BASE_URL)
     published = files.publish_if_valid(records, quality.check_records, f"{folder}/records")
     return joined_names(published).drop("speakers", "page", "pos", "parse_error")
 
 
+def _detail_folder(f: Frames) -> DataFrame:
+    """The records of a folder of detail pages in the order of their names."""
+    packs = _packed(_detail_pages(f), f"{f.folder()}/details")
+    return extract.records_of_folder(files.read_packed(f.spark, packs), BASE_URL).select("place", "source_file", "title", "episode_number", "source_url")
+
+
+register("ext2l_detail_folder", f"SELECT row_number() OVER (ORDER BY source_file) AS place, * FROM (SELECT {FILE_NAME.replace('url', 'source_url')} AS source_file, title, episode_number, source_url FROM ({DETAILED}))", _detail_folder)
+
+
+def _series_pages(f: Frames) -> DataFrame:
+    """Pages whose first series link ends in other ways."""
+    n = F.col("page_id").cast("string")
+    link = lambda x: F.concat(F.lit('<a href="x.asp?serie=1">0</a><p><a class="b" href="hsp_serie.asp?serie='), x, F.lit('">S</a><a href="hsp_serie.asp?serie=5">T</a>'))
+    html = F.when(F.col("page_id") % 5 == 0, link(n)).when(F.col("page_id") % 5 == 1, link(F.concat(n, F.lit("&x=2")))).when(F.col("page_id") % 5 == 2, link(F.lit("abc"))).when(F.col("page_id") % 5 == 3, link(F.lit("")))
+    return f.base("pages").select(F.concat(n, F.lit(".html")).alias("page"), F.concat(F.coalesce(html, F.lit("")), F.lit("<p>"), F.coalesce("html", F.lit(""))).alias("html"))
+
+
+register("ext2k_series_ids", "SELECT page_id || '.html' AS page, CASE WHEN page_id % 5 < 2 THEN page_id END AS series_id FROM pages", lambda f: extract.page_series(_series_pages(f)))
 register(
     "src1_pages_to_records",
     f"""SELECT source_key, CASE WHEN k.url IS NULL THEN 'stub_without_link' ELSE 'with_detail' END AS outcome, k.title, CASE WHEN k.url IS NULL THEN k.series_name ELSE regexp_replace(k.series_name, '\\s+', ' ', 'g') END AS series_name, k.episode_number, d.description, d.duration_minutes, d.release_date, d.label, d.cover_url,

@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import functools
+import json
 import tempfile
-import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from catalog_loom.functions.text import blank_to_null, decode_page, undecodable
+from catalog_loom.sources import store
 
 WRITERS = 64
+PACK_BYTES = 16 << 20
+PACK_END = 12  # digits of the length of a pack's index
+INDEX = "array<struct<page:string,offset:bigint,length:bigint>>"
+SERIES_BYTES = 64 << 20
 RECORD = (
     "title string, series_name string, episode_number bigint, description string, duration_minutes double, release_date string, label string, cover_url string, order_number string, "
     "previous_episode_url string, next_episode_url string, speakers array<struct<role:string,speaker:string>>, genres array<string>, source_url string, source_key string")
@@ -23,22 +30,34 @@ EXPORTED = ["candidate_id", "source_key", "source_title", "variant_category", "t
             "match_reasons", "edition_markers", "range_start", "range_end", "review_decision", "review_note"]
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one named in spark.checkpoint.dir. A local one is taken only where that is unset and Spark
-    runs in one process, as in tests."""
+@functools.cache
+def local_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
+def root_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir. A local one is taken only where that is unset and Spark runs in one process, as
+    in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root}/catalog-{uuid.uuid4().hex}"
+    if root:
+        return root
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+    return local_folder()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below root_folder."""
+    return f"{root_folder(spark)}/catalog-{uuid.uuid4().hex}"
 
 
 def written(rows: DataFrame, name: str) -> DataFrame:
-    """rows, written as a table and read again, for frames that several later ones are made of."""
-    path = f"{shared_folder(rows.sparkSession)}/{name}"
+    """rows, written as a table and read again, for frames that several later ones are made of. The table is deleted with
+    the store.scratch block that it is written in."""
+    folder = shared_folder(rows.sparkSession)
+    store.staged(rows.sparkSession, folder)
+    path = f"{folder}/{name}"
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
@@ -56,6 +75,52 @@ def write_pages(pages: DataFrame, folder: str) -> None:
     pages.select("page", F.col("html").alias("value")).repartition(WRITERS, "page").write.partitionBy("page").option("lineSep", "\n").text(folder)
 
 
+def pack_pages(pages: DataFrame, folder: str, pack_bytes: int = PACK_BYTES) -> None:
+    """pages(page, content) as packs of about pack_bytes, so that very many pages aren't as many files. Pages lie in packs in the
+    order of their names; a pack is the pages' bytes, then an index of name, offset and length, and the index's length."""
+
+    def pack(parts: list[bytes], index: list[dict]) -> pa.RecordBatch:
+        shown = json.dumps(index).encode()
+        return pa.RecordBatch.from_arrays([pa.array([b"".join([*parts, shown, b"%0*d" % (PACK_END, len(shown))])], pa.binary())], ["body"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, index, size = [], [], 0
+        for batch in batches:
+            for page, content in zip(batch["page"], batch["content"], strict=True):
+                content = content.as_py() or b""
+                parts.append(content)
+                index.append({"page": page.as_py(), "offset": size, "length": len(content)})
+                size += len(content)
+                if size >= pack_bytes:
+                    yield pack(parts, index)
+                    parts, index, size = [], [], 0
+        if index:
+            yield pack(parts, index)
+
+    ordered = pages.select("page", "content").repartitionByRange("page").sortWithinPartitions("page")
+    packs = ordered.mapInArrow(run, "body binary")
+    packs.select(F.col("body").cast("string")).write.option("maxRecordsPerFile", 1).text(folder)
+
+
+def _part(content: Column | str, start: Column, length: Column | int) -> Column:
+    return F.substr(content, start.cast("int"), F.lit(length) if isinstance(length, int) else length.cast("int"))
+
+
+def packed_contents(spark: SparkSession, folder: str) -> DataFrame:
+    """page, content of all pages of a folder of packs. A pack is read by one task and cut up by its index."""
+    packs = spark.read.format("binaryFile").load(folder).select("content", F.octet_length("content").alias("n"))
+    size = _part("content", F.col("n") - PACK_END, PACK_END).cast("string").cast("int")  # a line feed ends the file
+    listed = packs.withColumn("size", size).withColumn("index", F.from_json(_part("content", F.col("n") - PACK_END - F.col("size"), F.col("size")).cast("string"), INDEX))
+    cut = F.transform("index", lambda e: F.struct(e["page"].alias("page"), _part("content", e["offset"] + 1, e["length"]).alias("content")))
+    return listed.select(F.explode(cut).alias("p")).select("p.page", "p.content")
+
+
+def read_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """page, html and undecodable, as read_pages gives them, from packs."""
+    pages = packed_contents(spark, folder)
+    return pages.select("page", decode_page(F.col("content")).alias("html"), undecodable(F.col("content")).alias("undecodable"))
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RECORD).json(path, multiLine=True)
 
@@ -80,34 +145,72 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("probe_key", "pos", F.col("r.collectionId").cast("string").alias("collection_id"), F.col("r.artistName").alias("artist_name"), F.col("r.collectionName").alias("collection_name"), F.col("r.releaseDate").alias("release_date"))
 
 
-def publish_if_valid(rows: DataFrame, checks: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
-    """Write a new version below folder, run checks(frame) on what was written, and only then name it as the published
-    one. Versions are never overwritten: what was published before stays until a row that names the new version has been
-    added, whatever fails before that."""
+def publish_if_valid(rows: DataFrame, checks: Callable[[DataFrame], DataFrame], folder: str, keep: int = 2) -> DataFrame:
+    """Write a new version below folder, run checks(frame) on what was written, and only then name it as the published one.
+    Versions are never overwritten: what was published before stays, whatever fails before the new one is named, and is
+    deleted when keep later ones are named."""
     spark = rows.sparkSession
-    version = f"{time.time_ns()}-{uuid.uuid4().hex}"
-    path = f"{folder}/versions/{version}"
-    rows.write.parquet(path)
-    failed = [r["check_name"] for r in checks(spark.read.schema(rows.schema).parquet(path)).where("violations > 0").collect()]  # one row for each check
-    if failed:
-        raise ValueError(f"not published: {', '.join(sorted(failed))}")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").parquet(f"{folder}/published")
+    version, path = store.new_version(folder)
+    try:
+        rows.write.parquet(path)
+        failed = [r["check_name"] for r in checks(spark.read.schema(rows.schema).parquet(path)).where("violations > 0").collect()]  # one row for each check
+        if failed:
+            raise ValueError(f"not published: {', '.join(sorted(failed))}")
+    except BaseException:
+        store.delete(spark, path)
+        raise
+    store.publish(spark, folder, version)
+    store.prune(spark, folder, keep)
     return read_published(spark, folder, rows.schema)
 
 
-def read_published(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+def read_published(spark: SparkSession, folder: str, schema: StructType | str) -> DataFrame:
     """The version that was named last."""
-    version = spark.read.schema("version string").parquet(f"{folder}/published").agg(F.max("version")).first()[0]
-    return spark.read.schema(schema).parquet(f"{folder}/versions/{version}")
-
-
-def write_by_series(records: DataFrame, folder: str) -> None:
-    records.write.mode("overwrite").partitionBy("series_id").json(folder)
-
-
-def publish_mart(rows: DataFrame, folder: str, name: str) -> DataFrame:
-    rows.write.mode("overwrite").parquet(f"{folder}/{name}")
-    return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/{name}")
+    found = store.published(spark, folder, 1)
+    if not found:
+        raise ValueError(f"nothing is published in {folder}")
+    return spark.read.schema(schema).parquet(f"{folder}/versions/{found[0]}")
+
+
+def publish_mart(rows: DataFrame, folder: str, name: str, keep: int = 2) -> DataFrame:
+    """A new version of a mart. Whoever reads the one before can finish, and a write that fails leaves it as it is."""
+    none = rows.sparkSession.createDataFrame([], "check_name string, violations bigint")
+    return publish_if_valid(rows, lambda _: none, f"{folder}/{name}", keep)
+
+
+def series_grains(records: DataFrame, most_bytes: int = SERIES_BYTES) -> tuple[DataFrame, DataFrame]:
+    """How records are cut into files of JSON lines: series (struct of series_id), total (bytes) and grains of each series, and
+    series, grain and piece of the grains. A series of at most most_bytes is one grain; a larger one has sixteen for each
+    most_bytes, told by a hash of the row. Neighbouring grains make a piece, which is no larger than most_bytes unless
+    a grain is."""
+    line = F.octet_length(F.to_json(F.struct(*[c for c in records.columns if c != "series_id"]))) + 1
+    sized = records.select(F.struct("series_id").alias("series"), F.xxhash64(*records.columns).alias("h"), line.alias("bytes"))
+    grains = F.when(F.col("total") > most_bytes, 16 * F.ceil(F.col("total") / most_bytes)).otherwise(1).cast("int")
+    totals = written(sized.groupBy("series").agg(F.sum("bytes").alias("total")).withColumn("grains", grains), "series")
+    large = sized.join(totals.where("grains > 1"), "series").select("series", F.pmod("h", F.col("grains")).cast("int").alias("grain"), "bytes")
+    own = Window.partitionBy("series")  # a row for each grain
+    step = F.greatest(F.lit(most_bytes) - F.max("bytes").over(own), F.lit(1))  # grains that end within a step of one another fit together
+    piece = F.floor((F.sum("bytes").over(own.orderBy("grain")) - 1) / step).cast("int")
+    cut = large.groupBy("series", "grain").agg(F.sum("bytes").alias("bytes")).select("series", "grain", piece.alias("piece"))
+    return totals, written(cut, "grains")
+
+
+def write_by_series(records: DataFrame, folder: str, most_bytes: int = SERIES_BYTES) -> None:
+    """JSON lines in a folder for each series_id: one file for a series, or as many as keep each within most_bytes. A piece is
+    written by one task, and pieces of a series by different ones. Rows that are equal in all columns lie in one file."""
+    spark = records.sparkSession
+    totals, cut = series_grains(records, most_bytes)
+    size, n = totals.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count("*")).first()
+    pieces = cut.agg(F.coalesce(F.max("piece") + 1, F.lit(1))).first()[0]
+    tasks = max(pieces, min(n, -(-2 * size // most_bytes) + spark.sparkContext.defaultParallelism), 1)
+    # A key for each task, by which repartition deals its rows to it alone.
+    keys = spark.range(64 * tasks).select(F.col("id").cast("int").alias("key"))
+    keys = keys.groupBy(F.pmod(F.hash("key"), F.lit(tasks)).alias("task")).agg(F.min("key").alias("key"))
+    rows = records.withColumn("series", F.struct("series_id")).withColumn("h", F.xxhash64(*records.columns))
+    rows = rows.join(totals.select("series", "grains"), "series").withColumn("grain", F.pmod("h", F.col("grains")).cast("int")).join(cut, ["series", "grain"], "left")
+    task = F.pmod(F.xxhash64("series") + F.coalesce("piece", F.lit(0)), F.lit(tasks)).cast("int")
+    dealt = rows.withColumn("task", task).join(keys, "task").select(*records.columns, "key").repartition(tasks, "key").drop("key")
+    dealt.write.mode("overwrite").partitionBy("series_id").json(folder)
 
 
 def export_review(rows: DataFrame, stats: DataFrame, folder: str, at: datetime) -> str:

@@ -55,9 +55,17 @@ def test_dates(spark, raw, date):
 
 
 def test_decode_page(spark):
-    rows = [("Änne hört: „Hallo“ – groß!".encode("cp1252"), "Änne hört: „Hallo“ – groß!"), (b"erf\x81llt", "erfüllt"), (b"Fr\xfc\x81hling", "Frühling")]
-    got = spark.createDataFrame(rows, "c binary, want string").select(tx.decode_page(F.col("c")).alias("got"), "want").collect()
-    assert all(r["got"] == r["want"] for r in got)
+    """Every byte of the encoding: those with a character, the one that stands for a u umlaut, and those without any."""
+    none = {0x8D, 0x8F, 0x90, 0x9D}
+    rows = [(b, b"[" + bytes([b]) + b"]") for b in range(256)] + [(256, b"Br\x81cke zum T\xfc\x81rmchen")]
+    got = {r["n"]: r for r in spark.createDataFrame(rows, "n int, c binary").select("n", tx.decode_page(F.col("c")).alias("x"), tx.undecodable(F.col("c")).alias("bad")).collect()}
+    assert got[256]["x"] == "Brücke zum Türmchen"
+    for n in range(256):
+        assert got[n]["bad"] == (n in none)
+        if n not in none:
+            assert got[n]["x"] == "[" + ("ü" if n == 0x81 else bytes([n]).decode("cp1252")) + "]"
+    kept = "".join(bytes([n]).decode("cp1252") for n in range(256) if n not in none and n != 0x81)
+    assert one(spark.createDataFrame([(kept,)], "x string").select(tx.decode_page(tx.encode_page(F.col("x"))))) == kept
 
 
 def test_search_text_and_keys(spark):
@@ -138,9 +146,10 @@ def test_page_files_to_records(spark, tmp_path):
 
 
 def test_broken_pages(spark):
-    rows = [("12.html", "a�"), ("13.html", "ok"), ("hsp_code_650_x.html", "�"), ("hsp_code_651_x.html", "ok"), ("odd.html", "�")]
+    bad = "Schiff \ufffd ahoi"
+    rows = [("4711.html", bad), ("4712.html", "Schiff ahoi"), ("seite_code_88_hafen.html", f"{bad}{bad}"), ("seite_code_89_hafen.html", None), ("hafen.html", bad), ("4713.html.bak", bad), ("4711.html", bad)]
     got = extract.broken_pages(spark.createDataFrame(rows, "page string, html string")).collect()
-    assert sorted(tuple(r) for r in got) == [("episode", 650), ("series", 12)]
+    assert sorted(tuple(r) for r in got) == [("episode", 88), ("series", 4711)]
 
 
 def test_title_markers(spark):
@@ -217,7 +226,7 @@ def _shown(v):
     return v.isoformat() if hasattr(v, "isoformat") else str(v)
 
 
-NEW = ["src1_pages_to_records", "src3_record_files", "src5_seed_files", "src6_result_files", "val2_record_stats", "val8_9_counts", "val11_counts_match", "val12_reviews", "val13_links", "val14_spot_checks", "vec7_context", "cov5_hash"]
+NEW = ["src1_pages_to_records", "src3_record_files", "src5_seed_files", "src6_result_files", "val2_record_stats", "val8_9_counts", "val11_counts_match", "val12_reviews", "val13_links", "val14_spot_checks", "vec7_context", "cov5_hash", "qry18_search", "snk1_publish", "snk1b_by_series", "snk2_mart", "snk3_upsert", "vec4_ledger", "vec6_nearest_of_each", "eda5_durations", "ext2_detail_pages", "ext2k_series_ids", "ext2l_detail_folder"]
 
 
 @pytest.mark.parametrize("name", ["qry3_genre_trends", "mrt11_kpis", "mrt13_category_counts", "res11gh_candidates", "res12_review_export", "ded4_speaker_spellings", "cov3_report", "ext1_list_pages", "vec5_nearest", *NEW])
@@ -234,21 +243,6 @@ def test_against_sql(spark, name):
     assert sorted(tuple(_shown(v) for v in r) for r in df.select(columns).collect()) == want
 
 
-def test_embedding_batches_that_fail(spark):
-    """A batch whose call fails gives no rows and stops no other; written back, other vectors stay."""
-
-    def call(texts):
-        if "bad" in texts:
-            raise OSError("refused")
-        return [[float(len(t))] for t in texts]
-
-    texts = spark.createDataFrame([(1, "a"), (2, "bad"), (3, "ccc")], "episode_id long, text string").coalesce(1)
-    vectors = retrieval.embed(texts, call, batch=1)
-    assert sorted((r["episode_id"], list(r["embedding"])) for r in vectors.collect()) == [(1, [1.0]), (3, [3.0])]
-    episodes = spark.createDataFrame([(1, None), (2, [9.0]), (3, [8.0])], "id long, embedding array<float>")
-    assert {r["id"]: list(r["embedding"]) for r in retrieval.write_back(episodes, vectors).collect()} == {1: [1.0], 2: [9.0], 3: [3.0]}
-
-
 def test_first_bad_dates(spark):
     df = spark.createDataFrame([(f"{d}.02.2020",) for d in range(25, 35)] + [(None,)], "release_date string")
     assert [r["release_date"] for r in quality.bad_dates(df, tx.release_date(F.col("release_date"))).collect()] == ["30.02.2020", "31.02.2020", "32.02.2020", "33.02.2020", "34.02.2020"]
