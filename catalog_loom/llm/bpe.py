@@ -12,6 +12,8 @@ the pair fails if two pieces that stood side by side have a merge that comes bef
 or with it, for the right piece: of equal merges the leftmost goes first).
 
 Texts that contain the strings of the special tokens have these as single ids, as the tokenizers library does by default.
+Letters, digits, lower case and NFC are the library's for every code point, whatever version of Unicode the installed modules
+know: where they differ is derived from fixed ranges; with tables that these weren't compared with, loading fails.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text; repeated rows are encoded alike; a null
 doc_id is kept; an empty table gives no rows; further columns are ignored.
@@ -19,9 +21,11 @@ doc_id is kept; an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -214,13 +218,13 @@ class Vocabulary:
     def pieces(self, text: str) -> list:
         """The words of a text, and the ids of special tokens, in order."""
         if "<|" not in text:
-            return self.words.findall(normalised(text))
+            return words_of(text, self.words)
         out: list = []
         for part in self.split_special.split(text):
             if part in self.specials:
                 out.append(self.specials[part])
             else:
-                out += self.words.findall(normalised(part))
+                out += words_of(part, self.words)
         return out
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -252,14 +256,65 @@ class Vocabulary:
         return [b" ".join(shown[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
-def normalised(text: str) -> str:
-    if not text.isascii():
-        text = unicodedata.normalize("NFC", text)
-        if "Σ" in text:  # a final sigma is not told apart
-            text = text.replace("Σ", "σ")
+# Where the tokenizers library's tables of characters aren't those of Python 3.13, which are of Unicode 15.1. Its
+# patterns and its lower case know characters of Unicode 16 (lower case: 17); its NFC knows no combining class of later marks.
+LATER_LETTERS = ((0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5),
+                 (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0))
+LATER_DIGITS = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
+LATER_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+UNORDERED = ((0x7FD, 0x7FD), (0x898, 0x89F), (0x8CA, 0x8D3), (0x9FE, 0x9FE), (0xC3C, 0xC3C), (0xD3B, 0xD3C), (0xEBA, 0xEBA), (0x1715, 0x1715), (0x1ABF, 0x1ACE), (0x1DF6, 0x1DFA), (0xA82C, 0xA82C), (0x10D24, 0x10D27), (0x10EAB, 0x10EAC), (0x10EFD, 0x10EFF),
+             (0x10F46, 0x10F50), (0x10F82, 0x10F85), (0x11070, 0x11070), (0x1133B, 0x1133B), (0x1145E, 0x1145E), (0x11839, 0x1183A), (0x11930, 0x11930), (0x1193D, 0x1193E), (0x11943, 0x11943), (0x119E0, 0x119E0), (0x11A34, 0x11A34), (0x11A47, 0x11A47),
+             (0x11A99, 0x11A99), (0x11D42, 0x11D42), (0x11D44, 0x11D45), (0x11D97, 0x11D97), (0x11F41, 0x11F42), (0x16FF0, 0x16FF1), (0x1E08F, 0x1E08F), (0x1E130, 0x1E136), (0x1E2AE, 0x1E2AE), (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4EF))
+N_LETTERS, N_DIGITS, N_ORDERED = 141_028, 1_911, 814
+
+
+def members(ranges: tuple[tuple[int, int], ...]) -> set[int]:
+    return {c for low, high in ranges for c in range(low, high + 1)}
+
+
+class Characters:
+    """What is rare in texts and needs more than Python's own tables. rare finds characters that may; shown replaces those that
+    the pattern module puts into another class than the library by one of the library's class."""
+
+    def __init__(self):
+        codes = [*range(1, 0xD800), *range(0xE000, 0x110000)]
+        every = "".join(map(chr, codes))
+        kind = dict(zip(codes, (unicodedata.category(c)[0] for c in every), strict=True))
+        letters = {c for c in codes if kind[c] == "L"} | members(LATER_LETTERS)
+        digits = {c for c in codes if kind[c] == "N"} | members(LATER_DIGITS)
+        unordered = members(UNORDERED)
+        ordered = sum(1 for c in codes if c not in unordered and unicodedata.combining(chr(c)))
+        if (len(letters), len(digits), ordered) != (N_LETTERS, N_DIGITS, N_ORDERED):
+            raise ValueError("this Python's tables of characters are of another version than those compared with the library")
+        own_letters, own_digits = set(map(ord, regex.findall(r"\p{L}", every))), set(map(ord, regex.findall(r"\p{N}", every)))
+        odd = (letters ^ own_letters) | (digits ^ own_digits)
+        self.shown = {c: "ж" if c in letters else "٣" if c in digits else "¤" for c in odd}
+        plane = sorted(c for c in odd | unordered | LATER_LOWER.keys() if c < 0x10000)
+        self.rare = re.compile("[" + "".join(map(re.escape, map(chr, plane))) + "\U00010000-\U0010ffff]")
+        self.unordered = re.compile("([" + "".join(map(re.escape, map(chr, sorted(unordered)))) + "])")
+
+
+characters = functools.cache(Characters)
+
+
+def lowered(text: str) -> str:
+    if "Σ" in text:  # a final sigma is not told apart
+        text = text.replace("Σ", "σ")
     return text.lower()
 
 
+def words_of(text: str, pattern: regex.Pattern) -> list[str]:
+    """The words of a text in NFC and lower case."""
+    if text.isascii():
+        return pattern.findall(text.lower())
+    own = characters()
+    if not own.rare.search(text):
+        return pattern.findall(lowered(unicodedata.normalize("NFC", text)))
+    text = "".join(part if i % 2 else unicodedata.normalize("NFC", part) for i, part in enumerate(own.unordered.split(text)))
+    text = lowered(text.translate(LATER_LOWER))
+    return [text[m.start() : m.end()] for m in pattern.finditer(text.translate(own.shown))]
+
+
 _LOADED: dict[bytes, Vocabulary] = {}
 
 

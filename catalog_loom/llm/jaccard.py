@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from catalog_loom.llm.components import components
-from catalog_loom.llm.shared import free_name, join_by_size, mapped, named, observed, stage, table
+from catalog_loom.llm.shared import free_name, hashable, join_by_size, mapped, named, observed, stage, table
 from catalog_loom.llm.textops import ASCII_LOWER, NOT_SPACE, Rolling, buffers, mix, slices, spans
 
 WORDS = 5
@@ -438,7 +438,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     that share it. Documents without words all stay."""
     columns = docs.columns
     mark, key, ident = (free_name(columns, x) for x in ("row_mark", "key_mark", "id_mark"))
-    keyed = docs.withColumn(mark, F.xxhash64(*map(named, columns), *[named(c).isNull() for c in columns]))  # nulls don't change xxhash64
+    keyed = docs.withColumn(mark, F.xxhash64(*hashable(docs)))
     rows, named_sets, _ = grouped(keyed.select("doc_id", "text", F.col(mark).alias("row_key")))
     rows = rows.where("cls is not null")
     least = rows.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("least"))

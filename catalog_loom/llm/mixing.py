@@ -12,7 +12,8 @@ neighbours of like size stand in for each other (a source has a salt for every S
 very many is dealt to many tasks); the words still missing from, or above, a source's target are then added
 to or cut from the first documents of that order, so at most a few documents hold a partial copy.
 
-Sums are taken over integers, so a rerun gives the same rows whatever the order in which partitions arrive.
+Sums are taken over integers and rows are ordered by hashes of all their columns, so a rerun gives the same rows however the
+table is dealt to partitions.
 
 Defined cases: a null text has size 0; size 0 takes 0 words; a null source is a source of its own; repeated rows and rows
 with a null doc_id are documents of their own; an empty table gives no rows; columns besides doc_id, text and source are
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from catalog_loom.llm.shared import any_cold, join_by_size, named, observed, stage, table
+from catalog_loom.llm.shared import any_cold, hashable, join_by_size, named, observed, stage, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 UNIT = 1_000_000_000
@@ -41,8 +42,14 @@ def source_key(source: str) -> Column:
     return F.when(F.col(source).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source))
 
 
+def identified(docs: DataFrame) -> list[Column]:
+    """id_1 and id_2, two hashes of a row, by which rows are ordered and found again: equal ones are rows that agree in all
+    columns, and stand in for each other."""
+    return [F.xxhash64(*hashable(docs)).alias("id_1"), F.xxhash64(F.lit(1), *hashable(docs)).alias("id_2")]
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", size_of("text").alias("size"), source_key("source").alias("skey"))
+    return docs.select("doc_id", size_of("text").alias("size"), source_key("source").alias("skey"), *identified(docs))
 
 
 def ranked(sources: DataFrame) -> DataFrame:
@@ -111,7 +118,8 @@ def balanced(histogram: DataFrame, sources: DataFrame, steps: int = 60, toleranc
 
 
 def mix_sources(docs: DataFrame) -> DataFrame:
-    """One row for each document: doc_id, skey, size, source_size, target, rate, copies (whole ones), taken (words)."""
+    """One row for each document: doc_id, skey, size, source_size, target, rate, copies (whole ones), taken (words), and id_1
+    and id_2 of its row."""
     rows = stage(sized(docs), "sized")
     histogram = stage(rows.groupBy("skey", "size").agg(F.count("*").alias("n")), "histogram")
     sources = histogram.groupBy("skey").agg(
@@ -123,7 +131,7 @@ def mix_sources(docs: DataFrame) -> DataFrame:
 
     free = F.when(F.col("theta").isNotNull(), F.exp(F.col("theta") * F.col("size") / F.col("mean_size"))).when(F.col("target") > 0, F.lit(2.0)).otherwise(0.0)
     nano = F.when(F.col("size") > 0, F.round(F.least(free, F.lit(2.0)) * UNIT)).otherwise(0).cast("long")
-    hashed = F.xxhash64("doc_id", "size")
+    hashed = F.xxhash64("id_1", "size")
     # A source is dealt to as many salts as it has runs of SALT_ROWS documents, within each class of sizes.
     salts = F.least(F.ceil(F.col("salt_of") / SALT_ROWS).cast("long"), F.lit(MOST_SALTS).cast("long"))
     bucket = F.floor(F.log2(F.col("size") + 1)) * salts + F.pmod(hashed, salts)
@@ -131,9 +139,9 @@ def mix_sources(docs: DataFrame) -> DataFrame:
         join_by_size(rows, solved.withColumn("salt_of", F.col("many")), "skey", "many", total, cold=cold)
         .withColumn("nano", nano).withColumn("h", hashed).withColumn("bucket", bucket.cast("long"))
         .withColumn("whole", F.floor(F.col("nano") / UNIT)).withColumn("part", F.col("nano") % UNIT)
-        .select("doc_id", "skey", "size", "source_size", "target", "nano", "h", "bucket", "whole", "part")
+        .select("doc_id", "skey", "size", "source_size", "target", "nano", "h", "id_1", "id_2", "bucket", "whole", "part")
     )
-    order = Window.partitionBy("skey", "bucket").orderBy("size", "h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("skey", "bucket").orderBy("size", "h", "doc_id", "id_1", "id_2").rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
 
     def along(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -151,7 +159,7 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     give = F.greatest(F.lit(0), F.least(F.col("room"), F.abs("short") - (F.col("room_run") - F.col("room"))))
     return spare.withColumn("taken", F.col("taken") + F.when(F.col("short") > 0, give).otherwise(-give)).select(
         "doc_id", "skey", "size", "source_size", "target", (F.col("nano") / UNIT).alias("rate"),
-        F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int").alias("copies"), F.col("taken").cast("long"),
+        F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int").alias("copies"), F.col("taken").cast("long"), "id_1", "id_2",
     )
 
 
@@ -161,16 +169,20 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself, with the columns of docs: each document as often as it is taken whole, then its first words if a
-    part is taken. Rows that share a doc_id are matched in the order of their size and source."""
-    ident = F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("skey", "size")).otherwise(0).alias("other"))
-    number = Window.partitionBy("ident").orderBy("size", "skey")
-    keys = [F.xxhash64("ident"), F.row_number().over(number), F.col("size"), F.col("skey")]
-    plan = mix_sources(docs).withColumn("ident", ident).select(*[k.alias(f"k{i}") for i, k in enumerate(keys)], "copies", "taken")
-    have = docs.select(F.struct(*map(named, docs.columns)).alias("row"), "doc_id", size_of("text").alias("size"), source_key("source").alias("skey"))
-    have = have.withColumn("ident", ident).select("row", *[k.alias(f"h{i}") for i, k in enumerate(keys)])
-    both = have.join(plan, [F.col(f"h{i}") == F.col(f"k{i}") for i in range(4)]).where("taken > 0")
-    rest = (F.col("taken") - F.col("copies") * F.col("h2")).cast("int")
-    cut = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(f"({WORD})")), 1, rest), " ")
-    texts = F.concat(F.array_repeat(F.col("row.text"), F.col("copies")), F.when(rest > 0, F.array(cut)).otherwise(F.array().cast("array<string>")))
-    mixed = both.select("row", F.explode(texts).alias("mixed_text"))
+    part is taken. Rows are found again by their hashes. Of rows that agree in all columns one stays and is given what
+    all of them together take, so that no task numbers them."""
+    rest = (F.col("taken") - F.col("copies") * F.col("size")).cast("int")
+    each = mix_sources(docs).select("id_1", "id_2", "copies", rest.alias("rest"))
+    parts = F.array_sort(F.collect_list(F.when(F.col("rest") > 0, F.col("rest"))))  # a few documents of each source have one
+    plan = stage(each.groupBy("id_1", "id_2").agg(F.count("*").alias("many"), F.sum("copies").cast("int").alias("copies"), parts.alias("rests")).where("many > 1 or copies > 0 or size(rests) > 0"), "plan")
+    keys = ["id_1", "id_2"]
+    have = docs.select(F.struct(*map(named, docs.columns)).alias("row"), *identified(docs))
+    single = have.join(plan.where("many = 1").drop("many"), keys).select("row", "copies", "rests")
+    several = plan.where("many > 1").drop("many")
+    if not several.isEmpty():
+        equal = have.join(several, keys).groupBy(*keys).agg(F.first("row").alias("row"), F.first("copies").alias("copies"), F.first("rests").alias("rests"))
+        single = single.unionByName(equal.select("row", "copies", "rests"))
+    cut = lambda n: F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(f"({WORD})")), F.lit(1), n), " ")
+    texts = F.concat(F.array_repeat(F.col("row.text"), F.col("copies")), F.transform("rests", cut))
+    mixed = single.select("row", F.explode(texts).alias("mixed_text"))
     return mixed.select(*[F.col("mixed_text").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

@@ -4,6 +4,7 @@ joins that hold where one key has very many rows."""
 from __future__ import annotations
 
 import ctypes
+import functools
 import re
 import tempfile
 import uuid
@@ -26,17 +27,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.cache
+def local_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir. A local temporary one is taken only where that is unset and Spark runs in
     one process, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+    return local_dir()
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -111,6 +116,13 @@ def named(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+def hashable(rows: DataFrame) -> list[Column]:
+    """The columns of rows in a form that can be hashed, and whether each is null (nulls don't change a hash); maps and variants
+    as JSON."""
+    plain = lambda f: not re.search(r"\b(map<|variant)", f.dataType.simpleString())
+    return [*(named(f.name) if plain(f) else F.to_json(F.struct(named(f.name).alias("x"))) for f in rows.schema), *(named(c).isNull() for c in rows.columns)]
+
+
 def free_name(columns: list[str], wanted: str) -> str:
     """wanted, made longer until no column has that name."""
     taken = {c.lower() for c in columns}
