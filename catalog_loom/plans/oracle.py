@@ -76,7 +76,7 @@ OWN = {
     "smap": "SELECT p.spelling, b.spelling AS canonical FROM sp p JOIN (SELECT * FROM sp WHERE NOT plain QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC, seen) = 1) b ON b.key = p.key WHERE p.plain",
     "rmap": "SELECT p.spelling, b.spelling AS canonical FROM rp p JOIN (SELECT * FROM rp QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC, seen) = 1) b ON b.key = p.key WHERE p.spelling <> b.spelling",
     "rk0": r"SELECT *, CASE WHEN source_url IS NOT NULL THEN 'cat:episode:' || regexp_extract(source_url, 'code=(\d+)', 1) ELSE 'cat:stub:' || sha256(lower(series_name) || chr(31) || episode_number || chr(31) || lower(regexp_replace(trim(title), '\s+', ' ', 'g'))) END AS source_key FROM fx_records_dup",
-    "probes": "SELECT 'p' || i AS probe_key, 'Serie ' || i AS series_name, ['Serie ' || i] AS aliases FROM range(20) t(i)",
+    "probes": "SELECT 'p' || i AS probe_key, 'Serie ' || i AS series_name, ['Serie ' || i] AS aliases FROM (SELECT DISTINCT probe AS i FROM fx_probe_ids)",
     "api1": r"SELECT a.*, trim(regexp_replace(lower(collection_name), '[^a-z0-9]+', ' ', 'g')) AS title FROM fx_api a JOIN probes p ON p.probe_key = a.probe_key WHERE trim(regexp_replace(lower(artist_name), '[^a-z0-9]+', ' ', 'g')) = lower(p.series_name) OR contains(trim(regexp_replace(lower(collection_name), '[^a-z0-9]+', ' ', 'g')), lower(p.series_name))",
     "api2": "SELECT * FROM api1 WHERE collection_id <> '' QUALIFY row_number() OVER (PARTITION BY probe_key, collection_id ORDER BY pos DESC) = 1",
     "report": f"SELECT r.probe_key, r.returned, coalesce(c.candidates, 0) AS candidates, coalesce(c.numbered, 0) AS numbered, coalesce(c.distinct_numbers, 0) AS distinct_numbers, c.earliest_year, c.latest_year, coalesce(d.duplicate_titles, 0) AS duplicate_titles, r.returned >= 200 AS limit_reached FROM (SELECT probe_key, count(*) AS returned FROM fx_api GROUP BY 1) r LEFT JOIN (SELECT probe_key, count(*) AS candidates, count(x) AS numbered, count(DISTINCT x) AS distinct_numbers, CAST(min(y) AS INTEGER) AS earliest_year, CAST(max(y) AS INTEGER) AS latest_year FROM (SELECT probe_key, CAST(nullif(regexp_extract(collection_name, {quoted(EPISODE_NUMBER)}, 1), '') AS INTEGER) AS x, CAST(left(release_date, 4) AS INTEGER) AS y FROM api2) GROUP BY 1) c ON c.probe_key = r.probe_key LEFT JOIN (SELECT probe_key, count(*) AS duplicate_titles FROM (SELECT probe_key, title FROM api2 GROUP BY ALL HAVING count(*) > 1) GROUP BY 1) d ON d.probe_key = r.probe_key",

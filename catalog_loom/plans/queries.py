@@ -105,7 +105,8 @@ class Frames:
 
     @property
     def probes(self) -> DataFrame:
-        return self.spark.range(20).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("probe_key"), F.concat(F.lit("Serie "), F.col("id").cast("string")).alias("series_name")).withColumn("aliases", F.array("series_name"))
+        ids = self.fx("probe_ids").select(F.col("probe").cast("string").alias("id")).distinct()
+        return ids.select(F.concat(F.lit("p"), "id").alias("probe_key"), F.concat(F.lit("Serie "), "id").alias("series_name")).withColumn("aliases", F.array("series_name"))
 
     @property
     def found(self) -> DataFrame:
@@ -234,7 +235,7 @@ register("dim5_link_rows", "SELECT DISTINCT l_orderkey AS episode_id, s.id AS sp
 TABLES = ("series", "episodes", "speakers", "roles", "genres", "episode_speakers", "episode_genres")
 register("dim6_manifest", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM fx_{t}" for t in TABLES), lambda f: load.manifest({t: f.fx(t) for t in TABLES}))
 register("dim7_mismatches", "SELECT 'genres' AS table_name, count(*) AS expected, count(*) - 1 AS actual FROM fx_genres UNION ALL SELECT 'series', count(*), NULL FROM fx_series", lambda f: load.mismatches(load.manifest({t: f.fx(t) for t in ("genres", "roles", "series")}), load.manifest({"genres": f.fx("genres").where("id <> 1"), "roles": f.fx("roles")})))
-register("dim8_seed", "SELECT external_id, status, attempts FROM fx_targets UNION ALL SELECT i, 'pending', 0 FROM range(1, 501) t(i) WHERE i NOT IN (SELECT external_id FROM fx_targets)", lambda f: load.insert_missing(f.fx("targets"), load.seed_targets(f.spark, 500, "site"), ["external_id"]))
+register("dim8_seed", "SELECT external_id, status, attempts FROM fx_targets UNION ALL SELECT i, 'pending', 0 FROM range(1, (SELECT count(*) FROM events) + 1) t(i) WHERE i NOT IN (SELECT external_id FROM fx_targets)", lambda f: load.insert_missing(f.fx("targets"), load.seed_targets(f.spark, f.base("events").count(), "site"), ["external_id"]))
 register("dim9_pending", "SELECT * FROM fx_targets ORDER BY external_id LIMIT 20", lambda f: load.pending(f.fx("targets"), 20))
 LEDGER = "SELECT t.external_id, CASE WHEN o.external_id IS NULL THEN t.status WHEN o.error_message IS NOT NULL THEN 'error' ELSE o.status END AS status, t.attempts + CASE WHEN o.external_id IS NULL THEN 0 ELSE 1 END AS attempts, o.error_message FROM fx_targets t LEFT JOIN (SELECT external_id, status, error_message FROM fx_outcomes QUALIFY row_number() OVER (PARTITION BY external_id ORDER BY event_id DESC) = 1) o ON o.external_id = t.external_id"
 register("dim10_outcomes", LEDGER, lambda f: load.apply_outcomes(f.fx("targets"), f.fx("outcomes"), "event_id"))
@@ -576,13 +577,14 @@ def _from_result_files(f: Frames) -> DataFrame:
     path = f.folder()
     result = F.struct(F.col("collection_id").cast("bigint").alias("collectionId"), F.col("collection_name").alias("collectionName"), F.col("artist_name").alias("artistName"), F.col("release_date").alias("releaseDate"))
     rows = F.transform(F.array_sort(F.collect_list(F.struct("pos", result.alias("r")))), lambda x: x["r"]).alias("results")
-    payloads = f.fx("api").groupBy("probe_key", F.floor(F.col("pos") / 200).alias("call")).agg(rows)
+    call = F.when(F.col("probe_key").isin("p0", "p10"), F.floor(F.col("pos") / 200)).otherwise(0)
+    payloads = f.fx("api").groupBy("probe_key", call.alias("call")).agg(rows)
     payloads.select(F.concat_ws("_", "probe_key", "call").alias("payload"), F.to_json(F.struct("results")).alias("value")).write.partitionBy("payload").text(path)
     return files.read_results(f.spark, path).withColumn("probe_key", F.split("probe_key", "_")[0])
 
 
 register(
     "src6_result_files",
-    "SELECT probe_key, CAST(row_number() OVER (PARTITION BY probe_key, floor(pos / 200) ORDER BY pos) - 1 AS INTEGER) AS pos, collection_id, artist_name, collection_name, release_date FROM fx_api",
+    "SELECT probe_key, CAST(row_number() OVER (PARTITION BY probe_key, CASE WHEN probe_key IN ('p0', 'p10') THEN floor(pos / 200) ELSE 0 END ORDER BY pos) - 1 AS INTEGER) AS pos, collection_id, artist_name, collection_name, release_date FROM fx_api",
     _from_result_files,
 )

@@ -42,9 +42,12 @@ SELECT id, series_id, episode_number,
     "fx_franchises": """SELECT * FROM (VALUES ('serie 1', 'Franchise A'), ('serie 2', 'Franchise A'), ('serie 3', 'Franchise B')) AS t(normalized_series_name, franchise_name)""",
     "fx_reviews": """SELECT md5(CAST(id AS STRING)) AS candidate_id, source_key, CASE id % 3 WHEN 0 THEN 'reject' ELSE 'accept' END AS review_decision, CASE id % 4 WHEN 0 THEN '' WHEN 1 THEN 'special' WHEN 2 THEN 'live_production' ELSE 'format_reissue' END AS reviewed_category, CASE id % 5 WHEN 0 THEN 'special,dialect' WHEN 1 THEN 'special,audiobook' ELSE '' END AS reviewed_markers FROM fx_episodes WHERE id % 37 = 0""",
     "fx_lines": """SELECT source_key, 'line_b' AS production_line_key, 'Line B' AS production_line_label, 20 AS production_line_order FROM fx_episodes WHERE series_id % 5 = 3 AND id % 2 = 0""",
-    "fx_credits_raw": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN (l_suppkey + l_linenumber) % 5 = 0 THEN concat('Mueller, A', CAST(l_suppkey AS STRING)) ELSE concat('Müller, A', CAST(l_suppkey AS STRING)) END AS speaker, CASE WHEN l_partkey % 7 = 0 THEN concat('ERZÄHLER ', CAST(l_partkey % 50 AS STRING)) WHEN l_partkey % 7 = 1 THEN concat('Erzaehler ', CAST(l_partkey % 50 AS STRING)) ELSE concat('Erzähler ', CAST(l_partkey % 50 AS STRING)) END AS role FROM lineitem""",
-    "fx_records_dup": """SELECT o_orderkey AS ord, concat('Serie ', CAST(o_custkey % 40 AS STRING)) AS series_name, CAST(o_orderkey % 61 AS BIGINT) AS episode_number, CASE WHEN o_orderkey % 3 = 0 THEN concat('  TITEL   ', CAST(o_orderkey % 61 AS STRING)) ELSE concat('Titel ', CAST(o_orderkey % 61 AS STRING)) END AS title, CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE concat('https://x.test/hsp_anzeige.asp?code=', CAST(o_orderkey % 5000 AS STRING)) END AS source_url, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderpriority END AS label FROM orders""",
-    "fx_api": """SELECT concat('p', CAST(o_custkey % 20 AS STRING)) AS probe_key, o_orderkey AS pos, CAST(o_orderkey % 500 AS STRING) AS collection_id, CASE o_orderkey % 4 WHEN 0 THEN 'Other Artist' ELSE concat('Serie ', CAST(o_custkey % 20 AS STRING), '!') END AS artist_name, CASE o_orderkey % 6 WHEN 0 THEN concat('Schatz (serie ', CAST(o_custkey % 20 AS STRING), ')') ELSE concat('Folge ', CAST(o_orderkey % 120 AS STRING), ': Schatz') END AS collection_name, concat(CAST(year(o_orderdate) AS STRING), '-01-01T00:00:00Z') AS release_date FROM orders""",
+    "fx_credits_raw": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN (l_suppkey + l_linenumber) % 5 = 0 THEN concat('Mueller, A', CAST(l_suppkey AS STRING)) ELSE concat('Müller, A', CAST(l_suppkey AS STRING)) END AS speaker, CASE WHEN (l_partkey + l_linenumber) % 7 = 0 THEN concat('ERZÄHLER ', CAST(l_partkey AS STRING)) WHEN (l_partkey + l_linenumber) % 7 = 1 THEN concat('Erzaehler ', CAST(l_partkey AS STRING)) ELSE concat('Erzähler ', CAST(l_partkey AS STRING)) END AS role FROM lineitem""",
+    # Several orders of a customer are one title, by a third of their numbers; addresses are shared by neighbouring orders.
+    "fx_records_dup": """SELECT o_orderkey AS ord, concat('Serie ', CAST(o_custkey AS STRING)) AS series_name, CAST(o_custkey * 3 + o_orderkey % 3 AS BIGINT) AS episode_number, CASE WHEN o_orderkey % 7 = 0 THEN concat('  TITEL   ', CAST(o_orderkey % 3 AS STRING)) ELSE concat('Titel ', CAST(o_orderkey % 3 AS STRING)) END AS title, CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE concat('https://x.test/hsp_anzeige.asp?code=', CAST(CAST(floor(o_orderkey / 6) AS BIGINT) AS STRING)) END AS source_url, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderpriority END AS label FROM orders""",
+    # A probe for each customer, and two that a tenth of all customers share.
+    "fx_probe_ids": """SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN c_custkey % 20 ELSE c_custkey END AS probe FROM customer""",
+    "fx_api": """SELECT concat('p', CAST(probe AS STRING)) AS probe_key, o_orderkey AS pos, CAST(o_custkey * 7 + o_orderkey % 7 AS STRING) AS collection_id, CASE o_orderkey % 4 WHEN 0 THEN 'Other Artist' ELSE concat('Serie ', CAST(probe AS STRING), '!') END AS artist_name, CASE o_orderkey % 6 WHEN 0 THEN concat('Schatz (serie ', CAST(probe AS STRING), ')') ELSE concat('Folge ', CAST(o_orderkey % 120 AS STRING), ': Schatz') END AS collection_name, concat(CAST(year(o_orderdate) AS STRING), '-01-01T00:00:00Z') AS release_date FROM orders JOIN fx_probe_ids ON o_custkey = c_custkey""",
     "fx_targets": """SELECT DISTINCT user_id AS external_id, 'pending' AS status, CAST(user_id % 3 AS BIGINT) AS attempts FROM events""",
     "fx_outcomes": """SELECT user_id AS external_id, event_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'not_found' ELSE 'success' END AS status, CASE event_type WHEN 'error' THEN concat('E', CAST(event_id AS STRING)) END AS error_message FROM events""",
     "fx_cover_candidates": """SELECT l_orderkey AS episode_id, l_linenumber AS pos, l_partkey AS release_id, CAST(l_quantity * 2 AS INT) AS score, concat('https://c.test/', CAST(l_partkey AS STRING)) AS cover_url FROM lineitem""",
