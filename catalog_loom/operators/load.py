@@ -30,6 +30,15 @@ def with_ids(names: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return found if known is None else known.select("id", "name").unionByName(found)
 
 
+def dimensions(rows: DataFrame, columns: list[str]) -> dict[str, DataFrame]:
+    """id, name of the values of each column, ids from 1 in the order of names: all are found in one scan and numbered in one
+    sort."""
+    pairs = F.array(*[F.struct(F.lit(i).alias("kind"), F.col(c).cast("string").alias("name")) for i, c in enumerate(columns)])
+    found = numbered(rows.select(F.explode(pairs).alias("p")).select("p.*").where("name is not null").distinct(), "kind", "name")
+    starts = {r["kind"]: r["start"] for r in found.groupBy("kind").agg(F.min("place").alias("start")).collect()}  # a row for each column
+    return {c: found.where(F.col("kind") == i).select((F.col("place") - starts.get(i, 0) + 1).alias("id"), "name") for i, c in enumerate(columns)}
+
+
 def episode_rows(records: DataFrame, series: DataFrame) -> DataFrame:
     """Records with the id of their series and a parsed date."""
     ids = series.select(F.col("id").alias("series_id"), F.col("name").alias("series_name"))

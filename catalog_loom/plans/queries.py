@@ -231,7 +231,7 @@ register("dim1_series", "SELECT series_name AS name, arg_min(label, ord) FILTER
 register("dim1b_series_first", "SELECT series_name AS name, label FROM fx_records_dup QUALIFY row_number() OVER (PARTITION BY series_name ORDER BY ord) = 1", lambda f: load.series_dimension(f.fx("records_dup"), ["ord"], prefer_known=False))
 register("dim2_3_speaker_ids", "SELECT row_number() OVER (ORDER BY name) AS id, name FROM (SELECT DISTINCT speaker AS name FROM fx_credits_raw)", lambda f: load.with_ids(load.names_of(f.fx("credits_raw"), "speaker")))
 register("dim4_episode_rows", "SELECT ord, s.id AS series_id FROM fx_records_dup r JOIN (SELECT row_number() OVER (ORDER BY series_name) AS id, series_name FROM (SELECT DISTINCT series_name FROM fx_records_dup)) s ON s.series_name = r.series_name", lambda f: load.episode_rows(f.fx("records_dup").withColumn("release_date", F.lit("01.02.2020")), load.with_ids(f.fx("records_dup").select(F.col("series_name").alias("name")).distinct())).select("ord", "series_id"))
-register("dim5_link_rows", "SELECT DISTINCT l_orderkey AS episode_id, s.id AS speaker_id, r.id AS role_id FROM fx_credits_raw c JOIN (SELECT row_number() OVER (ORDER BY name) AS id, name FROM (SELECT DISTINCT speaker AS name FROM fx_credits_raw)) s ON s.name = speaker JOIN (SELECT row_number() OVER (ORDER BY name) AS id, name FROM (SELECT DISTINCT role AS name FROM fx_credits_raw)) r ON r.name = role", lambda f: load.link_rows(f.fx("credits_raw").select(F.concat(F.lit("cat:episode:"), F.col("l_orderkey").cast("string")).alias("source_key"), "speaker", "role"), f.fx("episodes"), {c: load.with_ids(load.names_of(f.fx("credits_raw"), c)) for c in ("speaker", "role")}))
+register("dim5_link_rows", "SELECT DISTINCT l_orderkey AS episode_id, s.id AS speaker_id, r.id AS role_id FROM fx_credits_raw c JOIN (SELECT row_number() OVER (ORDER BY name) AS id, name FROM (SELECT DISTINCT speaker AS name FROM fx_credits_raw)) s ON s.name = speaker JOIN (SELECT row_number() OVER (ORDER BY name) AS id, name FROM (SELECT DISTINCT role AS name FROM fx_credits_raw)) r ON r.name = role", lambda f: load.link_rows(f.fx("credits_raw").select(F.concat(F.lit("cat:episode:"), F.col("l_orderkey").cast("string")).alias("source_key"), "speaker", "role"), f.fx("episodes"), load.dimensions(f.fx("credits_raw"), ["speaker", "role"])))
 TABLES = ("series", "episodes", "speakers", "roles", "genres", "episode_speakers", "episode_genres")
 register("dim6_manifest", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM fx_{t}" for t in TABLES), lambda f: load.manifest({t: f.fx(t) for t in TABLES}))
 register("dim7_mismatches", "SELECT 'genres' AS table_name, count(*) AS expected, count(*) - 1 AS actual FROM fx_genres UNION ALL SELECT 'series', count(*), NULL FROM fx_series", lambda f: load.mismatches(load.manifest({t: f.fx(t) for t in ("genres", "roles", "series")}), load.manifest({"genres": f.fx("genres").where("id <> 1"), "roles": f.fx("roles")})))

@@ -170,6 +170,10 @@ def test_load_checks(spark):
     ids = load.with_ids(names)
     assert sorted(tuple(r) for r in ids.collect()) == [(1, "a"), (2, "b")]
     more = load.with_ids(spark.createDataFrame([("a",), ("0",)], "name string"), ids)
+    pairs = spark.createDataFrame([("b", "y"), ("a", None), ("b", "x"), (None, "z"), ("ä", "x")], "one string, two string")
+    both = load.dimensions(pairs.repartition(3), ["one", "two"])
+    assert {c: sorted(tuple(r) for r in df.collect()) for c, df in both.items()} == {"one": [(1, "a"), (2, "b"), (3, "ä")], "two": [(1, "x"), (2, "y"), (3, "z")]}
+    assert all(df.count() == 0 for df in load.dimensions(pairs.limit(0), ["one", "two"]).values())
     assert sorted(tuple(r) for r in more.collect()) == [(1, "a"), (2, "b"), (3, "0")]
     records = spark.createDataFrame([("S", None, 1), ("S", "Label", 2)], "series_name string, label string, ord int")
     assert load.series_dimension(records, ["ord"]).first()["label"] == "Label"
