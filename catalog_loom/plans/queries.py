@@ -133,7 +133,14 @@ def run(spark: SparkSession, sf_dir: str, name: str, sink: Callable[[DataFrame],
 
 # Marts.
 FACTS = "SELECT * FROM facts"
-register("qry3_genre_trends", "SELECT year, genre_name, episode_count FROM yg WHERE year BETWEEN 1994 AND 1999 AND genre_name IN (SELECT genre_name FROM yg WHERE year BETWEEN 1994 AND 1999 GROUP BY 1 ORDER BY sum(episode_count) DESC, 1 LIMIT 5)", lambda f: marts.top_genre_trends(f.genres, 1994, 1999, 5))
+register(
+    "qry3_genre_trends",
+    (
+        "SELECT year, genre_name, episode_count FROM yg WHERE year BETWEEN 1994 AND 1999 AND genre_name IN (SELECT genre_name FROM yg"
+        " WHERE year BETWEEN 1994 AND 1999 GROUP BY 1 ORDER BY sum(episode_count) DESC, 1 LIMIT 5)"
+    ),
+    lambda f: marts.top_genre_trends(f.genres, 1994, 1999, 5),
+)
 register("cln16_17_18_staged_series", "SELECT series_id, series_name, label_name, nk AS normalized_series_name FROM st_series", lambda f: marts.stage_series(f.fx("series")))
 register("cln16_19_staged_episodes", "SELECT * FROM st_episodes", lambda f: marts.stage_episodes(f.fx("episodes")))
 register("mrt1_episode_facts", FACTS, lambda f: f.facts)
@@ -142,10 +149,29 @@ register("mrt3_speaker_credits", "SELECT * FROM cred", lambda f: f.credits)
 register("mrt4_per_year", "SELECT release_year AS year, count(*) AS episode_count FROM facts WHERE release_year IS NOT NULL GROUP BY 1", lambda f: marts.per_year(f.facts))
 register("mrt5_genre_trends", "SELECT *, year || ':' || genre_name AS year_genre_key FROM yg", lambda f: marts.genre_trends(f.genres))
 register("mrt6_genre_totals", "SELECT genre_name, count(DISTINCT episode_id) AS episode_count FROM egen GROUP BY 1", lambda f: marts.genre_totals(f.genres))
-register("mrt7_labels", "SELECT label_name, count(DISTINCT series_id) AS series_count, count(*) AS episode_count FROM facts WHERE label_name IS NOT NULL GROUP BY 1", lambda f: marts.labels(f.facts))
-register("mrt8_speakers", "SELECT speaker_id, speaker_name, count(DISTINCT episode_id) AS episode_count, count(DISTINCT role_id) AS role_count, count(*) AS credit_count FROM cred GROUP BY ALL", lambda f: marts.speakers(f.credits))
-register("mrt9_durations", f"SELECT {BUCKETS}, count(*) AS episode_count FROM facts WHERE duration_minutes IS NOT NULL GROUP BY ALL", lambda f: marts.duration_distribution(f.facts))
-register("mrt10_franchises", "SELECT franchise_name, count(DISTINCT series_id) AS series_count, count(*) AS episode_count FROM facts GROUP BY 1", lambda f: marts.franchises(f.facts))
+register(
+    "mrt7_labels",
+    "SELECT label_name, count(DISTINCT series_id) AS series_count, count(*) AS episode_count FROM facts WHERE label_name IS NOT NULL GROUP BY 1",
+    lambda f: marts.labels(f.facts),
+)
+register(
+    "mrt8_speakers",
+    (
+        "SELECT speaker_id, speaker_name, count(DISTINCT episode_id) AS episode_count, count(DISTINCT role_id) AS role_count, count(*) AS credit_count"
+        " FROM cred GROUP BY ALL"
+    ),
+    lambda f: marts.speakers(f.credits),
+)
+register(
+    "mrt9_durations",
+    f"SELECT {BUCKETS}, count(*) AS episode_count FROM facts WHERE duration_minutes IS NOT NULL GROUP BY ALL",
+    lambda f: marts.duration_distribution(f.facts),
+)
+register(
+    "mrt10_franchises",
+    "SELECT franchise_name, count(DISTINCT series_id) AS series_count, count(*) AS episode_count FROM facts GROUP BY 1",
+    lambda f: marts.franchises(f.facts),
+)
 KPIS = "SELECT count(*) AS episode_count, count(DISTINCT series_id) AS series_count, count(DISTINCT label_name) AS label_count, count(DISTINCT franchise_name) AS franchise_count, count(*) FILTER (release_year IS NULL) AS episodes_without_year, count(*) FILTER (duration_minutes IS NULL) AS episodes_without_duration FROM facts"
 register("mrt11_kpis", KPIS, lambda f: marts.kpis(f.facts))
 register("mrt12_catalog", "SELECT * FROM cat", lambda f: f.catalog)
@@ -155,42 +181,157 @@ register("mrt13_category_counts", "SELECT * FROM ccnt", lambda f: f.counts)
 register("res1_casts", "SELECT * FROM casts", lambda f: variants.casts(f.credits))
 register("res2_reviewed_dialects", "SELECT source_key, d AS is_dialect FROM dial", lambda f: variants.reviewed_dialects(f.fx("reviews")))
 FEATURES = "series_id, series_name, franchise_name, production_line_key, production_line_label, production_line_order, episode_id, source_key, episode_number, episode_title, description, duration_minutes, release_date, order_number, cast_count, cast_fingerprint"
-register("res3_8_features", f"SELECT {FEATURES}, base_category, range_start, range_end, edition_markers, comparison_title, m_multi AS has_title_separator FROM feat", lambda f: f.features.withColumn("has_title_separator", F.coalesce("has_title_separator", F.lit(False))))
+register(
+    "res3_8_features",
+    f"SELECT {FEATURES}, base_category, range_start, range_end, edition_markers, comparison_title, m_multi AS has_title_separator FROM feat",
+    lambda f: f.features.withColumn("has_title_separator", F.coalesce("has_title_separator", F.lit(False))),
+)
 register("res9_references", f"SELECT series_episode_number_key, {FEATURES.replace(' franchise_name,', '')}, comparison_title FROM refs", lambda f: f.refs)
-register("res10_classifications", f"SELECT {FEATURES}, variant_category, machine_category, classification_source, range_start, range_end, edition_markers, comparison_title FROM cls", lambda f: f.classified)
+register(
+    "res10_classifications",
+    f"SELECT {FEATURES}, variant_category, machine_category, classification_source, range_start, range_end, edition_markers, comparison_title FROM cls",
+    lambda f: f.classified,
+)
 LINK = "a AS source_episode_id, b AS target_episode_id, rel AS proposed_relationship, score AS confidence_score, why AS match_reasons"
 for _n, _name, _make in (("res11a", "range", variants.range_links), ("res11b", "format", variants.format_links), ("res11c", "story", variants.story_links), ("res11d", "comp", variants.component_links)):
     register(f"{_n}_{_name}_links", f"SELECT {LINK} FROM lk_{_name}", lambda f, make=_make: make(f.classified, f.refs).withColumn("match_reasons", F.to_json("match_reasons")))
 register("res11ef_best_links", f"SELECT {LINK} FROM lk_best", lambda f: f.links.withColumn("match_reasons", F.to_json("match_reasons")))
 register("res11gh_candidates", "SELECT * FROM cand", lambda f: f.candidates.withColumn("match_reasons", F.to_json("match_reasons")))
-register("res12_review_export", "SELECT c.*, row_number() OVER (ORDER BY CASE confidence_class WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, variant_category, source_key, target_episode_number NULLS LAST, candidate_id) AS place, '' AS review_decision, '' AS review_note FROM cand c WHERE source_episode_id IN (SELECT episode_id FROM cls WHERE series_name = 'Serie  3')", lambda f: variants.review_export(f.candidates, f.classified, "Serie  3").withColumn("place", F.col("place").cast("bigint")))
-register("res13_review_stats", "SELECT 'category' AS kind, variant_category AS value, count(*) AS records FROM cand GROUP BY ALL UNION ALL SELECT 'relationship', proposed_relationship, count(*) FROM cand GROUP BY ALL UNION ALL SELECT 'confidence', confidence_class, count(*) FROM cand GROUP BY ALL UNION ALL SELECT 'records', 'all', count(*) FROM cand UNION ALL SELECT 'unresolved', 'all', count(*) FROM cand WHERE proposed_relationship = 'unresolved'", lambda f: variants.review_stats(f.candidates))
+register(
+    "res12_review_export",
+    (
+        "SELECT c.*, row_number() OVER (ORDER BY CASE confidence_class WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, variant_category, source_key,"
+        " target_episode_number NULLS LAST, candidate_id) AS place, '' AS review_decision, '' AS review_note FROM cand c"
+        " WHERE source_episode_id IN (SELECT episode_id FROM cls WHERE series_name = 'Serie  3')"
+    ),
+    lambda f: variants.review_export(f.candidates, f.classified, "Serie  3").withColumn("place", F.col("place").cast("bigint")),
+)
+register(
+    "res13_review_stats",
+    (
+        "SELECT 'category' AS kind, variant_category AS value, count(*) AS records FROM cand GROUP BY ALL"
+        " UNION ALL SELECT 'relationship', proposed_relationship, count(*) FROM cand GROUP BY ALL UNION ALL SELECT 'confidence', confidence_class, count(*)"
+        " FROM cand GROUP BY ALL UNION ALL SELECT 'records', 'all', count(*) FROM cand UNION ALL SELECT 'unresolved', 'all', count(*) FROM cand"
+        " WHERE proposed_relationship = 'unresolved'"
+    ),
+    lambda f: variants.review_stats(f.candidates),
+)
 
 # Analytics and browsing.
 register("qry1_kpis", f"{KPIS} WHERE release_year BETWEEN 1993 AND 1997", lambda f: marts.kpis(marts.in_years(f.facts, 1993, 1997)))
-register("qry2_per_year", "SELECT release_year AS year, count(*) AS episode_count FROM facts WHERE release_year >= 1996 GROUP BY 1", lambda f: marts.per_year(marts.in_years(f.facts, 1996, None)))
-register("qry4_top_labels", "SELECT label_name, count(DISTINCT series_id) AS series_count, count(*) AS episode_count FROM facts WHERE label_name IS NOT NULL AND release_year <= 1997 GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 10", lambda f: marts.top_labels(f.facts, None, 1997))
-register("qry5_top_speakers", "SELECT speaker_name, episode_count, role_count, credit_count FROM (SELECT speaker_id, speaker_name, count(DISTINCT episode_id) AS episode_count, count(DISTINCT role_id) AS role_count, count(*) AS credit_count FROM cred WHERE release_year >= 1994 GROUP BY ALL) ORDER BY episode_count DESC, speaker_name, speaker_id LIMIT 10", lambda f: marts.top_speakers(f.credits, 1994))
-register("qry6_durations", f"SELECT {BUCKETS}, count(*) AS episode_count FROM facts WHERE duration_minutes IS NOT NULL AND release_year BETWEEN 1994 AND 1996 GROUP BY ALL", lambda f: marts.duration_distribution(marts.in_years(f.facts, 1994, 1996)))
-register("qry7_top_franchises", "SELECT franchise_name, count(DISTINCT series_id) AS series_count, count(*) AS episode_count FROM facts GROUP BY 1 ORDER BY 3 DESC, 1 NULLS LAST LIMIT 10", lambda f: marts.top_franchises(f.facts))
-register("qry8_genre_chart", "SELECT y.year, coalesce(max(episode_count) FILTER (genre_name = 'Brand#1'), 0) AS \"Brand#1\", coalesce(max(episode_count) FILTER (genre_name = 'Brand#2'), 0) AS \"Brand#2\" FROM (SELECT DISTINCT release_year AS year FROM facts WHERE release_year IS NOT NULL) y LEFT JOIN yg ON yg.year = y.year GROUP BY 1", lambda f: marts.genre_chart(f.facts, f.genres, ["Brand#1", "Brand#2"]))
-register("qry9_series_counts", "SELECT s.id, s.name, s.label, count(e.id) AS episode_count FROM fx_series s LEFT JOIN fx_episodes e ON e.series_id = s.id GROUP BY ALL", lambda f: browse.series_with_counts(f.fx("series"), f.fx("episodes")))
+register(
+    "qry2_per_year",
+    "SELECT release_year AS year, count(*) AS episode_count FROM facts WHERE release_year >= 1996 GROUP BY 1",
+    lambda f: marts.per_year(marts.in_years(f.facts, 1996, None)),
+)
+register(
+    "qry4_top_labels",
+    (
+        "SELECT label_name, count(DISTINCT series_id) AS series_count, count(*) AS episode_count FROM facts"
+        " WHERE label_name IS NOT NULL AND release_year <= 1997 GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 10"
+    ),
+    lambda f: marts.top_labels(f.facts, None, 1997),
+)
+register(
+    "qry5_top_speakers",
+    (
+        "SELECT speaker_name, episode_count, role_count, credit_count"
+        " FROM (SELECT speaker_id, speaker_name, count(DISTINCT episode_id) AS episode_count, count(DISTINCT role_id) AS role_count, count(*) AS credit_count"
+        " FROM cred WHERE release_year >= 1994 GROUP BY ALL) ORDER BY episode_count DESC, speaker_name, speaker_id LIMIT 10"
+    ),
+    lambda f: marts.top_speakers(f.credits, 1994),
+)
+register(
+    "qry6_durations",
+    f"SELECT {BUCKETS}, count(*) AS episode_count FROM facts WHERE duration_minutes IS NOT NULL AND release_year BETWEEN 1994 AND 1996 GROUP BY ALL",
+    lambda f: marts.duration_distribution(marts.in_years(f.facts, 1994, 1996)),
+)
+register(
+    "qry7_top_franchises",
+    (
+        "SELECT franchise_name, count(DISTINCT series_id) AS series_count, count(*) AS episode_count FROM facts GROUP BY 1"
+        " ORDER BY 3 DESC, 1 NULLS LAST LIMIT 10"
+    ),
+    lambda f: marts.top_franchises(f.facts),
+)
+register(
+    "qry8_genre_chart",
+    (
+        'SELECT y.year, coalesce(max(episode_count) FILTER (genre_name = \'Brand#1\'), 0) AS "Brand#1",'
+        ' coalesce(max(episode_count) FILTER (genre_name = \'Brand#2\'), 0) AS "Brand#2" FROM (SELECT DISTINCT release_year AS year FROM facts'
+        " WHERE release_year IS NOT NULL) y LEFT JOIN yg ON yg.year = y.year GROUP BY 1"
+    ),
+    lambda f: marts.genre_chart(f.facts, f.genres, ["Brand#1", "Brand#2"]),
+)
+register(
+    "qry9_series_counts",
+    "SELECT s.id, s.name, s.label, count(e.id) AS episode_count FROM fx_series s LEFT JOIN fx_episodes e ON e.series_id = s.id GROUP BY ALL",
+    lambda f: browse.series_with_counts(f.fx("series"), f.fx("episodes")),
+)
 BY_SPEAKER = "SELECT e.id AS episode_id, e.title, s.name AS series_name, s.id AS series_id, e.episode_number, e.release_date, e.duration_minutes, e.cover_url, r.name AS role_name FROM fx_episode_speakers l JOIN fx_episodes e ON e.id = l.episode_id JOIN fx_series s ON s.id = e.series_id JOIN fx_roles r ON r.id = l.role_id WHERE l.speaker_id = 7"
 register("qry10_by_speaker", BY_SPEAKER, lambda f: browse.episodes_by_speaker(f.fx("episode_speakers"), f.fx("episodes"), f.fx("series"), f.fx("roles"), 7))
-register("qry11_speaker_page", f"SELECT series_id, series_name, count(*) AS n, string_agg(episode_id || '/' || role_name, ',' ORDER BY episode_number NULLS LAST, episode_id, role_name) AS items FROM ({BY_SPEAKER}) GROUP BY ALL", lambda f: browse.speaker_page(browse.episodes_by_speaker(f.fx("episode_speakers"), f.fx("episodes"), f.fx("series"), f.fx("roles"), 7)).withColumn("items", F.array_join(F.transform("items", lambda i: F.concat(i["episode_id"].cast("string"), F.lit("/"), i["role_name"])), ",")))
-register("qry12_years", "SELECT year(release_date) AS year, count(*) AS episode_count FROM fx_episodes WHERE release_date IS NOT NULL GROUP BY 1", lambda f: browse.episodes_per_year(f.fx("episodes")))
-register("qry12_genres", "SELECT g.name AS genre_name, count(*) AS episode_count FROM fx_episode_genres l JOIN fx_genres g ON g.id = l.genre_id GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10", lambda f: browse.top_genres(f.fx("episode_genres"), f.fx("genres")))
-register("qry12_labels", "SELECT label AS label_name, count(*) AS series_count FROM fx_series WHERE label IS NOT NULL AND label <> '?' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10", lambda f: browse.top_series_labels(f.fx("series")))
+register(
+    "qry11_speaker_page",
+    f"SELECT series_id, series_name, count(*) AS n, string_agg(episode_id || '/' || role_name, ',' ORDER BY episode_number NULLS LAST, episode_id, role_name) AS items FROM ({BY_SPEAKER}) GROUP BY ALL",
+    lambda f: browse.speaker_page(browse.episodes_by_speaker(f.fx("episode_speakers"), f.fx("episodes"), f.fx("series"), f.fx("roles"), 7)).withColumn("items", F.array_join(F.transform("items", lambda i: F.concat(i["episode_id"].cast("string"), F.lit("/"), i["role_name"])), ",")),
+)
+register(
+    "qry12_years",
+    "SELECT year(release_date) AS year, count(*) AS episode_count FROM fx_episodes WHERE release_date IS NOT NULL GROUP BY 1",
+    lambda f: browse.episodes_per_year(f.fx("episodes")),
+)
+register(
+    "qry12_genres",
+    (
+        "SELECT g.name AS genre_name, count(*) AS episode_count FROM fx_episode_genres l JOIN fx_genres g ON g.id = l.genre_id GROUP BY 1"
+        " ORDER BY 2 DESC, 1 LIMIT 10"
+    ),
+    lambda f: browse.top_genres(f.fx("episode_genres"), f.fx("genres")),
+)
+register(
+    "qry12_labels",
+    "SELECT label AS label_name, count(*) AS series_count FROM fx_series WHERE label IS NOT NULL AND label <> '?' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
+    lambda f: browse.top_series_labels(f.fx("series")),
+)
 OVERVIEW = "SELECT series_id AS id, max(series_name) AS name, max(label_name) AS label, CAST(sum(episode_count) AS BIGINT) AS episode_count, string_agg(production_line_key || '/' || category_key || '/' || episode_count, ',' ORDER BY production_line_order, category_order) AS category_counts FROM ccnt GROUP BY 1"
 cells = lambda df: df.withColumn("category_counts", F.array_join(F.transform("category_counts", lambda c: F.concat_ws("/", c["production_line_key"], c["category_key"], c["episode_count"].cast("string"))), ","))
 register("qry13_overview", OVERVIEW, lambda f: cells(browse.series_overview(f.counts)))
-register("qry14_facets", "SELECT production_line_order, category_order, production_line_key, production_line_label, category_key, category_label, episode_count FROM ccnt WHERE series_id = 3", lambda f: browse.series_facets(f.counts, 3))
-register("qry15_categories", "SELECT category_key, category_label, category_order, CAST(sum(episode_count) AS BIGINT) AS episode_count FROM ccnt WHERE series_id = 3 GROUP BY ALL", lambda f: browse.series_categories(f.counts, 3))
+register(
+    "qry14_facets",
+    (
+        "SELECT production_line_order, category_order, production_line_key, production_line_label, category_key, category_label, episode_count FROM ccnt"
+        " WHERE series_id = 3"
+    ),
+    lambda f: browse.series_facets(f.counts, 3),
+)
+register(
+    "qry15_categories",
+    "SELECT category_key, category_label, category_order, CAST(sum(episode_count) AS BIGINT) AS episode_count FROM ccnt WHERE series_id = 3 GROUP BY ALL",
+    lambda f: browse.series_categories(f.counts, 3),
+)
 EPISODE = "episode_id AS id, episode_title AS title, episode_number, description, release_date, duration_minutes, cover_url, category_key, category_label, variant_category, edition_markers"
 register("qry16_series_episodes", f"SELECT {EPISODE} FROM cat WHERE series_id = 3", lambda f: browse.series_episodes(f.catalog, 3))
-register("qry16_line_episodes", f"SELECT {EPISODE} FROM cat WHERE series_id = 3 AND category_key = 'regular' AND production_line_key = 'line_b'", lambda f: browse.series_episodes(f.catalog, 3, "regular", "line_b", by_line=True))
-register("qry17_facet_totals", "SELECT production_line_key, category_key, CAST(sum(episode_count) AS BIGINT) AS episode_count FROM ccnt WHERE series_id = 3 GROUP BY GROUPING SETS ((production_line_key), (category_key), ())", lambda f: browse.facet_totals(f.counts, 3))
-register("qry17_defaults", "SELECT series_id, arg_min(production_line_key, production_line_order) AS production_line_key, CASE WHEN bool_or(category_key = 'regular') THEN 'regular' ELSE 'all' END AS category_key FROM ccnt GROUP BY 1", lambda f: browse.default_facets(f.counts))
+register(
+    "qry16_line_episodes",
+    f"SELECT {EPISODE} FROM cat WHERE series_id = 3 AND category_key = 'regular' AND production_line_key = 'line_b'",
+    lambda f: browse.series_episodes(f.catalog, 3, "regular", "line_b", by_line=True),
+)
+register(
+    "qry17_facet_totals",
+    (
+        "SELECT production_line_key, category_key, CAST(sum(episode_count) AS BIGINT) AS episode_count FROM ccnt WHERE series_id = 3"
+        " GROUP BY GROUPING SETS ((production_line_key), (category_key), ())"
+    ),
+    lambda f: browse.facet_totals(f.counts, 3),
+)
+register(
+    "qry17_defaults",
+    (
+        "SELECT series_id, arg_min(production_line_key, production_line_order) AS production_line_key,"
+        " CASE WHEN bool_or(category_key = 'regular') THEN 'regular' ELSE 'all' END AS category_key FROM ccnt GROUP BY 1"
+    ),
+    lambda f: browse.default_facets(f.counts),
+)
 
 
 def _searched(f: Frames) -> DataFrame:
@@ -202,40 +343,146 @@ def _searched(f: Frames) -> DataFrame:
 
 register("qry18_search", f"SELECT * FROM ({OVERVIEW}) WHERE contains(lower(name), 'e  1')", _searched)
 DOCS = "SELECT f.episode_id, f.episode_title, f.series_name, f.label_name, coalesce(c.c, '') AS credits, coalesce(g.g, '') AS genres FROM facts f LEFT JOIN (SELECT episode_id, string_agg(speaker_name || '=' || role_name, ';' ORDER BY speaker_name, role_name) AS c FROM cred GROUP BY 1) c ON c.episode_id = f.episode_id LEFT JOIN (SELECT episode_id, string_agg(genre_name, ';' ORDER BY genre_name) AS g FROM egen GROUP BY 1) g ON g.episode_id = f.episode_id"
-register("qry19_documents", DOCS, lambda f: browse.episode_documents(f.facts, f.credits, f.genres).withColumn("credits", F.array_join(F.transform("credits", lambda c: F.concat(c["speaker_name"], F.lit("="), c["role_name"])), ";")).withColumn("genres", F.array_join("genres", ";")))
+register(
+    "qry19_documents",
+    DOCS,
+    lambda f: browse.episode_documents(f.facts, f.credits, f.genres).withColumn("credits", F.array_join(F.transform("credits", lambda c: F.concat(c["speaker_name"], F.lit("="), c["role_name"])), ";")).withColumn("genres", F.array_join("genres", ";")),
+)
 
 # Cleaning.
 register("cln1_2_3_clean_text", "SELECT doc_id, cleaned FROM cln", lambda f: f.fx("text").select("doc_id", tx.clean_text(F.col("raw_text")).alias("cleaned")))
-register("cln4_order_numbers", f"SELECT id, CASE WHEN upper(order_number) NOT IN ({MEDIUM}) AND length(order_number) >= 5 THEN order_number END AS order_number FROM fx_episodes", lambda f: f.fx("episodes").select("id", tx.clean_order_number(F.col("order_number")).alias("order_number")))
-register("cln5_genres", "SELECT episode_id, string_agg(name, ',' ORDER BY name) AS genres FROM fx_episode_genres JOIN fx_genres ON id = genre_id WHERE name <> 'Brand#3' GROUP BY 1", lambda f: f.fx("episode_genres").join(f.fx("genres"), F.col("id") == F.col("genre_id")).groupBy("episode_id").agg(F.array_sort(F.collect_list(F.concat(F.lit(" "), "name", F.lit(" ")))).alias("g")).select("episode_id", F.array_join(tx.clean_genres(F.concat("g", "g"), ("Brand#3",)), ",").alias("genres")).where("genres <> ''"))
-register("cln6_7_credits", "SELECT l_orderkey AS id, string_agg(role || '=' || speaker, ';' ORDER BY l_linenumber, l_partkey, l_suppkey) AS credits FROM fx_credits_raw GROUP BY 1", lambda f: f.nested.where(F.size("speakers") > 0).select("id", F.array_join(F.transform(tx.clean_credits(F.transform("speakers", lambda c: F.struct(F.concat(F.lit(" "), c["role"], F.lit(" ")).alias("role"), c["speaker"].alias("speaker")))), lambda c: F.concat(c["role"], F.lit("="), c["speaker"])), ";").alias("credits")))
+register(
+    "cln4_order_numbers",
+    f"SELECT id, CASE WHEN upper(order_number) NOT IN ({MEDIUM}) AND length(order_number) >= 5 THEN order_number END AS order_number FROM fx_episodes",
+    lambda f: f.fx("episodes").select("id", tx.clean_order_number(F.col("order_number")).alias("order_number")),
+)
+register(
+    "cln5_genres",
+    (
+        "SELECT episode_id, string_agg(name, ',' ORDER BY name) AS genres FROM fx_episode_genres JOIN fx_genres ON id = genre_id WHERE name <> 'Brand#3'"
+        " GROUP BY 1"
+    ),
+    lambda f: f.fx("episode_genres").join(f.fx("genres"), F.col("id") == F.col("genre_id")).groupBy("episode_id").agg(F.array_sort(F.collect_list(F.concat(F.lit(" "), "name", F.lit(" ")))).alias("g")).select("episode_id", F.array_join(tx.clean_genres(F.concat("g", "g"), ("Brand#3",)), ",").alias("genres")).where("genres <> ''"),
+)
+register(
+    "cln6_7_credits",
+    "SELECT l_orderkey AS id, string_agg(role || '=' || speaker, ';' ORDER BY l_linenumber, l_partkey, l_suppkey) AS credits FROM fx_credits_raw GROUP BY 1",
+    lambda f: f.nested.where(F.size("speakers") > 0).select("id", F.array_join(F.transform(tx.clean_credits(F.transform("speakers", lambda c: F.struct(F.concat(F.lit(" "), c["role"], F.lit(" ")).alias("role"), c["speaker"].alias("speaker")))), lambda c: F.concat(c["role"], F.lit("="), c["speaker"])), ";").alias("credits")),
+)
 register("cln8_series_prefix", "SELECT id, name FROM fx_series", lambda f: f.fx("series").select("id", tx.series_name(F.concat(F.lit("Serien: "), "name")).alias("name")))
-register("cln9_10_keys", f"SELECT DISTINCT speaker, {umlauts('speaker')} AS umlauts, lower({umlauts('speaker')}) AS key FROM fx_credits_raw", lambda f: f.fx("credits_raw").select("speaker", tx.umlauts(F.col("speaker")).alias("umlauts"), tx.comparison_key(F.col("speaker")).alias("key")).distinct())
-register("cln11_folded", "SELECT DISTINCT role, trim(replace(replace(replace(replace(lower(role), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss')) AS folded FROM fx_credits_raw", lambda f: f.fx("credits_raw").select("role", tx.folded_name(F.col("role")).alias("folded")).distinct())
+register(
+    "cln9_10_keys",
+    f"SELECT DISTINCT speaker, {umlauts('speaker')} AS umlauts, lower({umlauts('speaker')}) AS key FROM fx_credits_raw",
+    lambda f: f.fx("credits_raw").select("speaker", tx.umlauts(F.col("speaker")).alias("umlauts"), tx.comparison_key(F.col("speaker")).alias("key")).distinct(),
+)
+register(
+    "cln11_folded",
+    "SELECT DISTINCT role, trim(replace(replace(replace(replace(lower(role), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss')) AS folded FROM fx_credits_raw",
+    lambda f: f.fx("credits_raw").select("role", tx.folded_name(F.col("role")).alias("folded")).distinct(),
+)
 register("cln12_13_source_keys", "SELECT ord, source_key FROM rk0", lambda f: f.records.select("ord", "source_key"))
-register("cln14_search_text", "SELECT doc_id, trim(regexp_replace(lower(strip_accents(url)), '[^a-z0-9]+', ' ', 'g')) AS words FROM (SELECT page_id AS doc_id, url FROM pages)", lambda f: f.base("pages").select(F.col("page_id").alias("doc_id"), un.search_text(F.col("url")).alias("words")))
-register("cln15_dates", "SELECT id, CAST(release_date AS DATE) AS release_date FROM fx_episodes", lambda f: f.fx("episodes").select("id", tx.release_date(F.date_format("release_date", "dd.MM.yyyy")).alias("release_date")))
+register(
+    "cln14_search_text",
+    "SELECT doc_id, trim(regexp_replace(lower(strip_accents(url)), '[^a-z0-9]+', ' ', 'g')) AS words FROM (SELECT page_id AS doc_id, url FROM pages)",
+    lambda f: f.base("pages").select(F.col("page_id").alias("doc_id"), un.search_text(F.col("url")).alias("words")),
+)
+register(
+    "cln15_dates",
+    "SELECT id, CAST(release_date AS DATE) AS release_date FROM fx_episodes",
+    lambda f: f.fx("episodes").select("id", tx.release_date(F.date_format("release_date", "dd.MM.yyyy")).alias("release_date")),
+)
 
 # Duplicates and spellings.
-register("ded1_first_by_key", "SELECT source_key, series_name, episode_number, title, ord FROM rk0 QUALIFY row_number() OVER (PARTITION BY source_key ORDER BY ord) = 1", lambda f: dedup.keep_first(f.records.select("source_key", "series_name", "episode_number", "title", "ord"), ["source_key"], ["ord"]))
-register("ded2_first_by_url", "SELECT ord, source_url FROM (SELECT *, row_number() OVER (PARTITION BY source_url ORDER BY ord) AS n FROM fx_records_dup) WHERE n = 1 OR source_url IS NULL", lambda f: dedup.keep_first_where_known(f.fx("records_dup").select("ord", "source_url"), "source_url", ["ord"]))
-register("ded3_first_stubs", "SELECT ord, source_url FROM (SELECT *, row_number() OVER (PARTITION BY source_url IS NULL, series_name, episode_number, title ORDER BY ord) AS n FROM fx_records_dup) WHERE n = 1 OR source_url IS NOT NULL", lambda f: dedup.keep_first_stubs(f.fx("records_dup").select("ord", "source_url", "series_name", "episode_number", "title"), "source_url", ["series_name", "episode_number", "title"], ["ord"]).select("ord", "source_url"))
+register(
+    "ded1_first_by_key",
+    "SELECT source_key, series_name, episode_number, title, ord FROM rk0 QUALIFY row_number() OVER (PARTITION BY source_key ORDER BY ord) = 1",
+    lambda f: dedup.keep_first(f.records.select("source_key", "series_name", "episode_number", "title", "ord"), ["source_key"], ["ord"]),
+)
+register(
+    "ded2_first_by_url",
+    (
+        "SELECT ord, source_url FROM (SELECT *, row_number() OVER (PARTITION BY source_url ORDER BY ord) AS n FROM fx_records_dup)"
+        " WHERE n = 1 OR source_url IS NULL"
+    ),
+    lambda f: dedup.keep_first_where_known(f.fx("records_dup").select("ord", "source_url"), "source_url", ["ord"]),
+)
+register(
+    "ded3_first_stubs",
+    (
+        "SELECT ord, source_url FROM (SELECT *, row_number() OVER (PARTITION BY source_url IS NULL, series_name, episode_number, title ORDER BY ord) AS n"
+        " FROM fx_records_dup) WHERE n = 1 OR source_url IS NOT NULL"
+    ),
+    lambda f: dedup.keep_first_stubs(f.fx("records_dup").select("ord", "source_url", "series_name", "episode_number", "title"), "source_url", ["series_name", "episode_number", "title"], ["ord"]).select("ord", "source_url"),
+)
 ORD = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 register("ded4_speaker_spellings", "SELECT * FROM smap", lambda f: dedup.speaker_spellings(f.fx("credits_raw"), "speaker", ORD))
 register("ded5_role_spellings", "SELECT * FROM rmap", lambda f: dedup.role_spellings(f.fx("credits_raw"), "role", ORD))
-register("ded6_unified_credits", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(s.canonical, speaker) AS speaker, coalesce(r.canonical, role) AS role FROM cr LEFT JOIN smap s ON s.spelling = speaker LEFT JOIN rmap r ON r.spelling = role", lambda f: dedup.apply_spellings(dedup.apply_spellings(f.fx("credits_raw"), "speaker", dedup.speaker_spellings(f.fx("credits_raw"), "speaker", ORD)), "role", dedup.role_spellings(f.fx("credits_raw"), "role", ORD)))
-register("ded7_distinct_links", "SELECT DISTINCT l_orderkey, speaker, role FROM fx_credits_raw", lambda f: dedup.distinct_links(f.fx("credits_raw"), ["l_orderkey", "speaker", "role"]))
+register(
+    "ded6_unified_credits",
+    (
+        "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(s.canonical, speaker) AS speaker, coalesce(r.canonical, role) AS role FROM cr LEFT"
+        " JOIN smap s ON s.spelling = speaker LEFT JOIN rmap r ON r.spelling = role"
+    ),
+    lambda f: dedup.apply_spellings(dedup.apply_spellings(f.fx("credits_raw"), "speaker", dedup.speaker_spellings(f.fx("credits_raw"), "speaker", ORD)), "role", dedup.role_spellings(f.fx("credits_raw"), "role", ORD)),
+)
+register(
+    "ded7_distinct_links",
+    "SELECT DISTINCT l_orderkey, speaker, role FROM fx_credits_raw",
+    lambda f: dedup.distinct_links(f.fx("credits_raw"), ["l_orderkey", "speaker", "role"]),
+)
 
 # Loading.
-register("dim1_series", "SELECT series_name AS name, arg_min(label, ord) FILTER (label IS NOT NULL) AS label FROM fx_records_dup GROUP BY 1", lambda f: load.series_dimension(f.fx("records_dup"), ["ord"]))
-register("dim1b_series_first", "SELECT series_name AS name, label FROM fx_records_dup QUALIFY row_number() OVER (PARTITION BY series_name ORDER BY ord) = 1", lambda f: load.series_dimension(f.fx("records_dup"), ["ord"], prefer_known=False))
-register("dim2_3_speaker_ids", "SELECT row_number() OVER (ORDER BY name) AS id, name FROM (SELECT DISTINCT speaker AS name FROM fx_credits_raw)", lambda f: load.with_ids(load.names_of(f.fx("credits_raw"), "speaker")))
-register("dim4_episode_rows", "SELECT ord, s.id AS series_id FROM fx_records_dup r JOIN (SELECT row_number() OVER (ORDER BY series_name) AS id, series_name FROM (SELECT DISTINCT series_name FROM fx_records_dup)) s ON s.series_name = r.series_name", lambda f: load.episode_rows(f.fx("records_dup").withColumn("release_date", F.lit("01.02.2020")), load.with_ids(f.fx("records_dup").select(F.col("series_name").alias("name")).distinct())).select("ord", "series_id"))
-register("dim5_link_rows", "SELECT DISTINCT l_orderkey AS episode_id, s.id AS speaker_id, r.id AS role_id FROM fx_credits_raw c JOIN (SELECT row_number() OVER (ORDER BY name) AS id, name FROM (SELECT DISTINCT speaker AS name FROM fx_credits_raw)) s ON s.name = speaker JOIN (SELECT row_number() OVER (ORDER BY name) AS id, name FROM (SELECT DISTINCT role AS name FROM fx_credits_raw)) r ON r.name = role", lambda f: load.link_rows(f.fx("credits_raw").select(F.concat(F.lit("cat:episode:"), F.col("l_orderkey").cast("string")).alias("source_key"), "speaker", "role"), f.fx("episodes"), load.dimensions(f.fx("credits_raw"), ["speaker", "role"])))
+register(
+    "dim1_series",
+    "SELECT series_name AS name, arg_min(label, ord) FILTER (label IS NOT NULL) AS label FROM fx_records_dup GROUP BY 1",
+    lambda f: load.series_dimension(f.fx("records_dup"), ["ord"]),
+)
+register(
+    "dim1b_series_first",
+    "SELECT series_name AS name, label FROM fx_records_dup QUALIFY row_number() OVER (PARTITION BY series_name ORDER BY ord) = 1",
+    lambda f: load.series_dimension(f.fx("records_dup"), ["ord"], prefer_known=False),
+)
+register(
+    "dim2_3_speaker_ids",
+    "SELECT row_number() OVER (ORDER BY name) AS id, name FROM (SELECT DISTINCT speaker AS name FROM fx_credits_raw)",
+    lambda f: load.with_ids(load.names_of(f.fx("credits_raw"), "speaker")),
+)
+register(
+    "dim4_episode_rows",
+    (
+        "SELECT ord, s.id AS series_id FROM fx_records_dup r JOIN (SELECT row_number() OVER (ORDER BY series_name) AS id, series_name"
+        " FROM (SELECT DISTINCT series_name FROM fx_records_dup)) s ON s.series_name = r.series_name"
+    ),
+    lambda f: load.episode_rows(f.fx("records_dup").withColumn("release_date", F.lit("01.02.2020")), load.with_ids(f.fx("records_dup").select(F.col("series_name").alias("name")).distinct())).select("ord", "series_id"),
+)
+register(
+    "dim5_link_rows",
+    (
+        "SELECT DISTINCT l_orderkey AS episode_id, s.id AS speaker_id, r.id AS role_id FROM fx_credits_raw c"
+        " JOIN (SELECT row_number() OVER (ORDER BY name) AS id, name FROM (SELECT DISTINCT speaker AS name FROM fx_credits_raw)) s ON s.name = speaker"
+        " JOIN (SELECT row_number() OVER (ORDER BY name) AS id, name FROM (SELECT DISTINCT role AS name FROM fx_credits_raw)) r ON r.name = role"
+    ),
+    lambda f: load.link_rows(f.fx("credits_raw").select(F.concat(F.lit("cat:episode:"), F.col("l_orderkey").cast("string")).alias("source_key"), "speaker", "role"), f.fx("episodes"), load.dimensions(f.fx("credits_raw"), ["speaker", "role"])),
+)
 TABLES = ("series", "episodes", "speakers", "roles", "genres", "episode_speakers", "episode_genres")
-register("dim6_manifest", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM fx_{t}" for t in TABLES), lambda f: load.manifest({t: f.fx(t) for t in TABLES}))
-register("dim7_mismatches", "SELECT 'genres' AS table_name, count(*) AS expected, count(*) - 1 AS actual FROM fx_genres UNION ALL SELECT 'series', count(*), NULL FROM fx_series", lambda f: load.mismatches(load.manifest({t: f.fx(t) for t in ("genres", "roles", "series")}), load.manifest({"genres": f.fx("genres").where("id <> 1"), "roles": f.fx("roles")})))
-register("dim8_seed", "SELECT external_id, status, attempts FROM fx_targets UNION ALL SELECT i, 'pending', 0 FROM range(1, (SELECT count(*) FROM events) + 1) t(i) WHERE i NOT IN (SELECT external_id FROM fx_targets)", lambda f: load.insert_missing(f.fx("targets"), load.seed_targets(f.spark, f.base("events").count(), "site"), ["external_id"]))
+register(
+    "dim6_manifest",
+    " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM fx_{t}" for t in TABLES),
+    lambda f: load.manifest({t: f.fx(t) for t in TABLES}),
+)
+register(
+    "dim7_mismatches",
+    "SELECT 'genres' AS table_name, count(*) AS expected, count(*) - 1 AS actual FROM fx_genres UNION ALL SELECT 'series', count(*), NULL FROM fx_series",
+    lambda f: load.mismatches(load.manifest({t: f.fx(t) for t in ("genres", "roles", "series")}), load.manifest({"genres": f.fx("genres").where("id <> 1"), "roles": f.fx("roles")})),
+)
+register(
+    "dim8_seed",
+    (
+        "SELECT external_id, status, attempts FROM fx_targets UNION ALL SELECT i, 'pending', 0 FROM range(1, (SELECT count(*) FROM events) + 1) t(i)"
+        " WHERE i NOT IN (SELECT external_id FROM fx_targets)"
+    ),
+    lambda f: load.insert_missing(f.fx("targets"), load.seed_targets(f.spark, f.base("events").count(), "site"), ["external_id"]),
+)
 register("dim9_pending", "SELECT * FROM fx_targets ORDER BY external_id LIMIT 20", lambda f: load.pending(f.fx("targets"), 20))
 LEDGER = "SELECT t.external_id, CASE WHEN o.external_id IS NULL THEN t.status WHEN o.error_message IS NOT NULL THEN 'error' ELSE o.status END AS status, t.attempts + CASE WHEN o.external_id IS NULL THEN 0 ELSE 1 END AS attempts, o.error_message FROM fx_targets t LEFT JOIN (SELECT external_id, status, error_message FROM fx_outcomes QUALIFY row_number() OVER (PARTITION BY external_id ORDER BY event_id DESC) = 1) o ON o.external_id = t.external_id"
 register("dim10_outcomes", LEDGER, lambda f: load.apply_outcomes(f.fx("targets"), f.fx("outcomes"), "event_id"))
@@ -254,7 +501,15 @@ register("snk3_upsert", "SELECT id, name FROM fx_roles WHERE id % 3 <> 0 UNION A
 
 # Checks over own outputs, and over broken copies.
 OK = lambda *names: " UNION ALL ".join(f"SELECT '{n}' AS check_name, 0 AS violations" for n in names)
-register("val1_records", "SELECT 'arrays_present' AS check_name, 0 AS violations UNION ALL SELECT 'no_replacement_character', 0 UNION ALL SELECT 'key_present', count(*) FROM fx_episodes WHERE id % 50 = 0 UNION ALL SELECT 'not_empty', 0 UNION ALL SELECT 'unique_source_key', CASE WHEN count(*) > 1 THEN 1 ELSE 0 END FROM fx_episodes WHERE id % 50 = 0 UNION ALL SELECT 'unique_source_url', 0", lambda f: quality.check_records(f.nested.withColumn("source_key", F.when(F.col("id") % 50 == 0, "").otherwise(F.col("source_key")))))
+register(
+    "val1_records",
+    (
+        "SELECT 'arrays_present' AS check_name, 0 AS violations UNION ALL SELECT 'no_replacement_character', 0 UNION ALL SELECT 'key_present', count(*)"
+        " FROM fx_episodes WHERE id % 50 = 0 UNION ALL SELECT 'not_empty', 0 UNION ALL SELECT 'unique_source_key', CASE WHEN count(*) > 1 THEN 1 ELSE 0 END"
+        " FROM fx_episodes WHERE id % 50 = 0 UNION ALL SELECT 'unique_source_url', 0"
+    ),
+    lambda f: quality.check_records(f.nested.withColumn("source_key", F.when(F.col("id") % 50 == 0, "").otherwise(F.col("source_key")))),
+)
 STUB = "description IS NULL AND duration_minutes IS NULL AND release_date IS NULL AND nullif(trim(s.label), '') IS NULL AND e.id % 4 = 0"
 NAMED = "(SELECT c.* FROM fx_credits_raw c WHERE l_orderkey % 4 <> 0)"
 register(
@@ -263,11 +518,37 @@ register(
       (SELECT count(DISTINCT speaker) FROM {NAMED}) AS speakers, (SELECT count(DISTINCT role) FROM {NAMED}) AS roles, (SELECT count(DISTINCT genre_id) FROM fx_episode_genres WHERE episode_id % 4 <> 0) AS genres""",
     lambda f: quality.record_stats(f.nested.withColumns({c: F.when(F.col("id") % 4 != 0, F.col(c)).otherwise(F.array().cast(f.nested.schema[c].dataType)) for c in ("speakers", "genres")})),
 )
-register("val3_preflight", "SELECT 'title_and_series' AS check_name, count(*) AS violations FROM fx_episodes WHERE id % 7 = 0 UNION ALL SELECT 'date_valid', count(*) FROM fx_episodes WHERE id % 11 = 0 UNION ALL SELECT 'credits_complete', 0", lambda f: quality.check_load(f.nested.withColumn("series_name", F.when(F.col("id") % 7 != 0, "s")).withColumn("release_date", F.when(F.col("id") % 11 == 0, "31.02.2020").otherwise("01.02.2020")), tx.release_date(F.col("release_date"))))
+register(
+    "val3_preflight",
+    (
+        "SELECT 'title_and_series' AS check_name, count(*) AS violations FROM fx_episodes WHERE id % 7 = 0 UNION ALL SELECT 'date_valid', count(*)"
+        " FROM fx_episodes WHERE id % 11 = 0 UNION ALL SELECT 'credits_complete', 0"
+    ),
+    lambda f: quality.check_load(f.nested.withColumn("series_name", F.when(F.col("id") % 7 != 0, "s")).withColumn("release_date", F.when(F.col("id") % 11 == 0, "31.02.2020").otherwise("01.02.2020")), tx.release_date(F.col("release_date"))),
+)
 register("val4_candidates", OK("id_present", "score_in_range", "unique_candidate_id"), lambda f: quality.check_candidates(f.candidates))
-register("val5_not_null_unique", "SELECT 'not_null_title' AS check_name, 0 AS violations UNION ALL SELECT 'not_null_episode_number', count(*) FROM fx_episodes WHERE episode_number IS NULL UNION ALL SELECT 'unique_source_url', 0 UNION ALL SELECT 'unique_title', count(*) FROM (SELECT title FROM fx_episodes GROUP BY 1 HAVING count(*) > 1)", lambda f: quality.together(quality.not_null(f.fx("episodes"), "title", "episode_number"), quality.unique(f.fx("episodes"), "source_url"), quality.unique(f.fx("episodes"), "title")))
-register("val6_relationships", "SELECT 'relationship_episode_id' AS check_name, 0 AS violations UNION ALL SELECT 'relationship_genre_id', count(*) FROM fx_episode_genres WHERE genre_id = 5", lambda f: quality.together(quality.relationship(f.fx("episode_speakers"), "episode_id", f.fx("episodes"), "id"), quality.relationship(f.fx("episode_genres"), "genre_id", f.fx("genres").where("id <> 5"), "id")))
-register("val7_accepted", "SELECT 'accepted_review_decision' AS check_name, count(*) AS violations FROM fx_reviews WHERE review_decision = 'reject'", lambda f: quality.accepted(f.fx("reviews"), "review_decision", ["accept"]))
+register(
+    "val5_not_null_unique",
+    (
+        "SELECT 'not_null_title' AS check_name, 0 AS violations UNION ALL SELECT 'not_null_episode_number', count(*) FROM fx_episodes"
+        " WHERE episode_number IS NULL UNION ALL SELECT 'unique_source_url', 0 UNION ALL SELECT 'unique_title', count(*) FROM (SELECT title FROM fx_episodes"
+        " GROUP BY 1 HAVING count(*) > 1)"
+    ),
+    lambda f: quality.together(quality.not_null(f.fx("episodes"), "title", "episode_number"), quality.unique(f.fx("episodes"), "source_url"), quality.unique(f.fx("episodes"), "title")),
+)
+register(
+    "val6_relationships",
+    (
+        "SELECT 'relationship_episode_id' AS check_name, 0 AS violations UNION ALL SELECT 'relationship_genre_id', count(*) FROM fx_episode_genres"
+        " WHERE genre_id = 5"
+    ),
+    lambda f: quality.together(quality.relationship(f.fx("episode_speakers"), "episode_id", f.fx("episodes"), "id"), quality.relationship(f.fx("episode_genres"), "genre_id", f.fx("genres").where("id <> 5"), "id")),
+)
+register(
+    "val7_accepted",
+    "SELECT 'accepted_review_decision' AS check_name, count(*) AS violations FROM fx_reviews WHERE review_decision = 'reject'",
+    lambda f: quality.accepted(f.fx("reviews"), "review_decision", ["accept"]),
+)
 register(
     "val8_9_counts",
     f"{OK('episode_count', 'kpis')} UNION ALL SELECT 'kpis_of_some', 1",
@@ -275,7 +556,14 @@ register(
         quality.same_count("episode_count", f.fx("episodes"), f.facts), quality.kpis_match("kpis", marts.kpis(f.facts), f.facts),
         quality.kpis_match("kpis_of_some", marts.kpis(f.facts.where("series_id <> 3")), f.facts)),
 )
-register("val10_complete", "SELECT 'catalog_complete' AS check_name, 0 AS violations UNION ALL SELECT 'genres_complete', count(*) FROM facts WHERE episode_id NOT IN (SELECT episode_id FROM egen)", lambda f: quality.together(quality.complete("catalog_complete", f.facts.select("episode_id"), f.catalog.select("episode_id"), "episode_id"), quality.complete("genres_complete", f.facts.select("episode_id"), f.genres.select("episode_id").distinct(), "episode_id")))
+register(
+    "val10_complete",
+    (
+        "SELECT 'catalog_complete' AS check_name, 0 AS violations UNION ALL SELECT 'genres_complete', count(*) FROM facts"
+        " WHERE episode_id NOT IN (SELECT episode_id FROM egen)"
+    ),
+    lambda f: quality.together(quality.complete("catalog_complete", f.facts.select("episode_id"), f.catalog.select("episode_id"), "episode_id"), quality.complete("genres_complete", f.facts.select("episode_id"), f.genres.select("episode_id").distinct(), "episode_id")),
+)
 CELL = ["series_id", "production_line_key", "category_key", "episode_count"]
 cells_of = lambda df: df.groupBy(*CELL[:3]).agg(F.count("*").alias("episode_count"))
 register(
@@ -335,13 +623,29 @@ def _spot_checks(f: Frames) -> DataFrame:
 
 
 register("val14_spot_checks", SPOT, _spot_checks)
-register("val15_by_status", "SELECT 'pass' AS status, 1 AS n UNION ALL SELECT 'fail', 1", lambda f: quality.by_status(quality.not_null(f.fx("episodes"), "title", "episode_number")))
+register(
+    "val15_by_status",
+    "SELECT 'pass' AS status, 1 AS n UNION ALL SELECT 'fail', 1",
+    lambda f: quality.by_status(quality.not_null(f.fx("episodes"), "title", "episode_number")),
+)
 
 # Retrieval.
-register("vec1_to_embed", "SELECT id FROM fx_episodes WHERE description IS NOT NULL AND id % 3 = 0", lambda f: retrieval.to_embed(f.fx("episodes").withColumn("embedding", F.when(F.col("id") % 3 != 0, F.array(F.lit(1.0))))).select("id"))
+register(
+    "vec1_to_embed",
+    "SELECT id FROM fx_episodes WHERE description IS NOT NULL AND id % 3 = 0",
+    lambda f: retrieval.to_embed(f.fx("episodes").withColumn("embedding", F.when(F.col("id") % 3 != 0, F.array(F.lit(1.0))))).select("id"),
+)
 TEXTS = "SELECT f.episode_id, concat_ws(' | ', CASE WHEN f.episode_title <> '' THEN 'Titel: ' || f.episode_title END, 'Serie: ' || f.series_name, CASE WHEN f.description <> '' THEN 'Beschreibung: ' || f.description END, 'Genre: ' || g.g, 'Sprecher: ' || c.c) AS text FROM facts f LEFT JOIN (SELECT episode_id, string_agg(genre_name, ', ' ORDER BY genre_name) AS g FROM egen GROUP BY 1) g ON g.episode_id = f.episode_id LEFT JOIN (SELECT episode_id, string_agg(DISTINCT speaker_name, ', ' ORDER BY speaker_name) AS c FROM cred GROUP BY 1) c ON c.episode_id = f.episode_id"
-register("vec2_3_texts", TEXTS, lambda f: retrieval.embedding_text(browse.episode_documents(f.facts, f.credits, f.genres).join(f.facts.select("episode_id", "description"), "episode_id").select("episode_id", F.col("episode_title").alias("title"), "series_name", "description", "genres", F.transform("credits", lambda c: c["speaker_name"]).alias("speakers"))))
-register("vec4_write_back", "SELECT vec_id AS id, CASE WHEN vec_id % 2 = 0 THEN label ELSE 1 END AS first_value FROM embeddings", lambda f: retrieval.write_back(f.base("embeddings").select(F.col("vec_id").alias("id"), F.array(F.lit(1.0).cast("float")).alias("embedding")), f.base("embeddings").where("vec_id % 2 = 0").select(F.col("vec_id").alias("episode_id"), F.array(F.col("label").cast("float")).alias("embedding"))).select("id", F.element_at("embedding", 1).cast("int").alias("first_value")))
+register(
+    "vec2_3_texts",
+    TEXTS,
+    lambda f: retrieval.embedding_text(browse.episode_documents(f.facts, f.credits, f.genres).join(f.facts.select("episode_id", "description"), "episode_id").select("episode_id", F.col("episode_title").alias("title"), "series_name", "description", "genres", F.transform("credits", lambda c: c["speaker_name"]).alias("speakers"))),
+)
+register(
+    "vec4_write_back",
+    "SELECT vec_id AS id, CASE WHEN vec_id % 2 = 0 THEN label ELSE 1 END AS first_value FROM embeddings",
+    lambda f: retrieval.write_back(f.base("embeddings").select(F.col("vec_id").alias("id"), F.array(F.lit(1.0).cast("float")).alias("embedding")), f.base("embeddings").where("vec_id % 2 = 0").select(F.col("vec_id").alias("episode_id"), F.array(F.col("label").cast("float")).alias("embedding"))).select("id", F.element_at("embedding", 1).cast("int").alias("first_value")),
+)
 
 
 
@@ -365,16 +669,41 @@ def _ledger(f: Frames) -> DataFrame:
     return ledger.read().select("episode_id", F.element_at("embedding", 1).cast("int").alias("first_value"), "error", "attempt")
 
 
-register("vec4_ledger", "SELECT id AS episode_id, CASE WHEN id % 100 <> 77 THEN length('Text ' || id) END AS first_value, CASE WHEN id % 100 = 77 THEN 'OSError: refused' END AS error, CASE WHEN id % 10 = 7 THEN 2 ELSE 1 END AS attempt FROM fx_episodes", _ledger)
+register(
+    "vec4_ledger",
+    (
+        "SELECT id AS episode_id, CASE WHEN id % 100 <> 77 THEN length('Text ' || id) END AS first_value,"
+        " CASE WHEN id % 100 = 77 THEN 'OSError: refused' END AS error, CASE WHEN id % 10 = 7 THEN 2 ELSE 1 END AS attempt FROM fx_episodes"
+    ),
+    _ledger,
+)
 
 def _query_vector(f: Frames) -> list[float]:
     return list(f.base("embeddings").where("vec_id = 0").select("embedding").first()[0])
 
 
 SIMILAR = "SELECT e.vec_id AS id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q"
-register("vec5_nearest", f"{SIMILAR} ORDER BY similarity DESC, 1 LIMIT 10", lambda f: retrieval.nearest(f.base("embeddings").select(F.col("vec_id").alias("id"), "embedding"), _query_vector(f)).withColumn("similarity", F.round("similarity", 6)))
-register("vec5_nearest_filtered", f"{SIMILAR} WHERE e.label = 3 ORDER BY similarity DESC, 1 LIMIT 10", lambda f: retrieval.nearest(f.base("embeddings").select(F.col("vec_id").alias("id"), "embedding"), _query_vector(f), 10, f.base("embeddings").where("label = 3").select(F.col("vec_id").alias("id"))).withColumn("similarity", F.round("similarity", 6)))
-register("vec6_nearest_of_each", "SELECT query_id, id, similarity, rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) DESC, e.vec_id) AS rank FROM embeddings e JOIN embeddings q ON q.vec_id % 50 = 7) WHERE rank <= 10", lambda f: retrieval.nearest_of_each(f.base("embeddings").select(F.col("vec_id").alias("id"), "embedding"), f.base("embeddings").where("vec_id % 50 = 7").select(F.col("vec_id").alias("query_id"), "embedding")).withColumn("similarity", F.round("similarity", 6)))
+register(
+    "vec5_nearest",
+    f"{SIMILAR} ORDER BY similarity DESC, 1 LIMIT 10",
+    lambda f: retrieval.nearest(f.base("embeddings").select(F.col("vec_id").alias("id"), "embedding"), _query_vector(f)).withColumn("similarity", F.round("similarity", 6)),
+)
+register(
+    "vec5_nearest_filtered",
+    f"{SIMILAR} WHERE e.label = 3 ORDER BY similarity DESC, 1 LIMIT 10",
+    lambda f: retrieval.nearest(f.base("embeddings").select(F.col("vec_id").alias("id"), "embedding"), _query_vector(f), 10, f.base("embeddings").where("label = 3").select(F.col("vec_id").alias("id"))).withColumn("similarity", F.round("similarity", 6)),
+)
+register(
+    "vec6_nearest_of_each",
+    (
+        "SELECT query_id, id, similarity, rank"
+        " FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])),"
+        " 6) AS similarity, row_number() OVER (PARTITION BY q.vec_id"
+        " ORDER BY list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) DESC, e.vec_id) AS rank FROM embeddings e"
+        " JOIN embeddings q ON q.vec_id % 50 = 7) WHERE rank <= 10"
+    ),
+    lambda f: retrieval.nearest_of_each(f.base("embeddings").select(F.col("vec_id").alias("id"), "embedding"), f.base("embeddings").where("vec_id % 50 = 7").select(F.col("vec_id").alias("query_id"), "embedding")).withColumn("similarity", F.round("similarity", 6)),
+)
 NEAREST = """SELECT q.vec_id AS query_id, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 12) DESC, e.vec_id) AS place
   FROM embeddings e JOIN embeddings q ON q.vec_id % 50 = 7"""
 HIT = "concat_ws(chr(10), concat_ws(' | ', '**' || episode_title || '**', 'Serie: ' || series_name, 'Folge ' || episode_number, '(' || release_year || ')'), description)"
@@ -387,33 +716,112 @@ def _contexts(f: Frames) -> DataFrame:
     return retrieval.context(retrieval.hit_context(hits))
 
 
-register("vec7_context", f"SELECT query_id, string_agg({HIT}, chr(10) || chr(10) ORDER BY place) AS context FROM ({NEAREST}) n JOIN facts ON episode_id = n.id WHERE place <= 10 GROUP BY 1", _contexts)
+register(
+    "vec7_context",
+    f"SELECT query_id, string_agg({HIT}, chr(10) || chr(10) ORDER BY place) AS context FROM ({NEAREST}) n JOIN facts ON episode_id = n.id WHERE place <= 10 GROUP BY 1",
+    _contexts,
+)
 
 # Coverage.
 register("cov1_candidates", "SELECT probe_key, pos, collection_id FROM api1", lambda f: coverage.candidates(f.fx("api"), f.probes).select("probe_key", "pos", "collection_id"))
 register("cov2_last", "SELECT probe_key, collection_id, pos FROM api2", lambda f: f.found.select("probe_key", "collection_id", "pos"))
 register("cov3_report", "SELECT * FROM report", lambda f: coverage.probe_report(f.fx("api"), f.found))
-register("cov4_examples", "SELECT probe_key, CAST(n AS INTEGER) AS nth, collection_id, collection_name FROM (SELECT *, row_number() OVER (PARTITION BY probe_key ORDER BY collection_id) AS n FROM api2) WHERE n <= 5", lambda f: coverage.examples(f.found))
-register("cov5_summary", "SELECT " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in ("returned", "candidates", "numbered", "distinct_numbers", "duplicate_titles")) + ", count(*) AS probes, count(*) FILTER (limit_reached) AS probes_at_limit FROM report", lambda f: coverage.summary(coverage.probe_report(f.fx("api"), f.found)))
+register(
+    "cov4_examples",
+    (
+        "SELECT probe_key, CAST(n AS INTEGER) AS nth, collection_id, collection_name FROM (SELECT *, row_number() OVER (PARTITION BY probe_key"
+        " ORDER BY collection_id) AS n FROM api2) WHERE n <= 5"
+    ),
+    lambda f: coverage.examples(f.found),
+)
+register(
+    "cov5_summary",
+    "SELECT " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in ("returned", "candidates", "numbered", "distinct_numbers", "duplicate_titles")) + ", count(*) AS probes, count(*) FILTER (limit_reached) AS probes_at_limit FROM report",
+    lambda f: coverage.summary(coverage.probe_report(f.fx("api"), f.found)),
+)
 ROWS = "concat_ws('|', coalesce(CAST(candidates AS VARCHAR), ''), coalesce(CAST(distinct_numbers AS VARCHAR), ''), coalesce(CAST(duplicate_titles AS VARCHAR), ''), coalesce(CAST(earliest_year AS VARCHAR), ''), coalesce(CAST(latest_year AS VARCHAR), ''), coalesce(CAST(limit_reached AS VARCHAR), ''), coalesce(CAST(numbered AS VARCHAR), ''), probe_key, CAST(returned AS VARCHAR))"
-register("cov5_hash", f"SELECT sha256(string_agg(h, '' ORDER BY h)) AS content_hash FROM (SELECT sha256(string_agg(h, '' ORDER BY h)) AS h FROM (SELECT sha256({ROWS}) AS h FROM report) GROUP BY left(h, 3))", lambda f: coverage.content_hash(coverage.probe_report(f.fx("api"), f.found)))
+register(
+    "cov5_hash",
+    f"SELECT sha256(string_agg(h, '' ORDER BY h)) AS content_hash FROM (SELECT sha256(string_agg(h, '' ORDER BY h)) AS h FROM (SELECT sha256({ROWS}) AS h FROM report) GROUP BY left(h, 3))",
+    lambda f: coverage.content_hash(coverage.probe_report(f.fx("api"), f.found)),
+)
 COVERS = "SELECT e.id, c.cover_url, CASE WHEN s.series_name IS NULL THEN 'skipped' WHEN c.cover_url IS NULL THEN 'not_found' ELSE 'found' END AS outcome FROM fx_episodes e LEFT JOIN st_series s ON s.series_id = e.series_id LEFT JOIN (SELECT * FROM fx_cover_candidates WHERE score >= 80 QUALIFY row_number() OVER (PARTITION BY episode_id ORDER BY score DESC, pos, release_id) = 1) c ON c.episode_id = e.id"
 covered = lambda f: coverage.fill_covers(f.fx("episodes").join(marts.stage_series(f.fx("series")).select("series_id", "series_name"), "series_id", "left"), f.fx("cover_candidates"))
 register("cov6_covers", COVERS, covered)
-register("cov6_stats", f"SELECT count(*) FILTER (outcome <> 'skipped') AS checked, count(*) FILTER (outcome = 'found') AS found, count(*) FILTER (outcome = 'not_found') AS not_found, count(*) FILTER (outcome = 'skipped') AS skipped FROM ({COVERS})", lambda f: coverage.cover_stats(covered(f)))
+register(
+    "cov6_stats",
+    f"SELECT count(*) FILTER (outcome <> 'skipped') AS checked, count(*) FILTER (outcome = 'found') AS found, count(*) FILTER (outcome = 'not_found') AS not_found, count(*) FILTER (outcome = 'skipped') AS skipped FROM ({COVERS})",
+    lambda f: coverage.cover_stats(covered(f)),
+)
 
 # Profiles.
-register("eda1_flatten", "SELECT e.id, e.title, CAST(coalesce(c.n, 0) AS INTEGER) AS n_speakers, CAST(coalesce(g.n, 0) AS INTEGER) AS n_genres FROM fx_episodes e LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) c ON c.l_orderkey = e.id LEFT JOIN (SELECT episode_id, count(*) AS n FROM fx_episode_genres GROUP BY 1) g ON g.episode_id = e.id", lambda f: profile.flatten(f.nested.select("id", "title", "speakers", "genres")))
-register("eda2_missing", " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER ({c} IS NULL) AS missing, round(100 * count(*) FILTER ({c} IS NULL) / count(*), 1) AS percent FROM fx_episodes" for c in ("title", "description", "duration_minutes", "release_date", "episode_number")), lambda f: profile.missing(f.fx("episodes").select("title", "description", "duration_minutes", "release_date", "episode_number")))
-register("eda3_top_series", "SELECT series_name AS value, count(*) AS n FROM facts WHERE series_name IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20", lambda f: profile.value_counts(f.facts, "series_name", 20))
+register(
+    "eda1_flatten",
+    (
+        "SELECT e.id, e.title, CAST(coalesce(c.n, 0) AS INTEGER) AS n_speakers, CAST(coalesce(g.n, 0) AS INTEGER) AS n_genres FROM fx_episodes e LEFT"
+        " JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) c ON c.l_orderkey = e.id LEFT JOIN (SELECT episode_id, count(*) AS n"
+        " FROM fx_episode_genres GROUP BY 1) g ON g.episode_id = e.id"
+    ),
+    lambda f: profile.flatten(f.nested.select("id", "title", "speakers", "genres")),
+)
+register(
+    "eda2_missing",
+    " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER ({c} IS NULL) AS missing, round(100 * count(*) FILTER ({c} IS NULL) / count(*), 1) AS percent FROM fx_episodes" for c in ("title", "description", "duration_minutes", "release_date", "episode_number")),
+    lambda f: profile.missing(f.fx("episodes").select("title", "description", "duration_minutes", "release_date", "episode_number")),
+)
+register(
+    "eda3_top_series",
+    "SELECT series_name AS value, count(*) AS n FROM facts WHERE series_name IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",
+    lambda f: profile.value_counts(f.facts, "series_name", 20),
+)
 register("eda3_roles", "SELECT role AS value, count(*) AS n FROM fx_credits_raw GROUP BY 1", lambda f: profile.value_counts(f.fx("credits_raw"), "role"))
-register("eda3_singletons", "SELECT count(*) AS \"values\", count(*) FILTER (n = 1) AS singletons FROM (SELECT title, count(*) AS n FROM fx_episodes GROUP BY 1)", lambda f: profile.singletons(f.fx("episodes"), "title"))
-register("eda4_dates", "SELECT count(*) FILTER (id % 17 = 0) AS missing, count(*) FILTER (id % 17 <> 0 AND id % 5 = 0) AS failed, count(*) FILTER (id % 17 <> 0 AND id % 5 <> 0) AS parsed FROM fx_episodes", lambda f: profile.date_quality(f.fx("episodes").select(F.when(F.col("id") % 5 == 0, F.date_format("release_date", "yyyy-MM-dd")).otherwise(F.date_format("release_date", "dd.MM.yyyy")).alias("d")), "d"))
-register("eda5_durations", "SELECT count(duration_minutes) AS n, round(avg(duration_minutes), 6) AS mean, round(stddev_samp(duration_minutes), 6) AS std, min(duration_minutes) AS least, quantile_cont(duration_minutes, 0.25) AS q1, quantile_cont(duration_minutes, 0.5) AS median, quantile_cont(duration_minutes, 0.75) AS q3, max(duration_minutes) AS most FROM fx_episodes", lambda f: profile.duration_summary(f.fx("episodes")).withColumn("mean", F.round("mean", 6)).withColumn("std", F.round("std", 6)))
-register("eda5_outliers", "SELECT id, duration_minutes FROM fx_episodes WHERE duration_minutes < 5 OR duration_minutes > 180", lambda f: profile.duration_outliers(f.fx("episodes")).select("id", "duration_minutes"))
-register("eda6_variants", "SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY key) AS k FROM (SELECT trim(replace(replace(replace(replace(lower(role), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss')) AS key, role AS spelling, count(*) AS n FROM fx_credits_raw GROUP BY ALL)) WHERE k > 1".replace("SELECT * FROM (SELECT *, count", "SELECT key, spelling, n FROM (SELECT *, count"), lambda f: profile.spelling_variants(f.fx("credits_raw"), "role"))
-register("eda7_whitespace", r"SELECT id, name FROM fx_series WHERE regexp_matches(name, '^\s|\s$|\s{2,}')", lambda f: profile.whitespace_problems(f.fx("series"), "name").select("id", "name"))
-register("eda8_quality", "SELECT count(*) AS records, count(*) FILTER (release_date IS NULL) AS no_release_date, count(*) FILTER (description IS NULL) AS no_description, count(*) FILTER (duration_minutes IS NULL) AS no_duration_minutes, count(*) FILTER (episode_number IS NULL) AS no_episode_number, count(*) FILTER (id NOT IN (SELECT l_orderkey FROM lineitem)) AS no_speakers, count(*) FILTER (id NOT IN (SELECT episode_id FROM fx_episode_genres)) AS no_genres FROM fx_episodes", lambda f: profile.quality_summary(profile.flatten(f.nested)))
+register(
+    "eda3_singletons",
+    "SELECT count(*) AS \"values\", count(*) FILTER (n = 1) AS singletons FROM (SELECT title, count(*) AS n FROM fx_episodes GROUP BY 1)",
+    lambda f: profile.singletons(f.fx("episodes"), "title"),
+)
+register(
+    "eda4_dates",
+    (
+        "SELECT count(*) FILTER (id % 17 = 0) AS missing, count(*) FILTER (id % 17 <> 0 AND id % 5 = 0) AS failed,"
+        " count(*) FILTER (id % 17 <> 0 AND id % 5 <> 0) AS parsed FROM fx_episodes"
+    ),
+    lambda f: profile.date_quality(f.fx("episodes").select(F.when(F.col("id") % 5 == 0, F.date_format("release_date", "yyyy-MM-dd")).otherwise(F.date_format("release_date", "dd.MM.yyyy")).alias("d")), "d"),
+)
+register(
+    "eda5_durations",
+    (
+        "SELECT count(duration_minutes) AS n, round(avg(duration_minutes), 6) AS mean, round(stddev_samp(duration_minutes), 6) AS std,"
+        " min(duration_minutes) AS least, quantile_cont(duration_minutes, 0.25) AS q1, quantile_cont(duration_minutes, 0.5) AS median,"
+        " quantile_cont(duration_minutes, 0.75) AS q3, max(duration_minutes) AS most FROM fx_episodes"
+    ),
+    lambda f: profile.duration_summary(f.fx("episodes")).withColumn("mean", F.round("mean", 6)).withColumn("std", F.round("std", 6)),
+)
+register(
+    "eda5_outliers",
+    "SELECT id, duration_minutes FROM fx_episodes WHERE duration_minutes < 5 OR duration_minutes > 180",
+    lambda f: profile.duration_outliers(f.fx("episodes")).select("id", "duration_minutes"),
+)
+register(
+    "eda6_variants",
+    "SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY key) AS k FROM (SELECT trim(replace(replace(replace(replace(lower(role), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss')) AS key, role AS spelling, count(*) AS n FROM fx_credits_raw GROUP BY ALL)) WHERE k > 1".replace("SELECT * FROM (SELECT *, count", "SELECT key, spelling, n FROM (SELECT *, count"),
+    lambda f: profile.spelling_variants(f.fx("credits_raw"), "role"),
+)
+register(
+    "eda7_whitespace",
+    r"SELECT id, name FROM fx_series WHERE regexp_matches(name, '^\s|\s$|\s{2,}')",
+    lambda f: profile.whitespace_problems(f.fx("series"), "name").select("id", "name"),
+)
+register(
+    "eda8_quality",
+    (
+        "SELECT count(*) AS records, count(*) FILTER (release_date IS NULL) AS no_release_date, count(*) FILTER (description IS NULL) AS no_description,"
+        " count(*) FILTER (duration_minutes IS NULL) AS no_duration_minutes, count(*) FILTER (episode_number IS NULL) AS no_episode_number,"
+        " count(*) FILTER (id NOT IN (SELECT l_orderkey FROM lineitem)) AS no_speakers, count(*) FILTER (id NOT IN (SELECT episode_id"
+        " FROM fx_episode_genres)) AS no_genres FROM fx_episodes"
+    ),
+    lambda f: profile.quality_summary(profile.flatten(f.nested)),
+)
 
 # Pages: made from the catalog, read back, and compared with the catalog.
 
@@ -452,17 +860,41 @@ FROM_PAGE = """nullif(trim(s.label), '') AS label, CASE WHEN e.id % 2 = 0 THEN '
   CASE WHEN e.id % 12 <> 0 THEN 'https://x.test/hsp_anzeige.asp?code=' || (e.id - 1) END AS previous_episode_url, 'https://x.test/hsp_anzeige.asp?code=' || (e.id + 1) AS next_episode_url"""
 DETAILED = f"SELECT e.id, trim(e.title) AS title, trim(s.name) AS series_name, e.episode_number, trim(e.description) AS description, e.duration_minutes, strftime(e.release_date, '%d.%m.%Y') AS release_date, e.order_number, {FROM_PAGE}, coalesce(c.c, '') AS credits, coalesce(g.g, '') AS genres, 'https://x.test/hsp_anzeige.asp?code=' || e.id AS source_url FROM fx_episodes e JOIN fx_series s ON s.id = e.series_id LEFT JOIN (SELECT l_orderkey, string_agg(role || '=' || speaker, ';' ORDER BY l_linenumber, l_partkey, l_suppkey) AS c FROM fx_credits_raw GROUP BY 1) c ON c.l_orderkey = e.id LEFT JOIN (SELECT episode_id, string_agg(name, ';' ORDER BY name) AS g FROM fx_episode_genres JOIN fx_genres ON id = genre_id GROUP BY 1) g ON g.episode_id = e.id WHERE trim(e.title) <> ''"
 joined_names = lambda df: df.withColumn("credits", F.array_join(F.transform("speakers", lambda c: F.concat(c["role"], F.lit("="), c["speaker"])), ";")).withColumn("genres", F.array_join("genres", ";"))
-register("ext2_detail_pages", DETAILED, lambda f: joined_names(extract.parse_detail_pages(_detail_pages(f), BASE_URL)).withColumn("id", tx.episode_code(F.col("source_url"))).select("id", "title", "series_name", "episode_number", "description", "duration_minutes", "release_date", "order_number", "label", "cover_url", "previous_episode_url", "next_episode_url", "credits", "genres", "source_url"))
+register(
+    "ext2_detail_pages",
+    DETAILED,
+    lambda f: joined_names(extract.parse_detail_pages(_detail_pages(f), BASE_URL)).withColumn("id", tx.episode_code(F.col("source_url"))).select("id", "title", "series_name", "episode_number", "description", "duration_minutes", "release_date", "order_number", "label", "cover_url", "previous_episode_url", "next_episode_url", "credits", "genres", "source_url"),
+)
 FILE_NAME = "left(lower(trim(regexp_replace(url, '[^a-zA-Z0-9]+', '_', 'g'), '_')), 80) || '_' || left(sha1(url), 10) || '.html'"
 register("ext3_file_names", f"SELECT url, {FILE_NAME} AS file_name FROM pages", lambda f: f.base("pages").select("url", tx.page_file_name(F.col("url")).alias("file_name")))
-register("ext4_codes", "SELECT id, id AS from_url, id AS from_name FROM fx_episodes", lambda f: f.fx("episodes").select("id", tx.episode_code(F.col("source_url")).alias("from_url"), tx.page_code(F.concat(F.lit("hsp_code_"), F.col("id").cast("string"), F.lit("_ab.html"))).alias("from_name")))
-register("ext5_targets", f"SELECT CAST(regexp_extract(url, 'code=(.*)', 1) AS BIGINT) AS episode_code, page, 'pending' AS status FROM ({LISTED}) WHERE url IS NOT NULL", lambda f: extract.detail_targets(extract.parse_list_pages(_list_pages(f), BASE_URL)))
+register(
+    "ext4_codes",
+    "SELECT id, id AS from_url, id AS from_name FROM fx_episodes",
+    lambda f: f.fx("episodes").select("id", tx.episode_code(F.col("source_url")).alias("from_url"), tx.page_code(F.concat(F.lit("hsp_code_"), F.col("id").cast("string"), F.lit("_ab.html"))).alias("from_name")),
+)
+register(
+    "ext5_targets",
+    f"SELECT CAST(regexp_extract(url, 'code=(.*)', 1) AS BIGINT) AS episode_code, page, 'pending' AS status FROM ({LISTED}) WHERE url IS NOT NULL",
+    lambda f: extract.detail_targets(extract.parse_list_pages(_list_pages(f), BASE_URL)),
+)
 OUTCOME = "CASE WHEN url IS NULL THEN 'stub_without_link' WHEN CAST(regexp_extract(url, 'code=(.*)', 1) AS BIGINT) % 9 = 0 THEN 'stub_missing_html' WHEN CAST(regexp_extract(url, 'code=(.*)', 1) AS BIGINT) % 7 = 0 THEN 'stub_parse_error' ELSE 'with_detail' END"
 matched = lambda f: extract.match_details(extract.parse_list_pages(_list_pages(f), BASE_URL), extract.parse_detail_pages(_detail_pages(f).where("id % 9 <> 0").select("page", F.when(F.col("id") % 7 == 0, F.lit("<html>")).otherwise(F.col("html")).alias("html")), BASE_URL))
-register("ext6_7_matched", f"SELECT page, title, series_name, episode_number, url AS source_url, {OUTCOME} AS outcome FROM ({LISTED})", lambda f: matched(f).select("page", "title", "series_name", "episode_number", "source_url", "outcome"))
+register(
+    "ext6_7_matched",
+    f"SELECT page, title, series_name, episode_number, url AS source_url, {OUTCOME} AS outcome FROM ({LISTED})",
+    lambda f: matched(f).select("page", "title", "series_name", "episode_number", "source_url", "outcome"),
+)
 register("ext8_outcomes", f"SELECT {OUTCOME} AS outcome, count(*) AS n, 0 AS errors FROM ({LISTED}) GROUP BY 1", lambda f: extract.outcome_stats(matched(f)))
-register("ext9_broken", "SELECT CASE WHEN page_id % 2 = 0 THEN 'series' ELSE 'episode' END AS kind, page_id AS code FROM pages WHERE page_id % 7 = 0", lambda f: extract.broken_pages(f.base("pages").select(F.when(F.col("page_id") % 2 == 0, F.concat(F.col("page_id").cast("string"), F.lit(".html"))).otherwise(F.concat(F.lit("hsp_code_"), F.col("page_id").cast("string"), F.lit("_x.html"))).alias("page"), F.when(F.col("page_id") % 7 == 0, F.concat("html", F.lit("�"))).otherwise(F.replace("html", F.lit("�"), F.lit(""))).alias("html"))))
-register("src2_decode", "SELECT id, title FROM fx_episodes", lambda f: f.fx("episodes").select("id", tx.decode_page(F.encode(F.replace("title", F.lit("ü"), F.lit("\u0081")), "ISO-8859-1")).alias("title")))
+register(
+    "ext9_broken",
+    "SELECT CASE WHEN page_id % 2 = 0 THEN 'series' ELSE 'episode' END AS kind, page_id AS code FROM pages WHERE page_id % 7 = 0",
+    lambda f: extract.broken_pages(f.base("pages").select(F.when(F.col("page_id") % 2 == 0, F.concat(F.col("page_id").cast("string"), F.lit(".html"))).otherwise(F.concat(F.lit("hsp_code_"), F.col("page_id").cast("string"), F.lit("_x.html"))).alias("page"), F.when(F.col("page_id") % 7 == 0, F.concat("html", F.lit("�"))).otherwise(F.replace("html", F.lit("�"), F.lit(""))).alias("html"))),
+)
+register(
+    "src2_decode",
+    "SELECT id, title FROM fx_episodes",
+    lambda f: f.fx("episodes").select("id", tx.decode_page(F.encode(F.replace("title", F.lit("ü"), F.lit("\u0081")), "ISO-8859-1")).alias("title")),
+)
 
 # Files: written and read back.
 
@@ -497,7 +929,14 @@ def _reported(f: Frames) -> DataFrame:
 register("snk1_publish", "SELECT episode_id, source_key FROM facts", _published)
 register("snk1b_by_series", "SELECT id, title, series_id FROM fx_episodes", _by_series)
 register("snk2_mart", "SELECT * FROM egen", _round_trip)
-register("snk4_export", "SELECT candidate_id, target_source_key, confidence_score, match_reasons FROM cand WHERE source_episode_id IN (SELECT episode_id FROM cls WHERE series_name = 'Serie  3')", _exported)
+register(
+    "snk4_export",
+    (
+        "SELECT candidate_id, target_source_key, confidence_score, match_reasons FROM cand WHERE source_episode_id IN (SELECT episode_id FROM cls"
+        " WHERE series_name = 'Serie  3')"
+    ),
+    _exported,
+)
 register("snk5_report", "SELECT probe_key, returned, candidates FROM report", _reported)
 
 
@@ -525,7 +964,11 @@ def _detail_folder(f: Frames) -> DataFrame:
     return extract.records_of_folder(files.read_packed(f.spark, packs), BASE_URL).select("place", "source_file", "title", "episode_number", "source_url")
 
 
-register("ext2l_detail_folder", f"SELECT row_number() OVER (ORDER BY source_file) AS place, * FROM (SELECT {FILE_NAME.replace('url', 'source_url')} AS source_file, title, episode_number, source_url FROM ({DETAILED}))", _detail_folder)
+register(
+    "ext2l_detail_folder",
+    f"SELECT row_number() OVER (ORDER BY source_file) AS place, * FROM (SELECT {FILE_NAME.replace('url', 'source_url')} AS source_file, title, episode_number, source_url FROM ({DETAILED}))",
+    _detail_folder,
+)
 
 
 def _series_pages(f: Frames) -> DataFrame:
@@ -536,7 +979,11 @@ def _series_pages(f: Frames) -> DataFrame:
     return f.base("pages").select(F.concat(n, F.lit(".html")).alias("page"), F.concat(F.coalesce(html, F.lit("")), F.lit("<p>"), F.coalesce("html", F.lit(""))).alias("html"))
 
 
-register("ext2k_series_ids", "SELECT page_id || '.html' AS page, CASE WHEN page_id % 5 < 2 THEN page_id END AS series_id FROM pages", lambda f: extract.page_series(_series_pages(f)))
+register(
+    "ext2k_series_ids",
+    "SELECT page_id || '.html' AS page, CASE WHEN page_id % 5 < 2 THEN page_id END AS series_id FROM pages",
+    lambda f: extract.page_series(_series_pages(f)),
+)
 register(
     "src1_pages_to_records",
     f"""SELECT source_key, CASE WHEN k.url IS NULL THEN 'stub_without_link' ELSE 'with_detail' END AS outcome, k.title, CASE WHEN k.url IS NULL THEN k.series_name ELSE regexp_replace(k.series_name, '\\s+', ' ', 'g') END AS series_name, k.episode_number, d.description, d.duration_minutes, d.release_date, d.label, d.cover_url,
@@ -569,7 +1016,14 @@ def _from_seed_files(f: Frames) -> DataFrame:
     return files.read_seed(f.spark, path, "candidate_id string, source_key string, review_decision string, reviewed_category string, reviewed_markers string")
 
 
-register("src5_seed_files", "SELECT candidate_id, source_key, review_decision, nullif(reviewed_category, '') AS reviewed_category, nullif(reviewed_markers, '') AS reviewed_markers FROM fx_reviews", _from_seed_files)
+register(
+    "src5_seed_files",
+    (
+        "SELECT candidate_id, source_key, review_decision, nullif(reviewed_category, '') AS reviewed_category, nullif(reviewed_markers, '') AS reviewed_markers"
+        " FROM fx_reviews"
+    ),
+    _from_seed_files,
+)
 
 
 def _from_result_files(f: Frames) -> DataFrame:
