@@ -200,8 +200,8 @@ def visit(index: DataFrame, routed: DataFrame, k: int) -> DataFrame:
 
 
 def spread(rows: DataFrame, count: Column) -> DataFrame:
-    """rows(vec_id, ...) in pieces of their part, count of them."""
-    return rows.withColumn("piece", F.pmod(F.xxhash64("vec_id", F.lit(1)), count).cast("int"))
+    """rows(vec_id, ...) of a written table in pieces of their part, count of them: by row, as very many may share an id."""
+    return rows.withColumn("row", F.monotonically_increasing_id()).withColumn("piece", F.pmod(F.xxhash64("vec_id", "row"), count).cast("int")).drop("row")
 
 
 def searched_whole(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:

@@ -9,8 +9,8 @@ the query's current kth score, and visits the leaves left in the order of their
 every block_rows(length) queries that are sent to its cluster. Partial lists of k are merged by a window.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components, and null ids, take no part; vectors
-are only compared with those of their own length; rows that repeat a vec_id are candidates each, and none is one for the
-query with that id; a repeated query is answered once, for the least of its vectors; ties go to the smaller vec_id; an empty
+are only compared with those of their own length; rows that repeat a vec_id are candidates each, dealt to pieces like any
+others, and none is one for the query with that id; a repeated query is answered once, for the least of its vectors; ties go to the smaller vec_id; an empty
 table gives no rows; further columns are ignored.
 """
 
@@ -115,7 +115,8 @@ def centers(rows: DataFrame, sizes: dict[int, int]) -> dict[int, np.ndarray]:
     part = rows.sparkSession.createDataFrame([(dim, sizes[dim] / want[dim], want[dim]) for dim in sizes], "dim int, part double, want int")
     rank = (F.xxhash64("vec_id", F.lit(3)) / F.lit(2.0**64) + 0.5) * F.col("part")  # about the place among the hashes, in parts
     near = rows.join(F.broadcast(part), "dim").withColumn("rank", rank).where((F.col("rank") < 8) | (F.col("part") * F.col("want") < 64))
-    nth = F.row_number().over(Window.partitionBy("dim").orderBy("rank", "vec_id", "v"))
+    near = near.groupBy("dim", "want", "vec_id").agg(F.min("rank").alias("rank"), F.min("v").alias("v"))  # very many rows may share an id
+    nth = F.row_number().over(Window.partitionBy("dim").orderBy("rank", "vec_id"))
     chosen = near.withColumn("nth", nth).where(F.col("nth") <= F.col("want")).select("dim", "v").toArrow()
     of = chosen["dim"].to_numpy()
     return {int(dim): np.unique(matrix(chosen.filter(pa.array(of == dim))["v"], int(dim)), axis=0) for dim in np.unique(of)}
@@ -200,7 +201,8 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: int = 64) ->
         radii[r["dim"]][r["cluster"]] = r["far"]
         pieces.append((r["dim"], r["cluster"], math.ceil(r["n"] / block_rows(r["dim"]))))
     pieces = F.broadcast(spark.createDataFrame(pieces, "dim int, cluster int, pieces int"))
-    base = base.join(pieces, ["dim", "cluster"]).withColumn("piece", F.pmod(F.xxhash64("vec_id"), F.col("pieces")).cast("int")).drop("pieces", "far")
+    dealt = base.withColumn("row", F.monotonically_increasing_id()).join(pieces, ["dim", "cluster"])  # by row, as very many may share an id
+    base = dealt.withColumn("piece", F.pmod(F.xxhash64("vec_id", "row"), F.col("pieces")).cast("int")).drop("pieces", "far", "row")
 
     asked = stage(asking(rows, every), "asked")
     lowest = F.lit(-(2.0**62))
