@@ -2,9 +2,10 @@
 
 Writing: only (payload digest, page id) pairs are shuffled to find, for each payload of at least 1000 bytes, the page
 that keeps it; the other pages get a revisit record that refers to it and holds no payload. Payloads with very many pages
-reach these by broadcast (join_by_size), so that none of them is one task. Records are written by Spark as text files whose
-line separator is the blank line that ends a record, so each file is a sequence of WARC/1.1 records, compressed as one gzip
-stream. A file holds what one task has written, and FILE_BYTES of mean records at most.
+reach these by broadcast (join_by_size), so that none of them is one task. Each WARC/1.1 record is a gzip member of its own (one
+above MEMBER_BYTES several), so that a record can be read from its offset alone. A file is closed when it has FILE_BYTES, so
+only a record that is larger makes a larger file. Spark's text writer writes the files: its line separator is the byte
+0, which every member ends with (the high byte of a size below MEMBER_BYTES).
 
 Reading: a file is unpacked piece by piece and parsed by Content-Length, so that a task holds the packed file and one
 record; revisit records are then joined to the responses they refer to. A record's id is made of page id, URL and payload
@@ -30,10 +31,12 @@ from catalog_loom.llm.shared import any_cold, fresh_path, join_by_size, mapped,
 
 END = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-FILE_BYTES = 256 << 20
+FILE_BYTES = 64 << 20
+MEMBER_BYTES = 1 << 24
+PACKED_PIECE = 1 << 16
 PIECE = 1 << 20
 ROWS = 2000
-RECORD = "page_id long, record_type string, record_id string, refers_to_id string, target_uri string, payload_digest string, payload_bytes long, intact boolean"
+RECORD = "page_id long, record_type string, record_id string, refers_to_id string, target_uri string, payload_digest string, payload_bytes long, intact boolean, offset long"
 
 
 def record_id(page_id: Column, url: Column, digest: Column) -> Column:
@@ -50,10 +53,10 @@ def keepers(pages: DataFrame, least: int) -> DataFrame:
     return heads.groupBy("digest").agg(F.max("page_id").alias("keep_id"), F.count("*").alias("n")).where("n > 1")
 
 
-def write_archive(pages: DataFrame, path: str, least: int = 1000, date: str = "2024-01-01T00:00:00Z") -> None:
+def write_archive(pages: DataFrame, path: str, least: int = 1000, date: str = "2024-01-01T00:00:00Z", file_bytes: int = FILE_BYTES, member_bytes: int = MEMBER_BYTES) -> None:
     """Write pages (page_id, url, html) as a deduplicated archive under path."""
     rows = pages.select("page_id", F.regexp_replace("url", r"[\x00-\x20\x7f]", "").alias("url"), F.coalesce("html", F.lit("")).alias("payload"))
-    total, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("payload")), F.lit(0))).first()
+    total = rows.count()
     keep = stage(keepers(rows, least), "keepers")
     cold = any_cold(keep, "n", total)
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("n_bytes", F.octet_length("payload"))
@@ -62,7 +65,6 @@ def write_archive(pages: DataFrame, path: str, least: int = 1000, date: str = "2
         rows = join_by_size(rows.where(F.col("n_bytes") >= least), keep, "digest", "n", total, "left", cold).unionByName(short)
     else:
         rows = join_by_size(rows, keep, "digest", "n", total, "left", cold=False)
-    records_per_file = int(max(1, min(1_000_000, FILE_BYTES * total / (size + 1))))
     revisit = F.col("keep_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keep_id"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(END))  # noqa: E731  null where the value is null
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), F.col("n_bytes").cast("string"), F.lit(END + END))
@@ -83,31 +85,66 @@ def write_archive(pages: DataFrame, path: str, least: int = 1000, date: str = "2
         F.lit(END),
         block,
     )
-    rows.select(record.alias("value")).write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
-
-
-def unpacked(packed: bytes) -> Iterator[bytes]:
-    """A gzip file's content, about PIECE bytes at a time."""
-    stream = zlib.decompressobj(31)
-    data = packed
-    while data or not stream.eof:
+    ended = F.concat(record, F.lit(END + END))
+    files = mapped(rows.select(ended.cast("binary").alias("record")), lambda batches: packed_files(batches, file_bytes, member_bytes), "body binary")
+    files.select(F.col("body").cast("string")).write.option("lineSep", "\x00").option("maxRecordsPerFile", 1).text(path)
+
+
+def members(record: bytes, most: int = MEMBER_BYTES) -> Iterator[bytes]:
+    """A record as gzip members of less than most bytes, whose sizes have a high byte of 0."""
+    for at in range(0, len(record), most - 1):
+        packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+        yield packer.compress(record[at : at + most - 1]) + packer.flush()
+
+
+def packed_files(batches: Iterator[pa.RecordBatch], file_bytes: int, member_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The content of each file, but for the byte 0 at its end."""
+    parts: list[bytes] = []
+    size = 0
+    file = lambda: pa.RecordBatch.from_arrays([pa.array([b"".join(parts)[:-1]], pa.binary())], ["body"])
+    for batch in batches:
+        for record in batch["record"]:
+            new = list(members(record.as_py(), member_bytes))
+            own = sum(map(len, new))
+            if parts and size + own > file_bytes:
+                yield file()
+                parts, size = [], 0
+            parts += new
+            size += own
+    if parts:
+        yield file()
+
+
+def unpacked(packed: bytes, start: int = 0) -> Iterator[tuple[int, bytes]]:
+    """A gzip file's content from a member's offset on, about PIECE bytes at a time, each with the offset of its member."""
+    whole, at, member = memoryview(packed), start, start
+    stream, data = zlib.decompressobj(31), b""
+    while data or at < len(whole):
+        if not data:
+            data = bytes(whole[at : at + PACKED_PIECE])
+            at += len(data)
         piece = stream.decompress(data, PIECE)
+        if piece:
+            yield member, piece
         data = stream.unconsumed_tail
-        if not piece and not data:
-            break
-        yield piece
-        if stream.eof and (data := stream.unused_data):
-            stream = zlib.decompressobj(31)
+        if stream.eof:
+            data = stream.unused_data
+            stream, member = zlib.decompressobj(31), at - len(data)
+    if piece := stream.flush():
+        yield member, piece
 
 
 class Reader:
     """Takes an archive apart, record by record."""
 
-    def __init__(self, pieces: Iterator[bytes]):
-        self.pieces, self.held = pieces, bytearray()
+    def __init__(self, pieces: Iterator[tuple[int, bytes]]):
+        self.pieces, self.held, self.offset = pieces, bytearray(), 0
 
     def more(self) -> bool:
-        piece = next(self.pieces, None)
+        """Take a piece; offset is that of the member that the held bytes begin in, where they begin with one."""
+        offset, piece = next(self.pieces, (0, None))
+        if piece is not None and not self.held:
+            self.offset = offset
         self.held += piece or b""
         return piece is not None
 
@@ -132,9 +169,12 @@ class Reader:
         return found
 
 
-def _records(packed: bytes) -> Iterator[tuple]:
-    reader = Reader(unpacked(packed))
-    while (head := reader.until(b"\r\n\r\n")) is not None:
+def _records(packed: bytes, start: int = 0) -> Iterator[tuple]:
+    """The records of a file from the member at an offset on."""
+    reader = Reader(unpacked(packed, start))
+    while reader.held or reader.more():
+        offset = reader.offset
+        head = reader.until(b"\r\n\r\n") or b""
         lines = head.decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError("not a WARC record")
@@ -147,11 +187,12 @@ def _records(packed: bytes) -> Iterator[tuple]:
         page = fields.get("x-page-id")
         intact = whole and (not response or hashlib.sha1(memoryview(block)[body:]).hexdigest() == digest)
         size = len(block) - body if response else None
-        yield (int(page) if page else None, fields["warc-type"], fields["warc-record-id"], fields.get("warc-refers-to"), fields.get("warc-target-uri"), digest, size, intact)
+        yield (int(page) if page else None, fields["warc-type"], fields["warc-record-id"], fields.get("warc-refers-to"), fields.get("warc-target-uri"), digest, size, intact, offset)
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each record under path; intact tells whether the payload has its digest."""
+    """One row for each record under path; intact tells whether the payload has its digest, offset where the record's (first)
+    member starts in its file."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,7 +203,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
     names = [x.split()[0] for x in RECORD.split(", ")]
     types = [{"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[x.split()[1]] for x in RECORD.split(", ")]
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     return mapped(files, parse, RECORD)
 
 
