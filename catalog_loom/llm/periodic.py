@@ -71,11 +71,12 @@ class Grammar:
             codes = s[starts].copy()
             codes[np.searchsorted(starts, pair)] = (s[pair] + 1) * kinds + s[pair + 1]
             s, kinds = self._up(s, starts, codes, False)
-        self.levels.append((s, np.zeros(0, np.int64), np.zeros(0, np.int64), False))
+        self.levels.append((s.astype(np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32), False))
 
     def _up(self, s: np.ndarray, starts: np.ndarray, codes: np.ndarray, blocks: bool) -> tuple[np.ndarray, int]:
         ends = np.r_[starts, len(s)]
-        self.levels.append((s, ends, np.repeat(np.arange(len(starts)), np.diff(ends)), blocks))
+        parents = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(ends))
+        self.levels.append((s.astype(np.int32), ends.astype(np.int32), parents, blocks))  # a long text's grammar has some four symbols a word
         return named(codes)
 
     def extension(self, a: np.ndarray, b: np.ndarray, forward: bool = True) -> np.ndarray:
