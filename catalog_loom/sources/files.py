@@ -76,8 +76,9 @@ def write_pages(pages: DataFrame, folder: str) -> None:
 
 
 def pack_pages(pages: DataFrame, folder: str, pack_bytes: int = PACK_BYTES) -> None:
-    """pages(page, content) as packs of about pack_bytes, so that very many pages aren't as many files. Pages lie in packs in the
-    order of their names; a pack is the pages' bytes, then an index of name, offset and length, and the index's length."""
+    """pages(page, content) as packs of about pack_bytes, so that very many pages aren't as many files. Each task packs the pages
+    that it has, and none is moved; a pack is the pages' bytes, then an index of name, offset and length, and the index's
+    length."""
 
     def pack(parts: list[bytes], index: list[dict]) -> pa.RecordBatch:
         shown = json.dumps(index).encode()
@@ -97,8 +98,7 @@ def pack_pages(pages: DataFrame, folder: str, pack_bytes: int = PACK_BYTES) -> N
         if index:
             yield pack(parts, index)
 
-    ordered = pages.select("page", "content").repartitionByRange("page").sortWithinPartitions("page")
-    packs = ordered.mapInArrow(run, "body binary")
+    packs = pages.select("page", "content").mapInArrow(run, "body binary")
     packs.select(F.col("body").cast("string")).write.option("maxRecordsPerFile", 1).text(folder)
 
 
