@@ -12,10 +12,15 @@ whole sets; the second is tested before any text is moved. Shingles that the ske
 postings are gathered, and joins with what is found for a shingle, a class or a component send the hot ones by broadcast, so
 that none of them is one task.
 
-Shingles of few classes give all their pairs. For a shingle of many classes (near copies, mostly), all are compared with
-one of them and the components of the links found so far are taken. What is then still apart is compared in blocks: the
-classes that such shingles hold together are dealt to blocks, and a task counts the intersections of two blocks' sets at
-once, without making rows of pairs. No pair that could still join two components is left out.
+The classes of a shingle are first compared with one of them, and the components of the links found so far are taken. What
+is then still apart is compared: a shingle of few classes gives all its pairs between components, and the classes that
+shingles of many hold together are dealt to blocks, by number and by shingles. Components that fill a block have blocks of
+their own, which are never sent to each other; other blocks are sent to those with which they share a shingle, and a task
+counts the intersections of two blocks' sets at once, without making rows of pairs. No pair that could still join two
+components is left out. Texts are sent, as they take less room than 64 bits a shingle.
+
+The sketch and the bitmap that says which classes' texts are wanted grow with the table up to 2^24 cells and 2^30 bits. With
+more rows than these tell apart, more pairs are tested and more texts are sent; none is lost.
 
 Defined cases: null texts and texts without words have no shingles, 0 as size, and link with nothing; fewer than five words
 are one shingle; rows are the nodes, so repeated rows and rows that share a doc_id are each their own; component_id is the
@@ -30,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,13 +45,14 @@ from catalog_loom.llm.shared import free_name, hashable, join_by_size, mapped, n
 from catalog_loom.llm.textops import ASCII_LOWER, NOT_SPACE, Rolling, buffers, mix, slices, spans
 
 WORDS = 5
-SKETCH_BITS = 22
+SKETCH_BITS = (22, 24)
 SKETCH_BLOCKS = 64
-MEMBER_BITS = 23
+MEMBER_BITS = (23, 30)
 SEEN_KEPT = 100_000
 HELD = 1 << 19
 FEW = 64
 BLOCK = 512
+BLOCK_SHINGLES = 1 << 20
 BROADCAST_ROWS = 100_000
 LEVEL_SHIFT = 59
 MOST_CLASHES = 100_000
@@ -91,22 +98,27 @@ def classes(h: np.ndarray, at: np.ndarray, shared_ids: np.ndarray) -> tuple[np.n
     return np.where(np.isin(ids, shared_ids), more, ids) if len(shared_ids) else ids, more
 
 
+def bits_for(cells: int, bounds: tuple[int, int]) -> int:
+    """The least number of bits that tell so many cells apart, within bounds."""
+    return min(max(max(cells - 1, 0).bit_length(), bounds[0]), bounds[1])
+
+
 def prefix_length(n: np.ndarray | int) -> np.ndarray | int:
     return n - (4 * n + 4) // 5 + 1
 
 
-def described(docs: DataFrame, shared_ids: np.ndarray) -> DataFrame:
-    """doc_id, row_key, n, cls, more of each document; and, as rows with a block, counts of shingles by cell, part by part."""
+def described(docs: DataFrame, shared_ids: np.ndarray, width: int) -> DataFrame:
+    """doc_id, row_key, n, cls, more of each document; and, as rows with a block, counts of shingles by cell (of 2 ** width), part by part."""
     names = ["doc_id", "row_key", "n", "cls", "more", "block", "counts"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << SKETCH_BITS, np.uint32)
+        cells = np.zeros(1 << width, np.uint32)
         held: list[np.ndarray] = []
 
         def flush() -> None:
             if held:
-                at, n = np.unique((np.concatenate(held) >> np.uint64(64 - SKETCH_BITS)).astype(np.int32), return_counts=True)
+                at, n = np.unique((np.concatenate(held) >> np.uint64(64 - width)).astype(np.int32), return_counts=True)
                 cells[at] += n.astype(np.uint32)
                 held.clear()
 
@@ -129,7 +141,7 @@ def described(docs: DataFrame, shared_ids: np.ndarray) -> DataFrame:
     return mapped(docs.select("doc_id", "row_key", "text"), run, "doc_id long, row_key long, n long, cls long, more long, block int, counts binary")
 
 
-def levels(parts: DataFrame) -> np.ndarray:
+def levels(parts: DataFrame, width: int) -> np.ndarray:
     """How common the shingles of each cell are: 0 for most, then a step for each doubling. Of fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,8 +152,7 @@ def levels(parts: DataFrame) -> np.ndarray:
                 sums[block] = sums[block] + new if block in sums else new.astype(np.uint64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in sums.values()], pa.binary())], ["block", "counts"])
 
-    width = (1 << SKETCH_BITS) // SKETCH_BLOCKS
-    cells = np.zeros((SKETCH_BLOCKS, width), np.uint64)
+    cells = np.zeros((SKETCH_BLOCKS, (1 << width) // SKETCH_BLOCKS), np.uint64)
     for row in mapped(parts.select("block", "counts").repartition(SKETCH_BLOCKS, "block"), run, "block int, counts binary").toLocalIterator():
         cells[row["block"]] += np.frombuffer(zlib.decompress(row["counts"]), np.uint64)
     limit = cells.mean() + 5 * np.sqrt(cells.mean()) + 4
@@ -153,7 +164,7 @@ def level_of(tok: str) -> Column:
     return F.shiftrightunsigned(tok, LEVEL_SHIFT)
 
 
-def postings(docs: DataFrame, sent: Broadcast, shared_ids: np.ndarray) -> DataFrame:
+def postings(docs: DataFrame, sent: Broadcast, shared_ids: np.ndarray, width: int) -> DataFrame:
     """tok, cls, n: the prefix of each class under the first order. Copies in one task are mostly left out. sent: the
     levels, packed."""
 
@@ -165,7 +176,7 @@ def postings(docs: DataFrame, sent: Broadcast, shared_ids: np.ndarray) -> DataFr
                 h, to = shingles(raw, at)
                 size, cls = np.diff(to), classes(h, to, shared_ids)[0]
                 spread = mix(h, 3)
-                key = (common[(spread >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(LEVEL_SHIFT)) | (mix(h, 4) >> np.uint64(64 - LEVEL_SHIFT))
+                key = (common[(spread >> np.uint64(64 - width)).astype(np.int64)].astype(np.uint64) << np.uint64(LEVEL_SHIFT)) | (mix(h, 4) >> np.uint64(64 - LEVEL_SHIFT))
                 rows = []
                 for i, c in enumerate(cls.tolist()):
                     if size[i] and c not in seen:
@@ -183,37 +194,40 @@ def postings(docs: DataFrame, sent: Broadcast, shared_ids: np.ndarray) -> DataFr
     return mapped(docs.select("text"), run, "tok long, cls long, n int")
 
 
-def cell_of(cls: np.ndarray) -> np.ndarray:
-    return (mix(cls.view(np.uint64), 5) >> np.uint64(64 - MEMBER_BITS)).astype(np.int64)
+def cell_of(cls: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Byte and bit of each class in a bitmap of 2 ** width bits."""
+    cell = (mix(cls.view(np.uint64), 5) >> np.uint64(64 - width)).astype(np.int64)
+    return cell >> 3, (1 << (cell & 7)).astype(np.uint8)
 
 
-def members(ids: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size that holds the cells of all ids."""
+def members(ids: DataFrame, width: int) -> np.ndarray:
+    """A bitmap of 2 ** width bits that holds the cells of all ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << MEMBER_BITS, bool)
+        bits = np.zeros(1 << (width - 3), np.uint8)
         for batch in batches:
-            bits[cell_of(batch["cls"].to_numpy())] = True
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], ["bits"])
+            np.bitwise_or.at(bits, *cell_of(batch["cls"].to_numpy(), width))
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())], ["bits"])
 
-    out = np.zeros(1 << (MEMBER_BITS - 3), np.uint8)
+    out = np.zeros(1 << (width - 3), np.uint8)
     for row in mapped(ids.select("cls").coalesce(16), run, "bits binary").toLocalIterator():
         out |= np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
     return out
 
 
-def texts_of(docs: DataFrame, sent: Broadcast, shared_ids: np.ndarray) -> DataFrame:
+def texts_of(docs: DataFrame, sent: Broadcast, shared_ids: np.ndarray, width: int) -> DataFrame:
     """cls, text, low (start of the second order) of each class whose cell is in the bitmap (sent, packed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(zlib.decompress(sent.value), np.uint8)).astype(bool)
+        bits = np.frombuffer(zlib.decompress(sent.value), np.uint8)
         seen: set[int] = set()
         for batch in batches:
             for lo, hi, raw, at in slices(batch["text"]):
                 h, to = shingles(raw, at)
                 cls = classes(h, to, shared_ids)[0]
                 rows = []
-                for i in np.flatnonzero(bits[cell_of(cls)] & (np.diff(to) > 0)).tolist():
+                byte, bit = cell_of(cls, width)
+                for i in np.flatnonzero((bits[byte] & bit > 0) & (np.diff(to) > 0)).tolist():
                     if int(cls[i]) not in seen:
                         seen.add(int(cls[i]))
                         rows.append(i)
@@ -281,20 +295,45 @@ def links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return mapped(both.select("a", "b", "left", "right"), run, "a long, b long")
 
 
-def blockwise(apart: DataFrame, texts: DataFrame, total: int) -> DataFrame:
-    """Links (a, b) between classes that share a shingle of apart(tok, cls, n, root), total rows, and have different roots.
-    Classes that shingles hold together, directly or through others, are dealt to blocks; a task has the members of two
-    blocks."""
+def blocks_for(many: str, weight: str) -> Column:
+    return F.ceil(F.greatest(F.lit(1), F.col(many) / BLOCK, F.col(weight) / BLOCK_SHINGLES)).cast("int")
+
+
+def dealt(apart: DataFrame, total: int) -> DataFrame:
+    """cls, root, toks, block, pairs of apart(tok, cls, n, root), total rows: the block that has the class, and the pairs x <= y of
+    blocks that it is needed for. Classes that shingles hold together, directly or through others, share blocks of BLOCK classes
+    and BLOCK_SHINGLES shingles (a longer text is alone in excess of that). A root with as many has blocks of its own."""
     hubs = apart.groupBy("tok").agg(F.min("cls").alias("hub"), F.count("*").alias("many"))
-    held = stage(components(join_by_size(apart, hubs, "tok", "many", total).select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct()), "held")
-    sizes = held.groupBy("root").agg(F.count("*").alias("many")).withColumn("blocks", F.ceil(F.col("many") / BLOCK).cast("int"))
-    held = join_by_size(held, sizes, "root", "many", total).select(F.col("node").alias("cls"), F.col("root").alias("held_by"), "blocks")
-    members = apart.groupBy("cls").agg(F.collect_set("tok").alias("toks"), F.max("root").alias("root"))  # a prefix at most
-    members = members.join(held, "cls").join(texts.select("cls", "text"), "cls").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    held = components(join_by_size(apart, hubs, "tok", "many", total).select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct())
+    classes_of = apart.groupBy("cls").agg(F.collect_set("tok").alias("toks"), F.max("root").alias("root"), F.max("n").cast("long").alias("n"))  # a prefix at most
+    found = stage(classes_of.join(held.select(F.col("node").alias("cls"), F.col("root").alias("held_by")), "cls"), "held")
+
+    sums = [F.count("*").alias("many"), F.sum("n").alias("weight")]
+    alone = found.groupBy("root").agg(*sums).select("root", "many", blocks_for("many", "weight").alias("blocks"))
+    found = stage(join_by_size(found, alone, "root", "many", total), "sized")
+    large, small = found.where("blocks > 1"), found.where("blocks = 1").drop("blocks")
+    together = small.groupBy("held_by").agg(*sums).select("held_by", "many", blocks_for("many", "weight").alias("blocks"))
+    small = join_by_size(small, together, "held_by", "many", total)
+    place = lambda kind, owner: F.concat_ws("/", F.lit(kind), owner, F.pmod(F.xxhash64("cls"), F.col("blocks"))).alias("block")
+    placed = large.select("cls", "root", "toks", place("root", "root"), F.col("root").alias("sole"))
+    placed = stage(placed.unionByName(small.select("cls", "root", "toks", place("shared", "held_by"), F.lit(None).cast("long").alias("sole"))), "placed")
+
+    meets = placed.select(F.explode("toks").alias("tok"), "block", "sole").distinct()
+    x, y = meets.select("tok", F.col("block").alias("x"), F.col("sole").alias("s")), meets.select("tok", F.col("block").alias("y"), F.col("sole").alias("t"))
+    pairs = x.join(y, "tok").where((F.col("x") <= F.col("y")) & F.coalesce(F.col("s") != F.col("t"), F.lit(True))).select("x", "y").distinct()
+    needs = pairs.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("block"), F.struct("x", "y").alias("pair")).groupBy("block").agg(F.collect_list("pair").alias("pairs"))
+    return placed.drop("sole").join(needs, "block")
+
+
+def blockwise(apart: DataFrame, texts: DataFrame, total: int) -> DataFrame:
+    """Links (a, b) between classes that share a shingle of apart(tok, cls, n, root), total rows, and have different roots. A
+    task has the members of two blocks."""
+    sent = dealt(apart, total).join(texts.select("cls", "text"), "cls").select("cls", "root", "block", "toks", "text", F.explode("pairs").alias("pair"))
+    sent = sent.select("pair.x", "pair.y", "cls", "root", "block", "toks", "text")
 
     def run(table: pa.Table) -> pa.Table:
-        cls, root, block = table["cls"].to_numpy(), table["root"].to_numpy(), table["block"].to_numpy()
+        cls, root = table["cls"].to_numpy(), table["root"].to_numpy()
+        second = pc.equal(table["block"], table["y"]).to_numpy()
         raw, at = buffers(table["text"])
         h, to = shingles(raw, at)
         size = np.diff(to)
@@ -307,9 +346,9 @@ def blockwise(apart: DataFrame, texts: DataFrame, total: int) -> DataFrame:
         for same in np.split(owner[order], np.flatnonzero(np.diff(tok[order])) + 1):
             if len(same) > 1:
                 may[np.ix_(same, same)] = True
-        cross = table["i"][0].as_py() != table["j"][0].as_py()
+        cross = table["x"][0].as_py() != table["y"][0].as_py()
         may &= (root[:, None] != root[None, :]) & (5 * np.minimum(size[:, None], size[None, :]) >= 4 * np.maximum(size[:, None], size[None, :]))
-        may &= (block[:, None] < block[None, :]) if cross else np.triu(np.ones((count, count), bool), 1)
+        may &= (~second[:, None] & second[None, :]) if cross else np.triu(np.ones((count, count), bool), 1)
         known, dense = np.unique(h, return_inverse=True)
         nth = np.arange(len(h)) - np.repeat(to[:-1], size)
         length = np.repeat(size, size)
@@ -344,7 +383,7 @@ def blockwise(apart: DataFrame, texts: DataFrame, total: int) -> DataFrame:
         a, b = zip(*found, strict=True) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return dealt.select("held_by", "i", "j", "cls", "root", "block", "toks", "text").groupBy("held_by", "i", "j").applyInArrow(run, "a long, b long")
+    return sent.groupBy("x", "y").applyInArrow(run, "a long, b long")
 
 
 def fits(n: str, m: str):
@@ -377,8 +416,9 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     number of documents with words."""
     context = docs.sparkSession.sparkContext
     shared_ids = np.zeros(0, np.int64)
+    width = bits_for(4 * docs.count(), SKETCH_BITS)
     while True:
-        found = stage(described(docs, shared_ids), "described")
+        found = stage(described(docs, shared_ids, width), "described")
         rows = found.where("block is null").select("doc_id", "row_key", "n", "cls", "more")
         known = rows.where("cls is not null").groupBy("cls")
         sets = known.agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min("more").alias("low"), F.max("more").alias("high"))
@@ -391,29 +431,34 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
         shared_ids = np.unique(np.concatenate([shared_ids, np.array(clashing, np.int64)]))
     rows, sets, n_docs = rows.drop("more"), sets.drop("low", "high"), of["documents"]
 
-    sent = context.broadcast(zlib.compress(levels(found.where("block is not null")).tobytes(), 1))  # 2 ** SKETCH_BITS bytes at most
-    shared = gathered(postings(docs, sent, shared_ids))
-    wanted = context.broadcast(zlib.compress(members(shared.select("cls").distinct()).tobytes(), 1))  # 2 ** (MEMBER_BITS - 3) at most
-    texts = stage(texts_of(docs, wanted, shared_ids), "texts")
+    sent = context.broadcast(zlib.compress(levels(found.where("block is not null"), width).tobytes(), 1))  # a byte a cell at most
+    shared = gathered(postings(docs, sent, shared_ids, width))
+    ids, of = observed(shared.select("cls").distinct(), "shared", n=F.count("*"))
+    size = bits_for(8 * of["n"], MEMBER_BITS)
+    wanted = context.broadcast(zlib.compress(members(ids, size).tobytes(), 1))  # a bit a cell at most
+    texts = stage(texts_of(docs, wanted, shared_ids, size), "texts")
     sent.destroy()
     wanted.destroy()
 
-    few = shared.where(F.col("many") <= FEW).select("tok", "cls", "n")
-    other = few.select("tok", F.col("cls").alias("b"), F.col("n").alias("m"))
-    pairs = few.withColumnRenamed("cls", "a").join(other, "tok").where((F.col("a") < F.col("b")) & fits("n", "m")).select("a", "b", "n", "m")
-    crowd = shared.where(F.col("many") > FEW)
-    stars = crowd.where((F.col("cls") != F.col("hub")) & fits("n", "hub_n")).select(F.col("hub").alias("a"), F.col("cls").alias("b"), F.col("hub_n").alias("n"), F.col("n").alias("m"))
-    tried = stage(passing(pairs.unionByName(stars).distinct(), texts), "pairs")
-    good = stage(links(tried, texts), "links")
-    roots = components(good)
-    crowd = crowd.select("tok", "cls", "n").distinct().join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    crowd, of = observed(crowd, "crowd", n=F.count("*"))
-    total = of["n"]
+    def verified(pairs: DataFrame) -> tuple[DataFrame, dict]:
+        return observed(links(stage(passing(pairs.distinct(), texts), "pairs"), texts), "links", n=F.count("*"))
+
+    stars = shared.where((F.col("cls") != F.col("hub")) & fits("n", "hub_n")).select(F.col("hub").alias("a"), F.col("cls").alias("b"), F.col("hub_n").alias("n"), F.col("n").alias("m"))
+    roots = stage(components(verified(stars)[0]), "roots")
+    rooted = shared.select("tok", "cls", "n", "many").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    rooted, of = observed(rooted, "shared", crowd=F.count_if(F.col("many") > FEW))
+    few = rooted.where(F.col("many") <= FEW).select("tok", F.col("cls").alias("a"), F.col("n"), F.col("root").alias("r"))
+    other = few.toDF("tok", "b", "m", "s")
+    more, found_few = verified(few.join(other, "tok").where((F.col("a") < F.col("b")) & (F.col("r") != F.col("s")) & fits("n", "m")).select("a", "b", "n", "m"))
+    total = of["crowd"]
+    crowd = rooted.where(F.col("many") > FEW).select("tok", "cls", "n", "root")
     ends = crowd.groupBy("tok").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("many")).where("low <> high").select("tok", "many")
     apart, of = observed(join_by_size(crowd, ends, "tok", "many", total), "apart", n=F.count("*")) if total else (crowd, {"n": 0})
     if of["n"]:
+        more = more.unionByName(stage(blockwise(apart, texts, of["n"]), "links"))
+    if of["n"] or found_few["n"]:
         reached = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))  # these have the components of the links found so far
-        roots = components(reached.unionByName(stage(blockwise(apart, texts, total), "links")))
+        roots = components(reached.unionByName(more))
 
     rooted = stage(sets.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")), "rooted")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("many"))
