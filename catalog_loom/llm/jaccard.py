@@ -12,9 +12,9 @@ whole sets; the second is tested before any text is moved. Shingles that the ske
 postings are gathered, and joins with what is found for a shingle, a class or a component send the hot ones by broadcast, so
 that none of them is one task.
 
-The classes of a shingle are first compared with one of them, and the components of the links found so far are taken. What
-is then still apart is compared: a shingle of few classes gives all its pairs between components, and the classes that
-shingles of many hold together are dealt to blocks, by number and by shingles. Components that fill a block have blocks of
+Shingles of few classes give all their pairs. For a shingle of many classes (near copies, mostly), all are compared with
+one of them and the components of the links found so far are taken. What is then still apart is compared: the classes that
+such shingles hold together are dealt to blocks, by number and by shingles. Components that fill a block have blocks of
 their own, which are never sent to each other; other blocks are sent to those with which they share a shingle, and a task
 counts the intersections of two blocks' sets at once, without making rows of pairs. No pair that could still join two
 components is left out. Texts are sent, as they take less room than 64 bits a shingle.
@@ -440,25 +440,22 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     sent.destroy()
     wanted.destroy()
 
-    def verified(pairs: DataFrame) -> tuple[DataFrame, dict]:
-        return observed(links(stage(passing(pairs.distinct(), texts), "pairs"), texts), "links", n=F.count("*"))
-
-    stars = shared.where((F.col("cls") != F.col("hub")) & fits("n", "hub_n")).select(F.col("hub").alias("a"), F.col("cls").alias("b"), F.col("hub_n").alias("n"), F.col("n").alias("m"))
-    roots = stage(components(verified(stars)[0]), "roots")
-    rooted = shared.select("tok", "cls", "n", "many").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    rooted, of = observed(rooted, "shared", crowd=F.count_if(F.col("many") > FEW))
-    few = rooted.where(F.col("many") <= FEW).select("tok", F.col("cls").alias("a"), F.col("n"), F.col("root").alias("r"))
-    other = few.toDF("tok", "b", "m", "s")
-    more, found_few = verified(few.join(other, "tok").where((F.col("a") < F.col("b")) & (F.col("r") != F.col("s")) & fits("n", "m")).select("a", "b", "n", "m"))
-    total = of["crowd"]
-    crowd = rooted.where(F.col("many") > FEW).select("tok", "cls", "n", "root")
+    few = shared.where(F.col("many") <= FEW).select("tok", "cls", "n")
+    other = few.select("tok", F.col("cls").alias("b"), F.col("n").alias("m"))
+    pairs = few.withColumnRenamed("cls", "a").join(other, "tok").where((F.col("a") < F.col("b")) & fits("n", "m")).select("a", "b", "n", "m")
+    crowd = shared.where(F.col("many") > FEW)
+    stars = crowd.where((F.col("cls") != F.col("hub")) & fits("n", "hub_n")).select(F.col("hub").alias("a"), F.col("cls").alias("b"), F.col("hub_n").alias("n"), F.col("n").alias("m"))
+    tried = stage(passing(pairs.unionByName(stars).distinct(), texts), "pairs")
+    good = stage(links(tried, texts), "links")
+    roots = components(good)
+    crowd = crowd.select("tok", "cls", "n").distinct().join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    crowd, of = observed(crowd, "crowd", n=F.count("*"))
+    total = of["n"]
     ends = crowd.groupBy("tok").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("many")).where("low <> high").select("tok", "many")
     apart, of = observed(join_by_size(crowd, ends, "tok", "many", total), "apart", n=F.count("*")) if total else (crowd, {"n": 0})
     if of["n"]:
-        more = more.unionByName(stage(blockwise(apart, texts, of["n"]), "links"))
-    if of["n"] or found_few["n"]:
         reached = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))  # these have the components of the links found so far
-        roots = components(reached.unionByName(more))
+        roots = components(reached.unionByName(stage(blockwise(apart, texts, of["n"]), "links")))
 
     rooted = stage(sets.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")), "rooted")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("many"))
