@@ -146,3 +146,54 @@ def test_failed_texts_are_recorded_and_tried_again(spark, tmp_path):
     assert {r["error"] for r in retrieval.failures(short).collect()} == {"ValueError: 0 vectors of 1 texts"} and not calls
     episodes = spark.createDataFrame([(1, None), (7, [9.0]), (14, [8.0])], "id long, embedding array<float>")
     assert {r["id"]: list(r["embedding"]) for r in retrieval.write_back(episodes, ledger.read().where("error is null")).collect()} == {1: [1.0], 7: [4.0], 14: [8.0]}
+
+
+def test_very_many_series_share_folders(spark, tmp_path):
+    """The number of files follows from the bytes; a large series is still cut, and of a series only its folders are read."""
+    rows = spark.range(6000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).cast("bigint").alias("series_id"), "id", F.lpad(F.col("id").cast("string"), 60, "ü").alias("title"))
+    rows = rows.unionByName(spark.createDataFrame([(None, 9000 + i, "x") for i in range(30)], "series_id bigint, id bigint, title string")).repartition(8)
+    folder, schema, most = f"file://{tmp_path}/shared", "id bigint, title string, series_id bigint", 100_000
+    files.write_by_series(rows, folder, most, 100)
+    names = glob.glob(f"{tmp_path}/shared/*/*/*.json")
+    assert 4 < len(names) < 60 and max(map(os.path.getsize, names)) <= 3 * most and len({n for n in names if '"series_id":0,' in open(n).read()}) > 2
+    back = files.read_by_series(spark, folder, schema).select(rows.columns)
+    assert back.count() == rows.count() and back.exceptAll(rows).isEmpty()
+    for wanted in ((0,), (7,), (None,), (7, 8, None)):
+        some = files.read_by_series(spark, folder, schema, *wanted)
+        want = rows.where(F.col("series_id").isin(*[x for x in wanted if x is not None]) | (F.col("series_id").isNull() if None in wanted else F.lit(False)))
+        assert some.count() == want.count() > 0 and some.select(rows.columns).exceptAll(want).isEmpty()
+    few = rows.where("series_id < 20")
+    files.write_by_series(few, f"file://{tmp_path}/own", most, 100)
+    assert files.read_by_series(spark, f"file://{tmp_path}/own", schema, 7).count() == 1 and glob.glob(f"{tmp_path}/own/series_id=7/*.json")
+    files.write_by_series(rows.limit(0), f"file://{tmp_path}/none", most, 100)
+    assert files.read_by_series(spark, f"file://{tmp_path}/none", schema).count() == 0
+
+
+def files_below(spark, tmp_path, monkeypatch, name):
+    """How many files of data a query leaves in the shared folder, and its rows."""
+    monkeypatch.setattr(files, "root_folder", lambda _: f"file://{tmp_path}/shared")
+    found = []
+    queries.run(spark, SF, name, lambda df: found.extend([df.collect(), len(glob.glob(f"{tmp_path}/shared/*/**/part-*", recursive=True))]))
+    return found
+
+
+def test_artifacts_of_records_in_packs(spark, tmp_path, monkeypatch):
+    """Records of 150 series don't make 150 files; an artifact is read alike from a file of its own and from a line of a pack."""
+    rows, n = files_below(spark, tmp_path, monkeypatch, "src3_record_files")
+    assert len(rows) == 1500 and n < 20
+    arrays = ['[{"title":"a\\nb","speakers":[{"role":"r","speaker":"s"}],"genres":[]},{"title":"c"}]', "[]", '[{"title":"ü"}]']
+    (tmp_path / "own").mkdir()
+    (tmp_path / "pack").mkdir()
+    for i, a in enumerate(arrays):
+        (tmp_path / "own" / f"{i}.json").write_text(a)
+    (tmp_path / "pack" / "p.json").write_text("\n".join(arrays))
+    own, packed = (files.read_records(spark, f"file://{tmp_path}/{name}", name == "pack") for name in ("own", "pack"))
+    assert sorted(map(str, own.collect())) == sorted(map(str, packed.collect())) and packed.count() == 3
+
+
+def test_payloads_in_packs(spark, tmp_path, monkeypatch):
+    rows, n = files_below(spark, tmp_path, monkeypatch, "src6_result_files")
+    assert len(rows) > 1000 and n < 20
+    (tmp_path / "pack").mkdir()
+    (tmp_path / "pack" / "p.json").write_text('{"payload":"p1","results":[{"collectionId":5,"artistName":"A"},{"collectionId":6}]}\n{"payload":"p2","results":[]}\n')
+    assert [tuple(r)[:4] for r in files.read_results(spark, f"file://{tmp_path}/pack", packed=True).orderBy("pos").collect()] == [("p1", 0, "5", "A"), ("p1", 1, "6", None)]
