@@ -151,3 +151,61 @@ def test_series_of_page(spark, href, number):
     later = html + '<a href="hsp_serie.asp?serie=77">c</a>'
     got = {r["page"]: r["series_id"] for r in extract.page_series(spark.createDataFrame([("a", html), ("b", later), ("c", "no link"), ("d", None)], "page string, html string")).collect()}
     assert got == {"a": number, "b": 77 if href.startswith("andere") else number, "c": None, "d": None}
+
+
+class Whole(extract.Page):
+    """A page read by HTMLParser throughout."""
+
+    def _split(self, html):
+        return False
+
+
+PLAIN_PIECES = [*PIECES[:20], "&uuml; &amp", '<td width="75%" align="left" valign="top">', '<td width="35%" align="justify" valign="top">', '<td width="35%" align="left" valign="top">', '<span class="t4_bold">Beschreibung:</span>', '<span class="big t5">', "</span>", '<img src="bilder/bilder/1.jpg">', f'<table background="{extract.DETAIL_BACKGROUND}">', "<tr><td>x</td><td> - y</td><td></td><td>&auml;</td></tr>", "<tr>" + "<td>z</td>" * 7 + "</tr>", '<a href="hsp_anzeige.asp?code=3">&amp;T</a>', '<a href="hsp_serie.asp?serie=7">S</a>', "<tr><td>- K</td></tr>"]
+
+
+def test_plain_pages_are_read_alike():
+    """Pages that are split at plain tags give what HTMLParser gives, whatever is left open or closed twice; others aren't split."""
+    rng, plain = random.Random(5), 0
+    state = ("tags", "attrs", "last", "start", "end", "strings", "of", "cells", "links", "upto")
+    for n in range(4000):
+        html = "".join(rng.choice(PLAIN_PIECES if n % 4 else [*PLAIN_PIECES, *PIECES[20:], "<TD>", "<td x=1>", "a < b", '<a href="?a&amp;b">', "</a x>", "<title>", "</title>", "<"]) for _ in range(rng.randrange(80)))
+        plain += "<" not in "".join(extract.PLAIN.split(html)[::5])
+        one, other = extract.Page(html), Whole(html)
+        assert all(getattr(one, c) == getattr(other, c) for c in state), html
+        assert extract.taken(html, extract.detail) == (extract.detail(other), None)
+    assert plain > 1000
+
+
+def test_plain_pages_are_not_read_by_html_parser(monkeypatch):
+    cell = "<tr><td></td><td>Erzähler</td><td></td><td>Müller</td></tr>"
+    html = f'<table background="{extract.DETAIL_BACKGROUND}"><tr><td width="35%" align="left" valign="top"><table>{cell * 3}</table></td></tr></table>'
+    monkeypatch.setattr(extract.Page, "feed", lambda *_: pytest.fail("read by HTMLParser"))
+    assert len(extract.detail(extract.Page(html))["speakers"]) == 3
+
+
+@pytest.mark.parametrize("base", ["https://x.test/", "https://x.test", "https://x.test/a/b?c=1", "https://x.test/a/../b/", "http://x.test//a/", "a/b", "", "mailto:x", "file:///a/b"])
+@pytest.mark.parametrize("href", ["hsp_anzeige.asp?code=7", "bilder/bilder/3.jpg", "a", "a/b/c?x=1", "../a", "./a", "/a", "//b/c", "a:b", "?x", "", "a//b", "a/..", "a?b/../c", "a?b#c", "a;b", ".a", "a..b"])
+def test_addresses(base, href):
+    assert extract.address(base, href)[0] == urljoin(base, href)
+
+
+def test_a_pack_is_not_copied_for_each_page(spark, tmp_path):
+    """40,000 pages of a pack of 8 MB: a copy of the pack for each would be 320 GB."""
+    raw = spark.range(40_000).select(F.col("id").cast("string").alias("page"), F.lpad(F.lit(""), 200, "x").cast("binary").alias("content")).coalesce(1)
+    files.pack_pages(raw, f"file://{tmp_path}/p")
+    began = time.monotonic()
+    got = files.packed_contents(spark, f"file://{tmp_path}/p").agg(F.countDistinct("page"), F.sum(F.octet_length("content"))).first()
+    assert tuple(got) == (40_000, 8_000_000) and time.monotonic() - began < 30
+
+
+def test_pages_of_a_folder_are_read_once(spark, tmp_path):
+    """Ranges are found in written records, not by reading the pages again."""
+    looked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        looked.add(1)
+        return x
+
+    pages = spark.range(500).select(F.concat(F.col("id").cast("string"), F.lit(".html")).alias("page"), counted(F.lit("<html>")).alias("html"))
+    assert extract.records_of_folder(pages, "https://x.test/").count() == 500 and looked.value == 500
