@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from catalog_loom.operators import nearby, order, search
+from catalog_loom.operators import nearby, order, search, variants
+from catalog_loom.plans import queries
 
 DIM = 8
 
@@ -85,3 +86,17 @@ def test_search_by_index(spark, names, index, text, left):
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
     some = search.candidates(spark, index, text)
     assert (None if some is None else some.count()) == left
+
+
+def test_credits_are_not_dealt_anew_for_each_step_of_casts(spark):
+    """One shuffle by episode serves repeated links and facts, and one the casts with their number of speakers."""
+    frames, conf = queries.Frames(spark, "/root/testdata/sf0.001"), {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        plan = variants.casts(frames.cast_credits)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert plan.count("Exchange hashpartitioning") == 11  # two more if each step deals anew
